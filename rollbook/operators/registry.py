@@ -109,10 +109,10 @@ def _enrollments(rc, benef, rollup, keys, scheme_type, district) -> DataFrame:
         benef = benef.where(F.col("lgd_district_code") == district)
     matched = match_identity(rc, benef).where(F.col("matched_memberid").isNotNull())
     # One row per (member, scheme) before the payments join: the loser rows need no payments.
-    newest = first_row(
+    kept = first_row(
         matched, ["matched_memberid", "scheme_id"], newest()
     )
-    return newest.join(rollup, keys, "left").select(
+    return kept.join(rollup, keys, "left").select(
         F.col("matched_memberid").alias("ration_card_memberid"),
         "scheme_id",
         F.lit(scheme_type).alias("scheme_type"),

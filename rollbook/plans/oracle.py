@@ -32,7 +32,9 @@ def with_views(sql: str) -> str:
     if not order:
         return sql.strip()
     ctes = ",\n".join(f"{n} AS MATERIALIZED (\n{VIEWS[n]}\n)" for n in order)
-    return f"WITH {ctes}\n{sql.strip()}"
+    body = sql.strip()
+    # a query with its own WITH list continues the one of the views
+    return f"WITH {ctes},\n{body[5:]}" if body.startswith("WITH ") else f"WITH {ctes}\n{body}"
 
 
 view("scheme_dim", "SELECT * FROM (VALUES " + ", ".join(f"('{a}','{b}')" for a, b in SCHEME_NAMES) + ") AS v(scheme_id, scheme_name)")

@@ -158,7 +158,7 @@ UNION ALL SELECT cast(sl_no AS varchar), 'DUPLICATE_LOSER' FROM ranked WHERE rn
 UNION ALL SELECT cast(sl_no AS varchar), 'CONFLICTING_SCHEME_ID' FROM keyed WHERE (uid, scheme_beneficiary_id) IN (SELECT (uid, scheme_beneficiary_id) FROM keyed GROUP BY uid, scheme_beneficiary_id HAVING count(DISTINCT scheme_id) > 1)
 UNION ALL SELECT cast(sl_no AS varchar), 'CONFLICTING_PERSONAL_DATA' FROM keyed WHERE uid IN (SELECT uid FROM keyed GROUP BY uid HAVING count(DISTINCT member_dob) > 1 OR count(DISTINCT gender) > 1)
 UNION ALL SELECT cast(sl_no AS varchar), 'AMBIGUOUS_RC_MATCH' FROM benef_src WHERE uid IS NULL AND ration_card_memberid IN (SELECT ration_card_memberid FROM person_src GROUP BY 1 HAVING count(*) > 1)
-UNION ALL SELECT transaction_ref_no, 'NO_BENEFICIARY_MATCH_FOR_TRANSACTION' FROM txn_src x WHERE NOT EXISTS (SELECT 1 FROM keyed k WHERE k.scheme_beneficiary_id = x.scheme_beneficiary_id AND k.scheme_id = x.scheme_id)""".replace("\nWITH keyed", "WITH keyed"))
+UNION ALL SELECT transaction_ref_no, 'NO_BENEFICIARY_MATCH_FOR_TRANSACTION' FROM txn_src x WHERE NOT EXISTS (SELECT 1 FROM keyed k WHERE k.scheme_beneficiary_id = x.scheme_beneficiary_id AND k.scheme_id = x.scheme_id)""")
 def _(s):
     return reg.build_skipped(s.benef, s.persons, s.txn)
 
