@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries, registry_queries, rule_queries  # noqa: F401
+from . import dashboard_queries, graph_queries, registry_queries, rule_queries  # noqa: F401
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

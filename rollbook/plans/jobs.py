@@ -8,6 +8,7 @@ from ..functions.ranking import pair_count
 from ..operators import flags as fl
 from ..operators import graph as g
 from ..operators import rules as r
+from ..operators.quality import one_row
 
 
 def _step(df: DataFrame, name: str) -> DataFrame:
@@ -54,7 +55,7 @@ def run_sync(s) -> DataFrame:
     # first ends: members that are not the last of their group; second ends: not the first
     ends = shared.join(sizes, ["ration_card_number", "member_id"]).agg(
         (F.countDistinct(F.when(F.col("uid") < F.col("hi"), F.col("uid"))) + F.countDistinct(F.when(F.col("uid") > F.col("lo"), F.col("uid")))).alias("cases"))
-    i1 = grouped(shared, ["ration_card_number", "member_id"], "I1").drop("cases").crossJoin(ends).select("step", "cases", "pairs")
+    i1 = one_row(grouped(shared, ["ration_card_number", "member_id"], "I1").drop("cases"), ends).select("step", "cases", "pairs")
     return fl.union(
         plain(s.profile, "profiles"), plain(g.payout_windows(s.txn), "payout_windows"), plain(s.scored, "scored"),
         grouped(s.dup, ["cluster_id", "name", "gender"], "B1"), grouped(s.dob, ["gp_code", "dob"], "B3"), per_rule, plain(s.c1, "C1"), i1,
