@@ -35,12 +35,17 @@ def query(key: str, sql: str | None = None):
     def wrap(fn: Callable[[Store], DataFrame]):
         QUERIES[key] = lambda spark, sf_dir: plain(fn(store(spark, sf_dir)))
         if sql is not None:
-            ORACLE[key] = with_views(sql)
+            ORACLE[key] = sql
         return fn
 
     return wrap
 
 
+def comparison_sql() -> dict[str, str]:
+    """Every comparison text with the views it needs inlined."""
+    return {key: with_views(sql) for key, sql in ORACLE.items()}
+
+
 def ts(c: str, name: str | None = None) -> str:
     return f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {name or c.split('.')[-1]}"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dashboard_queries, graph_queries, registry_queries, rule_queries  # noqa: F401
-from .base import ORACLE, QUERIES
+from . import dashboard_queries, eligibility_queries, graph_queries, registry_queries, rule_queries  # noqa: F401
+from .base import QUERIES, comparison_sql
 
-__all__ = ["ORACLE", "QUERIES"]
+__all__ = ["QUERIES", "comparison_sql"]
