@@ -43,12 +43,17 @@ BOOLEAN_SIGNALS = ["resident", "residency", "eligible", "eligibility", "employee
 BOOLEAN_PREFIX = r"^(has_|is_|exclude_|receives_|covered_|eligible_)"
 
 
+def _literal(value: str) -> str:
+    return "'" + value.replace("'", "\\'") + "'"
+
+
 def lookup(table: dict[str, str], key: Column) -> Column:
-    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key]
+    """Value of a fixed table; one parsed literal, as a call per entry is slow on the driver."""
+    return F.expr("map(" + ", ".join(_literal(x) for kv in table.items() for x in kv) + ")")[key]
 
 
 def words(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    return F.expr("array(" + ", ".join(_literal(v) for v in values) + ")")
 
 
 def manual_input_type(field: Column) -> Column:

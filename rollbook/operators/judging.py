@@ -139,7 +139,8 @@ def resolve_fields(df: DataFrame, as_of: Column) -> DataFrame:
     def flag(c: Column) -> Column:
         return F.struct(no_t.alias("t"), no_n.alias("n"), boolish(c).alias("b"))
 
-    dob = parse_dob(src["member_dob"])
+    df = df.withColumn("_dob", parse_dob(src["member_dob"]))
+    dob = F.col("_dob")
     months = F.floor(src["service_duration_months"].try_cast("double"))
     values = {
         "age": number(age_calendar(dob, as_of)), "gender": text(normal(src["gender"])), "marital_status": text(normal(src["marital_status"])),
@@ -151,7 +152,10 @@ def resolve_fields(df: DataFrame, as_of: Column) -> DataFrame:
         "member_dob": text(dob.cast("string")), "caste": text(normal(src["caste"])),
         "rc_ration_card_type_code": text(normal(src["rc_ration_card_type_code"])), "rc_is_hof": flag(src["rc_is_hof"]),
     }
-    return df.withColumn("vals", F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]))
+    # From entries and not create_map: the optimizer would inline a created map into every lookup
+    # and parse the same text again for each condition.
+    entries = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in values.items()])
+    return df.withColumn("vals", F.map_from_entries(entries)).drop("_dob")
 
 
 def _is_null(v: Column) -> Column:

@@ -135,22 +135,29 @@ def keyword_concepts(docs: DataFrame, covered: DataFrame | None = None) -> DataF
     else:
         rows = rows.withColumn("fields", F.array().cast("array<string>"))
     fields = F.coalesce("fields", F.array().cast("array<string>"))
-    found = []
-    for pos, (requirement, patterns, skip) in enumerate(KEYWORD_SPECS):
+
+    def concept_row(pos: Column, requirement: Column, quote: Column) -> Column:
+        concept = map_concept(requirement)
+        return F.struct(
+            pos.alias("pos"), requirement.alias("requirement"), quote.alias("evidence_quote"),
+            concept["field"].alias("suggested_input_field"), concept["input_type"].alias("input_type"),
+        )
+
+    def keyword_row(pos: int, requirement: str, patterns: list[str], skip: list[str]) -> Column:
         words = "|".join(patterns)
-        quote = F.get(F.filter("s", lambda x, w=words: has_word(x, w)), F.lit(0))
-        hit = (quote.isNotNull() | has_word(F.col("clean"), words)) & ~F.arrays_overlap(fields, F.array(*[F.lit(f) for f in skip]))
-        found.append(F.when(hit, F.struct(F.lit(pos).alias("pos"), F.lit(requirement).alias("requirement"), quote.alias("evidence_quote"))))
+        quote = F.get(F.filter("s", lambda x: has_word(x, words)), F.lit(0))
+        free = ~F.arrays_overlap(fields, F.array(*[F.lit(f) for f in skip]))
+        # a sentence is part of the text, so the text test alone decides
+        return F.when(free & has_word(F.col("clean"), words), concept_row(F.lit(pos), F.lit(requirement), quote))
+
+    found = [keyword_row(i, *spec) for i, spec in enumerate(KEYWORD_SPECS)]
     under = F.filter("s", lambda x: F.contains(F.lower(x), F.lit("covered under")))
-    sentences_under = F.transform(under, lambda x, i: F.struct((i + len(KEYWORD_SPECS)).alias("pos"), x.alias("requirement"), x.alias("evidence_quote")))
-    out = rows.select("doc_id", F.explode(F.concat(F.array_compact(F.array(*found)), sentences_under)).alias("c")).select("doc_id", "c.*")
-    concept = map_concept(F.col("requirement"))
-    out = out.select("*", concept["field"].alias("suggested_input_field"), concept["input_type"].alias("input_type"))
+    rows = rows.withColumn("u", F.transform(under, lambda x, i: concept_row(i + len(KEYWORD_SPECS), x, x)))
     # Of sentences that lead to the same input field only the first one stays; keyword rows all stay.
-    is_sentence = F.col("pos") >= len(KEYWORD_SPECS)
-    key = ["doc_id", "suggested_input_field"]
-    first = out.where(is_sentence).groupBy(*key).agg(F.min("pos").alias("first_pos"))
-    return out.join(first, key, "left").where(~is_sentence | (F.col("pos") == F.col("first_pos"))).drop("first_pos")
+    names = F.transform("u", lambda x: x["suggested_input_field"])
+    firsts = F.filter("u", lambda x, i: F.array_position(names, x["suggested_input_field"]) == i + 1)
+    every = F.concat(F.array_compact(F.array(*found)), firsts)
+    return rows.select("doc_id", F.inline(every))
 
 
 def focus_windows(docs: DataFrame, max_chars: int = 8000) -> DataFrame:

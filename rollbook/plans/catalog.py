@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dashboard_queries, eligibility_queries, graph_queries, registry_queries, rule_queries  # noqa: F401
+from . import dashboard_queries, document_queries, eligibility_queries, graph_queries, question_queries, registry_queries, rule_queries  # noqa: F401
 from .base import QUERIES, comparison_sql
 
 __all__ = ["QUERIES", "comparison_sql"]

@@ -63,10 +63,10 @@ KNOWN_SQL = "[" + ", ".join(f"'{k}'" for k in sorted(KNOWN)) + "]"
 @query("elg_4", f"""
 WITH h AS (SELECT doc_id, upper(clean) AS u, regexp_extract_all(upper(clean), '{p.CODE_IN_TEXT}') AS hits FROM policy_sentences),
 k AS (SELECT *, list_filter({KNOWN_SQL}, lambda k: contains(u, k)) AS known FROM h),
-scored AS (SELECT doc_id, code, min(i) AS i, count(*) FILTER (WHERE kind = 'hit') * 3 + count(*) FILTER (WHERE kind = 'known') AS score FROM (
+code_scores AS (SELECT doc_id, code, min(i) AS i, count(*) FILTER (WHERE kind = 'hit') * 3 + count(*) FILTER (WHERE kind = 'known') AS score FROM (
  SELECT doc_id, 'hit' AS kind, hits[i] AS code, i FROM k, unnest(range(1, len(hits) + 1)) AS r(i)
  UNION ALL SELECT doc_id, 'known', known[i], len(hits) + i FROM k, unnest(range(1, len(known) + 1)) AS r(i)) GROUP BY 1, 2),
-ranked AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY doc_id) AS n, lead(score) OVER w AS next FROM scored WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, i))
+ranked AS (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY doc_id) AS n, lead(score) OVER w AS next FROM code_scores WINDOW w AS (PARTITION BY doc_id ORDER BY score DESC, i))
 SELECT d.doc_id, r.code AS scheme_id, CASE WHEN r.code IS NULL THEN 'LOW' WHEN n = 1 OR score >= next + 2 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence, score,
  coalesce((SELECT string_agg(code, ',' ORDER BY rn) FROM ranked x WHERE x.doc_id = d.doc_id AND x.rn <= 10), '') AS candidates
 FROM policy_docs d LEFT JOIN ranked r ON r.doc_id = d.doc_id AND rn = 1""")
@@ -496,9 +496,10 @@ def judged(s):
 @query("elg_22", f"""SELECT rule_id, uid, row_no, pos, {CHECK_TEXT} AS check_text, passed FROM (SELECT *, row_number() OVER (PARTITION BY rule_id, uid, row_no ORDER BY c0.pos) - 1 AS p2 FROM elig_checks c0 WHERE NOT missing)""".replace("row_no, pos,", "row_no, p2 AS pos,"))
 def _(s):
     rows = j.evaluate_conditions(j.resolve_fields(j.with_manual(scheme_base(s), fx.manual(s)), s.as_of))
-    x = rows.select("rule_id", "uid", "row_no", F.posexplode("checks").alias("pos", "x"))
-    text = F.concat("x.field", F.lit(" "), "x.operator", F.lit(" "), F.coalesce("x.expected", F.lit("null")), F.lit(" (actual="), "x.actual", F.lit(")"))
-    return x.select("rule_id", "uid", "row_no", "pos", text.alias("check_text"), F.col("x.passed").alias("passed"))
+    lines = F.transform("checks", lambda x, i: F.struct(
+        i.alias("pos"), F.concat(x["field"], F.lit(" "), x["operator"], F.lit(" "), F.coalesce(x["expected"], F.lit("null")), F.lit(" (actual="), x["actual"], F.lit(")")).alias("check_text"),
+        x["passed"].alias("passed")))
+    return rows.select("rule_id", "uid", "row_no", F.inline(lines))
 
 
 @query("elg_23", "SELECT rule_id, uid, row_no, open_fields, missing_fields FROM elig_decisions")
