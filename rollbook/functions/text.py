@@ -71,3 +71,12 @@ def contains_join(texts: DataFrame, text: str, needles: DataFrame, needle: str)
     )
     met = grams.join(key, "_gram").where(F.contains("_low", "_want"))
     return met.select(F.col("_text").alias(text), F.col("_needle").alias(needle)).distinct()
+
+
+def computed_once(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """Adds columns that are evaluated once per row.
+
+    A plain projection lets the optimizer copy the expression into every filter and join key that
+    uses the column; behind a generator of one row it stays where it is.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))

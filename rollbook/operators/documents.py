@@ -57,6 +57,7 @@ def chunk_array(els: Column, max_chars: int = MAX_CHARS, overlap: int = OVERLAP)
     """
     step = max_chars - overlap
     none_s, none_i = F.lit(None).cast("string"), F.lit(None).cast("int")
+    nothing = F.expr(f"cast(array() AS {CHUNK})")
 
     def state(buf: Column, kind: Column, page: Column, out: Column) -> Column:
         return F.struct(buf.alias("buf"), kind.alias("kind"), page.alias("page"), out.alias("out"))
@@ -64,31 +65,33 @@ def chunk_array(els: Column, max_chars: int = MAX_CHARS, overlap: int = OVERLAP)
     def chunk(text: Column, kind: Column, page: Column) -> Column:
         return F.array(F.struct(text.alias("text"), kind.alias("element_type"), page.cast("int").alias("page")))
 
+    # What an element gives on its own is worked out once, before the fold: its full slices and
+    # the rest that goes on into the buffer.
+    def sliced(e: Column) -> Column:
+        text, kind, page = e["text"], e["kind"], e["page"]
+        cuts = F.when(kind.isin(STRUCTURAL), 0).otherwise(F.greatest(F.lit(0), F.ceil((F.length(text) - max_chars) / step).cast("int")))
+        one = lambda i: F.struct(strip(F.substr(text, i * step + 1, F.lit(max_chars))).alias("text"), kind.alias("element_type"), page.alias("page"))
+        slices = F.when(cuts > 0, F.transform(F.sequence(F.lit(0), F.greatest(cuts - 1, F.lit(0))), one)).otherwise(nothing)
+        return F.struct(
+            kind.alias("kind"), page.alias("page"), slices.alias("slices"), F.substr(text, cuts * step + 1, F.length(text) + 1).alias("rest"), (cuts > 0).alias("cut"))
+
+    clean = F.transform(els, lambda e: F.struct(
+        strip(F.coalesce(e["text"], F.lit(""))).alias("text"), F.coalesce(e["type"], F.lit("paragraph")).alias("kind"), e["page"].cast("int").alias("page")))
+    ready = F.transform(clean, sliced)
+
     def add(acc: Column, e: Column) -> Column:
-        text, kind, page = strip(F.coalesce(e["text"], F.lit(""))), F.coalesce(e["type"], F.lit("paragraph")), e["page"]
-        nothing = F.array().cast(CHUNK)
+        kind, page, rest, cut = e["kind"], e["page"], e["rest"], e["cut"]
         flushed = F.when(acc["buf"] != "", chunk(strip(acc["buf"]), acc["kind"], acc["page"])).otherwise(nothing)
-        whole = state(F.lit(""), none_s, none_i, F.concat(acc["out"], flushed, chunk(text, kind, page)))
-        # buffer data of the first element, unless a cut or an overflow starts a new buffer
-        has_meta = acc["kind"].isNotNull()
-        k0, p0 = F.when(has_meta, acc["kind"]).otherwise(kind), F.when(has_meta, acc["page"]).otherwise(page)
-        cuts = F.greatest(F.lit(0), F.ceil((F.length(text) - max_chars) / step).cast("int"))
-        slices = F.transform(
-            F.sequence(F.lit(0), F.greatest(cuts - 1, F.lit(0))),
-            lambda i: F.struct(strip(F.substr(text, i * step + 1, F.lit(max_chars))).alias("text"), kind.alias("element_type"), page.cast("int").alias("page")),
-        )
-        cut = cuts > 0
-        buf = F.when(cut, "").otherwise(acc["buf"])
-        rest = F.when(cut, F.substr(text, cuts * step + 1, F.length(text) + 1)).otherwise(text)
-        kind1, page1 = F.when(cut, kind).otherwise(k0), F.when(cut, page).otherwise(p0)
-        out = F.when(cut, F.concat(acc["out"], F.when(acc["buf"] != "", chunk(strip(acc["buf"]), k0, p0)).otherwise(nothing), slices)).otherwise(acc["out"])
-        full = F.length(buf) + F.length(rest) > max_chars
-        over = full & (buf != "")
-        tail = F.substr(buf, F.greatest(F.length(buf) - overlap + 1, F.lit(1)), F.lit(overlap))
-        new_buf = F.when(over, F.concat(tail, F.lit("\n"), rest)).when(full, rest).otherwise(F.concat(buf, F.lit("\n"), rest))
-        new_out = F.when(over, F.concat(out, chunk(strip(buf), kind1, page1))).otherwise(out)
-        text_state = state(new_buf, F.when(over, kind).otherwise(kind1), F.when(over, page).otherwise(page1), new_out)
-        return F.when(kind.isin(STRUCTURAL), whole).otherwise(text_state)
+        whole = state(F.lit(""), none_s, none_i, F.concat(acc["out"], flushed, chunk(rest, kind, page)))
+        # a cut element writes the buffer and its slices and leaves its rest as the new buffer
+        after_cut = state(F.concat(F.lit("\n"), rest), kind, page, F.concat(acc["out"], flushed, e["slices"]))
+        # the buffer keeps the data of its first element
+        new = acc["kind"].isNull()
+        joined = state(F.concat(acc["buf"], F.lit("\n"), rest), F.when(new, kind).otherwise(acc["kind"]), F.when(new, page).otherwise(acc["page"]), acc["out"])
+        tail = F.substr(acc["buf"], F.greatest(F.length(acc["buf"]) - overlap + 1, F.lit(1)), F.lit(overlap))
+        over = state(F.concat(tail, F.lit("\n"), rest), kind, page, F.concat(acc["out"], flushed))
+        full = F.length(acc["buf"]) + F.length(rest) > max_chars
+        return F.when(kind.isin(STRUCTURAL), whole).when(cut, after_cut).when(full & (acc["buf"] != ""), over).otherwise(joined)
 
     start = state(F.lit(""), none_s, none_i, F.array().cast(CHUNK))
 
@@ -96,7 +99,7 @@ def chunk_array(els: Column, max_chars: int = MAX_CHARS, overlap: int = OVERLAP)
         last = strip(acc["buf"])
         return F.when(last != "", F.concat(acc["out"], chunk(last, acc["kind"], acc["page"]))).otherwise(acc["out"])
 
-    return F.aggregate(els, start, add, finish)
+    return F.aggregate(ready, start, add, finish)
 
 
 def chunks(docs: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:

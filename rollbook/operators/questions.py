@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.ranking import top_per_group
-from ..functions.text import contains_join
+from ..functions.text import computed_once, contains_join
 from .concepts import words
 from .policy_text import EDGE
 
@@ -112,9 +112,13 @@ def question_intents(df: DataFrame, col: str = "question") -> DataFrame:
     )
 
 
-def _clean_candidate(raw: Column) -> Column:
+def _candidate_words(raw: Column) -> Column:
     text = F.btrim(F.regexp_replace(raw, r"\s+", " "), F.lit(" ?.,"))
-    parts = F.filter(F.split(text, " "), lambda p: p != "")
+    return F.filter(F.split(text, " "), lambda p: p != "")
+
+
+def _without_noise(parts: Column) -> Column:
+    """The words from the first to the last one that is no noise."""
     noise = F.transform(parts, lambda p: F.array_contains(words(TRAILING_NOISE), F.lower(p)))
     first = F.array_position(noise, F.lit(False)).cast("int")
     last = F.size(noise) - F.array_position(F.reverse(noise), F.lit(False)).cast("int") + 1
@@ -129,22 +133,23 @@ def _valid(name: Column) -> Column:
 def question_names(df: DataFrame, col: str = "question") -> DataFrame:
     """Adds ``person_name``: quoted, capital words, phrases, then a pair of uncommon words."""
     rows = df.withColumn("_q", F.trim(F.col(col)))
-    caps = F.regexp_extract("_q", CAPITALS, 1)
-    names = {"_caps": F.when(caps != "", _clean_candidate(caps))}
-    for i, pattern in enumerate(NAME_PHRASES):
-        got = F.regexp_extract("_q", pattern, 1)
-        names[f"_p{i}"] = F.when(got != "", _clean_candidate(got))
-    rows = rows.withColumns(names)
+    patterns = [CAPITALS, *NAME_PHRASES]
+    rows = computed_once(rows, {f"_g{i}": F.regexp_extract("_q", p, 1) for i, p in enumerate(patterns)})
+    # words of each candidate, then the first and last one that is no noise
+    parts = {f"_w{i}": _candidate_words(F.col(f"_g{i}")) for i in range(len(patterns))}
+    rows = computed_once(rows, parts)
+    rows = computed_once(rows, {f"_c{i}": _without_noise(F.col(f"_w{i}")) for i in range(len(patterns))})
     uncommon = F.filter(F.regexp_extract_all("_q", F.lit("[a-zA-Z]+"), F.lit(0)), lambda w: (F.length(w) >= 3) & ~F.array_contains(words(COMMON_WORDS), F.lower(w)))
-    rows = rows.withColumn("_pair", F.when(F.size(uncommon) >= 2, F.array_join(F.slice(uncommon, 1, 2), " ")))
-    picks = [F.when(_valid(F.col("_caps")), F.col("_caps"))]
-    for i in range(len(NAME_PHRASES)):
-        c = F.col(f"_p{i}")
+    rows = computed_once(rows, {"_pair": F.array_join(F.slice(uncommon, 1, 2), " "), "_uncommon": F.size(uncommon)})
+    picks = [F.when(_valid(F.col("_c0")), F.col("_c0"))]
+    for i in range(1, len(patterns)):
+        c = F.col(f"_c{i}")
         picks.append(F.when(_valid(c) & ~F.lower(c).isin(STOP_NAMES) & (F.length(c) >= 4), c))
-    picks.append(F.when(_valid(F.col("_pair")) & (F.length("_pair") >= 4), F.col("_pair")))
+    picks.append(F.when((F.col("_uncommon") >= 2) & _valid(F.col("_pair")) & (F.length("_pair") >= 4), F.col("_pair")))
     quoted = F.regexp_extract("_q", QUOTED, 1)
     name = F.when(quoted != "", F.nullif(F.trim(quoted), F.lit(""))).otherwise(F.coalesce(*picks))
-    return rows.withColumn("person_name", name).drop("_q", "_caps", "_pair", *[f"_p{i}" for i in range(len(NAME_PHRASES))])
+    helpers = [f"{h}{i}" for h in ("_g", "_w", "_c") for i in range(len(patterns))]
+    return computed_once(rows, {"person_name": name}).drop("_q", "_pair", "_uncommon", *helpers)
 
 
 def question_schemes(df: DataFrame, col: str = "question") -> DataFrame:
