@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.ranking import first_pairs, pair_count, top_per_group
 from ..functions.text import contains_join
 from .flags import union
+from .quality import one_row
 from .rules import first_gp
 from .scores import half_up, risk_tier
 
@@ -430,10 +431,10 @@ def rules_ef(e1: DataFrame, f1: DataFrame) -> DataFrame:
 
 
 def integrity(quality: DataFrame, citizens: DataFrame) -> DataFrame:
-    issues = quality.agg(F.sum("issue_count").alias("total_issues")).withColumn("_one", F.lit(1))
-    people = citizens.agg(F.count("*").alias("total_citizens")).withColumn("_one", F.lit(1))
+    issues = quality.agg(F.sum("issue_count").alias("total_issues"))
+    people = citizens.agg(F.count("*").alias("total_citizens"))
     raw = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.round((1.0 - F.col("total_issues") / F.col("total_citizens")) * 100.0, 1)))
-    out = issues.join(people, "_one").drop("_one").withColumn("i", F.when(F.col("total_citizens") > 0, raw).otherwise(0.0))
+    out = one_row(issues, people).withColumn("i", F.when(F.col("total_citizens") > 0, raw).otherwise(0.0))
     out = out.withColumn("integrity_index", F.when((F.col("total_issues") > 0) & (F.col("i") >= 100.0), 99.9).otherwise(F.col("i"))).drop("i")
     return out.withColumn("health", F.when(F.col("integrity_index") >= 95, "GOOD").when(F.col("integrity_index") >= 85, "FAIR").otherwise("POOR"))
 

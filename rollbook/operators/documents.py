@@ -106,7 +106,9 @@ def chunks(docs: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP)
     """Chunk rows of documents with an ``elements`` array (struct of type, text, page)."""
     rows = docs.select("doc_id", F.col("elements").cast(f"array<{ELEMENT}>").alias("els"))
     out = rows.select("doc_id", chunk_array(F.col("els"), max_chars, overlap).alias("c"))
-    return out.select("doc_id", F.posexplode("c").alias("chunk_index", "x")).select("doc_id", "chunk_index", "x.text", "x.element_type", "x.page")
+    # inline, as field access behind an explode would run the fold once per field
+    numbered = F.transform("c", lambda x, i: F.struct(i.alias("chunk_index"), x["text"].alias("text"), x["element_type"].alias("element_type"), x["page"].alias("page")))
+    return out.select("doc_id", F.inline(numbered))
 
 
 def triplet_windows(chunk_rows: DataFrame) -> DataFrame:

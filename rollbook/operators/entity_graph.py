@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ranking import top_per_group
+from ..functions.text import computed_once
 
 REPLY = (
     "struct<entities:array<struct<entity_name:string,entity_type:string>>,"
@@ -26,22 +27,25 @@ def repaired(c: Column) -> Column:
 
 def parse_triplets(replies: DataFrame) -> DataFrame:
     """Triplets of model replies (document_id, reply): outermost braces, repaired when broken."""
-    inner = F.regexp_extract("reply", r"(?s)\{.*\}", 0)
-    fixed = repaired(inner)
-    good = F.when(F.try_parse_json(inner).isNotNull(), inner).when(F.try_parse_json(fixed).isNotNull(), fixed)
-    rows = replies.select("document_id", good.alias("j")).where("j <> ''").select("document_id", F.from_json("j", REPLY).alias("r"))
-    types = F.coalesce("r.entities", F.array().cast("array<struct<entity_name:string,entity_type:string>>"))
-    rows = rows.select("document_id", types.alias("types"), F.posexplode("r.relationships").alias("pos", "x"))
-
-    def type_of(name: Column) -> Column:
-        same = F.filter("types", lambda e: F.lower(e["entity_name"]) == F.lower(name))
-        return F.coalesce(F.get(same, F.size(same) - 1)["entity_type"], F.lit("Entity"))
-
-    rows = rows.where("x.source_entity <> '' AND x.target_entity <> ''")
-    return rows.select(
-        "document_id", "pos", F.col("x.source_entity").alias("source"), type_of(F.col("x.source_entity")).alias("source_type"),
-        F.col("x.target_entity").alias("target"), type_of(F.col("x.target_entity")).alias("target_type"),
-        F.coalesce("x.relation", F.lit("RELATED")).alias("relation"), F.coalesce("x.relationship_description", F.lit("")).alias("description"),
+    rows = computed_once(replies.select("document_id", "reply"), {"inner": F.regexp_extract("reply", r"(?s)\{.*\}", 0)})
+    rows = computed_once(rows, {"whole": F.try_parse_json("inner").isNotNull()})
+    rows = computed_once(rows, {"fixed": F.when(F.col("whole"), F.col("inner")).otherwise(repaired(F.col("inner")))})
+    good = F.when(F.col("whole") | F.try_parse_json("fixed").isNotNull(), F.col("fixed"))
+    rows = computed_once(rows, {"j": good}).where("j <> ''")
+    rows = computed_once(rows.select("document_id", "j"), {"r": F.from_json("j", REPLY)})
+    # Types join on (document, name): a lookup inside the row would scan all entities per relation.
+    named = rows.select("document_id", F.posexplode("r.entities").alias("n", "e")).select("document_id", "n", F.lower("e.entity_name").alias("name"), "e.entity_type")
+    types = named.groupBy("document_id", "name").agg(F.max_by(F.coalesce("entity_type", F.lit("Entity")), "n").alias("type"))
+    rels = F.transform("r.relationships", lambda x, i: F.struct(
+        i.alias("pos"), x["source_entity"].alias("source"), x["target_entity"].alias("target"),
+        F.coalesce(x["relation"], F.lit("RELATED")).alias("relation"), F.coalesce(x["relationship_description"], F.lit("")).alias("description")))
+    out = rows.select("document_id", F.inline(rels)).where("source <> '' AND target <> ''")
+    for end in ("source", "target"):
+        kinds = types.withColumnsRenamed({"name": "_key", "type": f"{end}_type"})
+        out = out.withColumn("_key", F.lower(end)).join(kinds, ["document_id", "_key"], "left").drop("_key")
+    return out.select(
+        "document_id", "pos", "source", F.coalesce("source_type", F.lit("Entity")).alias("source_type"),
+        "target", F.coalesce("target_type", F.lit("Entity")).alias("target_type"), "relation", "description",
     )
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import computed_once
 from .concepts import map_concept
 
 # White space as the policy parser sees it, Unicode blanks included.
@@ -44,9 +48,21 @@ def clean_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, BLANK, " "))
 
 
-def has_word(c: Column, words: str) -> Column:
-    """Whether any of the words (a pattern) stands between non-word characters."""
-    return c.rlike(rf"(?i)(?:^|{EDGE})(?:{words})(?:{EDGE}|$)")
+def has_word(c: Column, words: str, low: Column | None = None) -> Column:
+    """Whether any of the words (a pattern) stands between non-word characters.
+
+    With ``low``, the lower-case text, a plain substring search for the opening letters of the
+    words comes first, so texts without them never reach the regular expression.
+    """
+    found = c.rlike(rf"(?i)(?:^|{EDGE})(?:{words})(?:{EDGE}|$)")
+    if low is None:
+        return found
+    openings = sorted({re.match("[a-z ]+", w).group().strip() for w in re.split(r"\|(?![^(]*\))", words)})
+    return _any_in(low, openings) & found
+
+
+def _any_in(low: Column, parts: list[str]) -> Column:
+    return reduce(Column.__or__, [F.contains(low, F.lit(x)) for x in parts])
 
 
 def sentences(c: Column) -> Column:
@@ -105,20 +121,22 @@ def _number(c: Column, pattern: str, group: int) -> Column:
 
 def extract_conditions(docs: DataFrame) -> DataFrame:
     """Flat conditions of a policy text (columns doc_id, scheme_id, text)."""
-    text = F.col("clean")
-    ranged = F.regexp_extract(text, AGE_RANGE, 1) != ""
-    genders = F.array_sort(F.array_compact(F.array(*[F.when(has_word(text, g), g.upper()) for g in GENDERS])))
-    marital = F.array_compact(F.array(*[F.when(has_word(text, w), v) for w, v in MARITAL]))
-    income = F.regexp_extract(text, INCOME, 1)
+    text, low = F.col("clean"), F.col("low")
+    genders = F.array_sort(F.array_compact(F.array(*[F.when(has_word(text, g, low), g.upper()) for g in GENDERS])))
+    marital = F.array_compact(F.array(*[F.when(has_word(text, w, low), v) for w, v in MARITAL]))
+    income = F.when(F.contains(low, F.lit("income")), F.nullif(F.regexp_extract(text, INCOME, 1), F.lit("")))
     codes = F.array_sort(F.array_distinct(F.regexp_extract_all(F.upper(text), F.lit(CODE_IN_TEXT), F.lit(0))))
     rows = docs.withColumn("clean", clean_text(F.col("text")))
+    rows = computed_once(rows, {"low": F.lower("clean")})
+    has_age = F.contains(low, F.lit("age"))
+    rows = computed_once(rows, {"income": income, "ranged": has_age & (F.regexp_extract(text, AGE_RANGE, 1) != "")})
     return rows.select(
         "doc_id", "scheme_id",
-        F.when(ranged, _number(text, AGE_RANGE, 1)).otherwise(_number(text, AGE_MIN, 1)).alias("age_min"),
-        F.when(ranged, _number(text, AGE_RANGE, 2)).otherwise(_number(text, AGE_MAX, 1)).alias("age_max"),
+        F.when(F.col("ranged"), _number(text, AGE_RANGE, 1)).when(has_age, _number(text, AGE_MIN, 1)).alias("age_min"),
+        F.when(F.col("ranged"), _number(text, AGE_RANGE, 2)).when(has_age, _number(text, AGE_MAX, 1)).alias("age_max"),
         genders.alias("gender_in"), marital.alias("marital_status_in"),
-        F.when(income != "", parse_amount(income)).alias("income_max"),
-        has_word(text, DISABILITY).alias("requires_disability"),
+        parse_amount(F.col("income")).alias("income_max"),
+        has_word(text, DISABILITY, low).alias("requires_disability"),
         F.array_remove(codes, F.upper(F.coalesce("scheme_id", F.lit("")))).alias("conflict_scheme_ids"),
     )
 
@@ -134,6 +152,7 @@ def keyword_concepts(docs: DataFrame, covered: DataFrame | None = None) -> DataF
         rows = rows.join(covered, "doc_id", "left")
     else:
         rows = rows.withColumn("fields", F.array().cast("array<string>"))
+    rows = computed_once(rows, {"low": F.lower("clean")})
     fields = F.coalesce("fields", F.array().cast("array<string>"))
 
     def concept_row(pos: Column, requirement: Column, quote: Column) -> Column:
@@ -148,7 +167,7 @@ def keyword_concepts(docs: DataFrame, covered: DataFrame | None = None) -> DataF
         quote = F.get(F.filter("s", lambda x: has_word(x, words)), F.lit(0))
         free = ~F.arrays_overlap(fields, F.array(*[F.lit(f) for f in skip]))
         # a sentence is part of the text, so the text test alone decides
-        return F.when(free & has_word(F.col("clean"), words), concept_row(F.lit(pos), F.lit(requirement), quote))
+        return F.when(free & has_word(F.col("clean"), words, F.col("low")), concept_row(F.lit(pos), F.lit(requirement), quote))
 
     found = [keyword_row(i, *spec) for i, spec in enumerate(KEYWORD_SPECS)]
     under = F.filter("s", lambda x: F.contains(F.lower(x), F.lit("covered under")))

@@ -16,9 +16,9 @@ def in_district(df: DataFrame, district: int | None) -> DataFrame:
 
 
 def one_row(*parts: DataFrame) -> DataFrame:
-    """Single-row aggregates side by side."""
-    tagged = [p.withColumn("_one", F.lit(1)) for p in parts]
-    return reduce(lambda a, b: a.join(b, "_one"), tagged).drop("_one")
+    """Single-row aggregates with different columns side by side, as a union and no join."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
 
 
 def total(df: DataFrame, name: str) -> DataFrame:

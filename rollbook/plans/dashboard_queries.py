@@ -391,9 +391,9 @@ def _(s):
         "transaction_timestamp", "transaction_ref_no")
 
 
-@query("dsh_29", "SELECT fullname, lgd_district_name, lgd_block_name, scheme_beneficiary_id FROM profile_raw WHERE fullname ILIKE '%steel%' ORDER BY 1, 4, 3 LIMIT 10")
+@query("dsh_29", "SELECT fullname, lgd_district_name, lgd_block_name, scheme_beneficiary_id FROM profile_raw WHERE fullname ILIKE '%bolt%' ORDER BY 1, 4, 3 LIMIT 10")
 def _(s):
-    return d.search_citizens(s.profile_raw, "steel")
+    return d.search_citizens(s.profile_raw, "bolt")
 
 
 def _share(edges: str, hub: str, name: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import computed_once
 from ..operators import documents as d
 from ..operators import entity_graph as eg
 from ..sources import tables as t
@@ -74,9 +75,12 @@ FROM caps, unnest(range(1, len(w))) AS r(i)""")
 
 
 def triplet_structs(s):
-    words = raw_docs(s).select(F.col("doc_id").alias("document_id"), F.regexp_extract_all("text", F.lit("[A-Z][a-z]{2,}"), F.lit(0)).alias("w"))
-    pairs = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.struct(i.alias("pos"), x.alias("source"), F.get("w", i + 1).alias("target")))
-    return words.select("document_id", "w", pairs.alias("p"))
+    docs = raw_docs(s).select(F.col("doc_id").alias("document_id"), "text")
+    found = computed_once(docs, {"w": F.regexp_extract_all("text", F.lit("[A-Z][a-z]{2,}"), F.lit(0))}).drop("text")
+    following = F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0)))
+    pairs = F.transform(F.arrays_zip(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))).alias("a"), following.alias("b")),
+                        lambda x, i: F.struct(i.alias("pos"), x["a"].alias("source"), x["b"].alias("target")))
+    return computed_once(found, {"p": pairs})
 
 
 def triplets(s):
@@ -96,12 +100,14 @@ def replies(s):
     rels = F.transform("p", lambda x: F.struct(
         x["source"].alias("source_entity"), x["target"].alias("target_entity"), F.lit("NEAR").alias("relation"),
         F.concat(F.lit("position "), x["pos"].cast("string")).alias("relationship_description")))
-    body = F.to_json(F.struct(entities.alias("entities"), rels.alias("relationships")))
+    whole = F.to_json(F.struct(entities.alias("entities"), rels.alias("relationships")))
+    body = F.col("body")
     fenced = F.concat(F.lit("Here is the result:\n```json\n"), body, F.lit("\n```\nDone."))
     trailing = F.regexp_replace(body, r"\]\}$", ", ] , }")
     missing = F.regexp_replace(body, r"\},\{", "} {")
     n = F.col("document_id")
-    return triplet_structs(s).select("document_id", F.when(n % 4 == 0, body).when(n % 4 == 1, fenced).when(n % 4 == 2, trailing).otherwise(missing).alias("reply"))
+    rows = computed_once(triplet_structs(s), {"body": whole})
+    return rows.select("document_id", F.when(n % 4 == 0, body).when(n % 4 == 1, fenced).when(n % 4 == 2, trailing).otherwise(missing).alias("reply"))
 
 
 @query("doc_4", "SELECT document_id, pos, source, source_type, target, target_type, relation, description FROM triplets")
