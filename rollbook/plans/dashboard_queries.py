@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import dashboards as d
 from ..operators import rules as r
 from ..sources import tables as t
-from .base import big, num, query, ts
-from .oracle import VIEWS, view
+from .base import num, query, ts
+from .oracle import view
 from .rule_queries import raw_people
 
 REGISTRY_TOTAL = 2234522

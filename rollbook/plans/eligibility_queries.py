@@ -10,7 +10,7 @@ from ..operators import manifests as m
 from ..operators import policy_text as p
 from ..operators.concepts import BOOLEAN_SIGNALS, CONCEPT_FIELDS, COVER_STOP, FIELD_TYPES, MANUAL_FIELD_TYPES, PHRASE_STOP, map_concept
 from . import eligibility_fixture as fx
-from .base import big, num, query
+from .base import num, query
 from .oracle import view
 from ..sources.tables import SCHEME_NAMES
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph as g
 from ..operators import quality as qa
 from ..operators import registry as reg
 from ..functions.ranking import top_per_group

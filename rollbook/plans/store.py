@@ -6,7 +6,6 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.dates import age_years, iso_date
 from ..operators import flags as fl
 from ..operators import graph as g
 from ..operators import registry as reg

@@ -1,7 +1,6 @@
 import random
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from rollbook.operators import documents as d
 from rollbook.operators import entity_graph as eg
