@@ -41,10 +41,11 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     before = whole.rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
     level = (F.sum("source_size").over(every) * share - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / (F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(before), F.lit(0.0)))
-    w = w.withColumn("_level", level)
-    w = w.withColumn("_final", F.min(F.when(F.col("_ratio") > F.col("_level"), F.col("_level"))).over(every))
-    target = F.when(F.col("_ratio") > F.col("_level"), F.col("_w") * F.col("_final")).otherwise(F.col("_cap"))
-    return w.select("source", "source_size", F.least(target, F.col("_cap")).alias("target"))
+    w = w.withColumn("_level", level).withColumn("_at", F.row_number().over(whole))
+    # the level holds from the first source that stays below its cap
+    w = w.withColumn("_final", F.min(F.when(F.col("_ratio") > F.col("_level"), F.struct("_at", "_level"))).over(every)["_level"])
+    target = F.least(F.col("_cap"), F.coalesce(F.col("_w") * F.col("_final"), F.col("_cap")))
+    return w.select("source", "source_size", target.alias("target"))
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_WORDS) -> np.ndarray:
