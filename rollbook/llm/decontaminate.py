@@ -43,24 +43,32 @@ def item_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text"
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", n: int = WINDOW) -> DataFrame:
-    """One row per hit document: _key, _hash (of the text), hit (sorted word indices), items (sorted strings)."""
+    """One row per distinct (key, text): _key, _hash (of the text), n_words, n_rows, hit (sorted word indices), items (sorted strings)."""
     sought = item_windows(benchmark, item, "text", n)
     size = sought.agg(F.sum(F.octet_length("_window") + 64).alias("b"), F.collect_set("_len").alias("lens")).first()
-    if size["b"] is not None and size["b"] <= BROADCAST_BYTES:
+    mark = benchmark.sparkSession.range(1).select(F.lit(None).cast(sought.schema["_item"].dataType).alias("_item"), F.lit(-1).alias("_len"), F.lit("").alias("_window"))
+    sought = sought.unionByName(mark)
+    if (size["b"] or 0) <= BROADCAST_BYTES:
         sought = F.broadcast(sought)
     lens = sorted(size["lens"] or [n])
     rows = computed_once(
         docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")),
         {"_words": words_of(F.col("_text")), "_hash": text_hash(F.col("_text"))},
     )
-    made = _windows(F.col("_words"), lens[0]) if len(lens) == 1 else F.flatten(F.array(*[_windows(F.col("_words"), x) for x in lens]))
-    seen = rows.select("_key", "_hash", F.inline(made))
-    met = seen.join(sought, (F.col("window") == F.col("_window")) & (F.col("len") == F.col("_len")))
+    made = F.flatten(F.array(*[_windows(F.col("_words"), x) for x in lens]))
+    # One row more per document, the empty window, brings its word count through the same join.
+    own = F.array(F.struct(F.lit(-1).alias("at"), F.size("_words").alias("len"), F.lit("").alias("window")))
+    seen = rows.select("_key", "_hash", F.inline(F.concat(own, made)))
+    met = seen.join(sought, F.col("window") == F.col("_window")).where((F.col("len") == F.col("_len")) | (F.col("window") == ""))
+    is_hit = F.col("window") != ""
     spans = met.groupBy("_key", "_hash").agg(
-        F.collect_set(F.struct("at", "len")).alias("_spans"), F.array_sort(F.collect_set(F.col("_item").cast("string"))).alias("items")
+        F.max(F.when(~is_hit, F.col("len"))).cast("bigint").alias("n_words"),
+        F.count(F.when(~is_hit, 1)).alias("n_rows"),
+        F.collect_set(F.when(is_hit, F.struct("at", "len"))).alias("_spans"),
+        F.array_sort(F.collect_set(F.when(is_hit, F.col("_item").cast("string")))).alias("items"),
     )
     covered = F.flatten(F.transform("_spans", lambda s: F.sequence(s["at"], s["at"] + s["len"] - 1)))
-    return spans.select("_key", "_hash", F.array_sort(F.array_distinct(covered)).alias("hit"), "items")
+    return spans.select("_key", "_hash", "n_words", "n_rows", F.array_sort(F.array_distinct(covered)).alias("hit"), "items")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", n: int = WINDOW) -> DataFrame:
@@ -69,16 +77,11 @@ def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     Null or empty text has no words. Repeated rows each get the same result, also with a null key.
     Items with a null id count as hits but not in ``items``. Other columns are not carried.
     """
-    hits = find_hits(docs, benchmark, key, text, n=n)
-    own = docs.select(F.col(key), text_hash(F.col(text)).alias("_own"), F.size(words_of(F.col(text))).cast("bigint").alias("n_words"))
-    both = own.join(hits, same(F.col(key), F.col("_key")) & (F.col("_own") == F.col("_hash")), "left")
-    return both.select(
-        F.col(key), "n_words",
-        F.coalesce(F.size("hit"), F.lit(0)).cast("bigint").alias("n_hit"),
-        F.coalesce(F.size("items"), F.lit(0)).cast("bigint").alias("n_items"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        F.col("hit").isNotNull().alias("contaminated"),
-    )
+    found = find_hits(docs, benchmark, key, text, n=n)
+    return found.select(
+        F.col("_key").alias(key), "n_words", F.size("hit").cast("bigint").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items", (F.size("hit") > 0).alias("contaminated"),
+        F.explode(F.array_repeat(F.lit(1), F.col("n_rows").cast("int"))).alias("_copy"),
+    ).drop("_copy")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", n: int = WINDOW, cut: bool = False) -> DataFrame:
@@ -86,7 +89,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
     All columns are kept as they are; ``cut`` replaces only the text of hit rows.
     """
-    hits = find_hits(docs, benchmark, key, text, n=n)
+    hits = find_hits(docs, benchmark, key, text, n=n).where(F.size("hit") > 0)
     on = same(F.col(f"_d.{key}"), F.col("_h._key")) & (text_hash(F.col(f"_d.{text}")) == F.col("_h._hash"))
     if not cut:
         return docs.alias("_d").join(hits.alias("_h"), on, "left_anti")
