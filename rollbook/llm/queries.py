@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, mixing, token_files
+from . import chat, decontaminate, html_text, language, mixing, token_files
 from .common import scratch, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,15 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token_files")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizer())
     return token_files.digest(token_files.read_tokens(spark, path))
+
+
+@query("op1_html_text")
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages, html_text.learn(pages))
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.identify(docs.select("doc_id", "text"), language.train(docs)).select("doc_id", "held_out", "lang_pred", "score")

@@ -15,6 +15,8 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,57 +31,113 @@ MAX_BITS = 16
 STEP = 256
 #: A block is closed after the document that reaches this many ids.
 BLOCK_IDS = 1 << 16
-#: Distinct pieces of text kept per task to save repeated encoding; emptied when full.
-CACHE = 400_000
+#: Distinct pieces of text that a Python worker keeps, to encode each once; later ones are kept for a batch only.
+CACHE = 250_000
+#: Pieces that go to the tokenizer as one string.
+JOINED = 500
 
 # The white space characters of the tokenizer's splitting pattern.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+RUN_OF_SPACE = re.compile(f"[{SPACE}][ \\n]")
 
 BLOCKS = "block long, doc_ids array<long>, n_tokens array<long>, ids binary"
 CODED = "part int, block long, doc_ids array<long>, n_tokens array<long>, n_codes long, checkpoints array<long>, bits binary"
 
 
+def pieces(text: str) -> list[str]:
+    """White space and the run after it, in order: no split of the tokenizer crosses from a run into
+    white space, so the ids of a text are those of its pieces one after the other."""
+    if not text:
+        return []
+    if RUN_OF_SPACE.search(text):
+        return PIECE.findall(text)
+    parts = text.replace("\n", " \n").split(" ")
+    first = parts[0]
+    out = [x if x[:1] == "\n" else " " + x for x in parts]
+    if first:
+        out[0] = first
+    else:
+        del out[0]
+    return out
+
+
 class Encoder:
-    """Ids of texts. A piece is white space and the run after it: no split of the tokenizer crosses
-    from a run into white space, so a text's ids are those of its pieces, each encoded once."""
+    """Ids of texts, each distinct piece encoded once per batch or, for those seen first, per worker."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.bytes[list(vocab.values())] = [len(x) for x in vocab]  # one character stands for one byte
         self.known: dict[str, int] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.start = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def encode(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, ids per piece). Pieces that start with white space and end without are encoded
+        many in one string; the byte lengths of the ids tell where each ends."""
+        fits = [p[0] in " \n" and not p[-1].isspace() for p in new]
+        inner = [i for i, f in enumerate(fits) if f]
+        alone = [i for i, f in enumerate(fits) if not f]
+        groups = [inner[lo : lo + JOINED] for lo in range(0, len(inner), JOINED)] + [[i] for i in alone]
+        coded = self.tok.encode_batch_fast(["".join([new[i] for i in g]) for g in groups], add_special_tokens=False)
+        counts, found = np.zeros(len(new), np.int64), []
+        for g, e in zip(groups, coded):
+            ids = np.array(e.ids, np.uint32)
+            found.append(ids)
+            if len(g) == 1:
+                counts[g[0]] = len(ids)
+            else:
+                ends = np.cumsum([len(new[i]) if new[i].isascii() else len(new[i].encode("utf-8")) for i in g])
+                upto = np.searchsorted(np.cumsum(self.bytes[ids]), ends, side="left") + 1
+                counts[g] = np.diff(upto, prepend=0)
+        order = np.array(inner + alone, np.int64)
+        sizes = counts[order]
+        start = np.zeros(len(new), np.int64)
+        start[order] = np.cumsum(sizes) - sizes
+        return _ragged(np.concatenate(found), start, counts), counts
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids per text)."""
-        if len(self.known) > CACHE:
-            self.clear()
-        known, first = self.known, len(self.known)
-        used, counts = [], np.zeros(len(texts), np.int64)
+        used: list[str] = []
+        counts = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
-            pieces = PIECE.findall(t)
-            counts[i] = len(pieces)
-            used.extend([known.setdefault(p, len(known)) for p in pieces])
-        if len(known) > first:
-            new = list(known)[first:]
-            coded = [e.ids for e in self.tok.encode_batch(new, add_special_tokens=False)]
-            size = np.fromiter(map(len, coded), np.int64, len(coded))
-            start = len(self.flat) + np.cumsum(size) - size
-            self.flat = np.concatenate([self.flat, np.fromiter((x for c in coded for x in c), np.uint32, int(size.sum()))])
-            self.start, self.size = np.concatenate([self.start, start]), np.concatenate([self.size, size])
-        which = np.asarray(used, np.int64)
-        size = self.size[which]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total) - np.repeat(ends - size, size) + np.repeat(self.start[which], size)
-        upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return self.flat[at], np.diff(upto)
+            own = pieces(t)
+            counts[i] = len(own)
+            used += own
+        which = np.fromiter(map(self.known.get, used, repeat(-1)), np.int64, len(used))
+        flat, start, size = self.flat, self.start, self.size
+        missed = np.flatnonzero(which < 0)
+        if len(missed):
+            base, local = len(size), {}
+            which[missed] = [base + local.setdefault(used[i], len(local)) for i in missed.tolist()]
+            new = list(local)
+            ids, n = self.encode(new)
+            start = np.concatenate([start, len(flat) + np.cumsum(n) - n])
+            size, flat = np.concatenate([size, n]), np.concatenate([flat, ids])
+            room = CACHE - len(self.known)
+            if room > 0:
+                keep = min(room, len(new))
+                self.known.update(zip(new[:keep], range(base, base + keep)))
+                self.start, self.size = start[: base + keep], size[: base + keep]
+                self.flat = flat[: int(start[base + keep - 1] + size[base + keep - 1])]
+        own = size[which]
+        upto = np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], np.cumsum(counts)])]
+        return _ragged(flat, start[which], own), np.diff(upto)
+
+
+def _ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """flat[start:start + size] of all rows, one after the other."""
+    ends = np.cumsum(size)
+    return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - ends + size, size)]
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One per Python worker, kept from task to task."""
+    return Encoder(path)
 
 
 def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end: int | None = END_ID) -> DataFrame:
@@ -90,7 +148,7 @@ def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, block = Encoder(path), 0
+        enc, block = encoder(path), 0
         ids: list[np.ndarray] = []
         keys: list = []
         sizes: list[int] = []
@@ -106,12 +164,11 @@ def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
 
         held = 0
         for b in batches:
-            rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-            for lo in range(0, len(rows), 256):
-                some = rows[lo : lo + 256]
-                flat, counts = enc.batch([t or "" for _, t in some])
+            for lo in range(0, b.num_rows, 256):
+                some = b.slice(lo, 256)
+                flat, counts = enc.batch([t or "" for t in some.column(1).to_pylist()])
                 at = 0
-                for (k, _), n in zip(some, counts.tolist()):
+                for k, n in zip(some.column(0).to_pylist(), counts.tolist()):
                     own = flat[at : at + n]
                     at += n
                     if end is not None:
