@@ -12,11 +12,12 @@ its task only.
 from __future__ import annotations
 
 import heapq
+import os
 import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,34 +33,39 @@ STEP = 256
 #: A block is closed after the document that reaches this many ids.
 BLOCK_IDS = 1 << 16
 #: Distinct pieces of text that a Python worker keeps, to encode each once; later ones are kept for a batch only.
-CACHE = 250_000
-#: Pieces that go to the tokenizer as one string.
-JOINED = 500
+CACHE = 450_000
+#: Documents encoded together.
+TOGETHER = 1000
 
-# The white space characters of the tokenizer's splitting pattern.
+# The white space characters of the tokenizer's splitting pattern, and the characters
+# that its byte-level alphabet writes bytes with: printable Latin-1 as itself, the others from 256 on.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+RARE_SPACE = re.compile(r"[\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-RUN_OF_SPACE = re.compile(f"[{SPACE}][ \\n]")
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+ALPHABET = {b: b for b in PRINTABLE} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*PRINTABLE}))}
 
 BLOCKS = "block long, doc_ids array<long>, n_tokens array<long>, ids binary"
 CODED = "part int, block long, doc_ids array<long>, n_tokens array<long>, n_codes long, checkpoints array<long>, bits binary"
 
 
-def pieces(text: str) -> list[str]:
+def pieces(text: str) -> list:
     """White space and the run after it, in order: no split of the tokenizer crosses from a run into
-    white space, so the ids of a text are those of its pieces one after the other."""
+    white space, so the ids of a text are those of its pieces one after the other.
+
+    ``x`` stands for a blank and ``x``, or for ``x`` itself if that starts with a line end; ``(x,)``
+    for ``x``.
+    """
     if not text:
         return []
-    if RUN_OF_SPACE.search(text):
-        return PIECE.findall(text)
-    parts = text.replace("\n", " \n").split(" ")
-    first = parts[0]
-    out = [x if x[:1] == "\n" else " " + x for x in parts]
-    if first:
-        out[0] = first
+    if "  " in text or "\n " in text or " \n" in text or "\n\n" in text or (not text.isascii() or "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text) and RARE_SPACE.search(text):
+        return [(x,) for x in PIECE.findall(text)]
+    parts: list = text.replace("\n", " \n").split(" ")
+    if parts[0]:
+        parts[0] = (parts[0],)
     else:
-        del out[0]
-    return out
+        del parts[0]
+    return parts
 
 
 class Encoder:
@@ -68,40 +74,40 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tok = Tokenizer.from_file(path)
-        vocab = self.tok.get_vocab(with_added_tokens=True)
-        self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)
-        self.bytes[list(vocab.values())] = [len(x) for x in vocab]  # one character stands for one byte
-        self.known: dict[str, int] = {}
+        self.known: dict = {}
         self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def encode(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, ids per piece). Pieces that start with white space and end without are encoded
-        many in one string; the byte lengths of the ids tell where each ends."""
-        fits = [p[0] in " \n" and not p[-1].isspace() for p in new]
-        inner = [i for i, f in enumerate(fits) if f]
-        alone = [i for i, f in enumerate(fits) if not f]
-        groups = [inner[lo : lo + JOINED] for lo in range(0, len(inner), JOINED)] + [[i] for i in alone]
-        coded = self.tok.encode_batch_fast(["".join([new[i] for i in g]) for g in groups], add_special_tokens=False)
-        counts, found = np.zeros(len(new), np.int64), []
-        for g, e in zip(groups, coded):
-            ids = np.array(e.ids, np.uint32)
-            found.append(ids)
-            if len(g) == 1:
-                counts[g[0]] = len(ids)
+    def _word(self, word: str) -> list[int]:
+        """Ids of a word that the pattern leaves whole: the vocabulary's merges alone."""
+        raw = "\u0120" + word[1:] if word[0] == " " and word.isascii() else word.encode().decode("latin-1").translate(ALPHABET)
+        return [t.id for t in self.tok.model.tokenize(raw)]
+
+    def encode(self, new: list) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, ids per piece). Letters alone, or with a full stop or comma behind, are split by
+        rule; everything else goes through the tokenizer's whole pipeline."""
+        out: list[list[int]] = []
+        rest: list[int] = []
+        for i, p in enumerate(new):
+            text = p[0] if type(p) is tuple else p if p[:1] == "\n" else " " + p
+            core = text[1:] if text[0] == " " else text
+            if core.isalpha():
+                out.append(self._word(text))
+            elif core[-1:] in (".", ",") and core[:-1].isalpha():
+                out.append(self._word(text[:-1]) + self._word(core[-1]))
             else:
-                ends = np.cumsum([len(new[i]) if new[i].isascii() else len(new[i].encode("utf-8")) for i in g])
-                upto = np.searchsorted(np.cumsum(self.bytes[ids]), ends, side="left") + 1
-                counts[g] = np.diff(upto, prepend=0)
-        order = np.array(inner + alone, np.int64)
-        sizes = counts[order]
-        start = np.zeros(len(new), np.int64)
-        start[order] = np.cumsum(sizes) - sizes
-        return _ragged(np.concatenate(found), start, counts), counts
+                rest.append(i)
+                out.append(text)  # type: ignore[arg-type]
+        if rest:
+            for i, e in zip(rest, self.tok.encode_batch_fast([out[i] for i in rest], add_special_tokens=False)):
+                out[i] = e.ids
+        counts = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter(chain.from_iterable(out), np.uint32, int(counts.sum())), counts
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids per text)."""
-        used: list[str] = []
+        used: list = []
         counts = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
             own = pieces(t)
@@ -141,11 +147,16 @@ def encoder(path: str) -> Encoder:
 
 
 def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end: int | None = END_ID) -> DataFrame:
-    """Blocks of whole documents in ascending id order, with ids as little-endian unsigned 32-bit integers.
+    """Blocks of whole documents in ascending id order, with ids as little-endian unsigned 16-bit integers.
 
     The rows are ranged on the id before they are encoded, and sorted in each range, so the text is
-    moved once and encoded once. ``part`` numbers the ranges.
+    moved once and encoded once. ``part`` numbers the ranges. The code holds at most 2**MAX_BITS
+    ids, so 16 bits hold any id of a vocabulary that can be written.
     """
+    from tokenizers import Tokenizer
+
+    if Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) > 1 << MAX_BITS:
+        raise ValueError("the vocabulary has more ids than the format can hold")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, block = encoder(path), 0
@@ -156,7 +167,7 @@ def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
         def close():
             nonlocal block, ids, keys, sizes
             out = pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([np.concatenate(ids).astype("<u4").tobytes()], pa.binary())],
+                [pa.array([block], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([np.concatenate(ids).astype("<u2").tobytes()], pa.binary())],
                 ["block", "doc_ids", "n_tokens", "ids"],
             )
             block, ids, keys, sizes = block + 1, [], [], []
@@ -164,8 +175,8 @@ def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
 
         held = 0
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                some = b.slice(lo, 256)
+            for lo in range(0, b.num_rows, TOGETHER):
+                some = b.slice(lo, TOGETHER)
                 flat, counts = enc.batch([t or "" for t in some.column(1).to_pylist()])
                 at = 0
                 for k, n in zip(some.column(0).to_pylist(), counts.tolist()):
@@ -292,7 +303,7 @@ def id_counts(blocks: DataFrame) -> DataFrame:
         total = np.zeros(1, np.int64)
         for b in batches:
             for x in b.column(0):
-                c = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
+                c = np.bincount(np.frombuffer(x.as_buffer(), "<u2"))
                 if len(c) > len(total):
                     total = np.pad(total, (0, len(c) - len(total)))
                 total[: len(c)] += c
@@ -322,8 +333,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = canonical(lengths)
         for b in batches:
-            packed = [pack(np.frombuffer(x.as_buffer(), "<u4"), lengths, codes) for x in b.column(4)]
-            n = [len(x.as_buffer()) // 4 for x in b.column(4)]
+            packed = [pack(np.frombuffer(x.as_buffer(), "<u2").astype(np.int64), lengths, codes) for x in b.column(4)]
+            n = [len(x.as_buffer()) // 2 for x in b.column(4)]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:4], pa.array(n, pa.int64()), pa.array([p[1] for p in packed], pa.list_(pa.int64())), pa.array([p[0] for p in packed], pa.binary())],
                 ["part", "block", "doc_ids", "n_tokens", "n_codes", "checkpoints", "bits"],
