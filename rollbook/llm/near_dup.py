@@ -7,9 +7,9 @@ m ln m arrivals. Two documents agree in a register with the probability Jaccard
 shingles. Registers are banded; candidates are verified by the Jaccard of their shingle sets.
 
 Equal texts are one node. In a band bucket of up to ``ALL_PAIRS`` nodes every pair is a candidate;
-in a larger one every node meets some pivots of the bucket, and while such links still merge
-classes, new pivots are drawn and met by the nodes not yet in their class. Nothing is dropped and no
-group is gathered; a class needs only enough links to hold together, not all its pairs.
+in a larger one every node meets ``PIVOTS`` pivots of each of its buckets, and where a large bucket
+then still holds several classes, the nodes outside its largest class meet ``CLOSING`` more. No row
+is dropped and no group is gathered; a class needs enough links to hold together, not all its pairs.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from .common import stored
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-ALL_PAIRS, PIVOTS = 24, 2
+ALL_PAIRS, PIVOTS, CLOSING = 24, 2, 4
 #: Documents whose arrivals are drawn together.
 TOGETHER = 1000
 
@@ -118,10 +118,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(k, t, keys, set): id, hash of the text, band keys and sorted 32-bit shingle hashes.
-
-    Keys and set only in the row with the smallest id of a text in the batch, null in its copies.
-    """
+    """(k, t, keys): id, hash of the text and band keys, null in all but the smallest id of a text in the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,18 +133,30 @@ def _sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
                 chosen = sorted(least.values())
                 doc, element, weight = shingles([texts[i] or "" for i in chosen])
                 keys = band_keys(signatures(len(chosen), doc, element, weight)).view(np.int64)
-                cuts = np.searchsorted(doc, np.arange(len(chosen) + 1))
-                small = (element >> np.uint64(32)).astype("<u4")  # sorted, as the whole hashes are
+                held = np.bincount(doc, minlength=len(chosen)) > 0
                 key_col: list = [None] * some.num_rows
-                set_col: list = [None] * some.num_rows
                 for j, i in enumerate(chosen):
-                    if cuts[j + 1] > cuts[j]:
-                        key_col[i], set_col[i] = keys[j], small[cuts[j] : cuts[j + 1]].tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0), some.column(1), pa.array(key_col, pa.list_(pa.int64())), pa.array(set_col, pa.binary())], ["k", "t", "keys", "set"])
+                    if held[j]:
+                        key_col[i] = keys[j]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(key_col, pa.list_(pa.int64()))], ["k", "t", "keys"])
 
     rows = docs.select(F.col(key).cast("bigint").alias("k"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("t"), F.col(text).alias("x"))
-    return rows.mapInArrow(run, "k long, t string, keys array<long>, set binary")
+    return rows.mapInArrow(run, "k long, t string, keys array<long>")
+
+
+def shingle_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, set): the sorted distinct 32-bit hashes of a document's shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, TOGETHER):
+                some = b.slice(lo, TOGETHER)
+                doc, element, _ = shingles([t or "" for t in some.column(1).to_pylist()])
+                small = (element >> np.uint64(32)).astype("<u4")  # sorted, as the whole hashes are
+                cuts = np.searchsorted(doc, np.arange(some.num_rows + 1))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([small[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())], ["k", "set"])
+
+    return docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("x")).mapInArrow(run, "k long, set binary")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -197,17 +206,17 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("root"))
 
 
-def _pivots(members: DataFrame, seed: int) -> DataFrame:
+def _pivots(members: DataFrame, seeds: range) -> DataFrame:
     """(band, p): pivots of each bucket, the nodes first in seeded orders, by combinable minima."""
-    picks = [F.min(F.struct(F.xxhash64("k", F.lit(seed * PIVOTS + i)).alias("h"), F.col("k").alias("k")))["k"] for i in range(PIVOTS)]
+    picks = [F.min(F.struct(F.xxhash64("k", F.lit(i)).alias("h"), F.col("k").alias("k")))["k"] for i in seeds]
     return members.groupBy("band").agg(F.array_distinct(F.array(*picks)).alias("p")).select("band", F.explode("p").alias("p"))
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(key, class_id) for every row of ``docs``; the class id is the smallest id of the class.
 
-    Equal texts are one class, also empty ones (null text is empty). Rows of one id are one
-    document. Rows with a null id are classed by equal text only: the class of that text, null if no
+    Equal texts are one class, also empty ones (null text is empty). Ids name
+    documents: rows of one id with different texts are classed by each text. Rows with a null id are classed by equal text only: the class of that text, null if no
     row with an id has it. Texts without words are alike only if equal. An empty table gives none.
     """
     sketch = stored(_sketch(docs, key, text), "sketch")
@@ -221,30 +230,27 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     i_j = F.flatten(F.transform("l", lambda x, i: F.transform(F.filter("l", lambda _, j: j > i), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     pairs = few.select(F.inline(i_j)).distinct()
     large = met.where(F.col("n") > ALL_PAIRS).select("band", "k")
-    to_pivot = large.join(_pivots(large, 0), "band").where("k <> p").select(*_pairs(F.col("k"), F.col("p")))
-    sets = sketch.where("set IS NOT NULL").select("k", "set").join(texts.select("k").where("k IS NOT NULL"), "k", "left_semi")
+    to_pivot = large.join(_pivots(large, range(PIVOTS)), "band").where("k <> p").select(*_pairs(F.col("k"), F.col("p")))
+    mine = docs.join(met.select(F.col("k").alias("_k")).distinct(), F.col(key).cast("bigint") == F.col("_k"), "left_semi")
+    sets = stored(shingle_sets(mine, key, text), "sets")
     edges = stored(verified(pairs.unionByName(to_pivot), sets, similarity), "links")
     roots = components(edges)
 
-    seed, any_large = 0, not large.isEmpty()
-    while any_large:  # until fresh pivots merge no classes any more
-        seed += 1
-        placed = large.join(roots, "k", "left").select("band", "k", F.coalesce("root", "k").alias("root"))
-        split = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
-        open_ = placed.join(split, "band")
-        pivot = _pivots(open_, seed).join(roots.select(F.col("k").alias("p"), F.col("root").alias("pr")), "p", "left").select("band", "p", F.coalesce("pr", "p").alias("pr"))
-        # one link per class of a bucket and pivot would do, but which member has it is not known
-        tried = open_.join(pivot, "band").where("root <> pr").select(*_pairs(F.col("k"), F.col("p")))
-        fresh = stored(verified(tried, sets, similarity), "links")
-        if fresh.isEmpty():
-            break
-        edges = edges.unionByName(fresh)
-        roots = components(edges)
+    placed = large.join(roots, "k", "left").select("band", "k", F.coalesce("root", "k").alias("root"))
+    by_class = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
+    top = by_class.groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("top"), F.count("*").alias("n")).where("n > 1").select("band", "top")
+    split = stored(placed.join(top, "band"), "split_buckets")
+    outside = split.where("root <> top").select("band", "k")
+    if not outside.isEmpty():
+        inside = _pivots(split.where("root = top"), range(PIVOTS, PIVOTS + CLOSING))
+        every = _pivots(outside, range(PIVOTS + CLOSING, PIVOTS + CLOSING + PIVOTS))
+        closing = outside.join(inside.unionByName(every), "band").where("k <> p").select(*_pairs(F.col("k"), F.col("p")))
+        fresh = stored(verified(closing, sets, similarity), "links")
+        if not fresh.isEmpty():
+            roots = components(edges.unionByName(fresh))
 
     of_text = texts.join(roots, "k", "left").select("t", F.coalesce("root", "k").alias("class_id"))
-    rows = sketch.select("t", F.col("k").alias(key)).join(of_text, "t").select(key, "class_id")
-    # rows of one id with different texts are one document
-    return rows
+    return sketch.select("t", F.col("k").alias(key)).join(of_text, "t").select(key, "class_id")
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

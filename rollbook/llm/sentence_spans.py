@@ -25,7 +25,8 @@ PIECE_WORDS = 12
 
 BREAK = re.compile(r"(?<=[.!?…。！？])\s+|[\r\n]+\s*")
 WORD = re.compile(r"\w+")
-RUNS = "k long, h long, c int, pos int, len int, n_sentences int"
+#: A run beside its hash: first sentence, sentences (8 bits) and 16 more bits of hash in one number.
+POS, LEN, CHECK = 24, 16, 2**16 - 1
 
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
@@ -51,7 +52,8 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
 
 
 def runs(text: str) -> tuple[list[tuple[int, int, int, int]], int]:
-    """((hash, check hash, first sentence, sentences) of every run, number of sentences)."""
+    """((hash, packed place) of every run, number of sentences). A run has at most 255 sentences:
+    each has a word, and it ends with the third sentence from fifteen words on."""
     found = sentences(text)
     sizes = [len(w) for _, _, w in found]
     marks = [xxhash.xxh3_64_digest(" ".join(w).encode("utf-8", "surrogatepass")) for _, _, w in found]
@@ -63,13 +65,13 @@ def runs(text: str) -> tuple[list[tuple[int, int, int, int]], int]:
         if end - i < SENTENCES or words < WORDS:
             break
         whole = xxhash.xxh3_128_intdigest(b"".join(marks[i:end]))
-        out.append((np.int64(np.uint64(whole & (2**64 - 1)).astype(np.int64)), int(np.uint32(whole >> 96).astype(np.int32)), i, end - i))
+        out.append((whole & (2**64 - 1), i << POS | (end - i) << LEN | whole >> 64 & CHECK))
         words -= sizes[i]
     return out, len(found)
 
 
 def all_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(k, h, c, pos, len) of every run; a null id takes the smallest number."""
+    """(k, h, p) of every run: id, hash and packed place; a null id takes the smallest number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -81,13 +83,10 @@ def all_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                     found, _ = runs(t or "")
                     rows += found
                     keys += [k] * len(found)
-                cols = list(zip(*rows)) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64()), pa.array(np.asarray(cols[0], np.int64)), pa.array(np.asarray(cols[1], np.int32)), pa.array(np.asarray(cols[2], np.int32)), pa.array(np.asarray(cols[3], np.int32))],
-                    ["k", "h", "c", "pos", "len"],
-                )
+                h, p = zip(*rows) if rows else ([], [])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.asarray(h, np.uint64).view(np.int64)), pa.array(np.asarray(p, np.int64))], ["k", "h", "p"])
 
-    return docs.select(_number(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, "k long, h long, c int, pos int, len int")
+    return docs.select(_number(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, "k long, h long, p long")
 
 
 def _number(key: str):
@@ -101,11 +100,12 @@ def repeated(found: DataFrame) -> DataFrame:
     per task there; the join back is an equi join that adaptive execution may split.
     """
     many = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    held = found.join(many, "h", "left_semi")
-    held = held.withColumn("at", F.struct("k", "pos"))
+    place = F.struct("k", F.shiftright("p", POS).alias("pos"))
+    held = found.join(many, "h", "left_semi").withColumn("c", F.col("p").bitwiseAND(F.lit(CHECK))).withColumn("at", place)
     first = held.groupBy("h", "c").agg(F.min("at").alias("first"))
     later = held.join(first, ["h", "c"]).where(F.col("at") > F.col("first"))
-    spans = later.groupBy("k").agg(F.collect_set(F.struct("pos", "len")).alias("s"))
+    span = F.struct(F.col("at.pos").alias("pos"), F.shiftright("p", LEN).bitwiseAND(F.lit(255)).alias("len"))
+    spans = later.groupBy("k").agg(F.collect_set(span).alias("s"))
     return spans.select("k", F.array_sort(F.array_distinct(F.flatten(F.transform("s", lambda s: F.sequence(s["pos"], s["pos"] + s["len"] - 1))))).alias("covered"))
 
 

@@ -33,9 +33,9 @@ STEP = 256
 #: A block is closed after the document that reaches this many ids.
 BLOCK_IDS = 1 << 16
 #: Distinct pieces of text that a Python worker keeps, to encode each once; later ones are kept for a batch only.
-CACHE = 450_000
+CACHE = 200_000
 #: Documents encoded together.
-TOGETHER = 1000
+TOGETHER = 300
 
 # The white space characters of the tokenizer's splitting pattern, and the characters
 # that its byte-level alphabet writes bytes with: printable Latin-1 as itself, the others from 256 on.
