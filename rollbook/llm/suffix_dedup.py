@@ -140,7 +140,7 @@ class Block:
 
     def sent(self) -> Iterator[tuple]:
         """(bucket, smallest ids, starts, bytes) of the distinct stretches, a row per bucket."""
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         cuts = np.flatnonzero(np.diff(self.bucket, prepend=-1))
         for lo, hi in zip(cuts, np.append(cuts[1:], len(self.head))):
             own = self.head[lo:hi]
