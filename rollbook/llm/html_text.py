@@ -41,7 +41,7 @@ TOKEN = re.compile(
 )
 ATTR = re.compile(r"\b(?P<name>class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"(?P<a>[^\"]*)\"|'(?P<b>[^']*)'|(?P<c>[^\s>]+)))?", re.I)
 #: Weights without labelled pages: words count for, tags against, links more so.
-WORD, LINK_WORD, TAG, LINK_TAG = 1.0, -1.0, -0.8, -2.5
+WORD, LINK_WORD, TAG, LINK_TAG = 1.0, -0.3, -0.3, -1.0
 #: Smoothing of the counts, and the largest and smallest size of a weight.
 SMOOTH, MOST, LEAST = 1.0, 3.0, 0.1
 

@@ -231,8 +231,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     pairs = few.select(F.inline(i_j)).distinct()
     large = met.where(F.col("n") > ALL_PAIRS).select("band", "k")
     to_pivot = large.join(_pivots(large, range(PIVOTS)), "band").where("k <> p").select(*_pairs(F.col("k"), F.col("p")))
-    mine = docs.join(met.select(F.col("k").alias("_k")).distinct(), F.col(key).cast("bigint") == F.col("_k"), "left_semi")
-    sets = stored(shingle_sets(mine, key, text), "sets")
+    own = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("x"))
+    sets = stored(shingle_sets(own.join(met.select("k").distinct(), "k", "left_semi"), "k", "x"), "sets")
     edges = stored(verified(pairs.unionByName(to_pivot), sets, similarity), "links")
     roots = components(edges)
 
@@ -259,13 +259,14 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     A row with a null id stays if no row with an id has its text, once per text.
     """
     found = classes(docs, key, text, similarity)
-    ids = found.where(F.col(key) == F.col("class_id")).select(F.col(key).alias("_k")).distinct()
-    kept = docs.join(ids, F.col(key) == F.col("_k"), "left_semi")
-    if not docs.groupBy(key).count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([key])
-    held = docs.where(F.col(key).isNull())
-    if held.isEmpty():
-        return kept
-    known = docs.where(F.col(key).isNotNull()).select(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_t")).distinct()
-    mark = held.withColumn("_h", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).dropDuplicates(["_h"])
-    return kept.unionByName(mark.join(known, F.col("_h") == F.col("_t"), "left_anti").drop("_h"))
+    ids = found.where(F.col(key) == F.col("class_id")).select(F.col(key).cast("bigint").alias("_id")).distinct()
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).cast("bigint").alias("_id"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_hash"))
+    kept = rows.join(ids, "_id", "left_semi")
+    if not docs.groupBy(F.col(key)).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["_id"])
+    held = rows.where("_id IS NULL")
+    if not held.isEmpty():
+        known = rows.where("_id IS NOT NULL").select("_hash").distinct()
+        kept = kept.select("_row").unionByName(held.dropDuplicates(["_hash"]).join(known, "_hash", "left_anti").select("_row"))
+    return kept.select("_row.*")

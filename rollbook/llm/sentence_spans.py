@@ -136,7 +136,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         rows = [(*without(t, set(c) if c is not None else set()),) if isinstance(t, str) else (None, 0, 0, 0) for t, c in zip(texts, covered)]
         return pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed", "removed_words"])
 
-    both = docs.withColumn("_n", _number(key)).join(covers, F.col("_n") == F.col("_k"), "left")
-    done = both.withColumn("_out", take_out(F.col(text), F.col("covered")))
-    cols = [F.col("_out.text").alias(c) if c == text else F.col(f"`{c}`") for c in kept]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _number(key).alias("_n"), F.col(text).alias("_text"))
+    both = rows.join(covers, F.col("_n") == F.col("_k"), "left")
+    done = both.select("_row", take_out(F.col("_text"), F.col("covered")).alias("_out"))
+    cols = [F.col("_out.text").alias(c) if c == text else F.col(f"_row.`{c}`") for c in kept]
     return done.select(*cols, "_out.n_sentences", "_out.n_removed", "_out.removed_words")
