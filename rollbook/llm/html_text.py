@@ -70,7 +70,7 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
     at, end = 0, len(page)
     while at < end:
         m = TOKEN.match(page, at)
-        if m is None:  # an open quote runs to the end of the page: take the bare tag
+        if m["text"] == "<" and page[at + 1 : at + 2].strip("/").isalpha():  # a tag with an open quote ends at the next bracket
             cut = page.find(">", at)
             at = end if cut < 0 else cut + 1
             continue
@@ -159,14 +159,13 @@ def label_counts(page: str) -> Counter:
 
 def weights_of(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     """Log odds per feature; features the labelled pages lack keep their default."""
-    inside, outside = (sum(n for (_, i), n in counts.items() if i is flag) for flag in (True, False))
-    if not inside or not outside:
+    if not counts:
         return {}
     found = {}
     for f in {f for f, _ in counts}:
         if f in ("space", "skip"):
             continue
-        odds = math.log((counts.get((f, True), 0) + SMOOTH) / (inside + SMOOTH) * (outside + SMOOTH) / (counts.get((f, False), 0) + SMOOTH))
+        odds = math.log((counts.get((f, True), 0) + SMOOTH) / (counts.get((f, False), 0) + SMOOTH))
         found[f] = max(-MOST, min(MOST, odds))
     # words stay positive and tags negative where the labelled pages have too few of either outside
     for f in found:
