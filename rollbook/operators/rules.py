@@ -321,8 +321,11 @@ def suspicious_operators(operators: DataFrame, citizens: DataFrame) -> DataFrame
     return per.withColumn("error_rate", F.col("fraud_count") / F.col("total_registrations")).where("total_registrations > 20 AND error_rate > 0.15")
 
 
-def rule_f1(operators: DataFrame, citizens: DataFrame, n: int = 30) -> DataFrame:
-    top = suspicious_operators(operators, citizens).orderBy(F.desc("error_rate"), "operator_id").limit(n)
+def rule_f1(operators: DataFrame, citizens: DataFrame, n: int | None = 30) -> DataFrame:
+    """The ``n`` operators with the highest rates, as a report; all of them without ``n``."""
+    top = suspicious_operators(operators, citizens)
+    if n is not None:
+        top = top.orderBy(F.desc("error_rate"), "operator_id").limit(n)
     out = top.withColumn("fraud_rate", F.floor(F.col("error_rate") * 100 + 0.5) / 100).drop("error_rate")
     return _rule(out, "F1_OPERATOR_CORRUPTION", 90)
 

@@ -230,7 +230,7 @@ def _(s):
 
 @query("run_2", "SELECT operator_id, fraud_rate, fraud_rate IS NOT NULL AS is_suspicious FROM (SELECT DISTINCT operator_id FROM operators) LEFT JOIN f1 USING (operator_id)")
 def _(s):
-    return fl.persist_operators(s.operators, r.rule_f1(s.operators, s.state))
+    return fl.persist_operators(s.operators, r.rule_f1(s.operators, s.state, None))
 
 
 @query("run_3", """

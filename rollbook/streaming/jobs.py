@@ -23,12 +23,10 @@ def file_stream(spark: SparkSession, path: str, schema, name: str | None = None,
     return (reader.option("pathGlobFilter", name) if name else reader).parquet(path)
 
 
-def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", timeout: int = 1800) -> None:
-    """Process everything that is there, then stop. The next run goes on from the checkpoint."""
+def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+    """Process everything that is there, however long it takes, then stop. The next run goes on from the checkpoint."""
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()
-    if not q.awaitTermination(timeout):
-        q.stop()
-        raise TimeoutError("stream did not finish")
+    q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
 
