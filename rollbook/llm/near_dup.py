@@ -8,8 +8,15 @@ shingles. Registers are banded; candidates are verified by the Jaccard of their
 
 Equal texts are one node. In a band bucket of up to ``ALL_PAIRS`` nodes every pair is a candidate;
 in a larger one every node meets ``PIVOTS`` pivots of each of its buckets, and where a large bucket
-then still holds several classes, the nodes outside its largest class meet ``CLOSING`` more. No row
-is dropped and no group is gathered; a class needs enough links to hold together, not all its pairs.
+then still holds several classes, the nodes outside its largest class meet ``CLOSING`` more. The
+members of large buckets that hold several classes even so are banded again by longer bands over
+minima of their shingle sets (``FINER``: as likely to meet at 0.8, far less below), each round with
+pivots of its own. No row is dropped and no group is gathered; a class needs enough links to hold
+together, not all its pairs. A text that is near only few others of a large bucket could still stay
+apart if it meets none of them in a small bucket of any round.
+
+Shingle sets are taken in the pass that sketches, so texts are never shuffled; joins that carry sets
+are merge joins at every size, since both sides grow with the input.
 """
 
 from __future__ import annotations
@@ -27,6 +34,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 ALL_PAIRS, PIVOTS, CLOSING = 24, 2, 4
+#: (registers of a band, bands) of the later rounds: a pair at 0.8 shares no band once in 20,000 times.
+FINER = [(8, 56), (12, 144)]
 #: Documents whose arrivals are drawn together.
 TOGETHER = 1000
 
@@ -118,7 +127,10 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(k, t, keys): id, hash of the text and band keys, null in all but the smallest id of a text in the batch."""
+    """(k, t, keys, set): id, hash of the text, band keys and the sorted distinct 32-bit hashes of the shingles.
+
+    The last two are null in all but the smallest id of a text in the batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -133,30 +145,40 @@ def _sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
                 chosen = sorted(least.values())
                 doc, element, weight = shingles([texts[i] or "" for i in chosen])
                 keys = band_keys(signatures(len(chosen), doc, element, weight)).view(np.int64)
-                held = np.bincount(doc, minlength=len(chosen)) > 0
+                small = (element >> np.uint64(32)).astype("<u4")  # sorted, as the whole hashes are
+                cuts = np.searchsorted(doc, np.arange(len(chosen) + 1))
                 key_col: list = [None] * some.num_rows
+                set_col: list = [None] * some.num_rows
                 for j, i in enumerate(chosen):
-                    if held[j]:
-                        key_col[i] = keys[j]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(key_col, pa.list_(pa.int64()))], ["k", "t", "keys"])
+                    if cuts[j] < cuts[j + 1]:
+                        key_col[i], set_col[i] = keys[j], small[cuts[j] : cuts[j + 1]].tobytes()
+                cols = [some.column(0), some.column(1), pa.array(key_col, pa.list_(pa.int64())), pa.array(set_col, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["k", "t", "keys", "set"])
 
     rows = docs.select(F.col(key).cast("bigint").alias("k"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("t"), F.col(text).alias("x"))
-    return rows.mapInArrow(run, "k long, t string, keys array<long>")
+    return rows.mapInArrow(run, "k long, t string, keys array<long>, set binary")
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(k, set): the sorted distinct 32-bit hashes of a document's shingles."""
+def finer_bands(sets: DataFrame, rows: int, bands: int) -> DataFrame:
+    """(k, band): bands of ``rows`` minima of the hashed shingles, which agree with the Jaccard of the sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, TOGETHER):
                 some = b.slice(lo, TOGETHER)
-                doc, element, _ = shingles([t or "" for t in some.column(1).to_pylist()])
-                small = (element >> np.uint64(32)).astype("<u4")  # sorted, as the whole hashes are
-                cuts = np.searchsorted(doc, np.arange(some.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([small[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())], ["k", "set"])
+                own = [np.frombuffer(x, "<u4") for x in some.column(1).to_pylist()]  # none is empty
+                element = np.concatenate(own).astype(np.uint64)
+                starts = np.cumsum([0] + [len(x) for x in own[:-1]])
+                keys = np.zeros((len(own), bands), np.uint64)
+                for j in range(bands):
+                    h = np.full(len(own), np.uint64(j + 1))
+                    for r in range(rows):
+                        seed = np.uint64((j * rows + r + 1) * int(M3) % 2**64)
+                        h = mix(h * M1 + np.minimum.reduceat(mix(element + seed), starts))
+                    keys[:, j] = h
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], ["k", "keys"])
 
-    return docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("x")).mapInArrow(run, "k long, set binary")
+    return sets.select("k", "set").mapInArrow(run, "k long, keys array<long>").select("k", F.explode("keys").alias("band"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -178,8 +200,8 @@ def _pairs(a: Column, b: Column) -> list[Column]:
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a < b) whose shingle sets are alike enough; each set is joined on its id."""
-    left = pairs.distinct().join(sets.select(F.col("k").alias("a"), F.col("set").alias("sa")), "a")
-    both = left.join(sets.select(F.col("k").alias("b"), F.col("set").alias("sb")), "b")
+    left = pairs.distinct().join(sets.select(F.col("k").alias("a"), F.col("set").alias("sa")).hint("merge"), "a")
+    both = left.join(sets.select(F.col("k").alias("b"), F.col("set").alias("sb")).hint("merge"), "b")
     return both.where(jaccard("sa", "sb") >= similarity).select("a", "b")
 
 
@@ -212,6 +234,43 @@ def _pivots(members: DataFrame, seeds: range) -> DataFrame:
     return members.groupBy("band").agg(F.array_distinct(F.array(*picks)).alias("p")).select("band", F.explode("p").alias("p"))
 
 
+def _inside(met: DataFrame, node: str) -> DataFrame:
+    """All pairs (a, b) of the buckets (band, node, n) of up to ALL_PAIRS nodes."""
+    few = met.where(F.col("n") <= ALL_PAIRS).groupBy("band").agg(F.array_sort(F.collect_list(node)).alias("l"))
+    i_j = F.flatten(F.transform("l", lambda x, i: F.transform(F.filter("l", lambda _, j: j > i), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    return few.select(F.inline(i_j)).distinct()
+
+
+def _to_pivots(members: DataFrame, seeds: range) -> DataFrame:
+    """Pairs (a, b) of each member with the pivots of its bucket."""
+    return members.join(_pivots(members, seeds), "band").where("k <> p").select(*_pairs(F.col("k"), F.col("p")))
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one class yet."""
+    a, b = roots.select(F.col("k").alias("a"), F.col("root").alias("ra")), roots.select(F.col("k").alias("b"), F.col("root").alias("rb"))
+    return pairs.distinct().join(a, "a").join(b, "b").where("ra <> rb").select("a", "b")
+
+
+def _split(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(band, k, root, top) of the buckets that hold several classes; ``top`` is the largest class."""
+    placed = members.join(roots, "k")
+    by_class = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
+    top = by_class.groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("top"), F.count("*").alias("n")).where("n > 1").select("band", "top")
+    return stored(placed.join(top, "band").select("band", "k", "root", "top"), "split_buckets")
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (k, root) after further ``links`` (a, b), whose classes become one; the root stays the smallest id."""
+    links = stored(links, "links")
+    if links.isEmpty():
+        return roots
+    a, b = roots.select(F.col("k").alias("a"), F.col("root").alias("ra")), roots.select(F.col("k").alias("b"), F.col("root").alias("rb"))
+    up = components(links.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    new = roots.join(up.select(F.col("k").alias("root"), F.col("root").alias("up")), "root", "left")
+    return stored(new.select("k", F.coalesce("up", "root").alias("root")), "roots")
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(key, class_id) for every row of ``docs``; the class id is the smallest id of the class.
 
@@ -225,29 +284,30 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     banded = nodes.select("k", F.explode("keys").alias("band")).distinct()
     size = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     met = stored(banded.join(size, "band"), "buckets")
+    sets = stored(sketch.where("set IS NOT NULL").select("k", "set").join(met.select("k").distinct().hint("merge"), "k", "left_semi"), "sets")
 
-    few = met.where(F.col("n") <= ALL_PAIRS).groupBy("band").agg(F.array_sort(F.collect_list("k")).alias("l"))
-    i_j = F.flatten(F.transform("l", lambda x, i: F.transform(F.filter("l", lambda _, j: j > i), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    pairs = few.select(F.inline(i_j)).distinct()
     large = met.where(F.col("n") > ALL_PAIRS).select("band", "k")
-    to_pivot = large.join(_pivots(large, range(PIVOTS)), "band").where("k <> p").select(*_pairs(F.col("k"), F.col("p")))
-    own = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("x"))
-    sets = stored(shingle_sets(own.join(met.select("k").distinct(), "k", "left_semi"), "k", "x"), "sets")
-    edges = stored(verified(pairs.unionByName(to_pivot), sets, similarity), "links")
-    roots = components(edges)
+    edges = stored(verified(_inside(met, "k").unionByName(_to_pivots(large, range(PIVOTS))), sets, similarity), "links")
+    roots = stored(met.select("k").distinct().join(components(edges), "k", "left").select("k", F.coalesce("root", "k").alias("root")), "roots")
 
-    placed = large.join(roots, "k", "left").select("band", "k", F.coalesce("root", "k").alias("root"))
-    by_class = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
-    top = by_class.groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("top"), F.count("*").alias("n")).where("n > 1").select("band", "top")
-    split = stored(placed.join(top, "band"), "split_buckets")
+    split = _split(large, roots)
     outside = split.where("root <> top").select("band", "k")
     if not outside.isEmpty():
         inside = _pivots(split.where("root = top"), range(PIVOTS, PIVOTS + CLOSING))
         every = _pivots(outside, range(PIVOTS + CLOSING, PIVOTS + CLOSING + PIVOTS))
         closing = outside.join(inside.unionByName(every), "band").where("k <> p").select(*_pairs(F.col("k"), F.col("p")))
-        fresh = stored(verified(closing, sets, similarity), "links")
-        if not fresh.isEmpty():
-            roots = components(edges.unionByName(fresh))
+        roots = _joined(roots, verified(_apart(closing, roots), sets, similarity))
+    for rows, bands in FINER:
+        split = _split(large, roots)
+        if split.isEmpty():
+            break
+        own = sets.join(split.select("k").distinct().hint("merge"), "k", "left_semi")
+        again = stored(finer_bands(own, rows, bands), "finer").join(roots, "k")
+        mixed = again.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "n")
+        met = stored(again.join(mixed, "band").select("band", "k", "n"), "buckets")
+        large = met.where(F.col("n") > ALL_PAIRS).select("band", "k")
+        pairs = _inside(met, "k").unionByName(_to_pivots(large, range(PIVOTS + CLOSING)))
+        roots = _joined(roots, verified(_apart(pairs, roots), sets, similarity))
 
     of_text = texts.join(roots, "k", "left").select("t", F.coalesce("root", "k").alias("class_id"))
     return sketch.select("t", F.col("k").alias(key)).join(of_text, "t").select(key, "class_id")
