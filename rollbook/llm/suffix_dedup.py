@@ -23,7 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-LENGTH, SHORT = 50, 12
+LENGTH, SHORT = 50, 9
 #: Starts in a stretch: first and last start of it show all its bytes, and a bit each fits a number.
 STRETCH = 48
 #: Bytes of text in a block, of stretches in a bucket, and positions worked on at once.
@@ -31,6 +31,8 @@ BLOCK_BYTES, BUCKET_BYTES, AT_ONCE = 2 << 20, 6 << 20, 1 << 20
 #: Stretches take about so many bytes for each byte of text.
 GROWTH = 3.5
 STARTS_AT_ONCE = 4 << 20
+#: Slots in which equal starts are looked for before any are sorted, a power of two.
+SLOTS = 8 << 20
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Where the words of eight bytes lie that show all bytes of a start.
@@ -140,7 +142,7 @@ class Block:
 
     def sent(self) -> Iterator[tuple]:
         """(bucket, smallest ids, starts, bytes) of the distinct stretches, a row per bucket."""
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         cuts = np.flatnonzero(np.diff(self.bucket, prepend=-1))
         for lo, hi in zip(cuts, np.append(cuts[1:], len(self.head))):
             own = self.head[lo:hi]
@@ -180,9 +182,11 @@ def previous_factors(words: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.n
     """
     out = np.zeros(len(at), bool)
     h = start_hash(words, at)
-    order = np.argsort(h)
+    slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+    maybe = np.flatnonzero(np.bincount(slot, minlength=SLOTS)[slot] > 1)  # alone in its slot: no equal start
+    order = maybe[np.argsort(h[maybe])]
     again = h[order][1:] == h[order][:-1]
-    some = order[np.append(again, False) | np.append(False, again)] if len(at) else order
+    some = order[np.append(again, False) | np.append(False, again)] if len(order) else order
     if not len(some):
         return out
     bytes_of = [words[at[some] + w] for w in WORDS]
