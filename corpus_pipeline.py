@@ -1,7 +1,8 @@
 """A training-corpus pipeline: five stages over ``documents``, each written as Parquet and read by the next.
 
 Every stage works on all rows its predecessor kept. All but the last return the columns of
-``documents``; the last returns one row per document of the token files.
+``documents``; the last returns one row per document of the token files. Stages with Python tasks
+keep the session's Arrow batches short, since the workers of earlier stages stay in memory.
 """
 
 from __future__ import annotations
@@ -9,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rollbook.llm import decontaminate, language, mixing, near_dup, token_files
-from rollbook.llm.common import scratch, stored, table
+from rollbook.llm.common import scratch, short_batches, stored, table
 from rollbook.llm.queries import public_tokenizer
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those without a letter (``und``) go."""
+    short_batches(spark)
     net = language.train(docs)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
     return language.identify(rows, net).where(F.col("lang_pred") != language.UNKNOWN).select("_row.*")
@@ -22,6 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of near copies."""
+    short_batches(spark)
     return near_dup.representatives(docs)
 
 
@@ -37,6 +40,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, read back: doc_id, start, n_tokens, ids_crc32."""
+    short_batches(spark)
     path = scratch(spark, "pipeline_tokens")
     token_files.write_tokens(docs, path, public_tokenizer())
     return token_files.digest(token_files.read_tokens(spark, path))
