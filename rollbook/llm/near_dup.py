@@ -246,6 +246,14 @@ def _to_pivots(members: DataFrame, seeds: range) -> DataFrame:
     return members.join(_pivots(members, seeds), "band").where("k <> p").select(*_pairs(F.col("k"), F.col("p")))
 
 
+def _to_classes(split: DataFrame, most: int) -> DataFrame:
+    """Pairs (a, b) of the nodes outside the largest class of a bucket with ``most`` pivots of that class and PIVOTS of the others."""
+    outside = split.where("root <> top").select("band", "k")
+    inside = _pivots(split.where("root = top"), range(PIVOTS, PIVOTS + most))
+    every = _pivots(outside, range(PIVOTS + CLOSING, PIVOTS + CLOSING + PIVOTS))
+    return outside.join(inside.unionByName(every), "band").where("k <> p").select(*_pairs(F.col("k"), F.col("p")))
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose ends are not in one class yet."""
     a, b = roots.select(F.col("k").alias("a"), F.col("root").alias("ra")), roots.select(F.col("k").alias("b"), F.col("root").alias("rb"))
@@ -291,12 +299,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     roots = stored(met.select("k").distinct().join(components(edges), "k", "left").select("k", F.coalesce("root", "k").alias("root")), "roots")
 
     split = _split(large, roots)
-    outside = split.where("root <> top").select("band", "k")
-    if not outside.isEmpty():
-        inside = _pivots(split.where("root = top"), range(PIVOTS, PIVOTS + CLOSING))
-        every = _pivots(outside, range(PIVOTS + CLOSING, PIVOTS + CLOSING + PIVOTS))
-        closing = outside.join(inside.unionByName(every), "band").where("k <> p").select(*_pairs(F.col("k"), F.col("p")))
-        roots = _joined(roots, verified(_apart(closing, roots), sets, similarity))
+    if not split.isEmpty():
+        roots = _joined(roots, verified(_apart(_to_classes(split, CLOSING), roots), sets, similarity))
     for rows, bands in FINER:
         split = _split(large, roots)
         if split.isEmpty():
@@ -306,7 +310,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
         mixed = again.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "n")
         met = stored(again.join(mixed, "band").select("band", "k", "n"), "buckets")
         large = met.where(F.col("n") > ALL_PAIRS).select("band", "k")
-        pairs = _inside(met, "k").unionByName(_to_pivots(large, range(PIVOTS + CLOSING)))
+        pairs = _inside(met, "k").unionByName(_to_classes(_split(large, roots), PIVOTS))
         roots = _joined(roots, verified(_apart(pairs, roots), sets, similarity))
 
     of_text = texts.join(roots, "k", "left").select("t", F.coalesce("root", "k").alias("class_id"))
