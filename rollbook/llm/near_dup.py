@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import stored
+from .common import short_batches, stored
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -37,7 +37,7 @@ ALL_PAIRS, PIVOTS, CLOSING = 24, 2, 4
 #: (registers of a band, bands) of the later rounds: a pair at 0.8 shares no band once in 20,000 times.
 FINER = [(8, 56), (12, 144)]
 #: Documents whose arrivals are drawn together.
-TOGETHER = 1000
+TOGETHER = 400
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _WORD_BYTE = np.zeros(256, bool)
@@ -286,6 +286,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     documents: rows of one id with different texts are classed by each text. Rows with a null id are classed by equal text only: the class of that text, null if no
     row with an id has it. Texts without words are alike only if equal. An empty table gives none.
     """
+    short_batches(docs.sparkSession)
     sketch = stored(_sketch(docs, key, text), "sketch")
     texts = sketch.groupBy("t").agg(F.min("k").alias("k"))  # a text's node is its smallest id
     nodes = sketch.where("keys IS NOT NULL").join(texts.where("k IS NOT NULL"), ["t", "k"])
