@@ -160,7 +160,7 @@ def _sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def finer_bands(sets: DataFrame, rows: int, bands: int) -> DataFrame:
-    """(k, band): bands of ``rows`` minima of the hashed shingles, which agree with the Jaccard of the sets."""
+    """(k, root, band) of ``sets`` (k, set, root): bands of ``rows`` minima of the hashed shingles, which agree with the Jaccard of the sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,9 +176,9 @@ def finer_bands(sets: DataFrame, rows: int, bands: int) -> DataFrame:
                         seed = np.uint64((j * rows + r + 1) * int(M3) % 2**64)
                         h = mix(h * M1 + np.minimum.reduceat(mix(element + seed), starts))
                     keys[:, j] = h
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], ["k", "keys"])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], ["k", "root", "keys"])
 
-    return sets.select("k", "set").mapInArrow(run, "k long, keys array<long>").select("k", F.explode("keys").alias("band"))
+    return sets.select("k", "set", "root").mapInArrow(run, "k long, root long, keys array<long>").select("k", "root", F.explode("keys").alias("band"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -229,40 +229,35 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _pivots(members: DataFrame, seeds: range) -> DataFrame:
-    """(band, p): pivots of each bucket, the nodes first in seeded orders, by combinable minima."""
-    picks = [F.min(F.struct(F.xxhash64("k", F.lit(i)).alias("h"), F.col("k").alias("k")))["k"] for i in seeds]
+    """(band, p): pivots of each bucket as (k, root), the nodes first in seeded orders, by combinable minima."""
+    firsts = [F.min(F.struct(F.xxhash64("k", F.lit(i)).alias("h"), "k", "root")) for i in seeds]
+    picks = [F.struct(x["k"].alias("k"), x["root"].alias("root")) for x in firsts]
     return members.groupBy("band").agg(F.array_distinct(F.array(*picks)).alias("p")).select("band", F.explode("p").alias("p"))
 
 
-def _inside(met: DataFrame, node: str) -> DataFrame:
-    """All pairs (a, b) of the buckets (band, node, n) of up to ALL_PAIRS nodes."""
-    few = met.where(F.col("n") <= ALL_PAIRS).groupBy("band").agg(F.array_sort(F.collect_list(node)).alias("l"))
-    i_j = F.flatten(F.transform("l", lambda x, i: F.transform(F.filter("l", lambda _, j: j > i), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+def _inside(met: DataFrame) -> DataFrame:
+    """All pairs (a, b) of two classes in the buckets (band, k, root, n) of up to ALL_PAIRS nodes."""
+    few = met.where(F.col("n") <= ALL_PAIRS).groupBy("band").agg(F.array_sort(F.collect_list(F.struct("k", "root"))).alias("l"))
+    others = lambda x, i: F.filter("l", lambda y, j: (j > i) & (y["root"] != x["root"]))
+    i_j = F.flatten(F.transform("l", lambda x, i: F.transform(others(x, i), lambda y: F.struct(x["k"].alias("a"), y["k"].alias("b")))))
     return few.select(F.inline(i_j)).distinct()
 
 
-def _to_pivots(members: DataFrame, seeds: range) -> DataFrame:
-    """Pairs (a, b) of each member with the pivots of its bucket."""
-    return members.join(_pivots(members, seeds), "band").where("k <> p").select(*_pairs(F.col("k"), F.col("p")))
+def _meet(members: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each member with the pivots of its bucket that are in other classes."""
+    return members.join(pivots, "band").where(F.col("root") != F.col("p.root")).select(*_pairs(F.col("k"), F.col("p.k")))
 
 
 def _to_classes(split: DataFrame, most: int) -> DataFrame:
     """Pairs (a, b) of the nodes outside the largest class of a bucket with ``most`` pivots of that class and PIVOTS of the others."""
-    outside = split.where("root <> top").select("band", "k")
+    outside = split.where("root <> top").select("band", "k", "root")
     inside = _pivots(split.where("root = top"), range(PIVOTS, PIVOTS + most))
     every = _pivots(outside, range(PIVOTS + CLOSING, PIVOTS + CLOSING + PIVOTS))
-    return outside.join(inside.unionByName(every), "band").where("k <> p").select(*_pairs(F.col("k"), F.col("p")))
+    return _meet(outside, inside.unionByName(every))
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose ends are not in one class yet."""
-    a, b = roots.select(F.col("k").alias("a"), F.col("root").alias("ra")), roots.select(F.col("k").alias("b"), F.col("root").alias("rb"))
-    return pairs.distinct().join(a, "a").join(b, "b").where("ra <> rb").select("a", "b")
-
-
-def _split(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(band, k, root, top) of the buckets that hold several classes; ``top`` is the largest class."""
-    placed = members.join(roots, "k")
+def _split(placed: DataFrame) -> DataFrame:
+    """The rows of ``placed`` (band, k, root) in buckets that hold several classes, and ``top``, the largest class."""
     by_class = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
     top = by_class.groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("top"), F.count("*").alias("n")).where("n > 1").select("band", "top")
     return stored(placed.join(top, "band").select("band", "k", "root", "top"), "split_buckets")
@@ -295,24 +290,25 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     met = stored(banded.join(size, "band"), "buckets")
     sets = stored(sketch.where("set IS NOT NULL").select("k", "set").join(met.select("k").distinct().hint("merge"), "k", "left_semi"), "sets")
 
-    large = met.where(F.col("n") > ALL_PAIRS).select("band", "k")
-    edges = stored(verified(_inside(met, "k").unionByName(_to_pivots(large, range(PIVOTS))), sets, similarity), "links")
+    alone = met.withColumn("root", F.col("k"))
+    large = alone.where(F.col("n") > ALL_PAIRS).select("band", "k", "root")
+    edges = stored(verified(_inside(alone).unionByName(_meet(large, _pivots(large, range(PIVOTS)))), sets, similarity), "links")
     roots = stored(met.select("k").distinct().join(components(edges), "k", "left").select("k", F.coalesce("root", "k").alias("root")), "roots")
 
-    split = _split(large, roots)
+    split = _split(large.drop("root").join(roots, "k"))
     if not split.isEmpty():
-        roots = _joined(roots, verified(_apart(_to_classes(split, CLOSING), roots), sets, similarity))
+        roots = _joined(roots, verified(_to_classes(split, CLOSING), sets, similarity))
     for rows, bands in FINER:
-        split = _split(large, roots)
+        split = _split(large.drop("root").join(roots, "k"))
         if split.isEmpty():
             break
-        own = sets.join(split.select("k").distinct().hint("merge"), "k", "left_semi")
-        again = stored(finer_bands(own, rows, bands), "finer").join(roots, "k")
+        own = sets.join(split.select("k", "root").distinct().hint("merge"), "k")
+        again = stored(finer_bands(own, rows, bands), "finer")
         mixed = again.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "n")
-        met = stored(again.join(mixed, "band").select("band", "k", "n"), "buckets")
-        large = met.where(F.col("n") > ALL_PAIRS).select("band", "k")
-        pairs = _inside(met, "k").unionByName(_to_classes(_split(large, roots), PIVOTS))
-        roots = _joined(roots, verified(_apart(pairs, roots), sets, similarity))
+        met = stored(again.join(mixed, "band").select("band", "k", "root", "n"), "buckets")
+        large = met.where(F.col("n") > ALL_PAIRS).select("band", "k", "root")
+        pairs = _inside(met).unionByName(_to_classes(_split(large), PIVOTS))
+        roots = _joined(roots, verified(pairs, sets, similarity))
 
     of_text = texts.join(roots, "k", "left").select("t", F.coalesce("root", "k").alias("class_id"))
     return sketch.select("t", F.col("k").alias(key)).join(of_text, "t").select(key, "class_id")
