@@ -82,11 +82,14 @@ def sync_flags(state: DataFrame, member_of: DataFrame, operators: DataFrame, sha
 
 
 def batch_results(citizens: DataFrame, schemes: DataFrame, resides: DataFrame, member_of: DataFrame, state: DataFrame) -> dict[str, DataFrame]:
-    """Reports that are persisted as flags. C1 has no person; E1 and F1 are not handed on."""
-    return {
-        "A1": R.rule_a1(citizens), "A2": R.rule_a2(citizens, schemes), "A3": R.rule_a3(citizens, schemes),
-        "B1": R.rule_b1(citizens, resides), "B2": R.rule_b2(citizens, resides),
-        "C2": R.rule_c2(citizens, schemes), "H1": R.rule_h1(state), "I1": R.rule_i1(member_of, citizens),
+    """All hits (uid, cases, confidence) that are persisted as flags. C1 has no person; E1 and F1 are not handed on."""
+    plain = {
+        "A1": R.rule_a1(citizens, None), "A2": R.rule_a2(citizens, schemes, None), "A3": R.rule_a3(citizens, schemes, None),
+        "C2": R.rule_c2(citizens, schemes, None), "H1": R.rule_h1(state, None),
+    }
+    one = F.lit(1).cast("bigint").alias("cases")
+    return {rule: df.select("uid", one, "confidence") for rule, df in plain.items()} | {
+        "B1": R.hits_b1(citizens), "B2": R.hits_b2(citizens, resides), "I1": R.hits_i1(member_of, citizens),
     }
 
 
@@ -95,9 +98,9 @@ def rule_type(rule: Column) -> Column:
 
 
 def persist_flags(results: dict[str, DataFrame]) -> DataFrame:
-    """One flag per (uid, rule) of the batch reports; of a pair only the first person is flagged."""
+    """One flag per (uid, rule) of the batch hits; of a pair only the first person is flagged."""
     rows = union(*[
-        df.select(F.col("uid1" if "uid1" in df.columns else "uid").alias("uid"), F.lit(rule).alias("rule"), "confidence")
+        df.select("uid", F.lit(rule).alias("rule"), "confidence")
         for rule, df in results.items()
     ])
     labels = F.create_map(*[F.lit(x) for r, lab, _ in RULE_METADATA for x in (r, lab)])

@@ -27,26 +27,31 @@ def _rule(df: DataFrame, rule: str, confidence: int) -> DataFrame:
     return df.withColumn("confidence", F.lit(confidence)).withColumn("rule", F.lit(rule))
 
 
+def _top(df: DataFrame, n: int | None, *order) -> DataFrame:
+    """The first ``n`` rows in ``order``, as a report; all rows without ``n``."""
+    return df if n is None else df.orderBy(*order).limit(n)
+
+
 # --- A: ghosts ---------------------------------------------------------------------------------
 
 
-def rule_a1(citizens: DataFrame) -> DataFrame:
+def rule_a1(citizens: DataFrame, n: int | None = REPORT_LIMIT) -> DataFrame:
     hits = citizens.where("dob IS NOT NULL AND age > 105").select("uid", "name", "dob", "age")
-    return _rule(hits.orderBy(F.desc("age"), "uid").limit(REPORT_LIMIT), "A1_IMPOSSIBLE_AGE", 95)
+    return _rule(_top(hits, n, F.desc("age"), "uid"), "A1_IMPOSSIBLE_AGE", 95)
 
 
-def _age_in_schemes(citizens: DataFrame, schemes: DataFrame, age_below: int, words: str) -> DataFrame:
+def _age_in_schemes(citizens: DataFrame, schemes: DataFrame, age_below: int, words: str, n: int | None) -> DataFrame:
     young = citizens.where(F.col("dob").isNotNull() & (F.col("age") < age_below)).select("uid", "name", "dob", "age")
     wrong = schemes.where(F.lower("scheme_name").rlike(words)).select("uid", F.col("scheme_name").alias("scheme")).distinct()
-    return young.join(wrong, "uid").orderBy("uid", "scheme").limit(REPORT_LIMIT)
+    return _top(young.join(wrong, "uid"), n, "uid", "scheme")
 
 
-def rule_a2(citizens: DataFrame, schemes: DataFrame) -> DataFrame:
-    return _rule(_age_in_schemes(citizens, schemes, 58, PENSION_WORDS), "A2_WRONG_AGE_FOR_SCHEME", 85)
+def rule_a2(citizens: DataFrame, schemes: DataFrame, n: int | None = REPORT_LIMIT) -> DataFrame:
+    return _rule(_age_in_schemes(citizens, schemes, 58, PENSION_WORDS, n), "A2_WRONG_AGE_FOR_SCHEME", 85)
 
 
-def rule_a3(citizens: DataFrame, schemes: DataFrame) -> DataFrame:
-    return _rule(_age_in_schemes(citizens, schemes, 18, ADULT_WORDS), "A3_CHILD_IN_ADULT_SCHEME", 90)
+def rule_a3(citizens: DataFrame, schemes: DataFrame, n: int | None = REPORT_LIMIT) -> DataFrame:
+    return _rule(_age_in_schemes(citizens, schemes, 18, ADULT_WORDS, n), "A3_CHILD_IN_ADULT_SCHEME", 90)
 
 
 def sync_a1(citizens: DataFrame) -> DataFrame:
@@ -112,6 +117,19 @@ def rule_b1(citizens: DataFrame, resides: DataFrame, k: int = REPORT_LIMIT) -> D
     return _rule(out, "B1_EXACT_DUPLICATE", 92)
 
 
+def first_ends(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(uid, cases) of rows that come first in a pair of their group; ``cases`` of the group's pairs go to its first row."""
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("uid").alias("_lo"), F.max("uid").alias("_hi")).where("n > 1")
+    met = rows.select(*keys, "uid").join(groups, keys).where(F.col("uid") < F.col("_hi"))
+    return met.select("uid", F.when(F.col("uid") == F.col("_lo"), pair_count(F.col("n"))).otherwise(F.lit(0).cast("bigint")).alias("cases"))
+
+
+def hits_b1(citizens: DataFrame) -> DataFrame:
+    """(uid, cases, confidence) of all exact duplicates that come first in a pair."""
+    rows = citizens.where("name IS NOT NULL AND dob IS NOT NULL AND gender IS NOT NULL")
+    return first_ends(rows, ["name", "dob", "gender"]).withColumn("confidence", F.lit(92))
+
+
 def similar_names(names: DataFrame, block: list[str], limit: float = DICE_LIMIT) -> DataFrame:
     """Pairs of different names of a block whose Dice similarity exceeds ``limit``.
 
@@ -144,13 +162,8 @@ def similar_names(names: DataFrame, block: list[str], limit: float = DICE_LIMIT)
     return scored.where(F.col("similarity") > limit).select(*block, "name1", "name2", "similarity")
 
 
-def rule_b2(citizens: DataFrame, resides: DataFrame, k: int = REPORT_LIMIT) -> DataFrame:
-    """Best k fuzzy pairs inside (GP, dob, gender), by similarity, then uids.
-
-    People are grouped by name first, so similarity runs on distinct names of a block and on no
-    person pair. The k best name pairs, by similarity and by their first person pair, hold the k
-    best person pairs; only those are opened, and from each name only its k + 1 smallest uids.
-    """
+def _alike(citizens: DataFrame, resides: DataFrame) -> tuple[list[str], DataFrame, DataFrame, DataFrame]:
+    """The block keys, people and distinct names of the blocks, and the pairs of names that are alike."""
     block = ["gp_code", "gp_name", "dob", "gender"]
     people = resides.select("uid", "gp_code", "gp_name").distinct().join(
         citizens.where("dob IS NOT NULL AND gender IS NOT NULL AND name IS NOT NULL").select("uid", "name", "dob", "gender"), "uid"
@@ -159,6 +172,41 @@ def rule_b2(citizens: DataFrame, resides: DataFrame, k: int = REPORT_LIMIT) -> D
     grammed = names.withColumn("grams", bigrams(F.col("name"))).where(F.size("grams") > 0)
     same = grammed.where("people > 1").select(*block, F.col("name").alias("name1"), F.col("name").alias("name2"), F.lit(1.0).alias("similarity"))
     pairs = similar_names(grammed.select(*block, "name", "grams"), block).unionByName(same)
+    return block, people, names, pairs
+
+
+def _fuzzy_confidence(similarity: Column) -> Column:
+    return F.floor(60 + similarity * 40).cast("int")
+
+
+def hits_b2(citizens: DataFrame, resides: DataFrame) -> DataFrame:
+    """(uid, cases, confidence) of all people that come first in a fuzzy pair; no pair of people is built.
+
+    For each name and each of the few values of the confidence, the largest uid among the similar
+    names decides who has a later partner. The pairs of two names are counted at one row of theirs.
+    """
+    block, people, names, pairs = _alike(citizens, resides)
+    ends = people.groupBy(*block, "name").agg(F.count("*").alias("n"), F.min("uid").alias("lo"), F.max("uid").alias("hi"))
+    one = ends.select(*block, *[F.col(c).alias(f"{c}1") for c in ("name", "n", "lo", "hi")])
+    two = ends.select(*block, *[F.col(c).alias(f"{c}2") for c in ("name", "n", "lo", "hi")])
+    met = pairs.join(one, [*block, "name1"]).join(two, [*block, "name2"]).withColumn("confidence", _fuzzy_confidence(F.col("similarity")))
+    same = F.col("name1") == F.col("name2")
+    cases = F.when(same, pair_count(F.col("n1"))).otherwise(F.col("n1") * F.col("n2"))
+    counted = met.select(F.least("lo1", "lo2").alias("uid"), cases.alias("cases"), "confidence")
+    ways = F.array(F.struct(F.col("name1").alias("name"), F.col("hi2").alias("hi")), F.struct(F.col("name2").alias("name"), F.col("hi1").alias("hi")))
+    reach = met.select(*block, "confidence", F.explode(ways).alias("w")).groupBy(*block, F.col("w.name").alias("name"), "confidence").agg(F.max("w.hi").alias("hi"))
+    flagged = people.join(reach, [*block, "name"]).where(F.col("uid") < F.col("hi")).select("uid", F.lit(0).cast("bigint").alias("cases"), "confidence")
+    return flagged.unionByName(counted)
+
+
+def rule_b2(citizens: DataFrame, resides: DataFrame, k: int = REPORT_LIMIT) -> DataFrame:
+    """Best k fuzzy pairs inside (GP, dob, gender), by similarity, then uids.
+
+    People are grouped by name first, so similarity runs on distinct names of a block and on no
+    person pair. The k best name pairs, by similarity and by their first person pair, hold the k
+    best person pairs; only those are opened, and from each name only its k + 1 smallest uids.
+    """
+    block, people, names, pairs = _alike(citizens, resides)
     # The first person pair of two names is their two smallest uids; of one name, its own two.
     second = (
         people.join(names.where("people > 1").select(*block, "name", "first_uid"), [*block, "name"])
@@ -189,7 +237,7 @@ def rule_b2(citizens: DataFrame, resides: DataFrame, k: int = REPORT_LIMIT) -> D
     return out.select(
         "name1", "name2", "uid1", "uid2", "dob", "shared_gp",
         (F.floor(F.col("similarity") * 100 + 0.5) / 100).alias("name_similarity"),
-        F.floor(60 + F.col("similarity") * 40).cast("int").alias("confidence"),
+        _fuzzy_confidence(F.col("similarity")).alias("confidence"),
         F.lit("B2_FUZZY_NAME_DUPLICATE").alias("rule"),
     )
 
@@ -227,7 +275,7 @@ def gp_dob_gender_pairs(citizens: DataFrame, resides: DataFrame, k: int = 15) ->
 # --- C: schemes --------------------------------------------------------------------------------
 
 
-def rule_c1(scored: DataFrame, places: DataFrame, n: int = 30) -> DataFrame:
+def rule_c1(scored: DataFrame, places: DataFrame, n: int | None = 30) -> DataFrame:
     """GPs where more than half of at least six citizens score 60 or more; tested on the rounded share."""
     rows = places.select("uid", "gp_code", "gp_name", "block_name").distinct().join(scored.select("uid", "vulnerability_score"), "uid")
     per = rows.groupBy("gp_code", "gp_name", F.coalesce("block_name", F.lit("Unknown")).alias("block")).agg(
@@ -235,7 +283,7 @@ def rule_c1(scored: DataFrame, places: DataFrame, n: int = 30) -> DataFrame:
     )
     ratio = F.floor(100.0 * F.col("max_risk_count") / F.col("total_citizens") + 0.5) / 100
     hits = per.where("total_citizens > 5").withColumn("concentration_ratio", ratio).where("concentration_ratio > 0.5")
-    return _rule(hits.orderBy(F.desc("concentration_ratio"), "gp_code").limit(n), "C1_GP_CONCENTRATION_SPIKE", 75)
+    return _rule(_top(hits, n, F.desc("concentration_ratio"), "gp_code"), "C1_GP_CONCENTRATION_SPIKE", 75)
 
 
 def sync_c1(resides: DataFrame, citizen_schemes: DataFrame, totals: DataFrame) -> DataFrame:
@@ -248,14 +296,14 @@ def sync_c1(resides: DataFrame, citizen_schemes: DataFrame, totals: DataFrame) -
     return out.where("concentration_ratio > 0.15").withColumn("rule", F.lit("C1"))
 
 
-def rule_c2(citizens: DataFrame, schemes: DataFrame, n: int = 50) -> DataFrame:
+def rule_c2(citizens: DataFrame, schemes: DataFrame, n: int | None = 50) -> DataFrame:
     """Contradictory schemes of one citizen, in either order of enrollment."""
     s = schemes.select("uid", "scheme_name").distinct().withColumn("t", F.lower("scheme_name"))
     a = s.where(F.col("t").rlike("widow|bpl")).select("uid", F.col("scheme_name").alias("scheme_a"), F.col("t").alias("ta"))
     b = s.where(F.col("t").rlike("married|vivah|apl")).select("uid", F.col("scheme_name").alias("scheme_b"), F.col("t").alias("tb"))
     clash = (F.col("ta").contains("widow") & F.col("tb").rlike("married|vivah")) | (F.col("ta").contains("bpl") & F.col("tb").contains("apl"))
     hits = a.join(b, "uid").where(clash & (F.col("ta") != F.col("tb"))).join(citizens.select("uid", "name"), "uid")
-    hits = hits.select("uid", "name", "scheme_a", "scheme_b").orderBy("uid", "scheme_a", "scheme_b").limit(n)
+    hits = _top(hits.select("uid", "name", "scheme_a", "scheme_b"), n, "uid", "scheme_a", "scheme_b")
     return _rule(hits, "C2_SCHEME_CONTRADICTION", 90)
 
 
@@ -323,9 +371,7 @@ def suspicious_operators(operators: DataFrame, citizens: DataFrame) -> DataFrame
 
 def rule_f1(operators: DataFrame, citizens: DataFrame, n: int | None = 30) -> DataFrame:
     """The ``n`` operators with the highest rates, as a report; all of them without ``n``."""
-    top = suspicious_operators(operators, citizens)
-    if n is not None:
-        top = top.orderBy(F.desc("error_rate"), "operator_id").limit(n)
+    top = _top(suspicious_operators(operators, citizens), n, F.desc("error_rate"), "operator_id")
     out = top.withColumn("fraud_rate", F.floor(F.col("error_rate") * 100 + 0.5) / 100).drop("error_rate")
     return _rule(out, "F1_OPERATOR_CORRUPTION", 90)
 
@@ -336,9 +382,9 @@ def paid_ghosts(citizens: DataFrame) -> DataFrame:
     return citizens.where(bad & paid)
 
 
-def rule_h1(citizens: DataFrame, n: int = 100) -> DataFrame:
+def rule_h1(citizens: DataFrame, n: int | None = 100) -> DataFrame:
     hits = paid_ghosts(citizens).select("uid", "name", F.coalesce("transaction_rows", "tran_count_1", F.lit(0)).alias("trans"))
-    return _rule(hits.orderBy("uid").limit(n), "H1_GHOST_MONETIZATION", 98)
+    return _rule(_top(hits, n, "uid"), "H1_GHOST_MONETIZATION", 98)
 
 
 def shared_member_ids(member_of: DataFrame) -> DataFrame:
@@ -354,3 +400,9 @@ def rule_i1(member_of: DataFrame, citizens: DataFrame, k: int = 100) -> DataFram
         name.select(F.col("uid").alias("uid2"), F.col("name").alias("name2")), "uid2"
     )
     return _rule(out.select("name1", "name2", "uid1", "uid2", F.col("member_id").alias("shared_member_id")), "I1_MEMBER_ID_CONFLICT", 100)
+
+
+def hits_i1(member_of: DataFrame, citizens: DataFrame) -> DataFrame:
+    """(uid, cases, confidence) of all citizens that come first in a pair of one member id on one card."""
+    rows = member_of.where("member_id IS NOT NULL AND member_id <> ''").join(citizens.select("uid"), "uid", "left_semi")
+    return first_ends(rows, ["ration_card_number", "member_id"]).withColumn("confidence", F.lit(100))

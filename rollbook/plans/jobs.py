@@ -16,16 +16,15 @@ def _step(df: DataFrame, name: str) -> DataFrame:
 
 
 def run_batch(s, people: DataFrame) -> DataFrame:
-    """Quality, score, rules A, B, C, E, F, H and I in order; rows per step and the alert total.
+    """Quality, score, rules A, B, C, E, F, H and I in order; all cases per step and the alert total.
 
     F1 and H1 read the flag state of the last sync, not the flags of this run.
     """
     quality = r.data_quality(people, s.as_of).select(F.concat(F.lit("quality:"), "check").alias("step"), F.col("issue_count").alias("cases"))
-    lists = s.batch()
-    lists["C1"] = r.rule_c1(s.scored, s.places)
-    lists["E1"] = r.rule_e1(s.member_of, s.scored).select("ration_card_number").distinct()
-    lists["F1"] = r.rule_f1(s.operators, s.state)
-    alerts = fl.union(*[_step(df, rule) for rule, df in lists.items()])
+    total_of = F.coalesce(F.sum("cases"), F.lit(0).cast("bigint")).alias("cases")
+    people_rules = [df.agg(total_of).select(F.lit(rule).alias("step"), "cases") for rule, df in s.batch().items()]
+    others = {"C1": r.rule_c1(s.scored, s.places, None), "E1": r.overloaded_cards(s.member_of), "F1": r.suspicious_operators(s.operators, s.state)}
+    alerts = fl.union(*people_rules, *[_step(df, rule) for rule, df in others.items()])
     total = alerts.agg(F.sum("cases").alias("cases")).select(F.lit("total_fraud_alerts").alias("step"), "cases")
     return fl.union(quality, _step(s.scored, "scored"), alerts, total)
 

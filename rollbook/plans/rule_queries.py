@@ -11,17 +11,25 @@ from .jobs import run_batch, run_sync
 from .oracle import view
 
 view("named_schemes", "SELECT DISTINCT uid, scheme_name AS scheme FROM schemes")
-view("a1", "SELECT uid, name, dob, age, 95 AS confidence, 'A1_IMPOSSIBLE_AGE' AS rule FROM scored WHERE dob IS NOT NULL AND age > 105 ORDER BY age DESC, uid LIMIT 500")
-view("a2", """SELECT uid, name, dob, age, scheme, 85 AS confidence, 'A2_WRONG_AGE_FOR_SCHEME' AS rule FROM scored JOIN named_schemes USING (uid)
- WHERE dob IS NOT NULL AND age < 58 AND (lower(scheme) LIKE '%old age%' OR lower(scheme) LIKE '%pension%') ORDER BY uid, scheme LIMIT 500""")
-view("a3", """SELECT uid, name, dob, age, scheme, 90 AS confidence, 'A3_CHILD_IN_ADULT_SCHEME' AS rule FROM scored JOIN named_schemes USING (uid)
- WHERE dob IS NOT NULL AND age < 18 AND regexp_matches(lower(scheme), 'widow|pension|employment|mgnregs') ORDER BY uid, scheme LIMIT 500""")
-view("b1", """SELECT p.name AS name1, p.name AS name2, uid1, uid2, dob, gender, f.gp AS shared_gp, 1.0::double AS name_similarity, 92 AS confidence, 'B1_EXACT_DUPLICATE' AS rule
- FROM dup_pairs p LEFT JOIN first_place f ON f.uid = uid1 WHERE dob IS NOT NULL ORDER BY uid1, uid2 LIMIT 500""")
-view("c2", """SELECT uid, name, a.scheme AS scheme_a, b.scheme AS scheme_b, 90 AS confidence, 'C2_SCHEME_CONTRADICTION' AS rule FROM named_schemes a JOIN named_schemes b USING (uid) JOIN scored USING (uid)
+view("a1_all", "SELECT uid, name, dob, age, 95 AS confidence, 'A1_IMPOSSIBLE_AGE' AS rule FROM scored WHERE dob IS NOT NULL AND age > 105")
+view("a1", "SELECT * FROM a1_all ORDER BY age DESC, uid LIMIT 500")
+view("a2_all", """SELECT uid, name, dob, age, scheme, 85 AS confidence, 'A2_WRONG_AGE_FOR_SCHEME' AS rule FROM scored JOIN named_schemes USING (uid)
+ WHERE dob IS NOT NULL AND age < 58 AND (lower(scheme) LIKE '%old age%' OR lower(scheme) LIKE '%pension%')""")
+view("a2", "SELECT * FROM a2_all ORDER BY uid, scheme LIMIT 500")
+view("a3_all", """SELECT uid, name, dob, age, scheme, 90 AS confidence, 'A3_CHILD_IN_ADULT_SCHEME' AS rule FROM scored JOIN named_schemes USING (uid)
+ WHERE dob IS NOT NULL AND age < 18 AND regexp_matches(lower(scheme), 'widow|pension|employment|mgnregs')""")
+view("a3", "SELECT * FROM a3_all ORDER BY uid, scheme LIMIT 500")
+view("b1_all", """SELECT p.name AS name1, p.name AS name2, uid1, uid2, dob, gender, f.gp AS shared_gp, 1.0::double AS name_similarity, 92 AS confidence, 'B1_EXACT_DUPLICATE' AS rule
+ FROM dup_pairs p LEFT JOIN first_place f ON f.uid = uid1 WHERE dob IS NOT NULL""")
+view("b1", "SELECT * FROM b1_all ORDER BY uid1, uid2 LIMIT 500")
+view("c2_all", """SELECT uid, name, a.scheme AS scheme_a, b.scheme AS scheme_b, 90 AS confidence, 'C2_SCHEME_CONTRADICTION' AS rule FROM named_schemes a JOIN named_schemes b USING (uid) JOIN scored USING (uid)
  WHERE a.scheme <> b.scheme AND ((lower(a.scheme) LIKE '%widow%' AND (lower(b.scheme) LIKE '%married%' OR lower(b.scheme) LIKE '%vivah%'))
-  OR (lower(a.scheme) LIKE '%bpl%' AND lower(b.scheme) LIKE '%apl%')) ORDER BY uid, scheme_a, scheme_b LIMIT 50""")
-view("h1", "SELECT uid, name, coalesce(transaction_rows, tran_count_1, 0)::bigint AS trans, 98 AS confidence, 'H1_GHOST_MONETIZATION' AS rule FROM paid_ghosts ORDER BY uid LIMIT 100")
+  OR (lower(a.scheme) LIKE '%bpl%' AND lower(b.scheme) LIKE '%apl%'))""")
+view("c2", "SELECT * FROM c2_all ORDER BY uid, scheme_a, scheme_b LIMIT 50")
+view("h1_all", "SELECT uid, name, coalesce(transaction_rows, tran_count_1, 0)::bigint AS trans, 98 AS confidence, 'H1_GHOST_MONETIZATION' AS rule FROM paid_ghosts")
+view("h1", "SELECT * FROM h1_all ORDER BY uid LIMIT 100")
+view("i1_all", """SELECT a.name AS name1, b.name AS name2, uid1, uid2, member_id AS shared_member_id, 100 AS confidence, 'I1_MEMBER_ID_CONFLICT' AS rule
+ FROM member_pairs JOIN scored a ON a.uid = uid1 JOIN scored b ON b.uid = uid2""")
 view("i1", """SELECT a.name AS name1, b.name AS name2, uid1, uid2, member_id AS shared_member_id, 100 AS confidence, 'I1_MEMBER_ID_CONFLICT' AS rule
  FROM (SELECT * FROM member_pairs ORDER BY uid1, uid2, ration_card_number LIMIT 100) JOIN scored a ON a.uid = uid1 JOIN scored b ON b.uid = uid2""")
 # Bigrams per word, tagged with their occurrence number, so that set overlap is multiset overlap.
@@ -38,8 +46,9 @@ SELECT name1, name2, uid1, uid2, dob, shared_gp, 2.0 * len(list_intersect(x.gram
   (SELECT DISTINCT p.uid, gp_code, gp_name, name, dob, gender FROM places p JOIN scored USING (uid) WHERE dob IS NOT NULL) b
   ON a.gp_code = b.gp_code AND a.dob = b.dob AND a.gender = b.gender AND a.uid < b.uid)
 JOIN gram_sets x ON x.name = name1 JOIN gram_sets y ON y.name = name2""")
-view("b2", """SELECT name1, name2, uid1, uid2, dob, shared_gp, floor(similarity * 100 + 0.5) / 100 AS name_similarity, floor(60 + similarity * 40)::int AS confidence, 'B2_FUZZY_NAME_DUPLICATE' AS rule
- FROM fuzzy_pairs WHERE similarity > 0.82 ORDER BY similarity DESC, uid1, uid2, shared_gp LIMIT 500""")
+view("b2_all", """SELECT similarity, name1, name2, uid1, uid2, dob, shared_gp, floor(similarity * 100 + 0.5) / 100 AS name_similarity, floor(60 + similarity * 40)::int AS confidence, 'B2_FUZZY_NAME_DUPLICATE' AS rule
+ FROM fuzzy_pairs WHERE similarity > 0.82""")
+view("b2", "SELECT * EXCLUDE (similarity) FROM b2_all ORDER BY similarity DESC, uid1, uid2, shared_gp LIMIT 500")
 
 
 @query("r_a1", "SELECT * FROM a1")
@@ -109,11 +118,12 @@ def _(s):
     return r.gp_dob_gender_pairs(s.scored, s.places)
 
 
-view("c1", """
+view("c1_all", """
 SELECT * FROM (SELECT gp_code, gp_name, coalesce(block_name, 'Unknown') AS block, count(*) AS total_citizens, count(*) FILTER (WHERE vulnerability_score >= 60) AS max_risk_count,
  floor(100.0 * count(*) FILTER (WHERE vulnerability_score >= 60) / count(*) + 0.5) / 100 AS concentration_ratio, 75 AS confidence, 'C1_GP_CONCENTRATION_SPIKE' AS rule
  FROM (SELECT DISTINCT uid, gp_code, gp_name, block_name FROM places) JOIN scored USING (uid) GROUP BY 1, 2, 3)
-WHERE total_citizens > 5 AND concentration_ratio > 0.5 ORDER BY concentration_ratio DESC, gp_code LIMIT 30""")
+WHERE total_citizens > 5 AND concentration_ratio > 0.5""")
+view("c1", "SELECT * FROM c1_all ORDER BY concentration_ratio DESC, gp_code LIMIT 30")
 
 
 @query("r_c1", "SELECT * FROM c1")
@@ -187,8 +197,9 @@ def _(s):
     return r.sync_e1(s.member_of)
 
 
-view("f1", """SELECT operator_id, total_registrations, fraud_count, floor(error_rate * 100 + 0.5) / 100 AS fraud_rate, 90 AS confidence, 'F1_OPERATOR_CORRUPTION' AS rule
- FROM bad_operators ORDER BY error_rate DESC, operator_id LIMIT 30""")
+view("f1_all", """SELECT error_rate, operator_id, total_registrations, fraud_count, floor(error_rate * 100 + 0.5) / 100 AS fraud_rate, 90 AS confidence, 'F1_OPERATOR_CORRUPTION' AS rule
+ FROM bad_operators""")
+view("f1", "SELECT * EXCLUDE (error_rate) FROM f1_all ORDER BY error_rate DESC, operator_id LIMIT 30")
 
 
 @query("r_f1", "SELECT * FROM f1")
@@ -210,9 +221,9 @@ view("batch_flags", """
 SELECT uid, rule, coalesce(label, 'Rule ' || rule) AS label, CASE WHEN rule LIKE 'A%' THEN 'GHOST' WHEN rule LIKE 'B%' THEN 'DUPLICATE' ELSE 'ANOMALY' END AS type, confidence,
  coalesce(description, 'Intelligence flag requiring field audit.') AS description, 'batch' AS ruleset FROM (
  SELECT uid, rule, max(confidence) AS confidence FROM (
-  SELECT uid, 'A1' AS rule, confidence FROM a1 UNION ALL SELECT uid, 'A2', confidence FROM a2 UNION ALL SELECT uid, 'A3', confidence FROM a3
-  UNION ALL SELECT uid1, 'B1', confidence FROM b1 UNION ALL SELECT uid1, 'B2', confidence FROM b2 UNION ALL SELECT uid, 'C2', confidence FROM c2
-  UNION ALL SELECT uid, 'H1', confidence FROM h1 UNION ALL SELECT uid1, 'I1', confidence FROM i1) GROUP BY 1, 2)
+  SELECT uid, 'A1' AS rule, confidence FROM a1_all UNION ALL SELECT uid, 'A2', confidence FROM a2_all UNION ALL SELECT uid, 'A3', confidence FROM a3_all
+  UNION ALL SELECT uid1, 'B1', confidence FROM b1_all UNION ALL SELECT uid1, 'B2', confidence FROM b2_all UNION ALL SELECT uid, 'C2', confidence FROM c2_all
+  UNION ALL SELECT uid, 'H1', confidence FROM h1_all UNION ALL SELECT uid1, 'I1', confidence FROM i1_all) GROUP BY 1, 2)
 LEFT JOIN (VALUES """ + ", ".join("('{}', '{}', '{}')".format(a, b.replace("'", "''"), c.replace("'", "''")) for a, b, c in fl.RULE_METADATA) + ") AS m(rule, label, description) USING (rule)")
 
 
@@ -228,18 +239,18 @@ def _(s):
     return fl.apply_flags(s.state, s.batch_flags)
 
 
-@query("run_2", "SELECT operator_id, fraud_rate, fraud_rate IS NOT NULL AS is_suspicious FROM (SELECT DISTINCT operator_id FROM operators) LEFT JOIN f1 USING (operator_id)")
+@query("run_2", "SELECT operator_id, fraud_rate, fraud_rate IS NOT NULL AS is_suspicious FROM (SELECT DISTINCT operator_id FROM operators) LEFT JOIN f1_all USING (operator_id)")
 def _(s):
     return fl.persist_operators(s.operators, r.rule_f1(s.operators, s.state, None))
 
 
 @query("run_3", """
 SELECT 'quality:' || "check" AS step, issue_count AS cases FROM quality UNION ALL SELECT 'scored', count(*) FROM scored
-UNION ALL SELECT 'A1', count(*) FROM a1 UNION ALL SELECT 'A2', count(*) FROM a2 UNION ALL SELECT 'A3', count(*) FROM a3
-UNION ALL SELECT 'B1', count(*) FROM b1 UNION ALL SELECT 'B2', count(*) FROM b2 UNION ALL SELECT 'C1', count(*) FROM c1 UNION ALL SELECT 'C2', count(*) FROM c2
-UNION ALL SELECT 'E1', count(DISTINCT ration_card_number) FROM e1 UNION ALL SELECT 'F1', count(*) FROM f1 UNION ALL SELECT 'H1', count(*) FROM h1 UNION ALL SELECT 'I1', count(*) FROM i1
-UNION ALL SELECT 'total_fraud_alerts', (SELECT count(*) FROM a1) + (SELECT count(*) FROM a2) + (SELECT count(*) FROM a3) + (SELECT count(*) FROM b1) + (SELECT count(*) FROM b2)
- + (SELECT count(*) FROM c1) + (SELECT count(*) FROM c2) + (SELECT count(DISTINCT ration_card_number) FROM e1) + (SELECT count(*) FROM f1) + (SELECT count(*) FROM h1) + (SELECT count(*) FROM i1)""")
+UNION ALL SELECT 'A1', count(*) FROM a1_all UNION ALL SELECT 'A2', count(*) FROM a2_all UNION ALL SELECT 'A3', count(*) FROM a3_all
+UNION ALL SELECT 'B1', count(*) FROM b1_all UNION ALL SELECT 'B2', count(*) FROM b2_all UNION ALL SELECT 'C1', count(*) FROM c1_all UNION ALL SELECT 'C2', count(*) FROM c2_all
+UNION ALL SELECT 'E1', count(*) FROM big_cards UNION ALL SELECT 'F1', count(*) FROM f1_all UNION ALL SELECT 'H1', count(*) FROM h1_all UNION ALL SELECT 'I1', count(*) FROM i1_all
+UNION ALL SELECT 'total_fraud_alerts', (SELECT count(*) FROM a1_all) + (SELECT count(*) FROM a2_all) + (SELECT count(*) FROM a3_all) + (SELECT count(*) FROM b1_all) + (SELECT count(*) FROM b2_all)
+ + (SELECT count(*) FROM c1_all) + (SELECT count(*) FROM c2_all) + (SELECT count(*) FROM big_cards) + (SELECT count(*) FROM f1_all) + (SELECT count(*) FROM h1_all) + (SELECT count(*) FROM i1_all)""")
 def _(s):
     return run_batch(s, raw_people(s))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rollbook.functions.dates import age_calendar, age_years, derive_age, iso_date, parse_dob
 from rollbook.functions.ranking import first_pairs, top_per_group
 from rollbook.functions.text import bigrams, contains_join, dice
+from rollbook.operators import flags as fl
 from rollbook.operators import rules as r
 
 
@@ -83,6 +84,30 @@ def test_fuzzy_pairs_equal_brute_force(spark):
     for k in (5, 40, 10000):
         got = {(x.uid1, x.uid2) for x in r.rule_b2(cit, res, k).collect()}
         assert got == {(a, b) for _, a, b in sorted(want)[:k]}
+    best: dict[str, int] = {}
+    for neg, a, _ in want:
+        best[a] = max(best.get(a, 0), int(60 - neg * 40))
+    hits = r.hits_b2(cit, res).collect()
+    assert sum(x.cases for x in hits) == len(want)
+    found: dict[str, int] = {}
+    for x in hits:
+        found[x.uid] = max(found.get(x.uid, 0), x.confidence)
+    assert found == best
+
+
+def test_flags_of_more_hits_than_a_report_shows(spark):
+    """600 copies of one person, all too old and on one member id: every one is flagged, all but the last by the pair rules."""
+    people = [(f"U{i:04d}", "A B", "1900-01-02", "F", 124, True, False, 1) for i in range(600)]
+    cit = spark.createDataFrame(people, "uid string, name string, dob string, gender string, age int, is_ghost_flag boolean, is_dup_flag boolean, transaction_rows int")
+    cit = cit.withColumn("tran_count_1", F.lit(0)).withColumn("tran_count_2", F.lit(0))
+    each = cit.select("uid")
+    schemes = each.withColumn("scheme_name", F.lit("Widow"))
+    member = each.select("uid", F.lit("R1").alias("ration_card_number"), F.lit("M1").alias("member_id"))
+    hits = fl.batch_results(cit, schemes, each.select("uid", F.lit("1").alias("gp_code"), F.lit("GP").alias("gp_name")), member, cit)
+    got = {x.rule: x.n for x in fl.persist_flags(hits).groupBy("rule").agg(F.count("*").alias("n")).collect()}
+    assert got == {"A1": 600, "H1": 600, "B1": 599, "B2": 599, "I1": 599}
+    for rule in ("B1", "B2", "I1"):
+        assert hits[rule].agg(F.sum("cases")).first()[0] == 600 * 599 // 2
 
 
 def test_clusters_stand_for_all_pairs(spark):
