@@ -126,9 +126,8 @@ def _(s):
 def _(s):
     source, target = run_dir(s, "review-files"), run_dir(s, "latest-reviews")
     rows = reviews(s).withColumn("reviewed_at", F.col("reviewed_at").cast("timestamp"))
-    rows.repartitionByRange(4, "reviewed_at").write.parquet(source)
-    # one batch: files of a folder have no order in time, and a late file would fall behind the watermark
-    jobs.stream_reviews(jobs.file_stream(s.spark, source, rows.schema), target, f"{target}-checkpoint")
+    rows.repartition(3, "review_id").write.parquet(source)
+    jobs.stream_reviews(jobs.file_stream(s.spark, source, rows.schema, files=1), target, f"{target}-checkpoint")
     return sinks.read_current(s.spark, target).select("decision_id", "review_id", "action")
 
 
@@ -140,8 +139,8 @@ FROM (SELECT rule, date_trunc('day', strptime(detected_at, '%Y-%m-%d %H:%M:%S'))
 def recent(s, span: str):
     source, target = run_dir(s, "flag-files"), run_dir(s, f"recent-{span}")
     rows = s.flags.select("entity_id", "rule", F.col("detected_at").cast("timestamp").alias("detected_at"))
-    rows.repartition(4).write.parquet(source)
-    jobs.stream_recent_flags(jobs.file_stream(s.spark, source, rows.schema), target, f"{target}-checkpoint", span)
+    rows.repartition(3, "entity_id").write.parquet(source)
+    jobs.stream_recent_flags(jobs.file_stream(s.spark, source, rows.schema, files=1), target, f"{target}-checkpoint", span)
     return sinks.read_current(s.spark, target).select("window_start", "window_end", "rule", "flags")
 
 

@@ -59,9 +59,8 @@ def stream_signals(observations: DataFrame, target: str, checkpoint: str) -> Non
     run_available(observations, each, checkpoint)
 
 
-def stream_reviews(reviews: DataFrame, target: str, checkpoint: str, delay: str = "1 day") -> None:
-    """Latest review per decision; a review delivered twice within the delay counts once."""
-    unique = reviews.withWatermark("reviewed_at", delay).dropDuplicatesWithinWatermark(["review_id"])
+def stream_reviews(reviews: DataFrame, target: str, checkpoint: str) -> None:
+    """Latest review per decision, however late it comes; a review delivered twice changes nothing."""
     latest = F.struct("reviewed_at", "review_id")
 
     def newest(df: DataFrame) -> DataFrame:
@@ -74,19 +73,28 @@ def stream_reviews(reviews: DataFrame, target: str, checkpoint: str, delay: str
             now = newest(now.unionByName(old))
         upsert_into(now, target, ["decision_id"], batch_id)
 
-    run_available(unique, each, checkpoint)
+    run_available(reviews, each, checkpoint)
 
 
-def window_counts(flags: DataFrame, length: str, slide: str = "1 day", delay: str = "2 days") -> DataFrame:
-    """Flags per rule in sliding windows; rows older than the watermark are dropped."""
-    w = flags.withWatermark("detected_at", delay).groupBy(F.window("detected_at", length, slide), "rule").agg(F.count("*").alias("flags"))
+def window_counts(flags: DataFrame, length: str, slide: str = "1 day") -> DataFrame:
+    """Flags per rule in sliding windows."""
+    w = flags.groupBy(F.window("detected_at", length, slide), "rule").agg(F.count("*").alias("flags"))
     return w.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "rule", "flags")
 
 
 def stream_recent_flags(flags: DataFrame, target: str, checkpoint: str, span: str = "24H") -> None:
-    """Sliding flag counts kept up to date per (rule, window)."""
+    """Sliding flag counts kept up to date per (rule, window); a late flag adds to its old windows."""
     keys = ["rule", "window_start", "window_end"]
-    run_available(window_counts(flags, WINDOWS[span]), lambda b, i: upsert_into(b, target, keys, i), checkpoint, "update")
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        now = window_counts(batch, WINDOWS[span])
+        old = read_current(batch.sparkSession, target, batch_id)
+        if old is not None:
+            touched = old.join(now.select(*keys), keys, "left_semi").select(*now.columns)
+            now = now.unionByName(touched).groupBy(*keys).agg(F.sum("flags").alias("flags"))
+        upsert_into(now, target, keys, batch_id)
+
+    run_available(flags, each, checkpoint)
 
 
 __all__ = ["file_stream", "run_available", "stream_recent_flags", "stream_reviews", "stream_signals", "stream_sync", "upsert", "window_counts"]

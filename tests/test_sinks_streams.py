@@ -59,7 +59,7 @@ def test_sync_goes_on_where_it_stopped(spark, tmp_path):
     assert {(r.enrollment_key, r.v) for r in sinks.read_current(spark, dst).collect()} == {("a", "old"), ("b", "new"), ("c", "new")}
 
 
-def test_late_flags_are_dropped(spark, tmp_path):
+def test_late_flags_are_kept(spark, tmp_path):
     src, dst, cp = (str(tmp_path / x) for x in ("src", "dst", "cp"))
     def put(rows):
         df = spark.createDataFrame(rows, "entity_id string, rule string, t string").select("entity_id", "rule", F.col("t").cast("timestamp").alias("detected_at"))
@@ -71,7 +71,9 @@ def test_late_flags_are_dropped(spark, tmp_path):
     put([("c", "A1", "2024-01-10 03:00:00"), ("d", "A1", "2024-01-02 00:00:00")])
     run()
     got = {(str(r.window_start), r.flags) for r in sinks.read_current(spark, dst).collect()}
-    assert got == {("2024-01-10 00:00:00", 3)}
+    assert got == {("2024-01-10 00:00:00", 3), ("2024-01-02 00:00:00", 1)}
+    run()
+    assert {(str(r.window_start), r.flags) for r in sinks.read_current(spark, dst).collect()} == got
 
 
 def test_reviews_delivered_twice_count_once(spark, tmp_path):
