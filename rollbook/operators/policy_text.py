@@ -93,11 +93,11 @@ def scheme_from_filename(c: Column) -> Column:
 def scheme_from_text(docs: DataFrame, known: list[str]) -> DataFrame:
     """Best scheme code per document: three points per hit, one when a known code is contained.
 
-    ``known`` is the scheme catalog, at most 2000 codes. Ties go to the code seen first.
+    ``known`` is the whole scheme catalog. Ties go to the code seen first.
     """
     upper = F.upper(clean_text(F.col("text")))
     hits = F.regexp_extract_all(upper, F.lit(CODE_IN_TEXT), F.lit(0))
-    catalog = F.array(*[F.lit(k) for k in sorted(known)[:2000]])
+    catalog = F.array(*[F.lit(k) for k in sorted(known)])
     rows = docs.select("doc_id", upper.alias("u"), hits.alias("hits")).withColumn("known", F.filter(catalog, lambda k: F.contains(F.col("u"), k)))
     codes = F.array_distinct(F.concat("hits", "known"))
     scored = F.transform(
