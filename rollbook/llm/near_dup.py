@@ -8,12 +8,12 @@ shingles. Registers are banded; candidates are verified by the Jaccard of their
 
 Equal texts are one node. In a band bucket of up to ``ALL_PAIRS`` nodes every pair is a candidate;
 in a larger one every node meets ``PIVOTS`` pivots of each of its buckets, and where a large bucket
-then still holds several classes, the nodes outside its largest class meet ``CLOSING`` more. The
-members of large buckets that hold several classes even so are banded again by longer bands over
-minima of their shingle sets (``FINER``: as likely to meet at 0.8, far less below), each round with
-pivots of its own. No row is dropped and no group is gathered; a class needs enough links to hold
-together, not all its pairs. A text that is near only few others of a large bucket could still stay
-apart if it meets none of them in a small bucket of any round.
+then still holds several classes, the nodes outside its largest class meet ``CLOSING`` more. Large
+buckets that hold several classes even so are decided exactly: those that share nodes are one group,
+and in a group every node outside the largest class is compared with every node of another class,
+block by block of shingle sets. So two texts that share a band are compared or are of one class
+already. No row is dropped and no group is gathered; a task holds two blocks. The comparison is
+quadratic in the nodes outside the largest class of a group.
 
 Shingle sets are taken in the pass that sketches, so texts are never shuffled; joins that carry sets
 are merge joins at every size, since both sides grow with the input.
@@ -34,8 +34,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 ALL_PAIRS, PIVOTS, CLOSING = 24, 2, 4
-#: (registers of a band, bands) of the later rounds: a pair at 0.8 shares no band once in 20,000 times.
-FINER = [(8, 56), (12, 144)]
+#: Bytes of the shingle sets in a block of undecided nodes, about.
+BLOCK_BYTES = 2 << 20
 #: Documents whose arrivals are drawn together.
 TOGETHER = 400
 
@@ -159,26 +159,61 @@ def _sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, "k long, t string, keys array<long>, set binary")
 
 
-def finer_bands(sets: DataFrame, rows: int, bands: int) -> DataFrame:
-    """(k, root, band) of ``sets`` (k, set, root): bands of ``rows`` minima of the hashed shingles, which agree with the Jaccard of the sets."""
+def links_between(sets: list[np.ndarray], roots: np.ndarray, left: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links (i, j) that join the classes ``roots`` as all alike pairs of a ``left`` set and any other would."""
+    if not len(sets):
+        return []
+    size = np.array([len(x) for x in sets])
+    order = np.argsort(size, kind="stable")
+    size, label, left = size[order], np.unique(roots, return_inverse=True)[1][order], left[order]
+    codes = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)[1]
+    starts = np.concatenate([[0], np.cumsum(size)])
+    held = np.zeros(int(codes.max()) + 1, np.uint8)
+    out = []
+    for i in np.flatnonzero(left):
+        # sizes between which a pair can be alike, one wider on both sides
+        lo, hi = np.searchsorted(size, [size[i] * similarity - 1, size[i] / similarity + 1])
+        if (label[lo:hi] == label[i]).all():
+            continue
+        own = codes[starts[i] : starts[i + 1]]
+        held[own] = 1
+        shared = np.add.reduceat(held[codes[starts[lo] : starts[hi]]], starts[lo:hi] - starts[lo], dtype=np.int64)
+        held[own] = 0
+        for j in lo + np.flatnonzero(shared / (size[i] + size[lo:hi] - shared) >= similarity):
+            if label[j] != label[i]:
+                out.append((int(order[i]), int(order[j])))
+                label[label == label[j]] = label[i]
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, TOGETHER):
-                some = b.slice(lo, TOGETHER)
-                own = [np.frombuffer(x, "<u4") for x in some.column(1).to_pylist()]  # none is empty
-                element = np.concatenate(own).astype(np.uint64)
-                starts = np.cumsum([0] + [len(x) for x in own[:-1]])
-                keys = np.zeros((len(own), bands), np.uint64)
-                for j in range(bands):
-                    h = np.full(len(own), np.uint64(j + 1))
-                    for r in range(rows):
-                        seed = np.uint64((j * rows + r + 1) * int(M3) % 2**64)
-                        h = mix(h * M1 + np.minimum.reduceat(mix(element + seed), starts))
-                    keys[:, j] = h
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], ["k", "root", "keys"])
 
-    return sets.select("k", "set", "root").mapInArrow(run, "k long, root long, keys array<long>").select("k", "root", F.explode("keys").alias("band"))
+def _exact(split: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join the classes in groups of the large buckets ``split`` as all alike pairs in them would.
+
+    A group's nodes outside its largest class lie in blocks 0 to n_out - 1, the others in the blocks
+    after; each two blocks, one of them with nodes outside, are compared in a task of their own.
+    """
+    least = split.groupBy("band").agg(F.min("k").alias("b"))
+    joined = components(split.join(least, "band").select(F.col("k").alias("a"), "b")).withColumnRenamed("root", "g")
+    nodes = split.select("k", "root").distinct().join(joined, "k", "left").withColumn("g", F.coalesce("g", "k"))
+    nodes = stored(nodes.join(sets.hint("merge"), "k").select("g", "k", "root", "set", F.length("set").alias("bytes")), "undecided")
+    by_class = nodes.groupBy("g", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = lambda c: F.ceil(c / BLOCK_BYTES).cast("int")
+    top = F.max(F.struct("n", "root", "bytes"))
+    sized = by_class.groupBy("g").agg(top.alias("t"), F.sum("bytes").alias("all")).select(
+        "g", F.col("t.root").alias("top"), blocks(F.col("all") - F.col("t.bytes")).alias("n_out"), blocks(F.col("t.bytes")).alias("n_top")).where("n_out > 0")
+    out, number = F.col("root") != F.col("top"), F.xxhash64("k")
+    block = F.when(out, F.pmod(number, F.col("n_out"))).otherwise(F.col("n_out") + F.pmod(number, F.col("n_top"))).cast("int")
+    met = F.sequence(F.lit(0), F.when(out, F.col("n_out") + F.col("n_top")).otherwise(F.col("n_out")) - 1)
+    placed = nodes.join(sized, "g").select("g", "k", "root", "set", out.alias("outside"), block.alias("own"), F.explode(met).alias("other"))
+    tasks = placed.select("g", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "k", "root", "set", (F.col("outside") & (F.col("own") <= F.col("other"))).alias("first"))
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        own = [np.frombuffer(x, "<u4") for x in part["set"]]
+        found = links_between(own, part["root"].to_numpy(), part["first"].to_numpy(), similarity)
+        k = part["k"].to_numpy()
+        return pd.DataFrame([sorted((int(k[i]), int(k[j]))) for i, j in found], columns=["a", "b"], dtype="int64")
+
+    return tasks.groupBy("g", "x", "y").applyInPandas(compare, "a long, b long")
 
 
 @F.pandas_udf(T.DoubleType())
@@ -248,10 +283,10 @@ def _meet(members: DataFrame, pivots: DataFrame) -> DataFrame:
     return members.join(pivots, "band").where(F.col("root") != F.col("p.root")).select(*_pairs(F.col("k"), F.col("p.k")))
 
 
-def _to_classes(split: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b) of the nodes outside the largest class of a bucket with ``most`` pivots of that class and PIVOTS of the others."""
+def _to_classes(split: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the nodes outside the largest class of a bucket with CLOSING pivots of that class and PIVOTS of the others."""
     outside = split.where("root <> top").select("band", "k", "root")
-    inside = _pivots(split.where("root = top"), range(PIVOTS, PIVOTS + most))
+    inside = _pivots(split.where("root = top"), range(PIVOTS, PIVOTS + CLOSING))
     every = _pivots(outside, range(PIVOTS + CLOSING, PIVOTS + CLOSING + PIVOTS))
     return _meet(outside, inside.unionByName(every))
 
@@ -297,18 +332,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
 
     split = _split(large.drop("root").join(roots, "k"))
     if not split.isEmpty():
-        roots = _joined(roots, verified(_to_classes(split, CLOSING), sets, similarity))
-    for rows, bands in FINER:
+        roots = _joined(roots, verified(_to_classes(split), sets, similarity))
         split = _split(large.drop("root").join(roots, "k"))
-        if split.isEmpty():
-            break
-        own = sets.join(split.select("k", "root").distinct().hint("merge"), "k")
-        again = stored(finer_bands(own, rows, bands), "finer")
-        mixed = again.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "n")
-        met = stored(again.join(mixed, "band").select("band", "k", "root", "n"), "buckets")
-        large = met.where(F.col("n") > ALL_PAIRS).select("band", "k", "root")
-        pairs = _inside(met).unionByName(_to_classes(_split(large), PIVOTS))
-        roots = _joined(roots, verified(pairs, sets, similarity))
+    if not split.isEmpty():
+        roots = _joined(roots, _exact(split, sets, similarity))
 
     of_text = texts.join(roots, "k", "left").select("t", F.coalesce("root", "k").alias("class_id"))
     return sketch.select("t", F.col("k").alias(key)).join(of_text, "t").select(key, "class_id")

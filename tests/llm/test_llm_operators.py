@@ -267,6 +267,20 @@ def test_near_duplicates(spark, docs, rows, empty):
     assert near_dup.classes(empty).count() == 0 and near_dup.representatives(empty).count() == 0
 
 
+def test_copies_that_are_alike_only_by_their_base(spark):
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(300)]
+    data = [(5000, " ".join(base))]
+    for i in range(2000):
+        edited = {int(x) * 5 + 2 for x in rng.choice(60, 5, replace=False)}  # copy and base 271 / 321, two copies mostly 246 / 346
+        data.append((i, " ".join(f"c{i}x{j}" if j in edited else w for j, w in enumerate(base))))
+    sets = [word_shingles(t) for _, t in data[:40]]
+    assert all(len(word_shingles(data[0][1]) & s) / len(word_shingles(data[0][1]) | s) >= 0.8 for s in sets)
+    assert np.median([len(a & b) / len(a | b) for a in sets[1:] for b in sets[1:] if a is not b]) < 0.78
+    got = near_dup.classes(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert len(got) == 2001 and {r.class_id for r in got} == {0}
+
+
 def test_probminhash_estimates():
     a, b = [f"w{i}" for i in range(400)], [f"w{i}" for i in range(100, 500)]
     d, e, w = near_dup.shingles([" ".join(a), " ".join(b)])
