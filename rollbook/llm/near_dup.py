@@ -1,10 +1,11 @@
 """Near-duplicate classes by ProbMinHash, banding and verification.
 
-Each shingle of a document sends the arrivals of a Poisson process whose rate is its count; an
-arrival falls into a random register, and a register keeps its earliest. A shingle stops as soon as
-its next arrival is later than every register, so a document costs about its shingles plus
-m ln m arrivals. Two documents agree in a register with the probability Jaccard of their weighted
-shingles. Registers are banded; candidates are verified by the Jaccard of their shingle sets.
+Each shingle of a document sends the arrivals of a Poisson process of its weight; an arrival falls
+into a random register, and a register keeps its earliest. A shingle stops as soon as its next
+arrival is later than every register, so a document costs about its shingles plus m ln m arrivals.
+Two documents agree in a register with the probability Jaccard of their weighted shingles. Here
+every distinct shingle weighs one, however often it repeats: likeness is the Jaccard of the shingle
+sets, in the sketches as in the verification of the candidates that the banded registers give.
 
 Equal texts are one node. In a band bucket of up to ``ALL_PAIRS`` nodes every pair is a candidate;
 in a larger one every node meets ``PIVOTS`` pivots of each of its buckets, and where a large bucket
@@ -143,8 +144,8 @@ def _sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
                     if k is not None and (j is None or k < ids[j]):
                         least[h] = i
                 chosen = sorted(least.values())
-                doc, element, weight = shingles([texts[i] or "" for i in chosen])
-                keys = band_keys(signatures(len(chosen), doc, element, weight)).view(np.int64)
+                doc, element, _ = shingles([texts[i] or "" for i in chosen])
+                keys = band_keys(signatures(len(chosen), doc, element, np.ones(len(doc)))).view(np.int64)
                 small = (element >> np.uint64(32)).astype("<u4")  # sorted, as the whole hashes are
                 cuts = np.searchsorted(doc, np.arange(len(chosen) + 1))
                 key_col: list = [None] * some.num_rows

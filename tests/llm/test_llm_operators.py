@@ -281,6 +281,15 @@ def test_copies_that_are_alike_only_by_their_base(spark):
     assert len(got) == 2001 and {r.class_id for r in got} == {0}
 
 
+def test_repeated_lines_do_not_hide_near_copies(spark):
+    data = []
+    for i in range(20):
+        text, line = [" ".join(f"{c}{i}x{j}" for j in range(n)) for c, n in (("a", 400), ("l", 10))]
+        data += [(2 * i, f"{text} {line}"), (2 * i + 1, " ".join([text, *[line] * 100]))]
+    got = {r.doc_id: r.class_id for r in near_dup.classes(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {k: k // 2 * 2 for k, _ in data}
+
+
 def test_probminhash_estimates():
     a, b = [f"w{i}" for i in range(400)], [f"w{i}" for i in range(100, 500)]
     d, e, w = near_dup.shingles([" ".join(a), " ".join(b)])
