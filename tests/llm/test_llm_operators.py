@@ -235,6 +235,43 @@ def test_sentence_spans(docs, rows, empty):
     assert len(got) == len(rows) and sentence_spans.dedup(empty).count() == 0
 
 
+def covered_words(texts):
+    """Per text, the numbers of the words that repeated runs cover."""
+    first, gone = {}, [set() for _ in texts]
+    for k, t in enumerate(texts):
+        at = np.cumsum([0, *(len(w) for _, _, w in sentence_spans.sentences(t))])
+        for h, p in sentence_spans.runs(t)[0]:
+            i, n = p >> 24, p >> 16 & 255
+            if first.setdefault((h, p & 0xFFFF), (k, i)) != (k, i):
+                gone[k].update(range(at[i], at[i + n]))
+    return gone
+
+
+def test_shared_passages_are_found_wherever_they_lie():
+    rng = np.random.default_rng(12)
+    words = lambda name, n: [f"{name}x{i}" for i in range(n)]
+    for case in range(200):  # a plain search for 51 equal words finds each of these
+        shared = [WORDS[rng.integers(len(WORDS))] for _ in range(51)] if case % 2 else words(f"s{case}", 51)
+        texts = [" ".join([*words(f"{c}{case}", int(rng.integers(0, 40))), *shared, *words(f"{c}{case}end", int(rng.integers(0, 40)))]) for c in "pq"]
+        lead = len(texts[1].split()) if not case % 2 else 0
+        gone = covered_words(texts)
+        assert not gone[0] or case % 2
+        assert len(gone[1]) >= 15, case
+        if lead:
+            at = texts[1].split().index(shared[0])
+            assert gone[1] <= set(range(at, at + 51)), case
+    assert max(len(w) for _, _, w in sentence_spans.sentences("spam " * 500 + "a b " * 300)) <= 8
+    assert covered_words(["x " + "a b c " * 40, "y z " + "a b c " * 40])[1]
+
+
+def test_sentence_ends():
+    parts = lambda t: [t[lo:hi] for lo, hi, _ in sentence_spans.sentences(t)]
+    assert parts('He said "stop." Then (yes!) he\xa0left.[1] Now?') == ['He said "stop." ', "Then (yes!) ", "he\xa0left.[1] Now?"]
+    assert parts("これは文です。次の文。」終わり！end") == ["これは文です。", "次の文。」", "終わり！", "end"]
+    assert parts("OK.次 3.14 a.b") == ["OK.", "次 3.14 a.b"]
+    assert "".join(parts("." * 50_000 + "x\n\n y... z")) == "." * 50_000 + "x\n\n y... z"
+
+
 def word_shingles(t):
     w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
