@@ -111,10 +111,14 @@ def chunks(docs: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP)
     return out.select("doc_id", F.inline(numbered))
 
 
-def triplet_windows(chunk_rows: DataFrame) -> DataFrame:
-    """Text windows for triplet extraction: the first chunks, cut at line ends when long."""
-    first = chunk_rows.where(F.col("chunk_index") < WINDOW_CHUNKS)
-    text = first.groupBy("doc_id").agg(
+def triplet_windows(chunk_rows: DataFrame, whole: bool = False) -> DataFrame:
+    """Text windows for triplet extraction: the first chunks, cut at line ends when long.
+
+    With ``whole``, all chunks, in consecutive windows of as many chunks that are numbered in ``window``.
+    """
+    keys = ["doc_id", "window"] if whole else ["doc_id"]
+    rows = chunk_rows.withColumn("window", F.floor(F.col("chunk_index") / WINDOW_CHUNKS).cast("int")) if whole else chunk_rows.where(F.col("chunk_index") < WINDOW_CHUNKS)
+    text = rows.groupBy(*keys).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "\n").alias("t")
     )
     empty = F.struct(F.lit("").alias("cur"), F.array().cast("array<string>").alias("parts"))
@@ -128,8 +132,8 @@ def triplet_windows(chunk_rows: DataFrame) -> DataFrame:
 
     parts = F.aggregate(F.split("t", "\n"), empty, add, lambda acc: F.when(acc["cur"] != "", F.concat(acc["parts"], F.array(acc["cur"]))).otherwise(acc["parts"]))
     long = F.length("t") > PART_CHARS
-    rows = text.select("doc_id", long.alias("long"), F.when(long, parts).otherwise(F.array("t")).alias("p"))
-    return rows.select("doc_id", F.when(F.col("long"), 5).otherwise(20).alias("max_triplets"), F.posexplode("p").alias("part", "text"))
+    rows = text.select(*keys, long.alias("long"), F.when(long, parts).otherwise(F.array("t")).alias("p"))
+    return rows.select(*keys, F.when(F.col("long"), 5).otherwise(20).alias("max_triplets"), F.posexplode("p").alias("part", "text"))
 
 
 # --- vectors -----------------------------------------------------------------------------------

@@ -61,7 +61,7 @@ def _(s):
 
 @query("doc_3")
 def _(s):
-    return d.triplet_windows(stored_chunks(s))
+    return d.triplet_windows(stored_chunks(s), whole=True)
 
 
 # --- entity graph ------------------------------------------------------------------------------

@@ -79,6 +79,14 @@ def test_windows(spark):
     assert all(len(r.text) <= 4001 for r in rows)
 
 
+def test_windows_of_the_whole_text(spark):
+    long = [(1, i, f"{i} " + "x" * 900 + "\n" + "y" * 100) for i in range(32)] + [(2, 0, "short")]
+    rows = d.triplet_windows(spark.createDataFrame(long, "doc_id long, chunk_index int, text string"), whole=True).orderBy("doc_id", "window", "part").collect()
+    of = lambda w: "".join(r.text for r in rows if (r.doc_id, r.window) == (1, w)).rstrip("\n")
+    assert [of(w) for w in range(4)] == ["\n".join(t for k, i, t in long if k == 1 and i // 10 == w) for w in range(4)]
+    assert [(r.window, r.part, r.max_triplets, r.text) for r in rows if r.doc_id == 2] == [(0, 0, 20, "short")]
+
+
 def test_confidence(spark):
     answers = spark.createDataFrame([(1, "x" * 250, True), (2, "short", False), (3, "none", False)], "answer_id long, answer string, graph_used boolean")
     hits = spark.createDataFrame([(1, 1, 0.92), (1, 2, 0.87), (1, 3, 0.81), (2, 1, 0.12)], "answer_id long, rn int, score double")
