@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, fingerprint, html_text, language, mixing, near_dup, sentence_spans, suffix_dedup, token_files
+from . import chat, decontaminate, fingerprint, html_text, language, merkle, mixing, near_dup, sentence_spans, suffix_dedup, token_files
 from .common import scratch, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,45 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_fingerprints")
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+#: Levels of a language's tree, or of the tree of subroots, that the comparison SQL follows: 8 ** 8 leaves.
+MERKLE_LEVELS = 8
+
+
+def _merkle_sql() -> str:
+    """The tree level by level: a group with one node left keeps it; every leaf carries its proof and its tampered fold along."""
+    def field(c: str) -> str:
+        return f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(cast({c} AS varchar))) || ':' || cast({c} AS varchar) END"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join([*[field(c) for c in merkle.FIELDS[:-1]], field(text)]) + ")"
+
+    lowered = f"translate(text, '{merkle.UPPER}', '{merkle.LOWER}')"
+    parts = [f"""WITH crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) r(i))),
+r AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {leaf('text')} AS leaf, {leaf(lowered)} AS changed,
+  xor(list_reduce(list_transform(range(1, length(cast(doc_id AS varchar)) + 1), lambda p: cast(ascii(substr(cast(doc_id AS varchar), p, 1)) AS bigint)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) % 3 = 0 AS hit FROM documents, crc),
+d0 AS (SELECT row_number() OVER () AS id, doc_id, g, leaf, leaf AS node, CASE WHEN coalesce(hit, false) THEN changed ELSE leaf END AS folded, '' AS proof, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM r),
+n0 AS (SELECT g, pos, leaf AS node FROM d0)"""]
+
+    def level(d: str, n: str, out: int, key: str) -> str:
+        run = f"PARTITION BY {key}, pos // 8 ORDER BY pos"
+        return f"""m{out} AS (SELECT *, count(*) OVER (PARTITION BY {key}) AS cnt, coalesce(string_agg(node, '') OVER ({run} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lo, coalesce(string_agg(node, '') OVER ({run} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS hi FROM {n}),
+d{out} AS (SELECT d.* EXCLUDE (pos, proof, folded), d.proof || CASE WHEN cnt > 1 THEN lo || hi ELSE '' END AS proof, CASE WHEN cnt > 1 THEN sha256(lo || d.folded || hi) ELSE d.folded END AS folded, d.pos // 8 AS pos FROM {d} d JOIN m{out} m ON d.{key} = m.{key} AND d.pos = m.pos),
+n{out} AS (SELECT {key}, pos // 8 AS pos, CASE WHEN max(cnt) > 1 THEN sha256(string_agg(node, '' ORDER BY pos)) ELSE max(node) END AS node FROM m{out} GROUP BY {key}, pos // 8)"""
+
+    for k in range(MERKLE_LEVELS):
+        parts.append(level(f"d{k}", f"n{k}", k + 1, "g"))
+    k = MERKLE_LEVELS
+    parts.append(f"s AS (SELECT 0 AS w, g, node, row_number() OVER (ORDER BY g) - 1 AS pos FROM n{k})")
+    parts.append(f"e0 AS (SELECT d.* EXCLUDE (pos), s.node AS subroot, 0 AS w, s.pos FROM d{k} d JOIN s USING (g))")
+    d, n = "e0", "s"
+    for i in range(MERKLE_LEVELS):
+        parts.append(level(d, n, k + 1 + i, "w"))
+        d, n = f"d{k + 1 + i}", f"n{k + 1 + i}"
+    return ",\n".join(parts) + f"\nSELECT doc_id, leaf, subroot, root.node AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root.node AS verified FROM {d}, {n} root"
+
+
+@query("op11_merkle_manifest", _merkle_sql())
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.Manifest(table(spark, sf_dir, "documents")).proofs()
