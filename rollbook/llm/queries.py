@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, fingerprint, html_text, language, merkle, mixing, near_dup, sentence_spans, suffix_dedup, token_files
+from . import chat, decontaminate, fingerprint, html_text, language, merkle, mixing, near_dup, phrases, sentence_spans, suffix_dedup, token_files
 from .common import scratch, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,25 @@ n{out} AS (SELECT {key}, pos // 8 AS pos, CASE WHEN max(cnt) > 1 THEN sha256(str
 @query("op11_merkle_manifest", _merkle_sql())
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.Manifest(table(spark, sf_dir, "documents")).proofs()
+
+
+OP13_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m),
+f AS (SELECT lang, m, phrase, cast(count(*) AS hugeint) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+t AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+k AS (SELECT lang, m, phrase, a, w, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT k.lang, k.phrase, k.a, k.k, x.f AS l, y.f AS r, (2000000 * k.a) // (x.f + y.f) AS score
+ FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.w[1:k.k], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.w[k.k + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, array_to_string(w[s:s + j - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT lang, m, w, a, j, unnest(range(1, m - j + 2)) AS s FROM (SELECT *, unnest(range(2, m)) AS j FROM c)) GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, cast(a AS bigint) AS a, cast(l AS bigint) AS l, cast(r AS bigint) AS r, cast(n AS bigint) AS n, cast(score AS bigint) AS score
+FROM b LEFT JOIN i ON b.lang = i.lang AND b.phrase = i.phrase JOIN t ON t.lang = b.lang WHERE longer IS NULL OR 100 * longer < 80 * a QUALIFY rank <= 2000
+"""
+
+
+@query("op13_phrase_mining", OP13_SQL)
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
