@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rollbook.session import shared_dir
@@ -28,6 +29,17 @@ def short_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def byte_runs(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Consecutive runs (from, to) whose sizes add up to ``most`` bytes, unless one item alone is larger."""
+    ends, out, lo = np.cumsum(sizes, dtype=np.int64), [], 0
+    while lo < len(sizes):
+        before = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + most, "right")))
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

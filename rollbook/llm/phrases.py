@@ -10,8 +10,8 @@
    now two known parts. This ends when a pass brings no failure; then every phrase of which all
    parts are frequent has been counted in the whole corpus, so the result is exact whatever the sample held.
 
-The lookup is a bit table of ``FILTER_BITS`` bits, 16 MB at every size of the input, built by Spark's
-bitmap aggregation and sent to every task. It has no false negatives; a false positive only makes a
+The lookup is a bit table of ``MOST_BITS`` bits (16 MB) at most, built by Spark's bitmap aggregation and
+sent to every task. All passes over the corpus use one size, so what a pass counted, no later one counts. It has no false negatives; a false positive only makes a
 pass count a phrase that it need not count. Counts are by the phrases themselves, not by hashes.
 
 A task counts each slice of ``SLICE_BYTES`` of text with numpy (a phrase's number comes from that of
@@ -36,13 +36,14 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rollbook.functions.ranking import top_per_group
 
-from .common import stored
+from .common import byte_runs, stored
 
 LONGEST, LEAST, TOP = 4, 30, 2000
 SCALE, ABSORBED = 2_000_000, 80
 #: One document in so many is in the sample; its threshold is lowered below the expected count.
 SAMPLE, SAMPLE_LEAST = 8, 2
-FILTER_BITS = 1 << 27
+#: Bits of a lookup: so many a key, as a power of two, between these bounds.
+KEY_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 15, 1 << 27
 SLICE_BYTES = 8 << 20
 UNKNOWN = "und"
 
@@ -72,21 +73,23 @@ def chain(keys: list[np.ndarray]) -> np.ndarray:
 
 
 class Lookup:
-    """Bit table of keys."""
+    """Bit table of keys; its size is a power of two."""
 
     def __init__(self, bits: np.ndarray):
         self.bits = bits
+        self.mask = len(bits) * 8 - 1
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
-        at = (keys & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+        at = (keys & np.uint64(self.mask)).astype(np.int64)
         return (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def lookup(phrases: DataFrame) -> Lookup:
-    """The bit table over the column ``key``; at most ``FILTER_BITS`` bits reach the driver."""
-    places = phrases.select((F.col("key").bitwiseAND(FILTER_BITS - 1) + 1).alias("place"))
+def lookup(phrases: DataFrame, like: Lookup | None = None) -> Lookup:
+    """The bit table over the column ``key``, of the size of ``like`` or by the number of keys; only its bits reach the driver."""
+    size = like.mask + 1 if like else min(max(LEAST_BITS, 1 << (phrases.count() * KEY_BITS).bit_length()), MOST_BITS)
+    places = phrases.select((F.col("key").bitwiseAND(size - 1) + 1).alias("place"))
     rows = places.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    bits = np.zeros(size // 8, np.uint8)
     for bucket, chunk in rows.collect():
         bits[(bucket - 1) * len(chunk) : bucket * len(chunk)] = np.frombuffer(chunk, np.uint8)
     return Lookup(bits)
@@ -95,27 +98,14 @@ def lookup(phrases: DataFrame) -> Lookup:
 def slices(text: pa.Array, lang: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """(pieces, language number of each) of at most ``SLICE_BYTES``, a longer piece alone."""
     codes = lang.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    for lo, hi in runs(pc.binary_length(text).to_numpy(zero_copy_only=False)):
+    for lo, hi in byte_runs(pc.binary_length(text).to_numpy(zero_copy_only=False), SLICE_BYTES):
         pieces = pc.split_pattern_regex(pc.ascii_lower(text.slice(lo, hi - lo)), "[.,;:!?\\x0A-\\x0D]")
         owner = codes[lo:hi][pc.list_parent_indices(pieces).to_numpy()]
         pieces = pieces.flatten()
-        for a, b in runs(pc.binary_length(pieces).to_numpy(zero_copy_only=False)):
+        for a, b in byte_runs(pc.binary_length(pieces).to_numpy(zero_copy_only=False), SLICE_BYTES):
             yield pieces.slice(a, b - a), owner[a:b]
 
 
-def runs(sizes: np.ndarray) -> list[tuple[int, int]]:
-    """Consecutive runs whose sizes add up to ``SLICE_BYTES`` at most, unless one alone is larger."""
-    if not len(sizes):
-        return []
-    ends, out, lo = np.cumsum(sizes), [], 0
-    while lo < len(sizes):
-        before = ends[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
-        out.append((lo, hi))
-        lo = hi
-    return out
-
-
 def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of a first occurrence of each distinct value, number of each row, rows of each value)."""
     _, first, number, count = np.unique(values, return_index=True, return_inverse=True, return_counts=True)
@@ -147,22 +137,23 @@ def counter(sizes: range, known: Lookup | None = None, before: Lookup | None = N
             total = np.bincount(owner, minlength=len(names))
             yield rows(names, np.arange(len(names)), 0, pa.array([""] * len(names)), np.zeros(len(names), np.uint64), total)
         word, at, key = number, np.arange(len(number)), keys[number]
-        word_key, whole = key, key
+        word_key, whole, old = key, key, np.ones(len(number), bool)
         for size in range(2, sizes.stop):
-            # at: where a phrase one word shorter starts; number and whole: which one, and its key
+            # at: where a phrase one word shorter starts; number and whole: which one, and its key;
+            # old: an earlier pass got as far here, which is the same wherever the phrase stands
             fits = at + size <= len(word)
             fits[fits] = piece[at[fits] + size - 1] == piece[at[fits]]
-            at, number, whole = at[fits], number[fits], whole[fits]
+            at, number, whole, old = at[fits], number[fits], whole[fits], old[fits]
             back = chain([word_key[at + j] for j in range(1, size)])
             held = known.holds(whole) & known.holds(back)
-            fresh = ~(before.holds(whole) & before.holds(back))[held] if before else np.ones(int(held.sum()), bool)
-            at, number, whole = at[held], number[held], whole[held]
+            old = old & before.holds(whole) & before.holds(back) if before else np.zeros(len(at), bool)
+            at, number, whole, old = at[held], number[held], whole[held], old[held]
             if not len(at):
                 return
             last = at + size - 1
             first, number, n = numbered(number * len(keys) + word[last])
             whole = chained(whole, word_key[last])
-            pick = fresh[first]
+            pick = ~old[first]
             if size in sizes and pick.any():
                 start = at[first[pick]]
                 spelled = [words.dictionary.take(words.indices.take(pa.array(start + j))) for j in range(size)]
@@ -208,7 +199,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST) -> DataFrame:
     passes = [stored(counted(docs, least, range(1, LONGEST + 1), known), "phrase_counts")]
     while (missed := stored(failures(passes[-1], known), "phrase_failures")).head(1):
         keys = keys.unionByName(missed)
-        before, known = known, lookup(keys)
+        before, known = known, lookup(keys, known)
         passes.append(stored(counted(docs, least, range(2, LONGEST + 1), known, before), "phrase_counts"))
     out = passes[0]
     for more in passes[1:]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, fingerprint, html_text, language, merkle, mixing, near_dup, phrases, sentence_spans, suffix_dedup, token_files
+from . import chat, decontaminate, fingerprint, html_text, language, merkle, mixing, near_dup, phrases, sentence_spans, suffix_dedup, token_files, url_filter
 from .common import scratch, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +186,9 @@ FROM b LEFT JOIN i ON b.lang = i.lang AND b.phrase = i.phrase JOIN t ON t.lang =
 @query("op13_phrase_mining", OP13_SQL)
 def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_url_filter")
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urls = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(urls, url_filter.train(url_filter.rule_labels(urls))).select("page_id", "host", "path", "rule", "verdict", "score")
