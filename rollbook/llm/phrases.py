@@ -48,7 +48,7 @@ SCALE, ABSORBED = 2_000_000, 80
 SAMPLE, SAMPLE_LEAST = 8, 2
 #: Bits of a lookup: so many a key, as a power of two, between these bounds.
 KEY_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 15, 1 << 27
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 UNKNOWN = "und"
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -140,11 +140,15 @@ class Words:
         edge = np.flatnonzero(np.diff(kind == 0, prepend=False, append=False))
         self.lo, self.hi = edge[::2], edge[1::2]
         # polynomial hash by prefix sums: the bytes' values times falling powers, moved to the word's start
-        powers = np.cumprod(np.full(len(buf) + 1, _STEP))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[buf] * powers[:-1])])
+        power = np.full(len(buf) + 1, _STEP)
+        np.cumprod(power, out=power)
+        power[1:] = _VALUE[buf] * power[:-1]
+        power[0] = 0
+        sums = np.cumsum(power, out=power)
         total = sums[self.hi] - sums[self.lo]
-        del sums, powers
-        inverse = np.cumprod(np.full(len(buf) + 1, _BACK))[self.lo]
+        sums.fill(_BACK)
+        inverse = np.cumprod(sums, out=sums)[self.lo]
+        del power, sums
         part = np.repeat(np.arange(len(parts)), np.diff(np.searchsorted(self.lo, np.append(first, len(buf)))))
         self.lang = np.asarray(lang, np.int64)[part]
         self.hash = spread(total * inverse + seeds[self.lang])
