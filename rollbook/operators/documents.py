@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import sys
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ranking import top_per_group
+from .vectors import vector_search
 
 # Workers get the batch functions by value and need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -139,54 +140,14 @@ def triplet_windows(chunk_rows: DataFrame, whole: bool = False) -> DataFrame:
 # --- vectors -----------------------------------------------------------------------------------
 
 
-def vector_search(spark: SparkSession, queries: DataFrame, points: DataFrame, k: int, max_queries: int = 1000) -> DataFrame:
-    """Exact cosine top k of every query over the points that pass its filters.
-
-    ``queries``: query_id, vector, document_ids (null for all), scheme_id (null for any).
-    ``points``: point_id, vector, document_id, scheme_id. The query table is a request list of at
-    most ``max_queries`` rows; it goes to every task, which scores its batch of points with one
-    matrix product and keeps k per query. Only those rows are shuffled for the final ranking.
-    """
-    rows = queries.select("query_id", "vector", "document_ids", "scheme_id").limit(max_queries + 1).collect()
-    if len(rows) > max_queries:
-        raise ValueError(f"more than {max_queries} queries in one search")
-    if not rows:
-        return spark.createDataFrame([], "query_id long, point_id long, score double, rn int")
-    wanted = [(r.query_id, np.asarray(r.vector, dtype=np.float64), set(r.document_ids) if r.document_ids is not None else None, r.scheme_id) for r in rows]
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = np.vstack([w[1] / (np.linalg.norm(w[1]) or 1.0) for w in wanted])
-        for b in batches:
-            if b.empty:
-                continue
-            m = np.vstack(b["vector"].to_numpy()).astype(np.float64)
-            scores = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)) @ q.T
-            docs, schemes, ids = b["document_id"].to_numpy(), b["scheme_id"].to_numpy(), b["point_id"].to_numpy()
-            out = []
-            for j, (query_id, _, in_docs, scheme) in enumerate(wanted):
-                keep = np.ones(len(b), dtype=bool)
-                if in_docs is not None:
-                    keep &= np.isin(docs, list(in_docs))
-                if scheme is not None:
-                    keep &= schemes == scheme
-                at = np.flatnonzero(keep)
-                # best k by score, then by point id
-                order = at[np.lexsort((ids[at], -scores[at, j]))][:k]
-                out.append(pd.DataFrame({"query_id": query_id, "point_id": ids[order], "score": scores[order, j]}))
-            yield pd.concat(out)
-
-    near = points.select("point_id", "vector", "document_id", "scheme_id").mapInPandas(best, "query_id long, point_id long, score double")
-    return top_per_group(near, ["query_id"], [F.desc("score"), F.asc("point_id")], k, ["point_id"])
-
-
-def scoped_search(spark: SparkSession, queries: DataFrame, points: DataFrame, top_k: int) -> DataFrame:
+def scoped_search(queries: DataFrame, points: DataFrame, top_k: int) -> DataFrame:
     """Candidates: three times top_k within the scheme; a query without hits searches everything
     and keeps file names that hold the scheme, or all when none does."""
     n = 3 * top_k
-    scoped = vector_search(spark, queries, points, n)
+    scoped = vector_search(queries, points, n)
     missed = queries.where("scheme_id IS NOT NULL").join(scoped.select("query_id").distinct(), "query_id", "left_anti")
     wide = missed.withColumn("wanted", F.col("scheme_id")).withColumn("scheme_id", F.lit(None).cast("string"))
-    found = vector_search(spark, wide, points, n).join(wide.select("query_id", "wanted"), "query_id").join(points.select("point_id", "filename"), "point_id")
+    found = vector_search(wide, points, n).join(wide.select("query_id", "wanted"), "query_id").join(points.select("point_id", "filename"), "point_id")
     named = found.withColumn("has_name", F.contains(F.upper("filename"), F.upper("wanted")))
     any_named = named.groupBy("query_id").agg(F.bool_or("has_name").alias("any_named"))
     kept = named.join(any_named, "query_id").where(F.col("has_name") | ~F.col("any_named"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import computed_once
 from ..operators import documents as d
 from ..operators import entity_graph as eg
+from ..operators.vectors import vector_search
 from ..sources import tables as t
 from .base import query
 from .oracle import view
@@ -201,9 +202,11 @@ POINT = {
     "scheme_id": "CASE vec_id % 6 WHEN 0 THEN 'S767' WHEN 1 THEN 'C501' WHEN 2 THEN 'S101' WHEN 3 THEN 'S102' WHEN 5 THEN 'S103' END",
     "filename": "concat('doc_', CASE vec_id % 12 WHEN 4 THEN 'S051' ELSE 'note' END, '_', cast(label AS string), '.pdf')",
 }
-QUERY_SCHEME = "CASE query_id % 5 WHEN 1 THEN 'S767' WHEN 2 THEN 'C501' WHEN 3 THEN 'S051' WHEN 4 THEN 'S999' END"
+# Requests: every embedding whose id is divisible by 20 asks for its neighbors.
+ASKING = 20
+QUERY_SCHEME = "CASE query_id % 100 WHEN 20 THEN 'S767' WHEN 40 THEN 'C501' WHEN 60 THEN 'S051' WHEN 80 THEN 'S999' END"
 view("points", "SELECT " + ", ".join(f"{e} AS {n}" for n, e in POINT.items()) + ", embedding::double[] AS vector, label FROM embeddings")
-view("queries", f"SELECT *, {QUERY_SCHEME} AS scheme_id, query_id % 3 = 0 AS limited FROM (SELECT label AS query_id, arg_min(vector, point_id) AS vector FROM points GROUP BY 1 ORDER BY 1 LIMIT 50)")
+view("queries", f"SELECT *, {QUERY_SCHEME} AS scheme_id, query_id % 3 = 0 AS limited FROM (SELECT point_id AS query_id, vector FROM points WHERE point_id % {ASKING} = 0)")
 
 
 def points(s):
@@ -212,20 +215,20 @@ def points(s):
 
 
 def queries(s, scoped: bool):
-    """One request per label: the first vector with that label; at most 50 requests."""
-    first = points(s).groupBy(F.col("label").cast("bigint").alias("query_id")).agg(F.min_by("vector", "point_id").alias("vector")).orderBy("query_id").limit(50)
+    """One request per embedding with an id divisible by 20; every third is limited to three documents."""
+    asking = points(s).where(F.col("point_id") % ASKING == 0).select(F.col("point_id").alias("query_id"), "vector")
     docs = F.when(F.col("query_id") % 3 == 0, F.array(F.lit("D1"), F.lit("D2"), F.lit("D3")))
     scheme = F.expr(QUERY_SCHEME) if scoped else F.lit(None).cast("string")
-    return first.withColumn("document_ids", docs).withColumn("scheme_id", scheme)
+    return asking.withColumn("document_ids", docs).withColumn("scheme_id", scheme)
 
 
-SCORED = """SELECT q.query_id, p.point_id, list_cosine_similarity(q.vector, p.vector) AS score, p.filename, p.document_id, q.scheme_id AS wanted, p.scheme_id FROM queries q, points p
+SCORED = """SELECT q.query_id, p.point_id, round(list_cosine_similarity(q.vector, p.vector), 9) AS score, p.filename, p.document_id, q.scheme_id AS wanted, p.scheme_id FROM queries q, points p
  WHERE (NOT q.limited OR p.document_id IN ('D1', 'D2', 'D3'))"""
 view("plain_hits", f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rn FROM ({SCORED})) WHERE rn <= 30")
 
 
 def hits(s, k: int = K):
-    return d.vector_search(s.spark, queries(s, False), points(s), k)
+    return vector_search(queries(s, False), points(s), k)
 
 
 @query("doc_10", "SELECT query_id, point_id, round(score, 6) AS score, rn FROM plain_hits WHERE rn <= 10")
@@ -241,15 +244,15 @@ SELECT query_id, point_id, score, rn, 'SCHEME' AS scope FROM sc WHERE rn <= 30 U
 
 
 def scoped(s):
-    return s._written("scoped_hits", lambda: d.scoped_search(s.spark, queries(s, True), points(s), K))
+    return s._written("scoped_hits", lambda: d.scoped_search(queries(s, True), points(s), K))
 
 
 @query("doc_11", "SELECT query_id, point_id, round(score, 6) AS score, rn, scope FROM scoped_hits")
 def _(s):
-    return d.scoped_search(s.spark, queries(s, True), points(s), K).select("query_id", "point_id", F.round("score", 6).alias("score"), "rn", "scope")
+    return d.scoped_search(queries(s, True), points(s), K).select("query_id", "point_id", F.round("score", 6).alias("score"), "rn", "scope")
 
 
-LOGIT = "CASE WHEN query_id = 3 THEN 1.5 ELSE cast(point_id % 17 AS double) - 4 END"
+LOGIT = "CASE WHEN query_id = 60 THEN 1.5 ELSE cast(point_id % 17 AS double) - 4 END"
 
 
 @query("doc_12", f"""
@@ -261,13 +264,13 @@ def _(s):
     return d.rescore(rows, K).select("query_id", "point_id", F.round("rerank_score", 6).alias("rerank_score"), "rn")
 
 
-# Answers of the conversations; each is backed by the first hits of one request.
+# Answers of the conversations; each is backed by the first hits of one request, if that is there.
 N_HITS = "conv_id % 12"
 
 
 @query("doc_13", f"""
 WITH a AS (SELECT conv_id * 1000 + turn AS answer_id, text AS answer, conv_id % 2 = 0 AS graph_used, conv_id FROM conversations WHERE role = 'assistant'),
-x AS (SELECT answer_id, round(score, 6) AS score, rn FROM a JOIN plain_hits ON query_id = conv_id % 10 AND rn <= {N_HITS}),
+x AS (SELECT answer_id, round(score, 6) AS score, rn FROM a JOIN plain_hits ON query_id = conv_id % 1000 * 20 AND rn <= {N_HITS}),
 per AS (SELECT answer_id, avg(score) FILTER (WHERE rn <= 5) AS s, count(*) AS n FROM x GROUP BY 1)
 SELECT answer_id, CASE WHEN n > 0 THEN least(round(s * 0.65::double + least(n / 10, 1.0::double) * 0.2::double + CASE WHEN graph_used THEN 0.05 ELSE 0.0 END::double + CASE WHEN len(trim(answer)) > 200 THEN 0.1 ELSE 0.0 END::double, 4), 0.99::double) ELSE 0.0 END AS confidence_score,
  CASE WHEN n > 0 THEN round(least(n / greatest(CASE WHEN answer = '' THEN 0 ELSE len(string_split(regexp_replace(answer, '\\n$', ''), chr(10))) END, 1), 1.0::double), 4) ELSE 0.0 END AS citation_coverage, graph_used AS graph_enrichment_used,
@@ -277,7 +280,7 @@ def _(s):
     c = t.raw(s.spark, s.sf_dir, "conversations").where("role = 'assistant'")
     a = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), F.col("text").alias("answer"), (F.col("conv_id") % 2 == 0).alias("graph_used"), "conv_id")
     h = hits(s, 30).select("query_id", "rn", F.round("score", 6).alias("score"))
-    backed = a.join(h, (F.col("query_id") == F.col("conv_id") % 10) & (F.col("rn") <= F.expr(N_HITS))).select("answer_id", "rn", "score")
+    backed = a.join(h, (F.col("query_id") == F.col("conv_id") % 1000 * ASKING) & (F.col("rn") <= F.expr(N_HITS))).select("answer_id", "rn", "score")
     return d.confidence(a, backed)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +49,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a new folder that every executor can read, and read back."""
+    path = f"{shared_dir(df.sparkSession)}/{df.sparkSession.sparkContext.applicationId}/staged/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _written: dict[tuple[str, str], str] = {}
 
 

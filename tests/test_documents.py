@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pytest
 
 from rollbook.operators import documents as d
 from rollbook.operators import entity_graph as eg
 from rollbook.operators import questions as q
+from rollbook.operators import vectors
 
 
 def fold(elements, max_chars=1500, overlap=200):
@@ -95,18 +97,64 @@ def test_confidence(spark):
     assert got[2].confidence_score < 0.5 and len(got[2].weak_claims) == 2 and got[3].confidence_score == 0.0
 
 
-def test_vector_search_and_filters(spark):
-    rng = np.random.default_rng(0)
-    m = rng.normal(size=(300, 8))
-    pts = [(i, m[i].tolist(), f"D{i % 4}", "S1" if i % 2 else None) for i in range(300)]
-    points = spark.createDataFrame(pts, "point_id long, vector array<double>, document_id string, scheme_id string").repartition(5)
-    qs = [(0, m[5].tolist(), None, None), (1, m[9].tolist(), ["D1", "D2"], None), (2, m[7].tolist(), None, "S1"), (3, m[7].tolist(), ["D0"], "S1")]
-    found = d.vector_search(spark, spark.createDataFrame(qs, "query_id long, vector array<double>, document_ids array<string>, scheme_id string"), points, 6).collect()
-    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+POINTS = "point_id long, vector array<double>, document_id string, scheme_id string"
+REQUESTS = "query_id long, vector array<double>, document_ids array<string>, scheme_id string"
+
+
+def brute_search(qs, pts, k):
+    out = {}
     for qid, v, docs, scheme in qs:
-        ok = [i for i in range(300) if (docs is None or pts[i][2] in docs) and (scheme is None or pts[i][3] == scheme)]
-        s = unit @ (np.array(v) / np.linalg.norm(v))
-        assert [r.point_id for r in sorted((x for x in found if x.query_id == qid), key=lambda x: x.rn)] == sorted(ok, key=lambda i: (-s[i], i))[:6]
+        if v is None:
+            continue
+        hits = []
+        for pid, w, doc, s in pts:
+            if w is not None and (docs is None or doc in docs) and (scheme is None or s == scheme):
+                norm = np.linalg.norm(v) * np.linalg.norm(w)
+                hits.append((-round(float(np.dot(v, w)) / norm, 9) if norm else 0.0, pid))
+        out[qid] = [(p, -s) for s, p in sorted(hits)[:k]]
+    return out
+
+
+def found_by(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r.query_id, r.rn)):
+        out.setdefault(r.query_id, []).append((r.point_id, r.score))
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_vector_search_and_filters(spark, monkeypatch, broadcast):
+    """Requests by the hundred, ties, equal vectors, nulls and filters, sent to the tasks or paired."""
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", 1 << 20 if broadcast else 0)
+    rng = np.random.default_rng(0)
+    m = rng.normal(size=(900, 8))
+    m[400:700] = m[7]  # a vector that a third of the points share
+    m[800] = 0
+    pts = [(i, m[i].tolist(), f"D{i % 4}" if i % 9 else None, "S1" if i % 2 else None) for i in range(900)] + [(2000, None, "D1", "S1")]
+    qs = [(i, m[i].tolist(), None, None) for i in range(0, 900, 5)]
+    qs += [(1001, m[9].tolist(), ["D1", "D2"], None), (1002, m[7].tolist(), None, "S1"), (1003, m[7].tolist(), ["D0"], "S1"), (1004, m[7].tolist(), [], None), (1005, m[7].tolist(), ["none"], None), (1006, None, None, None), (1007, m[7].tolist(), None, "S9")]
+    points = spark.createDataFrame(pts, POINTS).repartition(5)
+    found = found_by(vectors.vector_search(spark.createDataFrame(qs, REQUESTS).repartition(3), points, 6))
+    want = {q: hits for q, hits in brute_search(qs, pts, 6).items() if hits}
+    assert {q: [p for p, _ in hits] for q, hits in found.items()} == {q: [p for p, _ in hits] for q, hits in want.items()}
+    assert all(np.allclose([s for _, s in found[q]], [s for _, s in want[q]], atol=2e-9) for q in want)
+
+
+def test_vector_search_over_small_blocks(spark, monkeypatch):
+    """Blocks of a few rows, and fewer held blocks than there are requests, give the same rows."""
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 8 * 4 * 3)
+    monkeypatch.setattr(vectors, "HELD_BLOCKS", 2)
+    rng = np.random.default_rng(1)
+    pts = [(i, rng.normal(size=4).tolist(), "D", "S") for i in range(120)]
+    qs = [(i, pts[i][1], None, None) for i in range(0, 120, 4)]
+    plan = vectors.vector_search(spark.createDataFrame(qs, REQUESTS).repartition(2), spark.createDataFrame(pts, POINTS).repartition(3), 5)
+    assert {q: [p for p, _ in h] for q, h in found_by(plan).items()} == {q: [p for p, _ in h] for q, h in brute_search(qs, pts, 5).items()}
+
+
+def test_vector_search_of_nothing(spark):
+    none, some = spark.createDataFrame([], REQUESTS), spark.createDataFrame([(1, [1.0], "D", "S")], POINTS)
+    assert vectors.vector_search(none, some, 3).collect() == []
+    assert vectors.vector_search(spark.createDataFrame([(1, [1.0], None, None)], REQUESTS), some.limit(0), 3).collect() == []
 
 
 def test_rescore_equal_logits(spark):
