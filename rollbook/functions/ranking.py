@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import staged
+
 SALTS = 64
 
 
@@ -61,3 +63,50 @@ def first_pairs(df: DataFrame, keys: list[str], uid: str, k: int, carry: list[st
 def pair_count(n: Column) -> Column:
     """Unordered pairs of a group of n."""
     return (n * (n - 1) / 2).cast("bigint")
+
+
+class Ranked:
+    """Rows in one order, numbered without a task that sees them all.
+
+    The rows are range partitioned and sorted by (group, order) and written. Only the number and the
+    weight of every (group, partition) are added up along the partitions; a row's place follows from
+    its place inside its partition. So a page opens the few partitions that hold its ranks, and costs
+    the same at every offset.
+    """
+
+    def __init__(self, df: DataFrame, group: list[str], order: list[Column], name: str, weight: str | None = None):
+        self.group, self.columns, self.weight = group or ["_all"], df.columns, weight
+        rows = df if group else df.withColumn("_all", F.lit(0))
+        keys = [*[F.asc(g) for g in self.group], *order]
+        self.rows = staged(
+            rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+            .withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), name)
+        w = F.col(weight) if weight else F.lit(1)
+        runs = self.rows.groupBy(*self.group, "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_rows"), F.sum(w).alias("_weight"))
+        before = Window.partitionBy(*self.group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        whole = Window.partitionBy(*self.group)
+        self.runs = runs.select(
+            *self.group, "_part", "_first", "_weight", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"),
+            F.coalesce(F.sum("_weight").over(before), F.lit(0)).alias("_weight_before"), F.sum("_weight").over(whole).alias("total"))
+
+    def numbered(self, rows: DataFrame | None = None) -> DataFrame:
+        """The rows with ``pos`` (from 0), ``before`` (weight of all earlier rows) and ``total`` (weight of the group)."""
+        rows = self.rows if rows is None else rows
+        keys = [*self.group, "_part"]
+        runs = self.runs.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+        same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]  # a null group is one too
+        out = rows.join(runs, same)
+        out = out.withColumn("pos", F.col("_rows_before") + F.col("_row") - F.col("_first"))
+        if self.weight:
+            inside = Window.partitionBy(*keys).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+            out = out.withColumn("before", F.col("_weight_before") + F.coalesce(F.sum(self.weight).over(inside), F.lit(0)))
+        else:
+            out = out.withColumn("before", F.col("pos"))
+        return out.select(*self.columns, "pos", "before", "total")
+
+    def between(self, lo: int, hi: int) -> DataFrame:
+        """Numbered rows of an ungrouped order whose weights overlap the ranks ``lo`` to ``hi`` (exclusive)."""
+        # every partition named here holds at least one of the hi - lo ranks
+        parts = [r._part for r in self.runs.where((F.col("_weight_before") < hi) & (F.col("_weight_before") + F.col("_weight") > lo)).select("_part").collect()]
+        out = self.numbered(self.rows.where(F.col("_part").isin(parts)))
+        return out.where((F.col("before") < hi) & (F.col("before") + F.col(self.weight) > lo))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.ranking import first_pairs, pair_count, top_per_group
+from ..functions.ranking import pair_count, top_per_group
 from ..functions.text import contains_join
 from .flags import union
 from .quality import one_row
@@ -162,67 +162,6 @@ def ghost_list(citizens, places, schemes, flags, n: int = 200) -> DataFrame:
 
 # --- feed --------------------------------------------------------------------------------------
 
-FEED = ["rule", "label", "type", "description", "name", "uid", "dob", "gp_name", "district", "confidence", "detected_at", "scheme"]
-
-
-def feed_order() -> list[Column]:
-    return [F.desc("confidence"), F.desc_nulls_first("detected_at"), F.asc("uid"), F.asc("rule"), F.asc_nulls_first("other_uid")]
-
-
-def feed(citizens, places, schemes, flags, dup, dob, limit: int = 100, offset: int = 0) -> DataFrame:
-    """One page of all flags and pair edges by confidence and time.
-
-    Each branch is cut to the page before it is joined with names and places, and the pair
-    branches come from ``first_pairs``; the page size is the feature's own limit.
-    """
-    size, skip = max(1, min(limit, 10000)), max(0, offset)
-    k = size + skip
-    none = F.lit(None).cast("string")
-    person_rows = citizen_flags(flags).select("uid", "rule", "label", "type", "description", "confidence", "detected_at", none.alias("other_uid"))
-    other_rows = flags.where("entity <> 'citizen'").select(
-        F.col("entity_id").alias("uid"), "rule", "label", "type", "description", "confidence", "detected_at", none.alias("other_uid"), "entity"
-    )
-
-    def pair_rows(table, rule, confidence, text):
-        keys = ["cluster_id", *[c for c in ("gp_code", "dob") if c in table.columns and "gp_code" in table.columns]]
-        pairs = first_pairs(table, keys, "uid", k, [])
-        return pairs.select(
-            F.col("uid1").alias("uid"), F.lit(rule).alias("rule"), F.lit(rule).alias("label"), F.lit("DUPLICATE").alias("type"),
-            F.lit(text).alias("description"), F.lit(confidence).alias("confidence"), none.alias("detected_at"), F.col("uid2").alias("other_uid"),
-        )
-
-    pairs = pair_rows(dup, "B1", 92, "Potential duplicate with ").unionByName(pair_rows(dob, "B3", 80, "Same DOB at GP as "))
-    page = (
-        union(person_rows.withColumn("entity", F.lit("citizen")), other_rows, pairs.withColumn("entity", F.lit("citizen")))
-        .orderBy(*feed_order()).offset(skip).limit(size)
-    )
-    # page has at most 10000 rows by the clamp above
-    ids = page.where("entity = 'citizen'").select("uid")
-    others = page.where("other_uid IS NOT NULL").select(F.col("other_uid").alias("uid"))
-    who = of_top(citizens, ids.unionByName(others)).select("uid", "name", "dob")
-    district = of_top(places, ids).groupBy("uid").agg(F.min("district_name").alias("district"))
-    scheme = of_top(schemes, ids).groupBy("uid").agg(F.min("scheme_id").alias("scheme"))
-    partner = who.select(F.col("uid").alias("other_uid"), F.col("name").alias("other_name"))
-    is_person = F.col("entity") == "citizen"
-    prefix = F.when(F.col("entity") == "card", "Ration Card ").otherwise("Operator ")
-    return (
-        page.join(who, "uid", "left").join(partner, "other_uid", "left").join(district, "uid", "left").join(scheme, "uid", "left")
-        .select(
-            "rule", "label", "type",
-            F.when(F.col("other_uid").isNotNull(), F.concat("description", F.coalesce("other_name", F.lit("Unknown")), F.lit(" (UID: "), "other_uid", F.lit(")")))
-            .otherwise(F.col("description")).alias("description"),
-            F.when(is_person, F.col("name")).otherwise(F.concat(prefix, "uid")).alias("name"),
-            "uid",
-            F.when(is_person, F.coalesce("dob", F.lit("Unknown"))).otherwise("Unknown").alias("dob"),
-            F.when(is_person, "Unknown").otherwise("N/A").alias("gp_name"),
-            F.when(is_person, F.coalesce("district", F.lit("Unknown"))).otherwise("N/A").alias("district"),
-            "confidence", "detected_at",
-            F.when(is_person, F.coalesce("scheme", F.lit("N/A"))).otherwise("N/A").alias("scheme"),
-            "other_uid",
-        )
-    )
-
-
 def feed_total(flags, dup, dob) -> DataFrame:
     """Rows of the whole feed; pair edges are counted from the cluster sizes."""
     def edges(t: DataFrame, keys: list[str]) -> DataFrame:
@@ -248,28 +187,6 @@ def with_reviews(page: DataFrame, reviews: DataFrame, key: str = "id") -> DataFr
     return page.join(latest_reviews(reviews).withColumnRenamed("decision_id", key), key, "left")
 
 
-def filter_feed(page: DataFrame, now: Column, scheme=None, district=None, high_only=False, pending_only=False, rule=None, hours=None, text=None) -> DataFrame:
-    """Feed filters; rows without a time pass the time filter."""
-    out = page
-    if scheme:
-        out = out.where(F.col("scheme") == scheme)
-    if district:
-        out = out.where(F.col("district") == district)
-    if high_only:
-        out = out.where(F.col("confidence") >= 85)
-    if pending_only:
-        out = out.where(F.col("review_action").isNull())
-    if rule:
-        out = out.where(F.col("rule") == rule)
-    if hours:
-        at = F.try_to_timestamp(F.col("detected_at"), F.lit("yyyy-MM-dd HH:mm:ss"))
-        out = out.where(F.col("detected_at").isNull() | (at >= now - F.make_dt_interval(F.lit(0), F.lit(hours))))
-    if text:
-        hay = F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("name", "uid", "rule", "description")])
-        out = out.where(F.lower(hay).contains(text.strip().lower()))
-    return out
-
-
 def categorise(page: DataFrame) -> DataFrame:
     """Feed categories ghost, duplicate and anomaly; a row can be in several."""
     rule, kind = F.upper(F.coalesce("rule", F.lit(""))), F.upper(F.coalesce("type", F.lit("")))
@@ -297,11 +214,12 @@ def queue_as_feed(queue: DataFrame) -> DataFrame:
 
 
 def export_flags(page: DataFrame) -> DataFrame:
-    """Rows of the flag export."""
+    """Rows of the flag export; an entry of the feed stands for as many ``records`` as it has rows."""
+    weight = [F.col("rows").alias("records")] if "rows" in page.columns else []
     return page.select(
         F.col("rule").alias("rule_id"), F.coalesce("name", F.lit("Unknown")).alias("name"), F.coalesce("label", "type").alias("category"),
         F.col("description").alias("risk_explanation"), F.concat(F.col("confidence").cast("string"), F.lit("%")).alias("confidence"),
-        F.coalesce("gp_name", F.lit("")).alias("shared_gp"), F.coalesce("dob", F.lit("")).alias("dob"),
+        F.coalesce("gp_name", F.lit("")).alias("shared_gp"), F.coalesce("dob", F.lit("")).alias("dob"), *weight,
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dashboards as d
+from ..operators import feed as fd
 from ..operators import rules as r
 from ..sources import tables as t
 from .base import num, query, ts
@@ -13,7 +14,6 @@ from .rule_queries import raw_people
 
 REGISTRY_TOTAL = 2234522
 NOW = "2024-01-31 00:00:00"
-FEED_SIZE = 10000
 CRITICAL = "risk_tier = 'CRITICAL' OR coalesce(vulnerability_score, 0) >= 80"
 HIGH = "risk_tier IN ('HIGH', 'CRITICAL') OR coalesce(vulnerability_score, 0) >= 60"
 
@@ -27,17 +27,15 @@ JOIN (SELECT uid, name, dob FROM scored) USING (uid) LEFT JOIN first_place f USI
 UNION ALL SELECT rule, label, type, description, CASE WHEN entity = 'card' THEN 'Ration Card ' ELSE 'Operator ' END || entity_id, entity_id, 'Unknown', 'N/A', 'N/A', confidence, detected_at, 'N/A', NULL
  FROM flags WHERE entity <> 'citizen'""")
 FEED_ORDER = "confidence DESC, detected_at DESC NULLS FIRST, uid, rule, other_uid NULLS FIRST"
-FEED_COLS = ", ".join(d.FEED)
-view("feed_page", f"SELECT * FROM feed_all ORDER BY {FEED_ORDER} LIMIT {FEED_SIZE}")
+FEED_COLS = ", ".join(fd.COLUMNS)
+# Entries: a flag, or all pair rows of a rule and first citizen with the text before the partner.
+view("feed_entries", f"""SELECT {FEED_COLS}, 1 AS rows FROM feed_all WHERE other_uid IS NULL
+UNION ALL SELECT rule, label, type, CASE rule WHEN 'B1' THEN 'Potential duplicate with ' ELSE 'Same DOB at GP as ' END, name, uid, dob, gp_name, district, confidence, detected_at, scheme, count(*) FROM feed_all
+ WHERE other_uid IS NOT NULL GROUP BY ALL""")
 
 
-def page(s, limit: int = FEED_SIZE, offset: int = 0):
-    return d.feed(s.citizens, s.places, s.schemes, s.flags, s.dup, s.dob, limit, offset)
-
-
-def stored_page(s):
-    """The full feed page, written once: five queries work on it."""
-    return s._written("feed_page", lambda: page(s))
+def page(s, limit: int, offset: int = 0):
+    return fd.page(s.feed_index, s.feed_members, s.citizens, limit, offset)
 
 
 @query("dsh_1", """SELECT count(DISTINCT entity_id) FILTER (WHERE entity = 'citizen') AS citizen_cases, count(DISTINCT entity_id) FILTER (WHERE entity = 'operator') AS operator_cases,
@@ -106,12 +104,18 @@ def _(s):
 
 @query("dsh_7", f"SELECT {FEED_COLS} FROM feed_all ORDER BY {FEED_ORDER} LIMIT 500 OFFSET 100")
 def _(s):
-    return page(s, 500, 100).select(*d.FEED)
+    return page(s, 500, 100).select(*fd.COLUMNS)
 
 
-@query("dsh_7_all", f"SELECT {FEED_COLS} FROM feed_page")
+@query("dsh_7_deep", f"SELECT {FEED_COLS} FROM feed_all ORDER BY {FEED_ORDER} LIMIT 300 OFFSET 3000")
 def _(s):
-    return page(s).select(*d.FEED)
+    return page(s, 300, 3000).select(*fd.COLUMNS)
+
+
+@query("dsh_7_all", f"""SELECT *, coalesce(sum(rows) OVER (ORDER BY confidence DESC, detected_at DESC NULLS FIRST, uid, rule, label, description ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS first_rank
+ FROM feed_entries""")
+def _(s):
+    return s.feed_index.numbered().select(*fd.COLUMNS, "rows", F.col("before").alias("first_rank"))
 
 
 @query("dsh_8", "SELECT (SELECT count(*) FROM flags) + (SELECT count(*) FROM dup_pairs) + (SELECT count(*) FROM dob_pairs) AS total")
@@ -122,9 +126,14 @@ def _(s):
 FEED_ID = "substring(sha256(coalesce(rule, '') || '|' || coalesce(uid, '') || '|' || coalesce(name, '') || '|' || coalesce(detected_at, '') || '|' || coalesce(description, '')), 1, 24)"
 
 
-@query("dsh_9", f"SELECT rule, uid, name, confidence, {FEED_ID} AS id FROM feed_page")
+@query("dsh_9", f"SELECT rule, uid, name, confidence, rows, {FEED_ID} AS id FROM feed_entries")
 def _(s):
-    return d.feed_ids(stored_page(s)).select("rule", "uid", "name", "confidence", "id")
+    return d.feed_ids(s.feed_entries).select("rule", "uid", "name", "confidence", "rows", "id")
+
+
+@query("dsh_9_page", f"SELECT rule, uid, name, confidence, {FEED_ID} AS id FROM (SELECT * FROM feed_all ORDER BY {FEED_ORDER} LIMIT 500 OFFSET 1000)")
+def _(s):
+    return d.feed_ids(page(s, 500, 1000)).select("rule", "uid", "name", "confidence", "id")
 
 
 # Reviews: an event reviews the feed row of the flag table with its number, spread over 200 rows.
@@ -147,22 +156,27 @@ LATEST = """(SELECT decision_id, arg_max(action, (reviewed_at, review_id)) AS re
 
 
 def reviewed(s):
-    return d.with_reviews(stored_page(s).withColumn("decision_id", F.expr(REVIEW_KEY)), reviews(s), "decision_id")
+    return d.with_reviews(s.feed_entries.withColumn("decision_id", F.expr(REVIEW_KEY)), reviews(s), "decision_id")
+
+
+def _reviewed(feed: str) -> str:
+    return f"SELECT p.*, review_action, nullif(review_note, '-') AS review_note, reviewed_at FROM (SELECT *, {REVIEW_KEY} AS decision_id FROM {feed}) p LEFT JOIN {LATEST} USING (decision_id)"
 
 
-view("reviewed", f"SELECT p.*, review_action, nullif(review_note, '-') AS review_note, reviewed_at FROM (SELECT *, {REVIEW_KEY} AS decision_id FROM feed_page) p LEFT JOIN {LATEST} USING (decision_id)")
+view("reviewed", _reviewed("feed_all"))
+view("reviewed_entries", _reviewed("feed_entries"))
 
 
-@query("dsh_10", "SELECT rule, uid, description, review_action, review_note, reviewed_at FROM reviewed")
+@query("dsh_10", "SELECT rule, uid, description, rows, review_action, review_note, reviewed_at FROM reviewed_entries")
 def _(s):
-    return reviewed(s).select("rule", "uid", "description", "review_action", "review_note", "reviewed_at")
+    return reviewed(s).select("rule", "uid", "description", "rows", "review_action", "review_note", "reviewed_at")
 
 
 @query("dsh_11", """
-SELECT *, count(*) OVER (PARTITION BY rule) AS rule_total FROM (SELECT rule, confidence, gp_code AS subject, gp_name || '/' || block AS detail FROM c1
- UNION ALL SELECT rule, confidence, uid, scheme_a || '/' || scheme_b FROM c2)""")
+SELECT *, count(*) OVER (PARTITION BY rule) AS rule_total FROM (SELECT rule, confidence, gp_code AS subject, gp_name || '/' || block AS detail FROM c1_all
+ UNION ALL SELECT rule, confidence, uid, scheme_a || '/' || scheme_b FROM c2_all)""")
 def _(s):
-    return d.anomalies(r.rule_c1(s.scored, s.places), r.rule_c2(s.scored, s.schemes))
+    return d.anomalies(r.rule_c1(s.scored, s.places, None), r.rule_c2(s.scored, s.schemes, None))
 
 
 def _queue_sql(flag_where: str = "true", place_where: str = "true") -> str:
@@ -442,26 +456,33 @@ SELECT rule, uid, name, confidence, detected_at, district, scheme FROM reviewed
  AND contains(lower(concat_ws(' ', coalesce(name, ''), coalesce(uid, ''), coalesce(rule, ''), coalesce(description, ''))), 'ghost')
 ORDER BY confidence DESC, coalesce(detected_at, '') DESC, uid, rule, other_uid NULLS FIRST LIMIT 8""")
 def _(s):
-    hits = d.filter_feed(reviewed(s), F.lit(NOW).cast("timestamp"), high_only=True, pending_only=True, hours=168, text=" Ghost ")
+    rows = fd.filtered(reviewed(s), F.lit(NOW).cast("timestamp"), high_only=True, pending_only=True, hours=168)
+    found, members = fd.with_text(rows, s.feed_members, s.citizens, " Ghost ")
     # the dashboard shows pages of eight
-    order = [F.desc("confidence"), F.coalesce("detected_at", F.lit("")).desc(), F.asc("uid"), F.asc("rule"), F.asc_nulls_first("other_uid")]
-    return hits.orderBy(*order).limit(8).select("rule", "uid", "name", "confidence", "detected_at", "district", "scheme")
+    return fd.page(fd.ranked(found, nulls_first=False), members, s.citizens, 8).select("rule", "uid", "name", "confidence", "detected_at", "district", "scheme")
+
+
+@query("dsh_33_text", """SELECT rule, count(*) AS feed_rows, count(DISTINCT uid) AS subjects FROM feed_all
+ WHERE contains(lower(concat_ws(' ', coalesce(name, ''), coalesce(uid, ''), coalesce(rule, ''), coalesce(description, ''))), 'anvil') GROUP BY 1""")
+def _(s):
+    found, _ = fd.with_text(s.feed_entries, s.feed_members, s.citizens, "anvil")
+    return found.groupBy("rule").agg(F.sum("rows").alias("feed_rows"), F.countDistinct("uid").alias("subjects"))
 
 
 @query("dsh_33_district", f"""
 SELECT rule, uid, name, confidence, detected_at, district, scheme FROM reviewed WHERE district = 'EUROPE' AND scheme = 'C501' AND rule = 'H1'
  AND (detected_at IS NULL OR detected_at >= strftime(TIMESTAMP '{NOW}' - INTERVAL 720 HOUR, '%Y-%m-%d %H:%M:%S'))""")
 def _(s):
-    hits = d.filter_feed(reviewed(s), F.lit(NOW).cast("timestamp"), scheme="C501", district="EUROPE", rule="H1", hours=720)
+    hits = fd.filtered(reviewed(s), F.lit(NOW).cast("timestamp"), scheme="C501", district="EUROPE", rule="H1", hours=720)
     return hits.select("rule", "uid", "name", "confidence", "detected_at", "district", "scheme")
 
 
 @query("dsh_34", """
 SELECT category, rule, count(*) AS feed_rows FROM (SELECT rule, unnest(list_filter([CASE WHEN type LIKE '%GHOST%' THEN 'ghost' END,
  CASE WHEN regexp_matches(type, 'DUPLICATE|CLONE') OR regexp_matches(rule, '^[BI]') THEN 'duplicate' END,
- CASE WHEN regexp_matches(type, 'ANOMALY|INTERNAL') OR regexp_matches(rule, '^[CFH]') THEN 'anomaly' END], lambda x: x IS NOT NULL)) AS category FROM feed_page) GROUP BY 1, 2""")
+ CASE WHEN regexp_matches(type, 'ANOMALY|INTERNAL') OR regexp_matches(rule, '^[CFH]') THEN 'anomaly' END], lambda x: x IS NOT NULL)) AS category FROM feed_all) GROUP BY 1, 2""")
 def _(s):
-    return d.categorise(stored_page(s)).groupBy("category", "rule").agg(F.count("*").alias("feed_rows"))
+    return d.categorise(s.feed_entries).groupBy("category", "rule").agg(F.sum("rows").alias("feed_rows"))
 
 
 @query("dsh_35", """SELECT coalesce(problem, 'VALID') AS outcome, action, count(*) AS reviews FROM (SELECT *, CASE WHEN action NOT IN ('APPROVE', 'REJECT', 'ESCALATE', 'NEEDS_FIELD_VERIFICATION') THEN 'INVALID_ACTION'
@@ -507,6 +528,6 @@ def _(s):
 
 
 @query("snk_3", """SELECT rule AS rule_id, coalesce(name, 'Unknown') AS name, coalesce(label, type) AS category, description AS risk_explanation, confidence || '%' AS confidence, coalesce(gp_name, '') AS shared_gp,
- coalesce(dob, '') AS dob FROM feed_page""")
+ coalesce(dob, '') AS dob, rows AS records FROM feed_entries""")
 def _(s):
-    return d.export_flags(stored_page(s))
+    return d.export_flags(s.feed_entries)

@@ -6,6 +6,8 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.ranking import Ranked
+from ..operators import feed
 from ..operators import flags as fl
 from ..operators import graph as g
 from ..operators import registry as reg
@@ -150,6 +152,18 @@ class Store:
         odd = self.flags.where("entity = 'citizen' AND rule IN ('H1', 'I1')").select(F.col("entity_id").alias("uid")).distinct().withColumn("_a", F.lit(True))
         return self.state.join(odd, "uid", "left").withColumn("is_anomaly_flag", F.coalesce("_a", F.lit(False))).drop("_a")
 
+    @cached_property
+    def feed_members(self) -> DataFrame:
+        return self._written("feed_members", lambda: feed.members(self.dup, self.dob))
+
+    @cached_property
+    def feed_entries(self) -> DataFrame:
+        return self._written("feed_entries", lambda: feed.entries(self.citizens, self.places, self.schemes, self.flags, self.feed_members))
+
+    @cached_property
+    def feed_index(self) -> Ranked:
+        return feed.ranked(self.feed_entries)
+
     @cached_property
     def scheme_totals(self) -> DataFrame:
         return g.scheme_totals(self.schemes)
