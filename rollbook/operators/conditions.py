@@ -150,24 +150,32 @@ def count_signals(observations: DataFrame) -> DataFrame:
     """Counters of unmapped fields: a document counts once per field."""
     return observations.groupBy("field_key").agg(
         F.countDistinct("doc_id").alias("occurrence_count"), F.min("doc_id").alias("first_seen"), F.max("doc_id").alias("last_seen"),
-        F.max_by("quote", F.when(F.col("quote").isNotNull(), F.struct("doc_id", "quote"))).alias("latest_quote"),
-    )
+        F.max(F.when(F.col("quote").isNotNull(), F.struct("doc_id", "quote"))).alias("q"),
+    ).select("field_key", "occurrence_count", "first_seen", "last_seen", F.col("q.quote").alias("latest_quote"), F.col("q.doc_id").cast("long").alias("quoted_in"))
 
 
 def promoted(count: Column) -> Column:
     return F.when(count >= PROMOTE_AT, "ACTIVE").otherwise("CANDIDATE")
 
 
-def learn_signals(signals: DataFrame, observations: DataFrame) -> DataFrame:
-    """Old counters with new observations added; a candidate becomes active at three."""
-    both = signals.select("field_key", "occurrence_count", "first_seen", "last_seen", "latest_quote").unionByName(count_signals(observations))
-    out = both.groupBy("field_key").agg(
+SIGNALS = "field_key string, occurrence_count long, first_seen long, last_seen long, latest_quote string, quoted_in long, status string"
+
+
+def merge_signals(counters: DataFrame) -> DataFrame:
+    """Counters of disjoint observations added up; a candidate becomes active at three."""
+    out = counters.groupBy("field_key").agg(
         F.sum("occurrence_count").alias("occurrence_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
-        F.max_by("latest_quote", F.when(F.col("latest_quote").isNotNull(), F.col("last_seen"))).alias("latest_quote"),
+        F.max(F.when(F.col("latest_quote").isNotNull(), F.struct("quoted_in", "latest_quote"))).alias("q"),
     )
+    out = out.select("field_key", "occurrence_count", "first_seen", "last_seen", F.col("q.latest_quote").alias("latest_quote"), F.col("q.quoted_in").alias("quoted_in"))
     return out.withColumn("status", promoted(F.col("occurrence_count")))
 
 
+def learn_signals(signals: DataFrame, observations: DataFrame) -> DataFrame:
+    """Old counters with new observations added."""
+    return merge_signals(signals.drop("status").unionByName(count_signals(observations)))
+
+
 def version_rules(rules: DataFrame, keys: list[str], order: str, span: int = 10000) -> DataFrame:
     """Version number per key by ``order`` (a whole number) and the mark of the latest.
 

@@ -13,12 +13,17 @@ from ..sources import tables as t
 from ..streaming import jobs
 from . import eligibility_fixture as fx
 from .base import query
+from ..operators.graph import PAYOUT_KEYS
 from .dashboard_queries import reviews
 from .document_queries import links, stored_chunks
 from .eligibility_queries import concepts, judged, verdicts
+from .graph_queries import WIN_OUT, WIN_SQL
 from .oracle import view
 
 
+GRA_8_SQL = f"SELECT {WIN_SQL} FROM windows w"
+
+
 def run_dir(s, name: str) -> str:
     """A new folder for one run below the shared folder."""
     return f"{shared_dir(s.spark)}/{s.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:8]}"
@@ -112,14 +117,38 @@ def _(s):
     return sinks.read_current(s.spark, target).select("enrollment_key", F.col("enrollment_status").alias("status"), "fullname", "row_no")
 
 
-@query("str_2", """SELECT suggested_input_field AS field_key, count(DISTINCT doc_id) AS occurrence_count, CASE WHEN count(DISTINCT doc_id) >= 3 THEN 'ACTIVE' ELSE 'CANDIDATE' END AS status, min(doc_id) AS first_seen, max(doc_id) AS last_seen FROM keyword_concepts GROUP BY 1""")
+@query("str_1_payouts", GRA_8_SQL)
+def _(s):
+    return jobs.payout_rows(synced_payouts(s)).select(*WIN_OUT)
+
+
+@query("str_1_payout_links", """SELECT count(*) AS windows, count(DISTINCT payout_month_key) AS months, cast(sum(transaction_count) AS bigint) AS payments FROM (
+ SELECT scheme_id || ':' || financial_year || ':' || installment_year || ':' || installment_month_code AS payout_month_key, transaction_count, coalesce(uid, '') || ':' || scheme_beneficiary_id AS k FROM windows)
+ WHERE k IN (SELECT enrollment_key FROM prof)""")
+def _(s):
+    found = jobs.payouts_of(s.profile.select("enrollment_key").distinct(), synced_payouts(s))
+    return found.agg(F.count("*").alias("windows"), F.countDistinct("payout_month_key").alias("months"), F.sum("transaction_count").alias("payments"))
+
+
+def synced_payouts(s):
+    """Payments in six files in no order of time, two a batch."""
+    source, target = run_dir(s, "payment-files"), run_dir(s, "payouts")
+    rows = s.txn.select(*PAYOUT_KEYS, "amount", "transaction_timestamp", "source_sl_no", "transaction_ref_no")
+    rows.repartition(6, F.xxhash64("transaction_ref_no", "source_sl_no")).write.parquet(source)
+    jobs.stream_payouts(jobs.file_stream(s.spark, source, rows.schema, files=2), target, f"{target}-checkpoint")
+    return sinks.read_current(s.spark, target)
+
+
+@query("str_2", """SELECT suggested_input_field AS field_key, count(DISTINCT doc_id) AS occurrence_count, CASE WHEN count(DISTINCT doc_id) >= 3 THEN 'ACTIVE' ELSE 'CANDIDATE' END AS status, min(doc_id) AS first_seen, max(doc_id) AS last_seen,
+ arg_max(evidence_quote, (doc_id, evidence_quote)) FILTER (WHERE evidence_quote IS NOT NULL) AS latest_quote FROM keyword_concepts GROUP BY 1""")
 def _(s):
     source, target = run_dir(s, "observations"), run_dir(s, "signals")
     rows = concepts(s).select("doc_id", F.col("suggested_input_field").alias("field_key"), F.col("evidence_quote").alias("quote"))
-    # all rows of a document go to one file, so a document arrives in one batch
-    rows.repartition(6, "doc_id").write.parquet(source)
+    # the rows of a document lie in several files, and every fifth row comes twice
+    rows = rows.unionByName(rows.where("doc_id % 5 = 0"))
+    rows.repartition(6, F.xxhash64("doc_id", "quote", F.rand(7))).write.parquet(source)
     jobs.stream_signals(jobs.file_stream(s.spark, source, rows.schema, files=2), target, f"{target}-checkpoint")
-    return sinks.read_current(s.spark, target).select("field_key", "occurrence_count", "status", "first_seen", "last_seen")
+    return sinks.read_current(s.spark, target).select("field_key", "occurrence_count", "status", "first_seen", "last_seen", "latest_quote")
 
 
 @query("str_3", """SELECT decision_id, arg_max(review_id, (reviewed_at, review_id)) AS review_id, arg_max(action, (reviewed_at, review_id)) AS action FROM reviews GROUP BY 1""")
@@ -138,8 +167,11 @@ FROM (SELECT rule, date_trunc('day', strptime(detected_at, '%Y-%m-%d %H:%M:%S'))
 
 def recent(s, span: str):
     source, target = run_dir(s, "flag-files"), run_dir(s, f"recent-{span}")
-    rows = s.flags.select("entity_id", "rule", F.col("detected_at").cast("timestamp").alias("detected_at"))
-    rows.repartition(3, "entity_id").write.parquet(source)
+    flag_id = F.sha2(F.to_json(F.struct(*s.flags.columns)), 256).alias("flag_id")
+    rows = s.flags.select(flag_id, "entity_id", "rule", F.col("detected_at").cast("timestamp").alias("detected_at"))
+    # a third of the flags is delivered again, in other files
+    rows = rows.unionByName(rows.where(F.crc32("flag_id") % 3 == 0))
+    rows.repartition(3, F.rand(5)).write.parquet(source)
     jobs.stream_recent_flags(jobs.file_stream(s.spark, source, rows.schema, files=1), target, f"{target}-checkpoint", span)
     return sinks.read_current(s.spark, target).select("window_start", "window_end", "rule", "flags")
 

@@ -5,46 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.flags import union
+from .keyed import read_current, upsert, upsert_into
 
-
-def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """Target with the rows of the source; the source wins on equal keys (one source row per key)."""
-    return source.unionByName(target.join(source.select(*keys), keys, "left_anti"))
-
-
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
-    # a version counts once its write has committed
-    done = [n for n in names if n.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return sorted(int(n.split("=")[1]) for n in done)
-
-
-def read_current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """Newest committed version of a table written by ``upsert_into``."""
-    found = [v for v in _versions(spark, path) if before is None or v < before]
-    return spark.read.parquet(f"{path}/version={found[-1]}") if found else None
-
-
-def upsert_into(source: DataFrame, path: str, keys: list[str], version: int) -> None:
-    """Write ``version`` of the table at ``path``: the version before it with the source on top.
-
-    Running the same version again gives the same table, so a replayed batch changes nothing.
-    Readers see a version once its write is complete; the two versions before it stay.
-    """
-    spark = source.sparkSession
-    old = read_current(spark, path, version)
-    merged = source if old is None else upsert(old, source, keys)
-    merged.write.mode("overwrite").parquet(f"{path}/version={version}")
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    for v in _versions(spark, path):
-        if v < version - 2:
-            old_path = fs_path(f"{path}/version={v}")
-            old_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old_path, True)
+__all__ = ["chunk_points", "delete_documents", "read_current", "replace_decisions", "top_rows", "upsert", "upsert_into", "write_csv", "write_evaluation"]
 
 
 def top_rows(spark: SparkSession, tables: dict, n: int = 10) -> DataFrame:

@@ -1,18 +1,19 @@
 """Structured Streaming forms of the incremental loops (STR).
 
 Every job reads files as they arrive, keeps its place in a checkpoint and merges each batch into
-a keyed table by batch id, so a replay after a lost driver or executor changes nothing.
+a keyed table by batch id, so a replay after a lost driver or executor changes nothing. A batch
+rewrites only the leaves of its keys.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.conditions import learn_signals
-from ..operators.graph import ROW_ORDER
-from ..sources.sinks import read_current, upsert, upsert_into
+from ..operators.conditions import SIGNALS, learn_signals, merge_signals
+from ..operators.graph import PAYOUT_KEYS, ROW_ORDER, payout_keys
+from ..sources.keyed import matching, upsert_into
 
 FILES_PER_BATCH = 64
 WINDOWS = {"24H": "24 hours", "7D": "7 days", "30D": "30 days"}
@@ -31,47 +32,87 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
         raise q.exception()
 
 
+def _newest_by(df: DataFrame, keys: list[str], cols: list[str], latest: Column) -> DataFrame:
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*cols), latest).alias("r")).select(*keys, "r.*")
+
+
 def stream_sync(profiles: DataFrame, target: str, checkpoint: str) -> None:
     """Profile rows into one row per enrollment key; a later row in profile order wins."""
-    order = F.struct(*ROW_ORDER)
-
     def each(batch: DataFrame, batch_id: int) -> None:
         cols = [c for c in batch.columns if c != "enrollment_key"]
-        newest = batch.groupBy("enrollment_key").agg(F.max_by(F.struct(*cols), order).alias("r")).select("enrollment_key", "r.*")
-        old = read_current(batch.sparkSession, target, batch_id)
-        if old is not None:
-            # files can arrive out of order: the newest of both sides stays
-            both = newest.unionByName(old.join(newest.select("enrollment_key"), "enrollment_key", "left_semi"))
-            newest = both.groupBy("enrollment_key").agg(F.max_by(F.struct(*cols), order).alias("r")).select("enrollment_key", "r.*")
-        upsert_into(newest, target, ["enrollment_key"], batch_id)
+        newest = lambda df: _newest_by(df, ["enrollment_key"], cols, F.struct(*ROW_ORDER))
+        # files can arrive out of order: the newest of both sides stays
+        upsert_into(newest(batch), target, ["enrollment_key"], batch_id, lambda old, new: newest(old.unionByName(new)))
 
     run_available(profiles, each, checkpoint)
 
 
+def stream_payouts(payments: DataFrame, target: str, checkpoint: str) -> None:
+    """Payments into payout windows: count, sum and latest payment by ``PAYOUT_KEYS``, in any order of arrival.
+
+    All three add up over batches, so the state of a window is one row, however many payments it has.
+    """
+    amount = F.coalesce(F.sum("total_amount"), F.lit(0)).cast("decimal(38,2)").alias("total_amount")
+
+    def added(df: DataFrame) -> DataFrame:
+        return df.groupBy(*PAYOUT_KEYS).agg(F.sum("transaction_count").alias("transaction_count"), amount, F.max("latest").alias("latest"))
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        latest = F.struct("transaction_timestamp", "source_sl_no", "transaction_ref_no").alias("latest")
+        rows = batch.select(*PAYOUT_KEYS, F.lit(1).cast("long").alias("transaction_count"), F.col("amount").cast("decimal(38,2)").alias("total_amount"), latest)
+        upsert_into(added(rows), target, PAYOUT_KEYS, batch_id, lambda old, new: added(old.unionByName(new)))
+
+    run_available(payments, each, checkpoint)
+
+
+def payout_rows(state: DataFrame) -> DataFrame:
+    """Payout windows from the state of ``stream_payouts``, in the columns of ``payout_windows``."""
+    return state.select(
+        *PAYOUT_KEYS, "transaction_count", F.col("total_amount").cast("decimal(28,2)").alias("total_amount"),
+        F.col("latest.transaction_timestamp").alias("latest_transaction_timestamp"), F.col("latest.transaction_ref_no").alias("latest_transaction_ref_no"))
+
+
+def payouts_of(enrollments: DataFrame, state: DataFrame) -> DataFrame:
+    """Payout windows of enrollments that the sync knows, with their enrollment and payout month keys."""
+    return payout_keys(payout_rows(state)).join(enrollments.select("enrollment_key"), "enrollment_key", "left_semi")
+
+
+def _unseen(batch: DataFrame, seen: str, keys: list[str], batch_id: int) -> DataFrame:
+    """Rows of a batch whose key no earlier batch brought; the key table ``seen`` learns them.
+
+    The keys known before the batch are read, so a batch that is run again finds the same rows new.
+    """
+    old = matching(batch, seen, keys, batch_id)
+    fresh = batch if old is None else batch.join(old, keys, "left_anti")
+    upsert_into(fresh.select(*keys), seen, keys, batch_id)
+    return fresh
+
+
 def stream_signals(observations: DataFrame, target: str, checkpoint: str) -> None:
-    """Counters of unmapped fields, promoted when frequent. A document arrives in one batch."""
+    """Counters of unmapped fields, promoted when frequent. A document counts once per field, in however many batches it comes.
+
+    The pairs (field, document) seen so far are a keyed table beside the counters.
+    """
     def each(batch: DataFrame, batch_id: int) -> None:
-        old = read_current(batch.sparkSession, target, batch_id)
-        empty = "field_key string, occurrence_count long, first_seen long, last_seen long, latest_quote string"
-        before = batch.sparkSession.createDataFrame([], empty) if old is None else old
-        upsert_into(learn_signals(before, batch), target, ["field_key"], batch_id)
+        keys = ["field_key", "doc_id"]
+        pairs = batch.where("field_key IS NOT NULL AND doc_id IS NOT NULL").groupBy(*keys).agg(F.max("quote").alias("quote"))
+        fresh = _unseen(pairs, f"{target}-seen", keys, batch_id)
+        empty = batch.sparkSession.createDataFrame([], SIGNALS)
+        # a pair that comes again counts nothing, but may bring the quote of the latest document
+        known = learn_signals(empty, pairs).withColumn("occurrence_count", F.lit(0).cast("long"))
+        new = learn_signals(known, fresh)
+        upsert_into(new, target, ["field_key"], batch_id, lambda old, now: merge_signals(old.unionByName(now)))
 
     run_available(observations, each, checkpoint)
 
 
 def stream_reviews(reviews: DataFrame, target: str, checkpoint: str) -> None:
     """Latest review per decision, however late it comes; a review delivered twice changes nothing."""
-    latest = F.struct("reviewed_at", "review_id")
-
     def newest(df: DataFrame) -> DataFrame:
-        return df.groupBy("decision_id").agg(F.max_by(F.struct("review_id", "action", "note", "reviewed_at"), latest).alias("r")).select("decision_id", "r.*")
+        return _newest_by(df, ["decision_id"], ["review_id", "action", "note", "reviewed_at"], F.struct("reviewed_at", "review_id"))
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        now = newest(batch)
-        old = read_current(batch.sparkSession, target, batch_id)
-        if old is not None:
-            now = newest(now.unionByName(old))
-        upsert_into(now, target, ["decision_id"], batch_id)
+        upsert_into(newest(batch), target, ["decision_id"], batch_id, lambda old, new: newest(old.unionByName(new)))
 
     run_available(reviews, each, checkpoint)
 
@@ -83,18 +124,17 @@ def window_counts(flags: DataFrame, length: str, slide: str = "1 day") -> DataFr
 
 
 def stream_recent_flags(flags: DataFrame, target: str, checkpoint: str, span: str = "24H") -> None:
-    """Sliding flag counts kept up to date per (rule, window); a late flag adds to its old windows."""
+    """Sliding flag counts per (rule, window); a late flag adds to its old windows, one delivered again (by ``flag_id``) to none."""
     keys = ["rule", "window_start", "window_end"]
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        now = window_counts(batch, WINDOWS[span])
-        old = read_current(batch.sparkSession, target, batch_id)
-        if old is not None:
-            touched = old.join(now.select(*keys), keys, "left_semi").select(*now.columns)
-            now = now.unionByName(touched).groupBy(*keys).agg(F.sum("flags").alias("flags"))
-        upsert_into(now, target, keys, batch_id)
+        fresh = _unseen(batch.dropDuplicates(["flag_id"]), f"{target}-seen", ["flag_id"], batch_id)
+        added = lambda old, new: old.unionByName(new).groupBy(*keys).agg(F.sum("flags").alias("flags"))
+        upsert_into(window_counts(fresh, WINDOWS[span]), target, keys, batch_id, added)
 
     run_available(flags, each, checkpoint)
 
 
-__all__ = ["file_stream", "run_available", "stream_recent_flags", "stream_reviews", "stream_signals", "stream_sync", "upsert", "window_counts"]
+__all__ = [
+    "file_stream", "payout_rows", "payouts_of", "run_available", "stream_payouts", "stream_recent_flags", "stream_reviews", "stream_signals", "stream_sync", "window_counts",
+]

@@ -1,6 +1,10 @@
+import shutil
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
-from rollbook.sources import files, sinks
+from rollbook.operators.graph import PAYOUT_KEYS, payout_windows
+from rollbook.sources import files, keyed, sinks
 from rollbook.streaming import jobs
 
 
@@ -62,7 +66,7 @@ def test_sync_goes_on_where_it_stopped(spark, tmp_path):
 def test_late_flags_are_kept(spark, tmp_path):
     src, dst, cp = (str(tmp_path / x) for x in ("src", "dst", "cp"))
     def put(rows):
-        df = spark.createDataFrame(rows, "entity_id string, rule string, t string").select("entity_id", "rule", F.col("t").cast("timestamp").alias("detected_at"))
+        df = spark.createDataFrame(rows, "entity_id string, rule string, t string").select(F.col("entity_id").alias("flag_id"), "entity_id", "rule", F.col("t").cast("timestamp").alias("detected_at"))
         df.coalesce(1).write.mode("append").parquet(src)
         return df.schema
     schema = put([("a", "A1", "2024-01-10 01:00:00"), ("b", "A1", "2024-01-10 02:00:00")])
@@ -83,3 +87,124 @@ def test_reviews_delivered_twice_count_once(spark, tmp_path):
     df.write.parquet(src)
     jobs.stream_reviews(jobs.file_stream(spark, src, df.schema), dst, cp)
     assert {(r.decision_id, r.review_id) for r in sinks.read_current(spark, dst).collect()} == {("d1", 2), ("d2", 3)}
+
+
+# --- keyed table -------------------------------------------------------------------------------
+
+
+def size_of(folder):
+    return sum(p.stat().st_size for p in folder.rglob("*.parquet")) if folder.exists() else 0
+
+
+def test_batches_write_what_they_touch(spark, tmp_path, monkeypatch):
+    """A batch of ten keys writes as many rows into a table of 40,000 rows as into one of 4,000."""
+    monkeypatch.setattr(keyed, "LEAF_ROWS", 400)
+    written = {}
+    for n in (4_000, 40_000):
+        path = tmp_path / str(n)
+        keyed.upsert_into(spark.range(n).select("id", F.lit(0).alias("v")), str(path), ["id"], 0)
+        batch = spark.range(5).unionByName(spark.range(n, n + 5)).select("id", F.lit(1).alias("v"))
+        keyed.upsert_into(batch, str(path), ["id"], 1)
+        got = keyed.read_current(spark, str(path))
+        assert got.count() == n + 5 and got.where("v = 1").count() == 10 and got.select("id").distinct().count() == n + 5
+        written[n] = spark.read.parquet(f"{path}/data/version=1").count()
+        leaves = keyed._versions(spark, str(path))[1].leaves
+        assert max(x.rows for x in leaves) <= 2 * keyed.LEAF_ROWS and sum(x.rows for x in leaves) == n + 5
+    assert written[40_000] <= 10 * 400 and written[40_000] < 2.5 * written[4_000]
+
+
+def test_leaves_split_and_keep_every_key(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keyed, "LEAF_ROWS", 50)
+    path, want = str(tmp_path / "t"), {}
+    for version in range(6):
+        rows = [(f"k{i}" if i else None, version * 1000 + i) for i in range(0, 40 * (version + 1) * (version + 1), version % 3 + 1)]
+        want.update({k: v for k, v in rows})
+        newest = lambda df: df.groupBy("k").agg(F.max("v").alias("v"))
+        keyed.upsert_into(spark.createDataFrame(rows, "k string, v int"), path, ["k"], version, lambda old, new: newest(old.unionByName(new)))
+        assert {r.k: r.v for r in keyed.read_current(spark, path).collect()} == want
+    versions = keyed._versions(spark, path)
+    assert sorted(versions) == [3, 4, 5] and len({x.depth for x in versions[5].leaves}) >= 1 and len(versions[5].leaves) > 8
+    # every key has exactly one leaf
+    assert sum(2.0 ** -x.depth for x in versions[5].leaves) == 1.0
+
+
+def test_replay_and_old_versions(spark, tmp_path):
+    path = tmp_path / "t"
+    make = lambda rows: spark.createDataFrame(rows, "k string, v int")
+    for version, rows in enumerate(([("a", 1), ("b", 1)], [("b", 2)], [], [("c", 3)])):
+        keyed.upsert_into(make(rows), str(path), ["k"], version)
+    files = sorted(str(p) for p in path.rglob("*.parquet"))
+    keyed.upsert_into(make([("c", 9), ("x", 9)]), str(path), ["k"], 3)
+    assert sorted(str(p) for p in path.rglob("*.parquet")) == files
+    rows = lambda before=None: {tuple(r) for r in keyed.read_current(spark, str(path), before).collect()}
+    assert rows() == {("a", 1), ("b", 2), ("c", 3)} and rows(3) == rows(2) == {("a", 1), ("b", 2)}
+    assert keyed.read_current(spark, str(path), 1) is None and keyed.read_current(spark, str(tmp_path / "none")) is None
+    # a batch that was cut off before its manifest is invisible, and running it again mends it
+    keyed.upsert_into(make([("d", 4)]), str(path), ["k"], 4)
+    shutil.rmtree(path / "manifest" / "version=4")
+    assert rows() == {("a", 1), ("b", 2), ("c", 3)}
+    keyed.upsert_into(make([("d", 5)]), str(path), ["k"], 4)
+    assert rows() == {("a", 1), ("b", 2), ("c", 3), ("d", 5)}
+
+
+def test_empty_keyed_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    keyed.upsert_into(spark.createDataFrame([], "k string, v int"), path, ["k"], 0)
+    assert keyed.read_current(spark, path).collect() == [] and keyed.read_current(spark, path).columns == ["k", "v"]
+    keyed.upsert_into(spark.createDataFrame([("a", 1)], "k string, v int"), path, ["k"], 1)
+    keyed.upsert_into(spark.createDataFrame([("a", 1)], "k string, v int"), path, ["k"], 2, lambda old, new: old.limit(0))
+    assert keyed.read_current(spark, path).collect() == []
+
+
+# --- state across batches ----------------------------------------------------------------------
+
+
+def test_a_document_counts_once_over_batches(spark, tmp_path):
+    src, dst, cp = (str(tmp_path / x) for x in ("src", "dst", "cp"))
+    cols = "doc_id long, field_key string, quote string"
+    def put(rows):
+        df = spark.createDataFrame(rows, cols)
+        df.coalesce(1).write.mode("append").parquet(src)
+        return df.schema
+    def run(schema):
+        jobs.stream_signals(jobs.file_stream(spark, src, schema, files=1), dst, cp)
+        return {r.field_key: (r.occurrence_count, r.status, r.first_seen, r.last_seen, r.latest_quote) for r in sinks.read_current(spark, dst).collect()}
+    schema = put([(1, "f", "a"), (1, "f", "b"), (2, "f", None), (1, "g", "z")])
+    assert run(schema) == {"f": (2, "CANDIDATE", 1, 2, "b"), "g": (1, "CANDIDATE", 1, 1, "z")}
+    put([(1, "f", "a"), (1, "f", "c")])  # the same document again, with a later quote
+    put([(1, "f", "a"), (2, "f", "q"), (None, "f", "n"), (3, None, "n")])
+    assert run(schema) == {"f": (2, "CANDIDATE", 1, 2, "q"), "g": (1, "CANDIDATE", 1, 1, "z")}
+    put([(3, "f", None), (0, "g", "y")])
+    assert run(schema) == {"f": (3, "ACTIVE", 1, 3, "q"), "g": (2, "CANDIDATE", 0, 1, "z")}
+
+
+def test_redelivered_flags_count_once(spark, tmp_path):
+    src, dst, cp = (str(tmp_path / x) for x in ("src", "dst", "cp"))
+    rows = [(f"f{i}", "A1", f"2024-01-0{i % 3 + 1} 05:00:00") for i in range(9)]
+    def put(part):
+        df = spark.createDataFrame(part, "flag_id string, rule string, t string").select("flag_id", "rule", F.col("t").cast("timestamp").alias("detected_at"))
+        df.coalesce(1).write.mode("append").parquet(src)
+        return df.schema
+    for part in (rows[:5], rows[3:] + rows[:2], rows, rows[:1] * 4):
+        schema = put(part)
+    jobs.stream_recent_flags(jobs.file_stream(spark, src, schema, files=1), dst, cp)
+    assert {(str(r.window_start), r.flags) for r in sinks.read_current(spark, dst).collect()} == {(f"2024-01-0{d} 00:00:00", 3) for d in (1, 2, 3)}
+
+
+def test_payouts_in_any_order(spark, tmp_path):
+    """Windows grow over batches as one aggregation over all payments would make them."""
+    keys = {"uid": "u", "scheme_id": "S", "scheme_beneficiary_id": "B", "financial_year": "2023", "installment_year": "2023", "installment_month_code": "04", "installment_month": None}
+    def row(i, uid, amount, time, ref):
+        return (uid, *list(keys.values())[1:], amount, time, i, ref)
+    rows = [row(i, [None, "u1", "u2"][i % 3], None if i % 4 == 0 else Decimal(i) / 4, f"2024-01-{i % 9 + 1:02d} 00:00:00" if i % 5 else None, f"R{i % 7}" if i % 6 else None) for i in range(60)]
+    schema = ", ".join(f"{k} string" for k in keys) + ", amount decimal(18,2), t string, source_sl_no long, transaction_ref_no string"
+    df = spark.createDataFrame(rows, schema).withColumn("transaction_timestamp", F.col("t").cast("timestamp")).drop("t")
+    want = sorted(map(str, payout_windows(df).select(*PAYOUT_KEYS, "transaction_count", "total_amount", "latest_transaction_timestamp", "latest_transaction_ref_no").collect()))
+    for seed in (1, 2):
+        src, dst, cp = (str(tmp_path / f"{x}{seed}") for x in ("src", "dst", "cp"))
+        df.repartition(4, F.rand(seed)).write.parquet(src)
+        jobs.stream_payouts(jobs.file_stream(spark, src, df.schema, files=1), dst, cp)
+        state = sinks.read_current(spark, dst)
+        assert sorted(map(str, jobs.payout_rows(state).collect())) == want
+    known = spark.createDataFrame([("u1:B",)], "enrollment_key string")
+    assert {r.uid for r in jobs.payouts_of(known, state).collect()} == {"u1"}
