@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import sys
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -23,7 +24,6 @@ STRUCTURAL = ["table", "heading", "code"]
 WINDOW_CHUNKS, PART_CHARS = 10, 4000
 STRIP = r"^[\s\x0B\x1C-\x1F\x85\p{Z}]+|[\s\x0B\x1C-\x1F\x85\p{Z}]+$"
 ELEMENT = "struct<type:string,text:string,page:int>"
-CHUNK = "array<struct<text:string,element_type:string,page:int>>"
 
 
 def strip(c: Column) -> Column:
@@ -49,76 +49,83 @@ def line_elements(c: Column) -> Column:
     return F.transform(lines, lambda x, i: F.struct(kind(x, i).alias("type"), x.alias("text"), F.lit(1).alias("page")))
 
 
-def chunk_array(els: Column, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> Column:
-    """Chunks of an element array, folded in order inside the row.
+def chunk_elements(texts: list[str], kinds: list[str], pages: list, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> list[tuple]:
+    """Chunks (text, kind, page) of a document's elements, in time linear in its text.
 
     Text gathers in a buffer until it would pass ``max_chars``; the next buffer starts with the
     last ``overlap`` characters. Structural elements stand alone and end the buffer without
-    overlap. A longer element is cut every ``max_chars - overlap`` characters.
+    overlap. A longer element is cut every ``max_chars - overlap`` characters. The running lengths
+    tell where a buffer is full, so each chunk is one search and one slice of the elements.
     """
-    step = max_chars - overlap
-    none_s, none_i = F.lit(None).cast("string"), F.lit(None).cast("int")
-    nothing = F.expr(f"cast(array() AS {CHUNK})")
-
-    def state(buf: Column, kind: Column, page: Column, out: Column) -> Column:
-        return F.struct(buf.alias("buf"), kind.alias("kind"), page.alias("page"), out.alias("out"))
-
-    def chunk(text: Column, kind: Column, page: Column) -> Column:
-        return F.array(F.struct(text.alias("text"), kind.alias("element_type"), page.cast("int").alias("page")))
-
-    # What an element gives on its own is worked out once, before the fold: its full slices and
-    # the rest that goes on into the buffer.
-    def sliced(e: Column) -> Column:
-        text, kind, page = e["text"], e["kind"], e["page"]
-        cuts = F.when(kind.isin(STRUCTURAL), 0).otherwise(F.greatest(F.lit(0), F.ceil((F.length(text) - max_chars) / step).cast("int")))
-        one = lambda i: F.struct(strip(F.substr(text, i * step + 1, F.lit(max_chars))).alias("text"), kind.alias("element_type"), page.alias("page"))
-        slices = F.when(cuts > 0, F.transform(F.sequence(F.lit(0), F.greatest(cuts - 1, F.lit(0))), one)).otherwise(nothing)
-        return F.struct(
-            kind.alias("kind"), page.alias("page"), slices.alias("slices"), F.substr(text, cuts * step + 1, F.length(text) + 1).alias("rest"), (cuts > 0).alias("cut"))
-
-    clean = F.transform(els, lambda e: F.struct(
-        strip(F.coalesce(e["text"], F.lit(""))).alias("text"), F.coalesce(e["type"], F.lit("paragraph")).alias("kind"), e["page"].cast("int").alias("page")))
-    ready = F.transform(clean, sliced)
-
-    def add(acc: Column, e: Column) -> Column:
-        kind, page, rest, cut = e["kind"], e["page"], e["rest"], e["cut"]
-        flushed = F.when(acc["buf"] != "", chunk(strip(acc["buf"]), acc["kind"], acc["page"])).otherwise(nothing)
-        whole = state(F.lit(""), none_s, none_i, F.concat(acc["out"], flushed, chunk(rest, kind, page)))
-        # a cut element writes the buffer and its slices and leaves its rest as the new buffer
-        after_cut = state(F.concat(F.lit("\n"), rest), kind, page, F.concat(acc["out"], flushed, e["slices"]))
-        # the buffer keeps the data of its first element
-        new = acc["kind"].isNull()
-        joined = state(F.concat(acc["buf"], F.lit("\n"), rest), F.when(new, kind).otherwise(acc["kind"]), F.when(new, page).otherwise(acc["page"]), acc["out"])
-        tail = F.substr(acc["buf"], F.greatest(F.length(acc["buf"]) - overlap + 1, F.lit(1)), F.lit(overlap))
-        over = state(F.concat(tail, F.lit("\n"), rest), kind, page, F.concat(acc["out"], flushed))
-        full = F.length(acc["buf"]) + F.length(rest) > max_chars
-        return F.when(kind.isin(STRUCTURAL), whole).when(cut, after_cut).when(full & (acc["buf"] != ""), over).otherwise(joined)
-
-    start = state(F.lit(""), none_s, none_i, F.array().cast(CHUNK))
-
-    def finish(acc: Column) -> Column:
-        last = strip(acc["buf"])
-        return F.when(last != "", F.concat(acc["out"], chunk(last, acc["kind"], acc["page"]))).otherwise(acc["out"])
-
-    return F.aggregate(ready, start, add, finish)
+    step, n = max_chars - overlap, len(texts)
+    sizes = np.fromiter(map(len, texts), np.int64, n)
+    ends = np.concatenate([[0], np.cumsum(sizes + 1)])
+    alone = np.isin(np.array(kinds, object), STRUCTURAL) if n else np.zeros(0, bool)
+    stops = np.append(np.flatnonzero(alone | (sizes > max_chars)), n)
+    out, buf, kind, page, i = [], "", None, None, 0
+
+    def flush() -> None:
+        if buf:
+            out.append((buf.strip(), kind, page))
+
+    while i < n:
+        stop = int(stops[np.searchsorted(stops, i)])
+        while i < stop:
+            # elements up to this one fit behind the buffer
+            fit = min(stop, int(np.searchsorted(ends, max_chars + 1 + ends[i] - len(buf), "right")) - 1)
+            if fit > i:
+                if kind is None:
+                    kind, page = kinds[i], pages[i]
+                buf = "\n".join([buf, *texts[i:fit]])
+                i = fit
+            if i < stop:
+                flush()
+                buf, kind, page = (buf[-overlap:] if overlap else "") + "\n" + texts[i], kinds[i], pages[i]
+                i += 1
+        if i < n:
+            flush()
+            text = texts[i]
+            if alone[i]:
+                out.append((text, kinds[i], pages[i]))
+                buf, kind, page = "", None, None
+            else:
+                cuts = -(-(len(text) - max_chars) // step)
+                out += [(text[c * step : c * step + max_chars].strip(), kinds[i], pages[i]) for c in range(cuts)]
+                buf, kind, page = "\n" + text[cuts * step :], kinds[i], pages[i]
+            i += 1
+    if buf.strip():
+        out.append((buf.strip(), kind, page))
+    return out
 
 
 def chunks(docs: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
     """Chunk rows of documents with an ``elements`` array (struct of type, text, page)."""
-    rows = docs.select("doc_id", F.col("elements").cast(f"array<{ELEMENT}>").alias("els"))
-    out = rows.select("doc_id", chunk_array(F.col("els"), max_chars, overlap).alias("c"))
-    # inline, as field access behind an explode would run the fold once per field
-    numbered = F.transform("c", lambda x, i: F.struct(i.alias("chunk_index"), x["text"].alias("text"), x["element_type"].alias("element_type"), x["page"].alias("page")))
-    return out.select("doc_id", F.inline(numbered))
-
-
-def triplet_windows(chunk_rows: DataFrame, whole: bool = False) -> DataFrame:
-    """Text windows for triplet extraction: the first chunks, cut at line ends when long.
-
-    With ``whole``, all chunks, in consecutive windows of as many chunks that are numbered in ``window``.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            els = b.column("els")
+            for i in range(b.num_rows):
+                found = chunk_elements(*(els[i].values.field(c).to_pylist() for c in ("text", "type", "page")), max_chars, overlap) if els[i].is_valid else []
+                if found:
+                    text, kind, page = zip(*found)
+                    ids = pa.array([i] * len(found), pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("doc_id").take(ids), pa.array(range(len(found)), pa.int32()), pa.array(text, pa.string()), pa.array(kind, pa.string()), pa.array(page, pa.int32())],
+                        ["doc_id", "chunk_index", "text", "element_type", "page"])
+
+    clean = F.transform(F.col("elements").cast(f"array<{ELEMENT}>"), lambda e: F.struct(
+        F.coalesce(e["type"], F.lit("paragraph")).alias("type"), strip(F.coalesce(e["text"], F.lit(""))).alias("text"), e["page"].alias("page")))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", clean.alias("els")).mapInArrow(run, f"doc_id {id_type}, chunk_index int, text string, element_type string, page int")
+
+
+def triplet_windows(chunk_rows: DataFrame, first: int | None = None) -> DataFrame:
+    """Text windows for triplet extraction: all chunks, in numbered windows of ``WINDOW_CHUNKS``, cut at line ends when long.
+
+    ``first`` keeps so many windows of a document.
     """
-    keys = ["doc_id", "window"] if whole else ["doc_id"]
-    rows = chunk_rows.withColumn("window", F.floor(F.col("chunk_index") / WINDOW_CHUNKS).cast("int")) if whole else chunk_rows.where(F.col("chunk_index") < WINDOW_CHUNKS)
+    keys = ["doc_id", "window"]
+    rows = chunk_rows.withColumn("window", F.floor(F.col("chunk_index") / WINDOW_CHUNKS).cast("int"))
+    rows = rows if first is None else rows.where(F.col("window") < first)
     text = rows.groupBy(*keys).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "\n").alias("t")
     )

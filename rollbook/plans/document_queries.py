@@ -50,19 +50,60 @@ def stored_chunks(s):
     return s._written("chunks", lambda: d.chunks(doc_elements(s)))
 
 
-@query("doc_2")
+def _chunk_sql(size: int, overlap: int) -> str:
+    """The buffer rules one element at a time: a row per document and element with the buffer behind it and what it gave out."""
+    step, kinds = size - overlap, ", ".join(f"'{k}'" for k in d.STRUCTURAL)
+    flush = f"CASE WHEN buf <> '' THEN [{{'text': {sql_strip('buf')}, 'element_type': s.kind}}] ELSE [] END"
+    return f"""(
+WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {sql_strip('x')}), lambda x: x <> '') AS p FROM documents),
+els AS (SELECT *, CASE WHEN kind IN ({kinds}) THEN 0 ELSE greatest(0, cast(ceil((length(text) - {size}) / {step}) AS bigint)) END AS cuts FROM (
+ SELECT doc_id, i, p[i] AS text, CASE WHEN i = 1 THEN 'heading' WHEN contains(p[i], '|') THEN 'table' ELSE 'paragraph' END AS kind FROM p, unnest(range(1, len(p) + 1)) AS r(i))),
+st AS (
+ SELECT doc_id, 0::bigint AS i, '' AS buf, NULL::varchar AS kind, []::STRUCT("text" VARCHAR, element_type VARCHAR)[] AS found FROM p
+ UNION ALL
+ SELECT s.doc_id, e.i, CASE WHEN e.kind IN ({kinds}) THEN '' WHEN cuts > 0 THEN chr(10) || substr(text, cuts * {step} + 1) WHEN length(buf) + length(text) > {size} AND buf <> '' THEN right(buf, {overlap}) || chr(10) || text ELSE buf || chr(10) || text END,
+  CASE WHEN e.kind IN ({kinds}) THEN NULL WHEN cuts > 0 OR (length(buf) + length(text) > {size} AND buf <> '') THEN e.kind ELSE coalesce(s.kind, e.kind) END,
+  CASE WHEN e.kind IN ({kinds}) THEN list_concat({flush}, [{{'text': text, 'element_type': e.kind}}])
+   WHEN cuts > 0 THEN list_concat({flush}, list_transform(range(0, cuts), lambda c: {{'text': {sql_strip(f'substr(text, c * {step} + 1, {size})')}, 'element_type': e.kind}}))
+   WHEN length(buf) + length(text) > {size} AND buf <> '' THEN {flush} ELSE [] END
+ FROM st s JOIN els e ON e.doc_id = s.doc_id AND e.i = s.i + 1),
+ends AS (SELECT doc_id, i + 1 AS i, [{{'text': {sql_strip('buf')}, 'element_type': kind}}] AS found FROM (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1) WHERE {sql_strip('buf')} <> ''),
+got AS (SELECT doc_id, i, found FROM st UNION ALL SELECT * FROM ends)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, n) - 1 AS chunk_index, found[n]."text" AS text, found[n].element_type AS element_type, 1 AS page FROM got, unnest(range(1, len(found) + 1)) AS r(n))"""
+
+
+view("chunks", _chunk_sql(d.MAX_CHARS, d.OVERLAP))
+
+
+@query("doc_2", "SELECT doc_id, chunk_index, text, element_type, page FROM chunks")
 def _(s):
     return d.chunks(doc_elements(s))
 
 
-@query("doc_2_small")
+@query("doc_2_small", f"SELECT doc_id, chunk_index, text, element_type, page FROM {_chunk_sql(400, 50)}")
 def _(s):
     return d.chunks(doc_elements(s), 400, 50)
 
 
-@query("doc_3")
+# Windows of ten chunks; a long one is cut before the line that would pass the part length.
+view("triplet_windows", f"""(
+WITH RECURSIVE t AS (SELECT doc_id, chunk_index // {d.WINDOW_CHUNKS} AS win, string_agg(text, chr(10) ORDER BY chunk_index) AS t FROM chunks GROUP BY 1, 2),
+l AS (SELECT doc_id, win, string_split(t, chr(10)) AS l FROM t WHERE length(t) > {d.PART_CHARS}),
+st AS (
+ SELECT doc_id, win, 0::bigint AS i, '' AS cur, NULL::varchar AS done FROM l
+ UNION ALL
+ SELECT s.doc_id, s.win, s.i + 1, CASE WHEN length(cur) + length(l[s.i + 1]) < {d.PART_CHARS} THEN cur || l[s.i + 1] || chr(10) ELSE l[s.i + 1] || chr(10) END,
+  CASE WHEN length(cur) + length(l[s.i + 1]) < {d.PART_CHARS} THEN NULL ELSE cur END
+ FROM st s JOIN l USING (doc_id, win) WHERE s.i < len(l)),
+parts AS (SELECT doc_id, win, i, done AS text FROM st WHERE done IS NOT NULL
+ UNION ALL SELECT doc_id, win, i + 1, cur FROM (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY doc_id, win ORDER BY i DESC) = 1) WHERE cur <> '')
+SELECT doc_id, win AS "window", 20 AS max_triplets, 0::bigint AS part, t AS text FROM t WHERE length(t) <= {d.PART_CHARS}
+UNION ALL SELECT doc_id, win, 5, row_number() OVER (PARTITION BY doc_id, win ORDER BY i) - 1, text FROM parts)""")
+
+
+@query("doc_3", 'SELECT doc_id, "window", max_triplets, part, text FROM triplet_windows')
 def _(s):
-    return d.triplet_windows(stored_chunks(s), whole=True)
+    return d.triplet_windows(stored_chunks(s))
 
 
 # --- entity graph ------------------------------------------------------------------------------

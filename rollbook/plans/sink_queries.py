@@ -6,16 +6,18 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import entity_graph as eg
 from ..operators import manifests as m
+from ..operators.flags import union
 from ..session import shared_dir
-from ..sources import sinks
+from ..sources import removal, sinks
 from ..sources import tables as t
 from ..streaming import jobs
 from . import eligibility_fixture as fx
 from .base import query
 from ..operators.graph import PAYOUT_KEYS
 from .dashboard_queries import reviews
-from .document_queries import links, stored_chunks
+from .document_queries import KIND, links, stored_chunks, triplets
 from .eligibility_queries import concepts, judged, verdicts
 from .graph_queries import WIN_OUT, WIN_SQL
 from .oracle import view
@@ -74,7 +76,8 @@ def _(s):
     return s.spark.read.schema(rows.schema).parquet(path).groupBy("rule_id", "decision").agg(F.count("*").alias("rows"))
 
 
-@query("snk_6")
+@query("snk_6", """SELECT sha256(doc_id || ':' || chunk_index) AS point_id, doc_id, chunk_index, element_type, nullif(regexp_extract(upper(filename), '([A-Z][0-9]{3,5})', 1), '') AS scheme_id, length(text) AS chars
+FROM chunks JOIN (SELECT doc_id, filename FROM policy_docs) USING (doc_id)""")
 def _(s):
     docs = fx.policy_docs(s).select("doc_id", "filename", F.concat(F.lit("documents/"), "filename").alias("object_key"))
     first = sinks.chunk_points(stored_chunks(s), docs)
@@ -87,21 +90,45 @@ def _(s):
 view("doc_rules", "SELECT 'D' || cast(doc_id AS varchar) AS rule_id, doc_id FROM policy_docs WHERE scheme_id IS NOT NULL")
 
 
-@query("snk_7", """
-WITH gone AS (SELECT doc_id FROM documents WHERE lang = 'es'), gone_rules AS (SELECT rule_id FROM doc_rules WHERE doc_id IN (SELECT doc_id FROM gone)),
-dec AS (SELECT 'D' || cast(o_orderkey % 800 AS varchar) AS rule_id FROM orders)
-SELECT 'rules' AS table_name, count(*) AS rows FROM doc_rules WHERE doc_id NOT IN (SELECT doc_id FROM gone)
-UNION ALL SELECT 'decisions', count(*) FROM dec WHERE rule_id NOT IN (SELECT rule_id FROM gone_rules)
-UNION ALL SELECT 'manual_inputs', count(*) FROM (SELECT 'D' || cast(c_custkey AS varchar) AS rule_id FROM customer) WHERE rule_id NOT IN (SELECT rule_id FROM gone_rules)
-UNION ALL SELECT 'project_links', count(*) FROM links WHERE document_id NOT IN (SELECT doc_id FROM gone)""")
+# Every table after the removal: its rows, and a sum over the digests of their columns.
+REMOVED = {
+    "chunks": ("doc_id, chunk_index, text, element_type", "chunks WHERE doc_id NOT IN (SELECT doc_id FROM gone)"),
+    "rules": ("rule_id, doc_id", "doc_rules WHERE doc_id NOT IN (SELECT doc_id FROM gone)"),
+    "decisions": ("decision_id, rule_id", "(SELECT o_orderkey AS decision_id, 'D' || cast(o_orderkey % 800 AS varchar) AS rule_id FROM orders) WHERE rule_id NOT IN (SELECT rule_id FROM gone_rules)"),
+    "manual_inputs": ("input_id, rule_id", "(SELECT c_custkey AS input_id, 'D' || cast(c_custkey AS varchar) AS rule_id FROM customer) WHERE rule_id NOT IN (SELECT rule_id FROM gone_rules)"),
+    "project_links": ("project_id, doc_id", "(SELECT project_id, document_id AS doc_id FROM links) WHERE doc_id NOT IN (SELECT doc_id FROM gone)"),
+    "entities": ("name, type, document_count", f"(SELECT name, {KIND.replace('X', 'name')} AS type, count(*) AS document_count FROM entity_docs WHERE document_id NOT IN (SELECT doc_id FROM gone) GROUP BY 1)"),
+    "entity_documents": ("name, doc_id", "(SELECT name, document_id AS doc_id FROM entity_docs) WHERE doc_id NOT IN (SELECT doc_id FROM gone)"),
+    "relations": ("source, relation, target, description, document_count", "(SELECT source, relation, target, r.description, count(DISTINCT document_id) AS document_count FROM triplets JOIN relations r USING (source, relation, target) WHERE document_id NOT IN (SELECT doc_id FROM gone) GROUP BY ALL)"),
+    "relation_documents": ("source, relation, target, doc_id", "(SELECT DISTINCT source, relation, target, document_id AS doc_id FROM triplets) WHERE doc_id NOT IN (SELECT doc_id FROM gone)"),
+}
+_SNK_7 = " UNION ALL ".join(
+    f"""SELECT '{name}' AS table_name, count(*) AS rows, cast(sum(('0x' || substr(md5(concat_ws('|', {cols})), 1, 8))::bigint) AS bigint) AS digest FROM {rows}""" for name, (cols, rows) in REMOVED.items())
+
+
+@query("snk_7", f"""WITH gone AS (SELECT doc_id FROM documents WHERE lang = 'es'), gone_rules AS (SELECT rule_id FROM doc_rules WHERE doc_id IN (SELECT doc_id FROM gone))
+{_SNK_7}""")
 def _(s):
-    rules = fx.policy_docs(s).where("scheme_id IS NOT NULL").select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("rule_id"), "doc_id")
-    decisions = t.raw(s.spark, s.sf_dir, "orders").select(F.concat(F.lit("D"), (F.col("o_orderkey") % 800).cast("string")).alias("rule_id"))
-    manual = t.raw(s.spark, s.sf_dir, "customer").select(F.concat(F.lit("D"), F.col("c_custkey").cast("string")).alias("rule_id"))
-    removed = t.raw(s.spark, s.sf_dir, "documents").where("lang = 'es'").select("doc_id")
-    left = sinks.delete_documents(removed, stored_chunks(s), rules, decisions, manual, links(s).withColumnRenamed("document_id", "doc_id"))
-    parts = [df.agg(F.count("*").alias("rows")).select(F.lit(n).alias("table_name"), "rows") for n, df in left.items() if n != "chunks"]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    raw = lambda n: t.raw(s.spark, s.sf_dir, n)
+    rule = lambda c: F.concat(F.lit("D"), c.cast("string")).alias("rule_id")
+    found = triplets(s)
+    by_doc = {"document_id": "doc_id"}
+    tables = {
+        "chunks": stored_chunks(s), "rules": fx.policy_docs(s).where("scheme_id IS NOT NULL").select(rule(F.col("doc_id")), "doc_id"),
+        "decisions": raw("orders").select(F.col("o_orderkey").alias("decision_id"), rule(F.col("o_orderkey") % 800)),
+        "manual_inputs": raw("customer").select(F.col("c_custkey").alias("input_id"), rule(F.col("c_custkey"))), "project_links": links(s).withColumnsRenamed(by_doc),
+        "entities": eg.merge_entities(found), "entity_documents": eg.entity_documents(found).withColumnsRenamed(by_doc),
+        "relations": eg.merge_relations(found), "relation_documents": eg.relation_documents(found).withColumnsRenamed(by_doc),
+    }
+    root = run_dir(s, "removal")
+    removal.write_tables(tables, root)
+    removal.remove_documents(raw("documents").where("lang = 'es'").select("doc_id"), root, 1)
+    parts = []
+    for name, df in removal.read_tables(s.spark, root).items():
+        text = F.concat_ws("|", *[F.col(c.strip()).cast("string") for c in REMOVED[name][0].split(",")])
+        digest = F.sum(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"))
+        parts.append(df.agg(F.count("*").alias("rows"), digest.alias("digest")).select(F.lit(name).alias("table_name"), "rows", "digest"))
+    return union(*parts)
 
 
 # --- streams -----------------------------------------------------------------------------------

@@ -1,4 +1,4 @@
-"""Sinks: keyed upsert, exports, decision and chunk tables, document removal (SNK)."""
+"""Sinks: keyed upsert, exports, decision and chunk tables (SNK)."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.flags import union
 from .keyed import read_current, upsert, upsert_into
 
-__all__ = ["chunk_points", "delete_documents", "read_current", "replace_decisions", "top_rows", "upsert", "upsert_into", "write_csv", "write_evaluation"]
+__all__ = ["chunk_points", "read_current", "replace_decisions", "top_rows", "upsert", "upsert_into", "write_csv", "write_evaluation"]
 
 
 def top_rows(spark: SparkSession, tables: dict, n: int = 10) -> DataFrame:
@@ -60,16 +60,3 @@ def chunk_points(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return chunks.join(payload, "doc_id").withColumn(
         "point_id", F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")), 256)
     )
-
-
-def delete_documents(removed: DataFrame, chunks: DataFrame, rules: DataFrame, decisions: DataFrame, manual: DataFrame, links: DataFrame) -> dict[str, DataFrame]:
-    """What is left of every table once documents are removed, down the chain of their rules."""
-    docs = removed.select("doc_id").distinct()
-    gone = rules.join(docs, "doc_id", "left_semi").select("rule_id").distinct()
-    return {
-        "chunks": chunks.join(docs, "doc_id", "left_anti"),
-        "rules": rules.join(docs, "doc_id", "left_anti"),
-        "decisions": decisions.join(gone, "rule_id", "left_anti"),
-        "manual_inputs": manual.join(gone, "rule_id", "left_anti"),
-        "project_links": links.join(docs, "doc_id", "left_anti"),
-    }

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -73,9 +74,22 @@ def test_chunks_equal_plain_fold(spark):
         assert got.get(i, []) == fold(els, 100, 20), i
 
 
+def test_chunking_is_linear():
+    """A text ten times as long takes about ten times as long, not a hundred times."""
+    def seconds(n):
+        texts = [f"line {i} of a long text with some words in it" for i in range(n)]
+        t0 = time.perf_counter()
+        out = d.chunk_elements(texts, ["paragraph"] * n, [1] * n)
+        assert sum(len(t) for t, _, _ in out) >= sum(map(len, texts))
+        return time.perf_counter() - t0
+
+    seconds(1000)
+    assert seconds(200_000) < 40 * max(seconds(20_000), 0.02)  # the longer one holds 9 MB
+
+
 def test_windows(spark):
     long = [(1, i, "x" * 900 + "\n" + "y" * 100) for i in range(12)] + [(2, 0, "short")]
-    rows = d.triplet_windows(spark.createDataFrame(long, "doc_id long, chunk_index int, text string")).orderBy("doc_id", "part").collect()
+    rows = d.triplet_windows(spark.createDataFrame(long, "doc_id long, chunk_index int, text string"), first=1).orderBy("doc_id", "part").collect()
     assert [(r.doc_id, r.max_triplets) for r in rows] == [(1, 5)] * 3 + [(2, 20)]
     assert "".join(r.text for r in rows if r.doc_id == 1) == "\n".join(t for _, i, t in long[:10]) + "\n"
     assert all(len(r.text) <= 4001 for r in rows)
@@ -83,7 +97,7 @@ def test_windows(spark):
 
 def test_windows_of_the_whole_text(spark):
     long = [(1, i, f"{i} " + "x" * 900 + "\n" + "y" * 100) for i in range(32)] + [(2, 0, "short")]
-    rows = d.triplet_windows(spark.createDataFrame(long, "doc_id long, chunk_index int, text string"), whole=True).orderBy("doc_id", "window", "part").collect()
+    rows = d.triplet_windows(spark.createDataFrame(long, "doc_id long, chunk_index int, text string")).orderBy("doc_id", "window", "part").collect()
     of = lambda w: "".join(r.text for r in rows if (r.doc_id, r.window) == (1, w)).rstrip("\n")
     assert [of(w) for w in range(4)] == ["\n".join(t for k, i, t in long if k == 1 and i // 10 == w) for w in range(4)]
     assert [(r.window, r.part, r.max_triplets, r.text) for r in rows if r.doc_id == 2] == [(0, 0, 20, "short")]

@@ -4,7 +4,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from rollbook.operators.graph import PAYOUT_KEYS, payout_windows
-from rollbook.sources import files, keyed, sinks
+from rollbook.sources import files, keyed, removal, sinks
 from rollbook.streaming import jobs
 
 
@@ -208,3 +208,39 @@ def test_payouts_in_any_order(spark, tmp_path):
         assert sorted(map(str, jobs.payout_rows(state).collect())) == want
     known = spark.createDataFrame([("u1:B",)], "enrollment_key string")
     assert {r.uid for r in jobs.payouts_of(known, state).collect()} == {"u1"}
+
+
+# --- removal -----------------------------------------------------------------------------------
+
+
+def test_removal_down_the_graph(spark, tmp_path):
+    """Nodes and edges go with their last document; a removal that was cut off ends the same."""
+    make = spark.createDataFrame
+    tables = {
+        "chunks": make([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "doc_id long, chunk_index int, text string"),
+        "rules": make([("R1", 1), ("R2", 2)], "rule_id string, doc_id long"),
+        "decisions": make([(1, "R1"), (2, "R2"), (3, "R1"), (4, None)], "decision_id long, rule_id string"), "manual_inputs": make([(1, "R2"), (2, "R1")], "input_id long, rule_id string"),
+        "project_links": make([("P", 1), ("P", 2), ("Q", 3)], "project_id string, doc_id long"),
+        "entities": make([("A", "Person", 2), ("B", "Person", 1), ("C", "Place", 1), ("D", "Place", 1)], "name string, type string, document_count long"),
+        "entity_documents": make([("A", 1), ("A", 2), ("B", 1), ("C", 2), ("D", 3)], "name string, doc_id long"),
+        # the edge A-D has a document that its end B does not know; B-D must go with B all the same
+        "relations": make([("A", "R", "B", "x", 1), ("A", "R", "C", "y", 1), ("A", "R", "D", "z", 2), ("B", "R", "D", "w", 1)], "source string, relation string, target string, description string, document_count long"),
+        "relation_documents": make([("A", "R", "B", 1), ("A", "R", "C", 2), ("A", "R", "D", 1), ("A", "R", "D", 3), ("B", "R", "D", 3)], "source string, relation string, target string, doc_id long"),
+    }
+    root = tmp_path / "t"
+    removal.write_tables(tables, str(root))
+    removed = make([(1,), (1,), (99,), (None,)], "doc_id long")
+    left = lambda: {n: sorted(map(tuple, df.collect()), key=str) for n, df in removal.read_tables(spark, str(root)).items()}
+    removal.remove_documents(removed, str(root), 1)
+    want = {
+        "chunks": [(2, 0, "c")], "rules": [("R2", 2)], "decisions": [(2, "R2"), (4, None)], "manual_inputs": [(1, "R2")], "project_links": [("P", 2), ("Q", 3)],
+        "entities": [("A", "Person", 1), ("C", "Place", 1), ("D", "Place", 1)], "entity_documents": [("A", 2), ("C", 2), ("D", 3)],
+        "relations": [("A", "R", "C", "y", 1), ("A", "R", "D", "z", 1)], "relation_documents": [("A", "R", "C", 2), ("A", "R", "D", 3)],
+    }
+    assert left() == want
+    for name in ("entities", "relations", "relation_documents"):
+        shutil.rmtree(root / name / "manifest" / "version=1")
+    removal.remove_documents(removed, str(root), 1)
+    assert left() == want
+    removal.remove_documents(make([(2,), (3,)], "doc_id long"), str(root), 2)
+    assert {n: len(r) for n, r in left().items() if r} == {"decisions": 1}
