@@ -11,6 +11,7 @@ FIELD_TYPES = {
     "receives_pension": "boolean", "retired_or_terminated": "boolean", "reemployed_same_factory": "boolean",
     "member_dob": "date", "caste": "text", "rc_ration_card_type_code": "text", "rc_is_hof": "boolean",
 }
+# Types of fields that are entered by hand.
 MANUAL_FIELD_TYPES = {
     "course_level": "text", "study_mode": "text", "institution_type": "text", "no_other_scholarship": "boolean",
     "nationality": "text", "medical_allowance_opt_in": "boolean", "male_sibling_scholarship_count": "number",
@@ -40,6 +41,7 @@ CONCEPT_FIELDS = {
 COVER_STOP = ["excluded", "exclude", "if", "covered", "under", "families", "family", "the", "of", "and", "or", "any"]
 PHRASE_STOP = ["the", "of", "and", "or", "to", "for", "a", "an", "as", "be", "by", "from", "with", "in", "on", "any", "may", "is", "are", "time"]
 BOOLEAN_SIGNALS = ["resident", "residency", "eligible", "eligibility", "employee", "employed", "drawing", "receiving", "receives", "belongs", "belongs_to", "category", "allowance"]
+# Beginnings of names of yes/no fields.
 BOOLEAN_PREFIX = r"^(has_|is_|exclude_|receives_|covered_|eligible_)"
 
 

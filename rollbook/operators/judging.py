@@ -90,28 +90,46 @@ def _has_uid() -> Column:
     return F.trim(F.coalesce("uid", F.lit(""))) != ""
 
 
+#: A rule list of up to so many rows goes to every task; citizens are not moved.
+RULE_ROWS = 5000
+
+
+def _is_list(rules: DataFrame) -> bool:
+    return rules.limit(RULE_ROWS + 1).count() <= RULE_ROWS
+
+
 def base_scheme_only(rules: DataFrame, citizens: DataFrame) -> DataFrame:
     """Rows enrolled in the target scheme of each rule."""
-    return citizens.where(_has_uid()).join(rules, F.upper(F.trim("scheme_id")) == F.col("target_scheme"))
+    index = F.broadcast(rules) if _is_list(rules) else rules
+    return citizens.where(_has_uid()).join(index, F.upper(F.trim("scheme_id")) == F.col("target_scheme"))
 
 
 def base_preferred(rules: DataFrame, citizens: DataFrame) -> DataFrame:
     """One row per rule and uid: the row in the target scheme when there is one, else the newest.
 
     The newest row per (uid, scheme) and per uid are picked once for all rules; a rule then only
-    chooses between the two.
+    chooses between the two. A citizen's newest row carries the schemes of the citizen, so the rules
+    it stands for are picked inside the row, from the rule list as one constant.
     """
     order = [F.desc_nulls_last("latest_transaction_timestamp"), F.desc_nulls_last("approved_date"), F.asc("scheme_id"), F.asc("scheme_beneficiary_id"), F.asc("row_no")]
     rows = citizens.where(_has_uid()).withColumn("_scheme", F.upper(F.trim("scheme_id")))
     per_scheme = first_row(rows, ["uid", "_scheme"], order)
     newest = first_row(per_scheme, ["uid"], order)
-    inside = per_scheme.join(rules, F.col("_scheme") == F.col("target_scheme")).drop("_scheme")
-    targets = rules.agg(F.collect_list(F.struct(*rules.columns)).alias("all_rules"))
-    # every uid meets every rule; the rule list is one row
-    every = newest.withColumn("_one", F.lit(1)).join(targets.withColumn("_one", F.lit(1)), "_one").withColumn("r", F.explode("all_rules"))
-    every = every.select(*newest.columns, "r.*").drop("_scheme")
-    outside = every.join(inside.select("rule_id", "uid"), ["rule_id", "uid"], "left_anti")
-    return inside.unionByName(outside.select(*inside.columns))
+    targets = rules.where("target_scheme IS NOT NULL").select("target_scheme").distinct()
+    if _is_list(rules):
+        rules = F.broadcast(rules)
+        inside = per_scheme.join(rules, F.col("_scheme") == F.col("target_scheme"))
+        # schemes that no rule asks for are no reason to stay away
+        held = per_scheme.join(F.broadcast(targets), F.col("_scheme") == F.col("target_scheme"), "left_semi").groupBy("uid").agg(F.collect_set("_scheme").alias("_held"))
+        row_type = rules.schema.simpleString()
+        listed = rules.agg(F.to_json(F.collect_list(F.struct(*rules.columns)))).first()[0]
+        of = F.filter(F.from_json(F.lit(listed), f"array<{row_type}>"), lambda r: ~F.coalesce(F.array_contains("_held", r["target_scheme"]), F.lit(False)))
+        outside = newest.join(held, "uid", "left").withColumn("r", F.explode(of)).select(*newest.columns, "r.*")
+    else:
+        # more rules than a list: every uid meets every rule all the same
+        inside = per_scheme.join(rules, F.col("_scheme") == F.col("target_scheme"))
+        outside = newest.crossJoin(rules).join(inside.select("rule_id", "uid"), ["rule_id", "uid"], "left_anti")
+    return inside.drop("_scheme").unionByName(outside.drop("_scheme"))
 
 
 def with_manual(base: DataFrame, manual: DataFrame | None) -> DataFrame:
@@ -248,7 +266,7 @@ def decide(df: DataFrame) -> DataFrame:
 
 
 def reasons(df: DataFrame) -> DataFrame:
-    """Adds the reason sentence of the decision."""
+    """Adds the reason sentence of the decision. The wording of the sentences."""
     def listed(passed: bool) -> Column:
         some = F.filter("checks", lambda x: x["passed"] == F.lit(passed))
         text = F.transform(some, lambda x: F.concat(x["field"], F.lit(" "), x["operator"], F.lit(" "), F.coalesce(x["expected"], F.lit("null")), F.lit(" (actual="), x["actual"], F.lit(")")))
