@@ -66,9 +66,16 @@ def first_place(places: DataFrame) -> DataFrame:
     )
 
 
-def of_top(df: DataFrame, top: DataFrame) -> DataFrame:
-    """Rows of ``df`` for the citizens of a limited table; its size is bounded by that limit."""
-    return df.join(F.broadcast(top.select("uid").distinct()), "uid", "left_semi")
+#: A table limited to so many rows goes to every task.
+BROADCAST_ROWS = 10_000
+#: Members of a cluster that a drawing shows; the links carry the full count.
+DRAWN = 20
+
+
+def of_top(df: DataFrame, top: DataFrame, rows: int | None = None) -> DataFrame:
+    """Rows of ``df`` for the citizens of ``top``; sent to every task only where ``rows``, the limit of ``top``, is given and small."""
+    ids = top.select("uid").distinct()
+    return df.join(F.broadcast(ids) if rows is not None and rows <= BROADCAST_ROWS else ids, "uid", "left_semi")
 
 
 def scheme_list(schemes: DataFrame, col: str) -> DataFrame:
@@ -142,8 +149,8 @@ def top_risk(citizens, places, schemes, as_of_year: int, limit: int = 20, tier:
     top = rows.orderBy(F.desc("vulnerability_score"), "uid").limit(limit)
     return (
         top.select("name", "gender", "dob", "uid", F.col("vulnerability_score").alias("score"), F.col("risk_tier").alias("tier"))
-        .join(first_place(of_top(places, top)), "uid", "left")
-        .join(scheme_list(of_top(schemes, top), "scheme_name"), "uid", "left")
+        .join(first_place(of_top(places, top, limit)), "uid", "left")
+        .join(scheme_list(of_top(schemes, top, limit), "scheme_name"), "uid", "left")
         .orderBy(F.desc("score"), "uid")
     )
 
@@ -152,9 +159,9 @@ def ghost_list(citizens, places, schemes, flags, n: int = 200) -> DataFrame:
     hits = citizen_flags(flags).where("type = 'GHOST'").orderBy(F.desc("confidence"), "uid", "rule").limit(n)
     return (
         hits.select("uid", "rule", "confidence", "description")
-        .join(of_top(citizens, hits).select("uid", "name", "dob"), "uid")
-        .join(first_gp(of_top(places, hits)), "uid", "left")
-        .join(of_top(schemes, hits).groupBy("uid").agg(F.min("scheme_name").alias("scheme")), "uid", "left")
+        .join(of_top(citizens, hits, n).select("uid", "name", "dob"), "uid")
+        .join(first_gp(of_top(places, hits, n)), "uid", "left")
+        .join(of_top(schemes, hits, n).groupBy("uid").agg(F.min("scheme_name").alias("scheme")), "uid", "left")
         .select("uid", "name", F.coalesce("dob", F.lit("Unknown")).alias("dob"), F.coalesce("gp_name", F.lit("Unknown")).alias("shared_gp"),
                 F.coalesce("scheme", F.lit("General")).alias("scheme"), "confidence", "rule", "description")
     )
@@ -269,8 +276,8 @@ def _queue(citizens, places, flags, rules, district, block) -> DataFrame:
 def audit_queue(citizens, places, schemes, flags, limit: int = 50, rules=None, district: str = "", block: str = "") -> DataFrame:
     """Citizens with the most flags, then the highest score; place and scheme only for the top rows."""
     top = _queue(citizens, places, flags, rules, district, block).orderBy(F.desc("flags"), F.desc("score"), "uid").limit(limit)
-    where = first_place(of_top(_place_filter(places, (district or "").strip(), (block or "").strip()), top))
-    scheme = of_top(schemes, top).groupBy("uid").agg(F.min("scheme_id").alias("scheme"))
+    where = first_place(of_top(_place_filter(places, (district or "").strip(), (block or "").strip()), top, limit))
+    scheme = of_top(schemes, top, limit).groupBy("uid").agg(F.min("scheme_id").alias("scheme"))
     return top.join(where, "uid", "left").join(scheme, "uid", "left").select(
         "name", "uid", "dob", "gender", "score", "district", "block", "gp", "flags", "rule_codes", "flag_notes",
         F.coalesce("scheme", F.lit("N/A")).alias("scheme"),
@@ -360,30 +367,53 @@ def integrity(quality: DataFrame, citizens: DataFrame) -> DataFrame:
 # --- neighborhoods and slices ------------------------------------------------------------------
 
 
-def partners(table: DataFrame, seeds: DataFrame, keys: list[str]) -> DataFrame:
-    """Links of the seeds inside their clusters, both directions."""
-    own = of_top(table, seeds).select(F.col("uid").alias("src"), *keys, "cluster_size")
-    return table.select(F.col("uid").alias("dst"), *keys).join(own, keys).where("src <> dst").select("src", "dst", "cluster_size")
+#: Cluster tables: label of their links, text, and key columns.
+HUBS = {"B1": ("POTENTIAL_DUPLICATE", "Rule: B1 (Conf: 92%)", ["cluster_id"]), "B3": ("SAME_DOB_AT_GP", "Same date of birth at one GP", ["gp_code", "dob"])}
+LINK = ["source", "target", "label", "description", "link_count"]
+
+
+def hub_id(rule: str) -> Column:
+    return F.concat_ws(":", F.lit(rule), *HUBS[rule][2])
+
+
+def hub_members(table: DataFrame, rule: str, hubs: DataFrame | None = None) -> DataFrame:
+    """(hub, uid, cluster_size): all members of clusters, of those in ``hubs`` if given; one row a member, whatever the number of pairs."""
+    rows = table.select(hub_id(rule).alias("hub"), "uid", "cluster_size")
+    return rows if hubs is None else rows.join(hubs.select("hub").distinct(), "hub", "left_semi")
+
+
+def hub_links(table: DataFrame, rule: str, seeds: DataFrame, rows: int | None = None) -> DataFrame:
+    """Links of seeds to the hubs of their clusters, and of these hubs to their first ``DRAWN`` members.
+
+    A hub stands for all pairs of its cluster: ``link_count`` of a seed's link is the number of its
+    partners, that of a hub's link the size of the cluster. So the links are linear in seeds and hubs.
+    """
+    label, text, _ = HUBS[rule]
+    own = hub_members(of_top(table, seeds, rows), rule)
+    near = own.select(F.col("uid").alias("source"), F.col("hub").alias("target"), F.lit(label).alias("label"), F.lit(text).alias("description"), (F.col("cluster_size") - 1).cast("bigint").alias("link_count"))
+    drawn = top_per_group(hub_members(table, rule, own), ["hub"], [F.col("uid")], DRAWN, ["uid"])
+    far = drawn.select(F.col("hub").alias("source"), F.col("uid").alias("target"), F.lit("CLUSTER_MEMBER").alias("label"), F.concat(F.lit("Member "), F.col("rn").cast("string")).alias("description"), F.col("cluster_size").cast("bigint").alias("link_count"))
+    return near.distinct().unionByName(far)
+
+
+def once(df: DataFrame) -> DataFrame:
+    return df.withColumn("link_count", F.lit(1).cast("bigint")).select(*LINK)
 
 
 def neighborhood(citizens, places, flags, dup, dob, c1, schemes_dim, seeds: DataFrame) -> DataFrame:
     """Links of the two-hop neighborhood of the seed citizens; node attributes via ``node_rows``."""
     home = of_top(places, seeds).select("uid", "gp_code").distinct()
     lives = home.select(F.col("uid").alias("source"), F.col("gp_code").alias("target"), F.lit("RESIDES_IN").alias("label"), F.lit("").alias("description"))
-    d = partners(dup, seeds, ["cluster_id"]).select(F.col("src").alias("source"), F.col("dst").alias("target"), F.lit("POTENTIAL_DUPLICATE").alias("label"), F.lit("Rule: B1 (Conf: 92%)").alias("description"))
-    b = partners(dob, seeds, ["gp_code", "dob"]).select(
-        F.col("src").alias("source"), F.col("dst").alias("target"), F.lit("SAME_DOB_AT_GP").alias("label"),
-        F.concat(F.lit("Cluster size: "), F.col("cluster_size").cast("string")).alias("description"))
     f = of_top(citizen_flags(flags), seeds).select(
         F.col("uid").alias("source"), F.concat_ws("_", F.lit("FLAG"), "rule", "type").alias("target"), F.lit("FLAGGED_AS").alias("label"),
         F.concat(F.lit("Conf: "), F.col("confidence").cast("string"), F.lit("%")).alias("description"))
     r = c1.join(home.select("gp_code").distinct(), "gp_code").select(
         F.col("gp_code").alias("source"), F.col("scheme_id").alias("target"), F.lit("HIGH_RISK_CLUSTER").alias("label"), F.lit("").alias("description"))
-    return union(lives, d, b, f, r).distinct()
+    return union(once(union(lives, f, r).distinct()), hub_links(dup, "B1", seeds), hub_links(dob, "B3", seeds))
 
 
 def node_rows(links: DataFrame, citizens, places, flags, scheme_names) -> DataFrame:
-    """Nodes named by the ends of the links, with label and type; FraudFlag wins over Citizen."""
+    """Nodes named by the ends of the links, with label and type: citizens, GPs, schemes, flags and the hubs of clusters."""
     ends = links.select(F.col("source").alias("id")).unionByName(links.select(F.col("target").alias("id"))).distinct()
     person = ends.join(citizens, ends["id"] == citizens["uid"]).select("id", F.col("name").alias("label"), F.lit("Citizen").alias("type"), "risk_tier")
     none = F.lit(None).cast("string")
@@ -392,7 +422,9 @@ def node_rows(links: DataFrame, citizens, places, flags, scheme_names) -> DataFr
     sch = ends.join(scheme_names.select(F.col("scheme_id").alias("id"), F.col("scheme_name").alias("label")), "id").select("id", "label", F.lit("Scheme").alias("type"), none.alias("risk_tier"))
     ff = flags.select(F.concat_ws("_", F.lit("FLAG"), "rule", "type").alias("id"), F.concat_ws(": ", "type", "description").alias("label")).distinct()
     flag = ends.join(ff, "id").select("id", "label", F.lit("FraudFlag").alias("type"), none.alias("risk_tier"))
-    return union(person, gp, sch, flag)
+    hub = links.where("label = 'CLUSTER_MEMBER'").groupBy(F.col("source").alias("id")).agg(F.max("link_count").alias("n")).select(
+        "id", F.concat(F.col("n").cast("string"), F.lit(" citizens")).alias("label"), F.lit("Cluster").alias("type"), none.alias("risk_tier"))
+    return union(person, gp, sch, flag, hub)
 
 
 def priority(citizens: DataFrame, flags: DataFrame) -> DataFrame:
@@ -434,22 +466,21 @@ def slice_rows(citizens, places, schemes, flags, dup, n: int = 1200, scheme: str
             # codes of different levels may be equal numbers, so the level is part of the node id
             src = F.col(a) if a == "uid" else F.concat_ws(":", F.lit(a), a)
             links.append(geo.select(src.alias("source"), F.concat_ws(":", F.lit(b), b).alias("target"), F.lit(label).alias("label"), F.lit("").alias("description")))
-    enrolled = of_top(schemes, top)
+    enrolled = of_top(schemes, top, n)
     if scheme:
         enrolled = enrolled.where(F.col("scheme_id") == scheme.strip().upper())
     links.append(enrolled.select(F.col("uid").alias("source"), F.col("scheme_id").alias("target"), F.lit("ENROLLED_IN").alias("label"), F.lit("Status: Active").alias("description")))
-    links.append(partners(dup, top, ["cluster_id"]).where("src < dst").select(F.col("src").alias("source"), F.col("dst").alias("target"), F.lit("POTENTIAL_DUPLICATE").alias("label"), F.lit("Rule: B1 (92%)").alias("description")))
-    links.append(of_top(citizen_flags(flags), top).select(
+    links.append(of_top(citizen_flags(flags), top, n).select(
         F.col("uid").alias("source"), F.concat_ws("_", F.lit("FLAG"), "rule", "type").alias("target"), F.lit("FLAGGED_AS").alias("label"),
         F.concat(F.lit("Conf: "), F.col("confidence").cast("string"), F.lit("%")).alias("description")))
-    return union(*links).distinct()
+    return union(once(union(*links).distinct()), hub_links(dup, "B1", top, n))
 
 
 def slice_nodes(citizens, places, flags, n: int = 1200) -> DataFrame:
     """Citizen nodes of the map slice with their reason text."""
     rows = priority(citizens, flags).join(places.select("uid", "gp_code"), "uid", "left")
     top = rows.orderBy(F.desc("priority_score"), F.desc("vulnerability_score"), "uid", "gp_code").limit(n).drop("gp_code").dropDuplicates(["uid"])
-    why = of_top(citizen_flags(flags), top).groupBy("uid").agg(F.min(F.concat_ws(": ", "type", "description")).alias("flag_text"))
+    why = of_top(citizen_flags(flags), top, n).groupBy("uid").agg(F.min(F.concat_ws(": ", "type", "description")).alias("flag_text"))
     out = top.join(why, "uid", "left").withColumn("fraud_reason", fraud_reason(F.col("flag_text")))
     return out.select("uid", "name", "risk_tier", "priority_score", F.when(F.col("fraud_reason").isNotNull(), "FraudFlag").otherwise("Citizen").alias("type"), "fraud_reason")
 
@@ -466,7 +497,7 @@ def scheme_catalog(schemes: DataFrame, profile: DataFrame, scheme_names: DataFra
 
 def scheme_citizens(citizens, places, schemes, scheme: str, n: int = 50) -> DataFrame:
     top = schemes.where(F.col("scheme_id") == scheme.strip()).select("uid", "scheme_name").distinct().orderBy("uid").limit(n)
-    return top.join(of_top(citizens, top).select("uid", "name", "dob", "gender"), "uid").join(first_place(of_top(places, top)), "uid", "left")
+    return top.join(of_top(citizens, top, n).select("uid", "name", "dob", "gender"), "uid").join(first_place(of_top(places, top, n)), "uid", "left")
 
 
 def scheme_age(citizens, schemes, scheme: str, age: int, n: int = 100) -> DataFrame:
@@ -522,11 +553,15 @@ def name_suggestions(citizens, places, names: DataFrame, limit: int = 8) -> Data
 
 
 def snapshot_by_uid(citizens, places, schemes, flags, dup, uids: DataFrame) -> DataFrame:
-    """Snapshot rows, one per duplicate link of the citizen (one with nulls when there is none)."""
+    """Snapshot rows with the number of duplicates, one per duplicate drawn (the first ``DRAWN`` by uid; one row with nulls when there is none)."""
     base = snapshot(citizens, places, schemes, flags, uids)
-    links = partners(dup, uids, ["cluster_id"]).select(F.col("src").alias("uid"), F.col("dst").alias("duplicate_uid"))
+    own = hub_members(of_top(dup, uids), "B1")
+    # a citizen may be among the first members itself, so one more is read
+    first = top_per_group(hub_members(dup, "B1", own), ["hub"], [F.col("uid")], DRAWN + 1, ["uid"]).select("hub", F.col("uid").alias("duplicate_uid"))
+    pairs = own.join(first, "hub").where("uid <> duplicate_uid").select("uid", "duplicate_uid", (F.col("cluster_size") - 1).cast("bigint").alias("duplicate_count"))
+    links = top_per_group(pairs, ["uid"], [F.col("duplicate_uid")], DRAWN, ["duplicate_uid"]).drop("rn")
     names = citizens.select(F.col("uid").alias("duplicate_uid"), F.col("name").alias("duplicate_name"))
-    return base.join(links.join(names, "duplicate_uid"), "uid", "left")
+    return base.join(links.join(names, "duplicate_uid"), "uid", "left").withColumn("duplicate_count", F.coalesce("duplicate_count", F.lit(0).cast("bigint")))
 
 
 def citizen_360(profile: DataFrame, txn: DataFrame, uids: DataFrame, beneficiary_ids: DataFrame) -> DataFrame:

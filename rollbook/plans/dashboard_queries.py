@@ -272,13 +272,21 @@ def _(s):
 
 
 view("both_dup", "SELECT uid1 AS src, uid2 AS dst FROM dup_pairs UNION ALL SELECT uid2, uid1 FROM dup_pairs")
-view("hood", """
-SELECT DISTINCT uid AS source, gp_code AS target, 'RESIDES_IN' AS label, '' AS description FROM places JOIN seeds USING (uid)
-UNION ALL SELECT src, dst, 'POTENTIAL_DUPLICATE', 'Rule: B1 (Conf: 92%)' FROM both_dup WHERE src IN (SELECT uid FROM seeds)
-UNION ALL SELECT uid1, uid2, 'SAME_DOB_AT_GP', 'Cluster size: ' || n FROM dob_pairs WHERE uid1 IN (SELECT uid FROM seeds)
-UNION ALL SELECT uid2, uid1, 'SAME_DOB_AT_GP', 'Cluster size: ' || n FROM dob_pairs WHERE uid2 IN (SELECT uid FROM seeds)
-UNION ALL SELECT uid, 'FLAG_' || rule || '_' || type, 'FLAGGED_AS', 'Conf: ' || confidence || '%' FROM citizen_flags JOIN seeds USING (uid)
-UNION ALL SELECT DISTINCT gp_code, scheme_id, 'HIGH_RISK_CLUSTER', '' FROM c1s WHERE gp_code IN (SELECT gp_code FROM places JOIN seeds USING (uid))""")
+view("dup_hubs", "SELECT src AS uid, 'B1:' || least(src, min(dst)) AS hub, count(*) + 1 AS size FROM both_dup GROUP BY src")
+view("dob_hubs", """SELECT uid, 'B3:' || gp_code || ':' || dob AS hub, count(*) + 1 AS size FROM (SELECT uid1 AS uid, gp_code, dob FROM dob_pairs UNION ALL SELECT uid2, gp_code, dob FROM dob_pairs) GROUP BY uid, gp_code, dob""")
+
+
+def _hub_links(hubs: str, seeds: str, label: str, text: str) -> str:
+    return f"""SELECT uid, hub, '{label}', '{text}', size - 1 FROM {hubs} WHERE uid IN (SELECT uid FROM {seeds})
+UNION ALL SELECT hub, uid, 'CLUSTER_MEMBER', 'Member ' || rn, size FROM (SELECT *, row_number() OVER (PARTITION BY hub ORDER BY uid) AS rn FROM {hubs} WHERE hub IN (SELECT hub FROM {hubs} WHERE uid IN (SELECT uid FROM {seeds}))) WHERE rn <= {d.DRAWN}"""
+
+
+view("hood", f"""
+SELECT DISTINCT uid AS source, gp_code AS target, 'RESIDES_IN' AS label, '' AS description, 1 AS link_count FROM places JOIN seeds USING (uid)
+UNION ALL {_hub_links('dup_hubs', 'seeds', 'POTENTIAL_DUPLICATE', 'Rule: B1 (Conf: 92%)')}
+UNION ALL {_hub_links('dob_hubs', 'seeds', 'SAME_DOB_AT_GP', 'Same date of birth at one GP')}
+UNION ALL SELECT uid, 'FLAG_' || rule || '_' || type, 'FLAGGED_AS', 'Conf: ' || confidence || '%', 1 FROM citizen_flags JOIN seeds USING (uid)
+UNION ALL SELECT DISTINCT gp_code, scheme_id, 'HIGH_RISK_CLUSTER', '', 1 FROM c1s WHERE gp_code IN (SELECT gp_code FROM places JOIN seeds USING (uid))""")
 
 
 def hood(s):
@@ -295,6 +303,7 @@ WITH ends AS (SELECT source AS id FROM hood UNION SELECT target FROM hood)
 SELECT id, name AS label, 'Citizen' AS type, risk_tier FROM ends JOIN scored ON uid = id
 UNION ALL SELECT id, min(gp_name), 'GP', NULL FROM ends JOIN places ON gp_code = id GROUP BY id
 UNION ALL SELECT id, scheme_name, 'Scheme', NULL FROM ends JOIN scheme_names ON scheme_id = id
+UNION ALL SELECT source, max(link_count) || ' citizens', 'Cluster', NULL FROM hood WHERE label = 'CLUSTER_MEMBER' GROUP BY source
 UNION ALL SELECT DISTINCT id, type || ': ' || description, 'FraudFlag', NULL FROM ends JOIN flags ON id = 'FLAG_' || rule || '_' || type""")
 def _(s):
     return d.node_rows(hood(s), s.citizens, s.places, s.flags, s.scheme_names)
@@ -306,14 +315,14 @@ view("scheme_slice", f"SELECT c.*, {PRIORITY} AS priority_score FROM citizens c
 
 
 def _slice_links(name: str, scheme: str) -> str:
-    return f"""SELECT DISTINCT uid AS source, scheme_id AS target, 'ENROLLED_IN' AS label, 'Status: Active' AS description FROM schemes WHERE uid IN (SELECT uid FROM {name}) {scheme}
-UNION ALL SELECT uid1, uid2, 'POTENTIAL_DUPLICATE', 'Rule: B1 (92%)' FROM dup_pairs WHERE uid1 IN (SELECT uid FROM {name})
-UNION ALL SELECT uid, 'FLAG_' || rule || '_' || type, 'FLAGGED_AS', 'Conf: ' || confidence || '%' FROM citizen_flags WHERE uid IN (SELECT uid FROM {name})"""
+    return f"""SELECT DISTINCT uid AS source, scheme_id AS target, 'ENROLLED_IN' AS label, 'Status: Active' AS description, 1 AS link_count FROM schemes WHERE uid IN (SELECT uid FROM {name}) {scheme}
+UNION ALL {_hub_links('dup_hubs', name, 'POTENTIAL_DUPLICATE', 'Rule: B1 (Conf: 92%)')}
+UNION ALL SELECT uid, 'FLAG_' || rule || '_' || type, 'FLAGGED_AS', 'Conf: ' || confidence || '%', 1 FROM citizen_flags WHERE uid IN (SELECT uid FROM {name})"""
 
 
 @query("dsh_20", f"""
-SELECT DISTINCT 'block_code:' || block_code AS source, 'district_code:' || district_code AS target, 'PART_OF' AS label, '' AS description FROM slice
-UNION ALL SELECT DISTINCT 'gp_code:' || gp_code, 'block_code:' || block_code, 'PART_OF', '' FROM slice UNION ALL SELECT DISTINCT uid, 'gp_code:' || gp_code, 'RESIDES_IN', '' FROM slice
+SELECT DISTINCT 'block_code:' || block_code AS source, 'district_code:' || district_code AS target, 'PART_OF' AS label, '' AS description, 1 AS link_count FROM slice
+UNION ALL SELECT DISTINCT 'gp_code:' || gp_code, 'block_code:' || block_code, 'PART_OF', '', 1 FROM slice UNION ALL SELECT DISTINCT uid, 'gp_code:' || gp_code, 'RESIDES_IN', '', 1 FROM slice
 UNION ALL {_slice_links('slice', '')}""")
 def _(s):
     return d.slice_rows(s.citizens, s.places, s.schemes, s.flags, s.dup)
@@ -380,9 +389,10 @@ def _(s):
 
 
 @query("dsh_27", f"""
-SELECT uid, s.name, dob, gender, vulnerability_score, risk_tier, district, block, gp, coalesce(flags, '') AS flags, schemes, duplicate_uid, duplicate_name
+SELECT uid, s.name, dob, gender, vulnerability_score, risk_tier, district, block, gp, coalesce(flags, '') AS flags, schemes, duplicate_uid, duplicate_name, coalesce(duplicate_count, 0) AS duplicate_count
 FROM scored s LEFT JOIN first_place USING (uid) LEFT JOIN {FLAG_TEXT} USING (uid) LEFT JOIN scheme_ids USING (uid)
-LEFT JOIN (SELECT src AS uid, dst AS duplicate_uid, x.name AS duplicate_name FROM both_dup JOIN scored x ON x.uid = dst) USING (uid) WHERE uid IN (SELECT uid FROM seeds)""")
+LEFT JOIN (SELECT src AS uid, dst AS duplicate_uid, x.name AS duplicate_name, duplicate_count FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS rn, count(*) OVER (PARTITION BY src) AS duplicate_count FROM both_dup) JOIN scored x ON x.uid = dst WHERE rn <= {d.DRAWN}) USING (uid)
+WHERE uid IN (SELECT uid FROM seeds)""")
 def _(s):
     return d.snapshot_by_uid(s.citizens, s.places, s.schemes, s.flags, s.dup, seeds(s))
 
