@@ -130,13 +130,19 @@ def hits_b1(citizens: DataFrame) -> DataFrame:
     return first_ends(rows, ["name", "dob", "gender"]).withColumn("confidence", F.lit(92))
 
 
+#: Names of a block that share a prefix bigram and are compared in one piece.
+SUB_BLOCK = 500
+
+
 def similar_names(names: DataFrame, block: list[str], limit: float = DICE_LIMIT) -> DataFrame:
     """Pairs of different names of a block whose Dice similarity exceeds ``limit``.
 
     ``names`` has one row per (block, name) with its ``grams``. A set of n bigrams needs more than
     ``n * limit / (2 - limit)`` of them in common with any partner, so two similar names share a
     bigram within the first ``n - needed + 1`` in one fixed order. Bigrams are ordered by how many
-    names hold them, rarest first, and names meet only on those prefix bigrams of their block.
+    names hold them, rarest first, and names meet only on those prefix bigrams of their block. A
+    bigram that more than ``SUB_BLOCK`` names of a block share is cut into parts of that size, which
+    meet in pairs, so a block of any number of names spreads over many tasks of like size.
     """
     keyed = names.withColumn("n", F.size("grams"))
     held = keyed.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("names_with"))
@@ -148,18 +154,37 @@ def similar_names(names: DataFrame, block: list[str], limit: float = DICE_LIMIT)
         .withColumn("gram", F.explode(F.slice("ordered", F.lit(1), (F.col("n") - needed + 1).cast("int"))))
         .select(*block, "name", "n", F.col("gram.gram").alias("gram"))
     )
-    left = prefix.select(*block, "gram", F.col("name").alias("name1"), F.col("n").alias("n1"))
-    right = prefix.select(*block, "gram", F.col("name").alias("name2"), F.col("n").alias("n2"))
+    members = prefix.join(names.select(*block, "name", "grams"), [*block, "name"])
+    key = [*block, "gram"]
+    sizes = members.groupBy(*key, "n").agg(F.count("*").alias("c"))
+    hot = sizes.groupBy(*key).agg(F.sum("c").alias("all")).where(F.col("all") > SUB_BLOCK).select(*key)
     # A pair below the length bound cannot reach the limit, whatever it shares.
     bound = 2 * F.least("n1", "n2") > F.lit(limit) * (F.col("n1") + F.col("n2"))
-    met = left.join(right, [*block, "gram"]).where((F.col("name1") < F.col("name2")) & bound).select(*block, "name1", "name2").distinct()
-    grams = names.select(*block, "name", "grams")
-    scored = (
-        met.join(grams.select(*block, F.col("name").alias("name1"), F.col("grams").alias("g1")), [*block, "name1"])
-        .join(grams.select(*block, F.col("name").alias("name2"), F.col("grams").alias("g2")), [*block, "name2"])
-        .withColumn("similarity", dice(F.col("g1"), F.col("g2")))
-    )
-    return scored.where(F.col("similarity") > limit).select(*block, "name1", "name2", "similarity")
+
+    def side(rows: DataFrame, i: int, *more: str) -> DataFrame:
+        return rows.select(*key, *more, *[F.col(c).alias(f"{c}{i}") for c in ("name", "n", "grams")])
+
+    calm = members.join(hot, key, "left_anti")
+    few = side(calm, 1).join(side(calm, 2), key).where((F.col("name1") < F.col("name2")) & bound)
+    # a crowded (block, bigram) is cut by length and, within one, by hash; its parts meet in pairs, each once
+    crowded = members.join(hot, key, "left_semi")
+    parts = sizes.join(hot, key, "left_semi").withColumn("k", F.ceil(F.col("c") / SUB_BLOCK).cast("int"))
+    met = parts.select(*key, F.col("n").alias("n1"), F.col("k").alias("k1")).join(parts.select(*key, F.col("n").alias("n2"), F.col("k").alias("k2")), key).where((F.col("n1") <= F.col("n2")) & bound)
+    met = met.withColumn("p1", F.explode(F.sequence(F.lit(0), F.col("k1") - 1))).withColumn("p2", F.explode(F.sequence(F.lit(0), F.col("k2") - 1)))
+    met = met.where((F.col("n1") < F.col("n2")) | (F.col("p1") <= F.col("p2"))).select(*key, "n1", "p1", "n2", "p2")
+    placed = crowded.join(parts.select(*key, "n", "k"), [*key, "n"]).withColumn("p", F.pmod(F.xxhash64("name"), F.col("k")).cast("int"))
+    cell = [*key, "n1", "p1", "n2", "p2"]
+    one = side(placed.withColumn("p1", F.col("p")), 1, "p1").join(met, [*key, "n1", "p1"])
+    two = side(placed.withColumn("p2", F.col("p")), 2, "p2").join(met, [*key, "n2", "p2"])
+    same_part = (F.col("n1") == F.col("n2")) & (F.col("p1") == F.col("p2"))
+    many = one.join(two, cell).where(~same_part | (F.col("name1") < F.col("name2")))
+    flip = F.col("name1") > F.col("name2")
+    many = many.select(
+        *block, F.least("name1", "name2").alias("name1"), F.greatest("name1", "name2").alias("name2"),
+        F.when(flip, F.col("grams2")).otherwise(F.col("grams1")).alias("grams1"), F.when(flip, F.col("grams1")).otherwise(F.col("grams2")).alias("grams2"))
+    # compared where they meet; only similar pairs, which several bigrams can give, are shuffled
+    found = few.select(*many.columns).unionByName(many).withColumn("similarity", dice(F.col("grams1"), F.col("grams2")))
+    return found.where(F.col("similarity") > limit).select(*block, "name1", "name2", "similarity").distinct()
 
 
 def _alike(citizens: DataFrame, resides: DataFrame) -> tuple[list[str], DataFrame, DataFrame, DataFrame]:

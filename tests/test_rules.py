@@ -121,3 +121,42 @@ def test_contains_join(spark):
     asked = spark.createDataFrame([("bolt",), ("ol",), ("a",), ("zz",), ("",), ("red bolts",)], "q string")
     got = {(x.name, x.q) for x in contains_join(names, "name", asked, "q").collect()}
     assert got == {("RED BOLT", "bolt"), ("RED BOLT", "ol"), ("OLD ANVIL", "ol"), ("OLD ANVIL", "a"), ("A", "a")}
+
+
+def test_similar_names_in_a_crowded_block(spark, monkeypatch):
+    """A block whose names nearly all share their bigrams gives the pairs of a plain comparison, cut or not."""
+    import collections
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    names = sorted({f"ram{rng.choice('aeiou')} {rng.choice(['das', 'dev', 'roy', 'sen'])}{rng.choice('klmnp')}{i % 23:02d}" for i in range(400)})
+    rows = [("G", "1900-01-01", n) for n in names] + [("H", "1900-01-01", n) for n in names[:3]] + [(None, None, "x")]
+    df = spark.createDataFrame(rows, "gp string, dob string, name string")
+    grams = r.bigrams(F.col("name"))
+    held = {x.name: list(x.g) for x in df.select("name", grams.alias("g")).distinct().collect()}
+
+    def dice(a, b):
+        a, b = collections.Counter(held[a]), collections.Counter(held[b])
+        return 2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values()))
+
+    want = {(g, a, b) for g, some in (("G", names), ("H", sorted(names[:3]))) for a, b in itertools.combinations(some, 2) if dice(a, b) > r.DICE_LIMIT}
+    keyed = df.withColumn("grams", grams).where(F.size("grams") > 0)
+    for part in (10_000, 20):
+        monkeypatch.setattr(r, "SUB_BLOCK", part)
+        got = [(x.gp, x.name1, x.name2) for x in r.similar_names(keyed, ["gp", "dob"]).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert len(want) > 300
+
+
+def test_hub_links_stay_linear(spark):
+    """Fifty seeds of a cluster of 4,000 give fifty links to its hub and the drawn members, with the full counts."""
+    from rollbook.operators import dashboards as d
+
+    dup = spark.range(4000).select(F.format_string("U%05d", "id").alias("uid"), F.lit("U00000").alias("cluster_id"), F.lit(4000).alias("cluster_size"))
+    seeds = dup.orderBy("uid").limit(50).select("uid").unionByName(spark.createDataFrame([("other",)], "uid string"))
+    links = d.hub_links(dup, "B1", seeds).collect()
+    assert len(links) == 50 + d.DRAWN
+    assert {x.link_count for x in links if x.label == "POTENTIAL_DUPLICATE"} == {3999} and {x.link_count for x in links if x.label == "CLUSTER_MEMBER"} == {4000}
+    assert sorted(x.target for x in links if x.label == "CLUSTER_MEMBER") == [f"U{i:05d}" for i in range(d.DRAWN)]
+    assert d.hub_members(dup, "B1", spark.createDataFrame([("B1:U00000",)], "hub string")).count() == 4000
