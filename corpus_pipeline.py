@@ -18,8 +18,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those without a letter (``und``) go."""
     short_batches(spark)
     net = language.train(docs)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
-    return language.identify(rows, net).where(F.col("lang_pred") != language.UNKNOWN).select("_row.*")
+    # renamed, so that no column of the documents clashes with the label and no text is held twice
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_{c}") for c in docs.columns])
+    known = language.identify(rows, net, "_doc_id", "_text").where(F.col("lang_pred") != language.UNKNOWN)
+    return known.select(*[F.col(f"`_{c}`").alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
