@@ -288,3 +288,22 @@ def test_slices_lose_no_phrase(monkeypatch, prose):
     monkeypatch.setattr(phrases, "SLICE_BYTES", 200)
     cut, many = counted()
     assert one == 1 and many > 50 and cut == whole
+
+
+# --- pipeline ----------------------------------------------------------------------------------
+
+
+def test_pipeline_language_stage(spark):
+    """Documents without a letter go; all others stay whole, with columns that clash with the label's."""
+    import corpus_pipeline
+
+    text = {"en": "the cat sat on the mat and then went home", "de": "der hund lief durch den wald und kam nach hause"}
+    rows = [(i, text[lang], lang, "s", i, f"own {i}", 0.5, True) for i in range(30) for lang in ("en", "de")]
+    rows += [(100, None, "en", "s", 0, "x", None, None), (101, "123 ?!", None, None, None, None, None, None), (102, "", "en", "s", 0, "x", 0.1, False), (None, text["en"], None, None, None, "n", None, None)]
+    rows += [rows[0]] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score double, held_out boolean")
+    out = corpus_pipeline.language_id(spark, df, "")
+    assert out.columns == df.columns
+    want = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    assert corpus_pipeline.language_id(spark, df.limit(0), "").collect() == []
