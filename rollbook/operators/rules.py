@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.dates import iso_date
 from ..functions.ranking import first_pairs, pair_count, top_per_group
 from ..functions.text import bigrams, dice
+from ..session import staged
 
 # Limits and words of the rules.
 REPORT_LIMIT = 500
@@ -154,18 +155,27 @@ def similar_names(names: DataFrame, block: list[str], limit: float = DICE_LIMIT)
         .withColumn("gram", F.explode(F.slice("ordered", F.lit(1), (F.col("n") - needed + 1).cast("int"))))
         .select(*block, "name", "n", F.col("gram.gram").alias("gram"))
     )
-    members = prefix.join(names.select(*block, "name", "grams"), [*block, "name"])
+    # written once, as both sides, the sizes and the parts read them
+    members = staged(prefix.join(names.select(*block, "name", "grams"), [*block, "name"]), "name_grams")
     key = [*block, "gram"]
     sizes = members.groupBy(*key, "n").agg(F.count("*").alias("c"))
-    hot = sizes.groupBy(*key).agg(F.sum("c").alias("all")).where(F.col("all") > SUB_BLOCK).select(*key)
+    hot = staged(sizes.groupBy(*key).agg(F.sum("c").alias("all")).where(F.col("all") > SUB_BLOCK).select(*key), "crowded_grams")
     # A pair below the length bound cannot reach the limit, whatever it shares.
     bound = 2 * F.least("n1", "n2") > F.lit(limit) * (F.col("n1") + F.col("n2"))
 
     def side(rows: DataFrame, i: int, *more: str) -> DataFrame:
         return rows.select(*key, *more, *[F.col(c).alias(f"{c}{i}") for c in ("name", "n", "grams")])
 
-    calm = members.join(hot, key, "left_anti")
-    few = side(calm, 1).join(side(calm, 2), key).where((F.col("name1") < F.col("name2")) & bound)
+    def alike(met: DataFrame) -> DataFrame:
+        # compared where they meet; only similar pairs, which several bigrams can give, are shuffled
+        found = met.withColumn("similarity", dice(F.col("grams1"), F.col("grams2"))).where(F.col("similarity") > limit)
+        return found.select(*block, "name1", "name2", "similarity")
+
+    any_hot = bool(hot.head(1))
+    calm = members.join(hot, key, "left_anti") if any_hot else members
+    few = alike(side(calm, 1).join(side(calm, 2), key).where((F.col("name1") < F.col("name2")) & bound))
+    if not any_hot:
+        return few.distinct()
     # a crowded (block, bigram) is cut by length and, within one, by hash; its parts meet in pairs, each once
     crowded = members.join(hot, key, "left_semi")
     parts = sizes.join(hot, key, "left_semi").withColumn("k", F.ceil(F.col("c") / SUB_BLOCK).cast("int"))
@@ -182,9 +192,7 @@ def similar_names(names: DataFrame, block: list[str], limit: float = DICE_LIMIT)
     many = many.select(
         *block, F.least("name1", "name2").alias("name1"), F.greatest("name1", "name2").alias("name2"),
         F.when(flip, F.col("grams2")).otherwise(F.col("grams1")).alias("grams1"), F.when(flip, F.col("grams1")).otherwise(F.col("grams2")).alias("grams2"))
-    # compared where they meet; only similar pairs, which several bigrams can give, are shuffled
-    found = few.select(*many.columns).unionByName(many).withColumn("similarity", dice(F.col("grams1"), F.col("grams2")))
-    return found.where(F.col("similarity") > limit).select(*block, "name1", "name2", "similarity").distinct()
+    return few.unionByName(alike(many)).distinct()
 
 
 def _alike(citizens: DataFrame, resides: DataFrame) -> tuple[list[str], DataFrame, DataFrame, DataFrame]:
