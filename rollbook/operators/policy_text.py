@@ -179,41 +179,52 @@ def keyword_concepts(docs: DataFrame, covered: DataFrame | None = None) -> DataF
     return rows.select("doc_id", F.inline(every))
 
 
+def _windows(text: Column, max_chars: int) -> Column:
+    """Consecutive windows of a text, in one pass over it; the empty text is one empty window."""
+    cut = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{max_chars}}}"), F.lit(0))
+    return F.when(F.length(text) > 0, cut).otherwise(F.array(F.lit("")))
+
+
 def focus_windows(docs: DataFrame, max_chars: int = 8000) -> DataFrame:
-    """Windows from 120 before to 620 after each cue word, merged, cut at ``max_chars`` in total."""
-    rows = docs.select("doc_id", clean_text(F.col("text")).alias("t"))
-    rows = rows.withColumn("m", F.regexp_extract_all("t", F.lit(CUES), F.lit(0))).withColumn("gap", F.split("t", CUES))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("w"))
-
-    def add(acc: Column, i: Column) -> Column:
-        begin = acc["at"] + F.length(F.get("gap", i))
-        end = begin + F.length(F.get("m", i))
-        a, b = F.greatest(F.lit(0), begin - 120), F.least(F.length("t"), end + 620)
-        n = F.size(acc["w"])
-        last = F.get(acc["w"], n - 1)
-        merge = (n > 0) & (a <= last["b"])
-        grown = F.concat(F.slice(acc["w"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], b).alias("b"))))
-        fresh = F.concat(acc["w"], F.array(F.struct(a.alias("a"), b.alias("b"))))
-        return F.struct(end.alias("at"), F.when(merge, grown).otherwise(fresh).alias("w"))
-
-    indexes = F.when(F.size("m") > 0, F.sequence(F.lit(0), F.size("m") - 1)).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("w", F.aggregate(indexes, start, add)["w"])
-    pieces = F.transform("w", lambda x: F.trim(F.substr("t", x["a"] + 1, x["b"] - x["a"])))
-    rows = rows.withColumn("p", F.filter(pieces, lambda p: p != ""))
-    empty = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("out"))
-
-    def keep(acc: Column, p: Column) -> Column:
-        room = F.lit(max_chars) - acc["used"]
-        cut = F.when(F.length(p) > room, F.rtrim(F.substr(p, F.lit(1), F.greatest(room, F.lit(0))))).otherwise(p)
-        return F.when(room <= 0, acc).otherwise(F.struct((acc["used"] + F.length(cut) + 2).alias("used"), F.concat(acc["out"], F.array(cut)).alias("out")))
-
-    joined = F.trim(F.array_join(F.aggregate("p", empty, keep)["out"], "\n\n"))
+    """The text around all cue words of a document, in numbered windows of ``max_chars`` characters.
+
+    A piece reaches from 120 characters before a cue word to 620 behind it; pieces that touch are
+    one. Every piece of the whole text is kept: window 0 is what a model with one window reads, the
+    others follow. A document without a cue word, or without text, has one empty window.
+    """
+    rows = docs.select("doc_id", F.coalesce(clean_text(F.col("text")), F.lit("")).alias("t"))
+    rows = computed_once(rows, {"m": F.regexp_extract_all("t", F.lit(CUES), F.lit(0)), "gap": F.split("t", CUES)})
+    rows = rows.select("doc_id", "m", "gap", F.size("m").alias("n"))
+    # Pieces part where more than 620 + 120 characters lie between two cue words, so neither
+    # positions nor a fold are needed and the work is linear in the text.
+    inner = F.when(F.col("n") > 1, F.sequence(F.lit(1), F.col("n") - 1)).otherwise(F.array().cast("array<int>"))
+    rows = computed_once(rows, {"part": F.filter(inner, lambda i: F.length(F.get("gap", i)) > 740)})
+    ends = F.arrays_zip(
+        F.concat(F.array(F.lit(0)), "part").alias("a"), F.concat(F.col("part"), F.array("n")).alias("z"),
+    )
+
+    def piece(x: Column) -> Column:
+        a, z = x["a"], x["z"]
+        words = F.transform(F.sequence(a, z - 1), lambda i: F.concat(F.when(i > a, F.get("gap", i)).otherwise(F.lit("")), F.get("m", i)))
+        return F.trim(F.concat(F.right(F.get("gap", a), F.lit(120)), F.array_join(words, ""), F.left(F.get("gap", z), F.lit(620))))
+
+    pieces = F.when(F.col("n") > 0, F.transform(ends, piece)).otherwise(F.array().cast("array<string>"))
     marks = F.array_join(F.array_sort(F.array_distinct(F.transform("m", lambda x: F.lower(x)))), ",")
-    return rows.select("doc_id", joined.alias("focused_text"), marks.alias("matches"))
+    rows = computed_once(rows, {"focused": F.trim(F.array_join(F.filter(pieces, lambda p: p != ""), "\n\n")), "matches": marks})
+    return rows.select("doc_id", "matches", F.posexplode(_windows(F.col("focused"), max_chars)).alias("window_no", "focused_text"))
+
+
+def text_windows(docs: DataFrame, max_chars: int = 18000) -> DataFrame:
+    """The whole text in numbered windows of ``max_chars`` characters; no text is one empty window."""
+    rows = docs.select("doc_id", F.coalesce(clean_text(F.col("text")), F.lit("")).alias("t"))
+    return rows.select("doc_id", F.posexplode(_windows(F.col("t"), max_chars)).alias("window_no", "text_window"))
 
 
-def text_window(docs: DataFrame, max_chars: int = 18000) -> DataFrame:
-    """Head, middle and tail of a long text; a short one whole."""
+def text_window(docs: DataFrame, max_chars: int) -> DataFrame:
+    """One window for a model that reads no more: a longer text as head, middle and tail.
+
+    This leaves text out; ``text_windows`` gives all of it.
+    """
     part = max_chars // 3
     t = F.col("t")
     n = F.length(t)

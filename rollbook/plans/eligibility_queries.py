@@ -166,6 +166,10 @@ def _(s):
     return concepts(s)
 
 
+# Characters of a window; every window of a text is a row.
+FOCUS, WINDOW = 8000, 18000
+
+
 @query("elg_7", f"""
 WITH parts AS (SELECT doc_id, clean AS t, regexp_extract_all(clean, '{p.CUES}') AS m, string_split_regex(clean, '{p.CUES}') AS g FROM policy_sentences),
 spans AS (SELECT doc_id, t, i, sum(len(g[i])) OVER w + coalesce(sum(len(m[i])) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, len(m[i]) AS n
@@ -174,21 +178,21 @@ wide AS (SELECT doc_id, t, i, greatest(0, b - 120) AS a, least(len(t), b + n + 6
 marked AS (SELECT *, CASE WHEN a > max(z) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM wide),
 islands AS (SELECT doc_id, t, min(a) AS a, max(z) AS z FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM marked) GROUP BY doc_id, t, grp),
 pieces AS (SELECT doc_id, a, trim(substring(t, (a + 1)::int, (z - a)::int)) AS piece FROM islands),
-used AS (SELECT *, coalesce(sum(len(piece) + 2) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pieces WHERE piece <> ''),
-joined AS (SELECT doc_id, trim(string_agg(CASE WHEN len(piece) > 8000 - before THEN rtrim(substring(piece, 1, (8000 - before)::int)) ELSE piece END, chr(10) || chr(10) ORDER BY a)) AS focused_text
- FROM used WHERE before < 8000 GROUP BY 1)
-SELECT doc_id, md5(coalesce(focused_text, '')) AS focused_md5, len(coalesce(focused_text, '')) AS focused_chars, array_to_string(list_sort(list_distinct(list_transform(m, lambda x: lower(x)))), ',') AS matches
-FROM parts LEFT JOIN joined USING (doc_id)""")
+joined AS (SELECT doc_id, trim(string_agg(piece, chr(10) || chr(10) ORDER BY a)) AS f FROM pieces WHERE piece <> '' GROUP BY 1),
+whole AS (SELECT doc_id, coalesce(f, '') AS f, array_to_string(list_sort(list_distinct(list_transform(m, lambda x: lower(x)))), ',') AS matches FROM parts LEFT JOIN joined USING (doc_id))
+SELECT doc_id, k::int AS window_no, md5(substring(f, k * {FOCUS} + 1, {FOCUS})) AS focused_md5, len(substring(f, k * {FOCUS} + 1, {FOCUS})) AS focused_chars, matches
+FROM whole, unnest(range(0, greatest(1, (len(f) + {FOCUS} - 1) // {FOCUS}))) AS r(k)""")
 def _(s):
-    w = p.focus_windows(fx.policy_docs(s))
-    return w.select("doc_id", F.md5("focused_text").alias("focused_md5"), F.length("focused_text").alias("focused_chars"), "matches")
+    w = p.focus_windows(fx.policy_docs(s), FOCUS)
+    return w.select("doc_id", "window_no", F.md5("focused_text").alias("focused_md5"), F.length("focused_text").alias("focused_chars"), "matches")
 
 
-@query("elg_8", """
-SELECT doc_id, len(w) AS window_chars, md5(w) AS window_md5 FROM (SELECT doc_id, CASE WHEN len(clean) <= 18000 THEN clean ELSE '[HEAD]' || chr(10) || clean[1:6000] || chr(10) || chr(10) || '[MIDDLE]' || chr(10)
- || substring(clean, greatest(0, len(clean) // 2 - 3000)::int + 1, 6000) || chr(10) || chr(10) || '[TAIL]' || chr(10) || right(clean, 6000) END AS w FROM policy_sentences)""")
+@query("elg_8", f"""
+SELECT doc_id, k::int AS window_no, len(substring(clean, k * {WINDOW} + 1, {WINDOW})) AS window_chars, md5(substring(clean, k * {WINDOW} + 1, {WINDOW})) AS window_md5
+FROM (SELECT doc_id, coalesce(clean, '') AS clean FROM policy_sentences), unnest(range(0, greatest(1, (len(clean) + {WINDOW} - 1) // {WINDOW}))) AS r(k)""")
 def _(s):
-    return p.text_window(fx.policy_docs(s)).select("doc_id", F.length("text_window").alias("window_chars"), F.md5("text_window").alias("window_md5"))
+    w = p.text_windows(fx.policy_docs(s), WINDOW)
+    return w.select("doc_id", "window_no", F.length("text_window").alias("window_chars"), F.md5("text_window").alias("window_md5"))
 
 
 # Replies of a model that read the document: plain, fenced, wrapped in words, broken, or no object.

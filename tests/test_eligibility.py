@@ -145,3 +145,47 @@ def test_versions_across_spans(spark):
     rows = spark.createDataFrame([("f", i) for i in range(0, 250, 5)] + [("g", 7)], "k string, n long")
     got = {(r.k, r.n): (r.rule_version, r.is_latest) for r in c.version_rules(rows, ["k"], "n", 40).collect()}
     assert all(got[("f", i)] == (i // 5 + 1, i == 245) for i in range(0, 250, 5)) and got[("g", 7)] == (1, True)
+
+
+def _focused(text: str) -> str:
+    """The pieces around cue words by positions, merged where they touch."""
+    import re
+
+    t = re.sub(r"\s+", " ", text).strip()
+    spans: list[list[int]] = []
+    for hit in re.finditer(p.CUES, t):
+        a, z = max(0, hit.start() - 120), min(len(t), hit.end() + 620)
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], z)
+        else:
+            spans.append([a, z])
+    return "\n\n".join(x for x in (t[a:z].strip() for a, z in spans) if x).strip()
+
+
+def test_windows_keep_the_whole_text(spark):
+    import random
+
+    rng = random.Random(5)
+    words = ["eligible", "Not eligible", "exclusion", "who can apply", "ineligible", *["income", "scheme", "caf\u00e9", "\u0986\u09ac\u09c7\u09a6\u09a8", "aid,", "x" * 40] * 12]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (1, 30, 400, 3000)]
+    far = "eligible " + "a" * 738 + " include"  # 740 characters between the cue words: still one piece
+    texts += [far, far.replace("a a", "a aa"), "eligible " + "a" * 739 + " include", "include", "nothing here", "", "  \n "]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "doc_id long, text string")
+
+    focus = p.focus_windows(docs, 500).orderBy("doc_id", "window_no").collect()
+    plain = p.text_windows(docs, 500).orderBy("doc_id", "window_no").collect()
+    for i, t in [*enumerate(texts), (99, "")]:
+        got = [r for r in focus if r["doc_id"] == i]
+        assert [r["window_no"] for r in got] == list(range(len(got)))
+        assert "".join(r["focused_text"] for r in got) == _focused(t)
+        assert all(len(r["focused_text"]) == 500 for r in got[:-1]) and len(got[-1]["focused_text"]) <= 500
+        assert "".join(r["text_window"] for r in plain if r["doc_id"] == i) == " ".join(t.split())
+    assert {r["matches"] for r in focus if r["doc_id"] == 0 or r["doc_id"] == 7} >= {"include"}
+
+
+def test_windows_of_a_long_text(spark):
+    text = ("Who can apply: residents. " + "word " * 200) * 8000  # 8 MB, 8000 pieces
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    focus = p.focus_windows(docs).agg(F.count("*").alias("n"), F.sum(F.length("focused_text")).alias("chars")).first()
+    assert focus["chars"] == len(_focused(text)) and focus["n"] == -(-focus["chars"] // 8000)
+    assert p.text_windows(docs).agg(F.sum(F.length("text_window"))).first()[0] == len(text.strip())
