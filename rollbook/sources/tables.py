@@ -1,8 +1,8 @@
 """Registry families read from the given tables.
 
 The views below derive registry-shaped rows from the star schema with integer arithmetic on the
-keys, so each grows with its input. Only ``nation`` and ``region`` (25 and 5 rows) and the forty
-names taken from ``part`` are broadcast; their sizes are fixed by the key ranges.
+keys, so each grows with its input. Only ``nation`` and ``region`` (25 and 5 rows) are broadcast;
+names come from all of ``part`` by an equi join.
 """
 
 from __future__ import annotations
@@ -101,12 +101,14 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = raw(spark, sf_dir, "nation").join(
         F.broadcast(raw(spark, sf_dir, "region")), F.expr("n_regionkey = r_regionkey")
     )
-    # p_partkey is a unique key, so the range filter bounds this side at forty rows.
-    names = raw(spark, sf_dir, "part").where("p_partkey BETWEEN 0 AND 39").select("p_partkey", "p_name")
+    # Part keys run from 0 without gaps, so the key modulo their number meets every name.
+    names = raw(spark, sf_dir, "part").select("p_partkey", "p_name")
+    n_names = names.agg(F.count("*")).scalar()
     return (
         raw(spark, sf_dir, "customer")
+        .withColumn("_name", F.col("c_custkey") % n_names)
         .join(F.broadcast(places), F.expr("c_nationkey = n_nationkey"))
-        .join(F.broadcast(names), F.expr("p_partkey = c_custkey % 40"))
+        .join(names, F.expr("p_partkey = _name"))
         .select(*_exprs(PERSON_COLUMNS))
     )
 
