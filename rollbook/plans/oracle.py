@@ -41,7 +41,7 @@ view("scheme_dim", "SELECT * FROM (VALUES " + ", ".join(f"('{a}','{b}')" for a,
 view("person_src", f"""
 SELECT {_cols(PERSON_COLUMNS)}
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-JOIN part ON p_partkey = c_custkey % (SELECT count(*) FROM part)""")
+LEFT JOIN part ON p_partkey = c_custkey""")
 view("benef_full", f"""
 SELECT p.*, {_cols(BENEFICIARY_COLUMNS)}
 FROM orders JOIN person_src p ON o_custkey = p.c_custkey""")
