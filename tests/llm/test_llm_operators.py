@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -197,6 +198,58 @@ graph with <a href="x">a link</a> inside.<p>Second &eacute; one<br>after break.<
 <p>Third.</p></article><section id="comments"><p>I am a reader and I say a great many words here in this comment of mine</p></section><div class="sidebar"><p>Other things</p></div><footer>&copy; us</footer></body>"""
 
 
+ARTICLE = "<p>" + "Article words go on and on here. " * 8 + "</p>"
+PLAIN = " ".join(("Article words go on and on here. " * 8).split())
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<ul><li class="share">a<li>b</ul><article>{ARTICLE}</article>', PLAIN),
+        (f'<table><tr><td class="side"><a>x</a><td>{ARTICLE}</table>', PLAIN),
+        (f'<form id="aspnetForm"><div><a>Home</a> <a>News</a></div>{ARTICLE}</form>', PLAIN),
+        (f'<div class="content side">{ARTICLE}</div>', PLAIN),
+        (f'<body class="menu-open"><div class="with-sidebar"><article>{ARTICLE}</article></div>', PLAIN),
+        (f'<article><div class="tags legal">{ARTICLE}</div></article>', PLAIN),
+        (f"<nav><ul><li><a>a</a></ul><article>{ARTICLE}</article>", PLAIN),
+        (f"<svg><path>{ARTICLE}", PLAIN),
+        (f'<article>{ARTICLE}<p><a href="x">a paragraph that is one link</a></p>{ARTICLE}</article>', f"{PLAIN} a paragraph that is one link {PLAIN}"),
+        (f'<div class="x1"><a>Home</a> <a>News</a></div><article>{ARTICLE}</article><div class="x3"><p>Reader one says a lot</p><p>Reader two</p></div>', PLAIN),
+        (f'<nav><a>a</a></nav><div class="ad">Buy it</div><h1>Head</h1>{ARTICLE}<ul><li>one short item<li>second item</ul><footer>c</footer>', f"Head {PLAIN} one short item second item"),
+        (f'<article>{ARTICLE}<div class="ad"><p>Buy now or never</p></div><form><p>Mail <input></p></form></article>', PLAIN),
+        (f"<article>{ARTICLE}{ARTICLE}<article><p>a reader answers</p></article></article>", f"{PLAIN} {PLAIN}"),
+        ('<p title="the hidden side">shown text</p>', "shown text"),
+        ("<p>a&nbsp;&amp;lt; <b>b</b>&eacute;</p>", "a &lt; b\u00e9"),
+        (f"<article>{ARTICLE}" + '<div class="ad"><div><p>Buy now or never</p></div></div>' * 9 + "<p>End.</p></article>", f"{PLAIN} End."),
+        ("<i>" * 20000 + "</b>" * 20000 + "<div>" * 20000 + "x y", "x y"),
+    ],
+)
+def test_html_regions(page, want):
+    counts = collections.Counter()
+    for _ in range(50):
+        counts.update(html_text.label_counts(PAGE))
+    for weights in ({}, html_text.weights_of(counts)):
+        assert html_text.main_text(page, weights) == want
+
+
+def test_html_weights_and_run():
+    labelled = f'<div class="qq"><p>{"teaser words " * 20}</p></div><article>{ARTICLE}</article>'
+    counts = collections.Counter()
+    for _ in range(20):
+        counts.update(html_text.label_counts(labelled))
+    unmarked = f'<div class="qq"><p>{"teaser words " * 20}</p></div>{ARTICLE}'
+    assert html_text.main_text(unmarked, html_text.weights_of(counts)) == PLAIN  # a class word learned from marked pages
+    assert html_text.main_text(unmarked, {}).startswith("teaser")
+    rnd = random.Random(3)
+    for _ in range(200):
+        scores = [rnd.choice([-3, -2, -1, 0, 1, 2, 3]) for _ in range(rnd.randint(0, 12))]
+        lo, hi = html_text.best_run(scores)
+        assert sum(scores[lo:hi]) == max((sum(scores[a:b]) for a in range(len(scores)) for b in range(a, len(scores) + 1)), default=0)
+    read = html_text.Page(PAGE)
+    whole = " ".join(" ".join("".join(b.parts).split()) for b in read.items if b.words)
+    assert whole != html_text.main_text(PAGE, {}) and len(html_text.scored(read, {})) == len(read.items)
+
+
 def test_html(spark):
     want = "Big & bold First para graph with a link inside. Second é one after break. Third."
     counts = collections.Counter()
