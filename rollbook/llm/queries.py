@@ -88,7 +88,7 @@ def public_tokenizer() -> str:
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token_files")
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizer())
-    return token_files.digest(token_files.read_tokens(spark, path))
+    return token_files.digest(token_files.read_sums(spark, path))
 
 
 @query("op1_html_text")

@@ -32,18 +32,22 @@ MAX_BITS = 16
 STEP = 256
 #: A block is closed after the document that reaches this many ids.
 BLOCK_IDS = 1 << 16
-#: Distinct pieces of text that a Python worker keeps, to encode each once; later ones are kept for a batch only.
-CACHE = 200_000
+#: Distinct pieces of text that a Python worker keeps, to encode each once; others are kept for a batch only.
+CACHE = 300000
+#: Places, by hash, that mark pieces as seen: only what comes again is worth keeping.
+SEEN = 1 << 22
 #: Documents encoded together.
 TOGETHER = 300
 
-# The white space characters of the tokenizer's splitting pattern, and the characters
-# that its byte-level alphabet writes bytes with: printable Latin-1 as itself, the others from 256 on.
+#: New pieces encoded as one text.
+JOINED = 1000
+
+# The white space characters of the tokenizer's splitting pattern, and the character
+# that its byte-level alphabet writes a blank with.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RARE_SPACE = re.compile(r"[\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 PIECE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-ALPHABET = {b: b for b in PRINTABLE} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*PRINTABLE}))}
+BLANK = "\u0120"
 
 BLOCKS = "block long, doc_ids array<long>, n_tokens array<long>, ids binary"
 CODED = "part int, block long, doc_ids array<long>, n_tokens array<long>, n_codes long, checkpoints array<long>, bits binary"
@@ -69,41 +73,73 @@ def pieces(text: str) -> list:
 
 
 class Encoder:
-    """Ids of texts, each distinct piece encoded once per batch or, for those seen first, per worker."""
+    """Ids of texts, each distinct piece encoded once per batch or, for those that came twice, per worker."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tok = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        vocabulary = self.tok.get_vocab(with_added_tokens=True)
+        self.blank = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that start with a blank, in the byte-level alphabet
+        self.blank[[i for t, i in vocabulary.items() if t.startswith(BLANK)]] = True
         self.known: dict = {}
+        self.seen = np.zeros(SEEN, bool)
         self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _word(self, word: str) -> list[int]:
-        """Ids of a word that the pattern leaves whole: the vocabulary's merges alone."""
-        raw = "\u0120" + word[1:] if word[0] == " " and word.isascii() else word.encode().decode("latin-1").translate(ALPHABET)
-        return [t.id for t in self.tok.model.tokenize(raw)]
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """(all ids, ids per word) of words that stand for a blank and themselves, encoded as one text.
+
+        Only the first token of such a word starts with the blank. None where the text holds an added
+        token, which may take blanks with it, or the words can't be told apart by their blanks.
+        """
+        text = " " + " ".join(words)
+        if any(t in text for t in self.added):
+            return None
+        ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        first = np.flatnonzero(self.blank[ids])
+        if len(first) != len(words) or first[0] != 0:
+            return None
+        return ids, np.diff(first, append=len(ids))
 
     def encode(self, new: list) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, ids per piece). Letters alone, or with a full stop or comma behind, are split by
-        rule; everything else goes through the tokenizer's whole pipeline."""
-        out: list[list[int]] = []
-        rest: list[int] = []
-        for i, p in enumerate(new):
-            text = p[0] if type(p) is tuple else p if p[:1] == "\n" else " " + p
-            core = text[1:] if text[0] == " " else text
-            if core.isalpha():
-                out.append(self._word(text))
-            elif core[-1:] in (".", ",") and core[:-1].isalpha():
-                out.append(self._word(text[:-1]) + self._word(core[-1]))
+        """(all ids, ids per piece), the pieces with a blank before them first encoded many at a time."""
+        plain = [i for i, p in enumerate(new) if type(p) is str and p[:1] != "\n"]
+        counts = np.zeros(len(new), np.int64)
+        parts: list[tuple[list[int], np.ndarray]] = []
+        alone = [i for i, p in enumerate(new) if type(p) is tuple or p[:1] == "\n"]
+        for lo in range(0, len(plain), JOINED):
+            some = plain[lo : lo + JOINED]
+            found = self._joined([new[i] for i in some])
+            if found is None:
+                alone += some
             else:
-                rest.append(i)
-                out.append(text)  # type: ignore[arg-type]
-        if rest:
-            for i, e in zip(rest, self.tok.encode_batch_fast([out[i] for i in rest], add_special_tokens=False)):
-                out[i] = e.ids
-        counts = np.fromiter(map(len, out), np.int64, len(out))
-        return np.fromiter(chain.from_iterable(out), np.uint32, int(counts.sum())), counts
+                counts[some] = found[1]
+                parts.append((some, found[0]))
+        if alone:
+            texts = [p[0] if type(p) is tuple else p if p[:1] == "\n" else " " + p for p in (new[i] for i in alone)]
+            ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+            counts[alone] = list(map(len, ids))
+            parts.append((alone, np.fromiter(chain.from_iterable(ids), np.uint32)))
+        # to the order of the pieces
+        order = np.concatenate([np.asarray(some, np.int64) for some, _ in parts]) if parts else np.zeros(0, np.int64)
+        flat = np.concatenate([ids for _, ids in parts]) if parts else np.zeros(0, np.uint32)
+        start = np.zeros(len(new), np.int64)
+        start[order] = np.cumsum(counts[order]) - counts[order]
+        return _ragged(flat, start, counts), counts
+
+    def _keep(self, new: list, ids: np.ndarray, n: np.ndarray, times: np.ndarray) -> None:
+        """Keeps pieces seen before, in this batch or (by hash) an earlier one, while there is room."""
+        marks = np.fromiter(map(hash, new), np.int64, len(new)) & (len(self.seen) - 1)
+        kept = np.flatnonzero((times > 1) | self.seen[marks])[: CACHE - len(self.known)]
+        self.seen[marks] = True
+        if len(kept):
+            base = len(self.size)
+            self.known.update(zip([new[i] for i in kept.tolist()], range(base, base + len(kept))))
+            own = _ragged(ids, (np.cumsum(n) - n)[kept], n[kept])
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(n[kept]) - n[kept]])
+            self.size, self.flat = np.concatenate([self.size, n[kept]]), np.concatenate([self.flat, own])
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids per text)."""
@@ -123,12 +159,7 @@ class Encoder:
             ids, n = self.encode(new)
             start = np.concatenate([start, len(flat) + np.cumsum(n) - n])
             size, flat = np.concatenate([size, n]), np.concatenate([flat, ids])
-            room = CACHE - len(self.known)
-            if room > 0:
-                keep = min(room, len(new))
-                self.known.update(zip(new[:keep], range(base, base + keep)))
-                self.start, self.size = start[: base + keep], size[: base + keep]
-                self.flat = flat[: int(start[base + keep - 1] + size[base + keep - 1])]
+            self._keep(new, ids, n, np.bincount(which[missed] - base))
         own = size[which]
         upto = np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], np.cumsum(counts)])]
         return _ragged(flat, start[which], own), np.diff(upto)
@@ -343,8 +374,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
     blocks.mapInArrow(run, CODED).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
-def read_tokens(spark, path: str) -> DataFrame:
-    """(part, block, nth, doc_id, ids) decoded from the files; ``nth`` counts within the block."""
+def _decoded(spark, path: str, column: str, schema: str, values) -> DataFrame:
+    """(part, block, nth, doc_id) of every document of the files, with what ``values`` makes of the ids of a block and its cuts."""
     rows = spark.read.parquet(f"{path}/code").collect()  # bounded by the vocabulary
     lengths = np.zeros(max([r["id"] for r in rows], default=0) + 1, np.int64)
     for r in rows:
@@ -355,19 +386,35 @@ def read_tokens(spark, path: str) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 ids = unpack(r["bits"], r["checkpoints"], r["n_codes"], decoder).astype("<u4")
-                cuts = np.cumsum(r["n_tokens"])
-                parts = np.split(ids, cuts[:-1])
-                n = len(parts)
+                n = len(r["doc_ids"])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["part"]] * n, pa.int32()), pa.array([r["block"]] * n, pa.int64()), pa.array(np.arange(n), pa.int64()), pa.array(r["doc_ids"], pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                    ["part", "block", "nth", "doc_id", "ids"],
+                    [pa.array([r["part"]] * n, pa.int32()), pa.array([r["block"]] * n, pa.int64()), pa.array(np.arange(n), pa.int64()), pa.array(r["doc_ids"], pa.int64()), *values(ids, [0, *np.cumsum(r["n_tokens"]).tolist()])],
+                    ["part", "block", "nth", "doc_id", *column.split()],
                 )
 
-    return spark.read.parquet(f"{path}/blocks").mapInArrow(run, "part int, block long, nth long, doc_id long, ids binary")
+    return spark.read.parquet(f"{path}/blocks").mapInArrow(run, f"part int, block long, nth long, doc_id long, {schema}")
+
+
+def read_tokens(spark, path: str) -> DataFrame:
+    """(part, block, nth, doc_id, ids) decoded from the files; ``nth`` counts within the block."""
+
+    def values(ids: np.ndarray, cuts: list[int]) -> list[pa.Array]:
+        return [pa.array([ids[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())]
+
+    return _decoded(spark, path, "ids", "ids binary", values)
+
+
+def read_sums(spark, path: str) -> DataFrame:
+    """(part, block, nth, doc_id, n_tokens, ids_crc32), summed where the files are decoded."""
+
+    def values(ids: np.ndarray, cuts: list[int]) -> list[pa.Array]:
+        return [pa.array(np.diff(cuts), pa.int64()), pa.array([zlib.crc32(ids[i:j]) for i, j in zip(cuts, cuts[1:])], pa.int64())]
+
+    return _decoded(spark, path, "n_tokens ids_crc32", "n_tokens long, ids_crc32 long", values)
 
 
 def digest(tokens: DataFrame) -> DataFrame:
-    """Per document of ``read_tokens``: doc_id, start, n_tokens, ids_crc32.
+    """Per document of ``read_sums`` or ``read_tokens``: doc_id, start, n_tokens, ids_crc32.
 
     The start is the sum of the parts before, of the blocks before in the part, and of the documents
     before in the block: the first two are sums over one row per part and per block.
@@ -379,7 +426,9 @@ def digest(tokens: DataFrame) -> DataFrame:
             n = [len(x.as_buffer()) // 4 for x in b.column(4)]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["part", "block", "nth", "doc_id", "n_tokens", "ids_crc32"])
 
-    rows = stored(tokens.mapInArrow(run, "part int, block long, nth long, doc_id long, n_tokens long, ids_crc32 long"), "token_digest")
+    if "ids" in tokens.columns:
+        tokens = tokens.mapInArrow(run, "part int, block long, nth long, doc_id long, n_tokens long, ids_crc32 long")
+    rows = stored(tokens, "token_digest")
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0))
     blocks = rows.groupBy("part", "block").agg(F.sum("n_tokens").alias("_n"))

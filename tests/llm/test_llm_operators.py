@@ -163,6 +163,8 @@ def test_token_files(spark, docs, rows, empty):
         at += len(ids)
     token_files.write_tokens(empty, path + "0", public_tokenizer())
     assert token_files.digest(token_files.read_tokens(spark, path + "0")).count() == 0
+    assert sorted(token_files.digest(token_files.read_sums(spark, path)).collect(), key=lambda r: r.start) == got
+    assert token_files.digest(token_files.read_sums(spark, path + "0")).count() == 0
 
 
 def test_gradients_match_differences():
@@ -198,6 +200,30 @@ graph with <a href="x">a link</a> inside.<p>Second &eacute; one<br>after break.<
 <p>Third.</p></article><section id="comments"><p>I am a reader and I say a great many words here in this comment of mine</p></section><div class="sidebar"><p>Other things</p></div><footer>&copy; us</footer></body>"""
 
 
+def test_encoder_against_the_tokenizer(monkeypatch):
+    """Pieces encoded many at a time, kept ones and those with signs, added tokens or rare blanks."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizer()
+    tok = Tokenizer.from_file(path)
+    added = [t.content for t in tok.get_added_tokens_decoder().values()]
+    rnd = random.Random(5)
+    parts = [*PIECES, *added, *(f" {a} " for a in added), *(f"x{a}y" for a in added)]
+    texts = ["", " ", "\n", *parts, *("".join(rnd.choice(parts) + rnd.choice(["", " ", " ", " ", "\n", "  "]) for _ in range(rnd.randint(1, 60))) for _ in range(300))]
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    for joined, room in ((1000, 300_000), (3, 20)):
+        monkeypatch.setattr(token_files, "JOINED", joined)
+        monkeypatch.setattr(token_files, "CACHE", room)
+        enc = token_files.Encoder(path)
+        for step in (7, 50, 400):
+            for lo in range(0, len(texts), step):
+                ids, n = enc.batch(texts[lo : lo + step])
+                ends = np.cumsum(n)
+                assert [ids[e - k : e].tolist() for e, k in zip(ends, n)] == want[lo : lo + step]
+        assert len(enc.known) <= room
+
+
+PIECES = "a word Word's don't it's, 12 3.5 x1 é e\u0301 \u0301 naïve $$$ %%% a$$$ 's 'll ’s 日本語 。 \u00a0 a\u00a0b \u2003 \u200b \t \r\n \u0120 \u0120a <| |> < 🙂 🙂a \ufeff _ a_b -- ... \x0b \x85".split(" ")
 ARTICLE = "<p>" + "Article words go on and on here. " * 8 + "</p>"
 PLAIN = " ".join(("Article words go on and on here. " * 8).split())
 
