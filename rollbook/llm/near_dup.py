@@ -318,6 +318,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     documents: rows of one id with different texts are classed by each text. Rows with a null id are classed by equal text only: the class of that text, null if no
     row with an id has it. Texts without words are alike only if equal. An empty table gives none.
     """
+    return _classed(docs, key, text, similarity).select(key, "class_id")
+
+
+def _classed(docs: DataFrame, key: str, text: str, similarity: float) -> DataFrame:
+    """``classes`` with the hash of the text as ``t``."""
     short_batches(docs.sparkSession)
     sketch = stored(_sketch(docs, key, text), "sketch")
     texts = sketch.groupBy("t").agg(F.min("k").alias("k"))  # a text's node is its smallest id
@@ -340,21 +345,24 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
         roots = _joined(roots, _exact(split, sets, similarity))
 
     of_text = texts.join(roots, "k", "left").select("t", F.coalesce("root", "k").alias("class_id"))
-    return sketch.select("t", F.col("k").alias(key)).join(of_text, "t").select(key, "class_id")
+    return sketch.select("t", F.col("k").alias(key)).join(of_text, "t")
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row of ``docs`` per class, that of the smallest id, with all columns; of repeated rows one.
 
-    A row with a null id stays if no row with an id has its text, once per text.
+    If the rows of an id have different texts, each text stays or goes by its own class, so an id that
+    names a class may stay with several. Texts that have no equal under a smaller id are compared
+    under their id, so those of one id go together if one of them is a near copy of an earlier
+    document. A row with a null id stays if no row with an id has its text, once per text.
     """
-    found = classes(docs, key, text, similarity)
-    ids = found.where(F.col(key) == F.col("class_id")).select(F.col(key).cast("bigint").alias("_id")).distinct()
+    found = _classed(docs, key, text, similarity).where(F.col(key) == F.col("class_id")).select(F.col(key).cast("bigint").alias("_id"), F.col("t").alias("_hash"))
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).cast("bigint").alias("_id"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_hash"))
-    kept = rows.join(ids, "_id", "left_semi")
-    if not docs.groupBy(F.col(key)).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["_id"])
+    if docs.groupBy(F.col(key)).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        kept = rows.join(found.select("_id").distinct(), "_id", "left_semi")
+    else:
+        kept = rows.join(found.distinct(), ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
     held = rows.where("_id IS NULL")
     if not held.isEmpty():
         known = rows.where("_id IS NOT NULL").select("_hash").distinct()

@@ -383,6 +383,14 @@ def test_near_duplicates(spark, docs, rows, empty):
     assert near_dup.classes(empty).count() == 0 and near_dup.representatives(empty).count() == 0
 
 
+def test_representatives_keep_every_text_of_an_id(spark):
+    a, b, c, d = (prose(600 + i, 80) for i in range(4))
+    data = [(1, a), (1, b), (1, a), (2, a), (3, c), (4, c), (4, d), (None, b), (None, "only here")]
+    docs = spark.createDataFrame([(k, t, None, "s", 0, i) for i, (k, t) in enumerate(data)], SCHEMA)
+    got = sorted(((r.doc_id, r.text) for r in near_dup.representatives(docs).collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (3, c), (4, d), (None, "only here")], key=str)  # each text by its own class
+
+
 def test_copies_that_are_alike_only_by_their_base(spark):
     rng = np.random.default_rng(11)
     base = [f"w{i}" for i in range(300)]
