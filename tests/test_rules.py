@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rollbook.functions.dates import age_calendar, age_years, derive_age, iso_date, parse_dob
 from rollbook.functions.ranking import first_pairs, top_per_group
 from rollbook.functions.text import bigrams, contains_join, dice
+from rollbook.operators import dashboards as d
 from rollbook.operators import flags as fl
 from rollbook.operators import rules as r
 
@@ -160,3 +161,24 @@ def test_hub_links_stay_linear(spark):
     assert {x.link_count for x in links if x.label == "POTENTIAL_DUPLICATE"} == {3999} and {x.link_count for x in links if x.label == "CLUSTER_MEMBER"} == {4000}
     assert sorted(x.target for x in links if x.label == "CLUSTER_MEMBER") == [f"U{i:05d}" for i in range(d.DRAWN)]
     assert d.hub_members(dup, "B1", spark.createDataFrame([("B1:U00000",)], "hub string")).count() == 4000
+
+
+def test_neighborhood_and_slice_list_every_partner(spark):
+    """A seed of a cluster of 60 has 59 links, not the 20 of a drawing."""
+    uids = [f"U{i:02d}" for i in range(60)]
+    citizens = spark.createDataFrame([(u, "A", "1990-01-01", "MALE", 70, "HIGH", False, True, False) for u in uids],
+        "uid string, name string, dob string, gender string, vulnerability_score int, risk_tier string, is_ghost_flag boolean, is_dup_flag boolean, is_anomaly_flag boolean")
+    places = spark.createDataFrame([(u, "7", "GP", "1", "B", "2", "D") for u in uids], "uid string, gp_code string, gp_name string, block_code string, block_name string, district_code string, district_name string")
+    schemes = spark.createDataFrame([(u, "S1", "One") for u in uids], "uid string, scheme_id string, scheme_name string")
+    flags = spark.createDataFrame([], "entity string, entity_id string, rule string, type string, description string, confidence int")
+    c1 = spark.createDataFrame([("7", "S1")], "gp_code string, scheme_id string")
+    dup, dob = r.duplicate_clusters(citizens), r.dob_clusters(citizens, places)
+    seeds = citizens.where("uid IN ('U05', 'U50')").select("uid")
+    links = d.neighborhood(citizens, places, flags, dup, dob, c1, None, seeds)
+    for label in ("POTENTIAL_DUPLICATE", "SAME_DOB_AT_GP"):
+        got = {(x.source, x.target) for x in links.where(F.col("label") == label).collect()}
+        assert got == {(a, b) for a in ("U05", "U50") for b in uids if a != b}, label
+    assert {x.id for x in d.node_rows(links, citizens, places, flags, schemes).where("type = 'Citizen'").collect()} == set(uids)
+    for scheme in (None, "S1"):
+        pairs = d.slice_rows(citizens, places, schemes, flags, dup, 1200, scheme).where("label = 'POTENTIAL_DUPLICATE'").collect()
+        assert sorted((x.source, x.target) for x in pairs) == [(a, b) for a in uids for b in uids if a < b]
