@@ -74,3 +74,30 @@ def test_family_inventory_and_partitions(spark, tmp_path):
     one = t.read_family(spark, path, 1)
     assert "PartitionFilters: [isnotnull(lgd_district_code" in one._jdf.queryExecution().executedPlan().toString()
     assert one.count() == t.persons(spark, SF).where("lgd_district_code = 1").count()
+
+
+def test_payment_rollup_adds_up_per_source_first(spark):
+    """Nulls, shared keys and months that two source rows have in common; one shuffle for the key, none for the months."""
+    from decimal import Decimal
+
+    from rollbook.sources import tables as t
+
+    rows = []
+    for i in range(400):
+        year, month = (None, None) if i % 11 == 0 else (str(2020 + i % 3), f"{i % 12 + 1:02d}")
+        when = None if i % 11 == 0 else f"{year}-{month}-{i % 28 + 1:02d} 00:00:00"
+        rows.append((i % 40, f"B{i % 40 // 2}", None if i % 40 // 2 == 7 else f"S{i % 2}", None if i % 13 == 0 else Decimal(i) / 4, when, year, year, month, i % 5 if i % 17 else None, None if i % 19 == 0 else f"R{i % 90}"))
+    pay = spark.createDataFrame(rows, "sl_no long, scheme_beneficiary_id string, scheme_id string, amount decimal(18,2), t string, financial_year string, installment_year string, installment_month_code string, source_sl_no int, transaction_ref_no string")
+    pay = pay.withColumn("transaction_timestamp", F.col("t").cast("timestamp")).drop("t")
+    keys = ["scheme_beneficiary_id", "scheme_id"]
+    want = pay.groupBy(*keys).agg(
+        F.count("*").alias("transaction_rows"), F.sum("amount").alias("transaction_total_amount"), F.max("transaction_timestamp").alias("latest_transaction_timestamp"),
+        F.max_by("transaction_ref_no", F.struct("transaction_timestamp", "source_sl_no", "transaction_ref_no")).alias("latest_transaction_ref_no"),
+        F.min("transaction_timestamp").alias("first_transaction_timestamp"), F.countDistinct("installment_year", "installment_month_code").alias("installment_count"),
+        F.array_join(F.sort_array(F.collect_set("financial_year")), ",").alias("financial_years"),
+        F.count_if(F.col("source_sl_no") % 2 == 1).alias("tran_count_1"), F.count_if(F.col("source_sl_no") % 2 == 0).alias("tran_count_2"))
+    got = t.payment_rollup(pay, "sl_no")
+    assert got.dtypes == want.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    placed = t.payment_rollup(pay.repartition(4, "sl_no"), "sl_no")
+    assert placed._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning(scheme_beneficiary_id") == 1
