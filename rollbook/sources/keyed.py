@@ -86,7 +86,8 @@ def _placed(rows: DataFrame, keys: list[str], leaves: list[Leaf]) -> DataFrame:
     h = F.shiftrightunsigned(F.xxhash64(*[F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in keys]), 64 - HASH_BITS)
     places = F.array(*[F.struct(F.lit(d).alias("_depth"), F.shiftrightunsigned(F.col("_hash"), HASH_BITS - d).alias("_prefix")) for d in sorted({x.depth for x in leaves})])
     known = rows.sparkSession.createDataFrame([(x.depth, x.prefix) for x in leaves], "_depth int, _prefix long")
-    return rows.withColumn("_hash", h).select("*", F.inline(places)).join(known, ["_depth", "_prefix"])
+    # the driver holds the list of leaves; joined by shuffle, all rows of a leaf would go to one task
+    return rows.withColumn("_hash", h).select("*", F.inline(places)).join(F.broadcast(known), ["_depth", "_prefix"])
 
 
 def _touched(source: DataFrame, keys: list[str], version: Version) -> list[Leaf]:
@@ -125,7 +126,7 @@ def upsert_into(source: DataFrame, path: str, keys: list[str], version: int, com
         deeper = {(x.depth, x.prefix): min(HASH_BITS, x.depth + max(0, math.ceil(math.log2(max(counts.get((x.depth, x.prefix), 0), 1) / LEAF_ROWS)))) for x in touched}
         if touched:
             new = spark.createDataFrame([(d, p, n) for (d, p), n in deeper.items()], "_depth int, _prefix long, _new int")
-            split = rows.join(new, ["_depth", "_prefix"]).withColumn("_at", F.expr(f"shiftrightunsigned(_hash, {HASH_BITS} - _new)"))
+            split = rows.join(F.broadcast(new), ["_depth", "_prefix"]).withColumn("_at", F.expr(f"shiftrightunsigned(_hash, {HASH_BITS} - _new)"))
             named = split.withColumn("leaf", F.concat_ws("-", "_new", "_at"))
             named.repartition("leaf").select(*old.schema.names, "leaf").write.mode("overwrite").partitionBy("leaf").parquet(f"{path}/data/version={version}")
             held = {(r._new, r._at): r["count"] for r in split.groupBy("_new", "_at").count().collect()}

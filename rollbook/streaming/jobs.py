@@ -41,8 +41,8 @@ def stream_sync(profiles: DataFrame, target: str, checkpoint: str) -> None:
     def each(batch: DataFrame, batch_id: int) -> None:
         cols = [c for c in batch.columns if c != "enrollment_key"]
         newest = lambda df: _newest_by(df, ["enrollment_key"], cols, F.struct(*ROW_ORDER))
-        # files can arrive out of order: the newest of both sides stays
-        upsert_into(newest(batch), target, ["enrollment_key"], batch_id, lambda old, new: newest(old.unionByName(new)))
+        # files can arrive out of order: the newest of both sides stays. The batch goes in as it is, so its keys are shuffled once, with the old rows
+        upsert_into(batch, target, ["enrollment_key"], batch_id, lambda old, new: newest(old.unionByName(new)))
 
     run_available(profiles, each, checkpoint)
 
@@ -60,7 +60,8 @@ def stream_payouts(payments: DataFrame, target: str, checkpoint: str) -> None:
     def each(batch: DataFrame, batch_id: int) -> None:
         latest = F.struct("transaction_timestamp", "source_sl_no", "transaction_ref_no").alias("latest")
         rows = batch.select(*PAYOUT_KEYS, F.lit(1).cast("long").alias("transaction_count"), F.col("amount").cast("decimal(38,2)").alias("total_amount"), latest)
-        upsert_into(added(rows), target, PAYOUT_KEYS, batch_id, lambda old, new: added(old.unionByName(new)))
+        # added up once, together with the old windows
+        upsert_into(rows, target, PAYOUT_KEYS, batch_id, lambda old, new: added(old.unionByName(new)))
 
     run_available(payments, each, checkpoint)
 
@@ -108,11 +109,13 @@ def stream_signals(observations: DataFrame, target: str, checkpoint: str) -> Non
 
 def stream_reviews(reviews: DataFrame, target: str, checkpoint: str) -> None:
     """Latest review per decision, however late it comes; a review delivered twice changes nothing."""
+    cols = ["review_id", "action", "note", "reviewed_at"]
+
     def newest(df: DataFrame) -> DataFrame:
-        return _newest_by(df, ["decision_id"], ["review_id", "action", "note", "reviewed_at"], F.struct("reviewed_at", "review_id"))
+        return _newest_by(df, ["decision_id"], cols, F.struct("reviewed_at", "review_id"))
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        upsert_into(newest(batch), target, ["decision_id"], batch_id, lambda old, new: newest(old.unionByName(new)))
+        upsert_into(batch.select("decision_id", *cols), target, ["decision_id"], batch_id, lambda old, new: newest(old.unionByName(new)))
 
     run_available(reviews, each, checkpoint)
 

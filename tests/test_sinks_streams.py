@@ -210,6 +210,15 @@ def test_payouts_in_any_order(spark, tmp_path):
     assert {r.uid for r in jobs.payouts_of(known, state).collect()} == {"u1"}
 
 
+def test_rows_find_their_leaf_without_a_shuffle(spark):
+    """The list of leaves goes to the rows, so no task gets all rows of a leaf."""
+    rows = spark.range(1000)
+    leaves = [keyed.Leaf(1, 0, 0, 500), keyed.Leaf(2, 2, 0, 250), keyed.Leaf(2, 3, 0, 250)]
+    placed = keyed._placed(rows, ["id"], leaves)
+    assert "Exchange hashpartitioning" not in placed._jdf.queryExecution().executedPlan().toString()
+    assert placed.count() == placed.select("id").distinct().count() == 1000
+
+
 # --- removal -----------------------------------------------------------------------------------
 
 
