@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.conditions import SIGNALS, learn_signals, merge_signals
 from ..operators.graph import PAYOUT_KEYS, ROW_ORDER, payout_keys
+from ..session import staged
 from ..sources.keyed import matching, upsert_into
 
 FILES_PER_BATCH = 64
@@ -82,10 +83,12 @@ def _unseen(batch: DataFrame, seen: str, keys: list[str], batch_id: int) -> Data
     """Rows of a batch whose key no earlier batch brought; the key table ``seen`` learns them.
 
     The keys known before the batch are read, so a batch that is run again finds the same rows new.
+    The new rows are written once: the key table and the counts read them several times.
     """
     old = matching(batch, seen, keys, batch_id)
-    fresh = batch if old is None else batch.join(old, keys, "left_anti")
-    upsert_into(fresh.select(*keys), seen, keys, batch_id)
+    fresh = staged(batch if old is None else batch.join(old, keys, "left_anti"), "fresh")
+    # none of these keys is in the table, so they are added without a join
+    upsert_into(fresh.select(*keys), seen, keys, batch_id, lambda known, new: known.unionByName(new))
     return fresh
 
 

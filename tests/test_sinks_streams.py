@@ -191,6 +191,25 @@ def test_redelivered_flags_count_once(spark, tmp_path):
     assert {(str(r.window_start), r.flags) for r in sinks.read_current(spark, dst).collect()} == {(f"2024-01-0{d} 00:00:00", 3) for d in (1, 2, 3)}
 
 
+def test_new_rows_of_a_batch_are_found_once(spark, tmp_path):
+    """The key table and the counts read the rows found, they do not look for them again."""
+    read = spark.sparkContext.accumulator(0)
+    def counted(it):
+        for b in it:
+            read.add(b.num_rows)
+            yield b
+    seen = str(tmp_path / "seen")
+    def batch(lo):
+        return spark.range(lo, lo + 10, 1, 2).mapInArrow(counted, "id long").select(F.concat(F.lit("f"), "id").alias("flag_id"))
+    fresh = jobs._unseen(batch(0), seen, ["flag_id"], 0)
+    assert fresh.count() == fresh.distinct().count() == 10 and read.value == 10
+    fresh = jobs._unseen(batch(5), seen, ["flag_id"], 1)
+    assert {r.flag_id for r in fresh.collect()} == {f"f{i}" for i in range(10, 15)}
+    assert read.value == 30  # once for the leaves of its keys, once for the rows
+    assert sorted(r.flag_id for r in jobs._unseen(batch(5), seen, ["flag_id"], 1).collect()) == [f"f{i}" for i in range(10, 15)]
+    assert keyed.read_current(spark, seen).count() == 15
+
+
 def test_payouts_in_any_order(spark, tmp_path):
     """Windows grow over batches as one aggregation over all payments would make them."""
     keys = {"uid": "u", "scheme_id": "S", "scheme_beneficiary_id": "B", "financial_year": "2023", "installment_year": "2023", "installment_month_code": "04", "installment_month": None}
