@@ -352,8 +352,8 @@ def manual_requirements(decisions: DataFrame) -> DataFrame:
     needed = F.filter(F.transform("conditions", lambda c: c["field"]), empty)
     open_mapped = F.filter(F.transform(F.filter("open_fields", lambda k: map_concept(k)["mapped"]), lambda k: map_concept(k)["field"]), empty)
     suggested = F.array_distinct(F.concat(needed, F.filter("missing_fields", empty), F.filter(asked, empty), open_mapped))
-    fields = F.array_distinct(F.concat(asked, suggested))
-    rows = decisions.select("rule_id", "uid", "scheme_beneficiary_id", "row_no", "unmapped", F.explode(fields).alias("field"), suggested.alias("suggested"))
+    fields = F.array_distinct(F.concat(asked, F.col("suggested")))
+    rows = decisions.withColumn("suggested", suggested).select("rule_id", "uid", "scheme_beneficiary_id", "row_no", "unmapped", F.explode(fields).alias("field"), "suggested")
     from_policy = F.get(F.filter("unmapped", lambda u: F.trim(u["suggested_input_field"]) == F.col("field")), F.lit(0))
     missing = F.array_contains("suggested", F.col("field"))
     return rows.select(

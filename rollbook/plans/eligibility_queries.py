@@ -494,7 +494,7 @@ def _(s):
 
 def judged(s):
     return s._written("decisions", lambda: j.judge(scheme_base(s), s.as_of, fx.manual(s)).select(
-        *j.DECISION, "checks", "missing_fields", "open_fields", "conditions", "unmapped", "source", "manual"))
+        *j.DECISION, "missing_fields", "open_fields", "conditions", "unmapped", "source"))
 
 
 @query("elg_22", f"""SELECT rule_id, uid, row_no, pos, {CHECK_TEXT} AS check_text, passed FROM (SELECT *, row_number() OVER (PARTITION BY rule_id, uid, row_no ORDER BY c0.pos) - 1 AS p2 FROM elig_checks c0 WHERE NOT missing)""".replace("row_no, pos,", "row_no, p2 AS pos,"))

@@ -113,6 +113,19 @@ def test_manual_values_win_and_disability_text(spark):
     assert r.decision == "VALID_ENROLLMENT"
 
 
+def test_requirements_are_worked_out_once(spark):
+    """The fields to ask for are one column that the rows are made from, not two copies of the same work."""
+    asked = {**ADULT, "include": [("annual_income", "<=", 200000), ("gender", "=", "FEMALE")], "unmapped": [("no_other_scholarship", "no_other_scholarship", "boolean"), ("x", "course_level", "text")]}
+    rows = j.judge(citizen(spark).join(j.rule_rows(spark, [asked])), as_of(), spark.createDataFrame([("R", "U1", {"course_level": "BA"})], "rule_id string, uid string, values map<string,string>"))
+    got = j.manual_requirements(rows)
+    assert {(r.field, r.input_type, r.why) for r in got.collect()} == {
+        ("no_other_scholarship", "boolean", "MISSING_IN_DATASET"), ("annual_income", "number", "MISSING_IN_DATASET"), ("course_level", "text", "POLICY_CONCEPT")}
+    stored = spark.createDataFrame(rows.select("rule_id", "uid", "scheme_beneficiary_id", "row_no", "missing_fields", "open_fields", "conditions", "unmapped", "source").collect(), rows.select(
+        "rule_id", "uid", "scheme_beneficiary_id", "row_no", "missing_fields", "open_fields", "conditions", "unmapped", "source").schema)
+    plan = j.manual_requirements(stored)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(conditions") == 1
+
+
 PERSON = "ration_card_memberid string, ration_card_number string, uid string, fullname string, member_dob string, gender string, caste string, lgd_district_code int"
 
 
