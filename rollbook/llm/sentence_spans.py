@@ -2,7 +2,9 @@
 
 Every run of several consecutive sentences is hashed and joined globally; a sentence covered by a
 repeated run that is not the first of its kind is removed. First means the smallest (id, position).
-Only run hashes are shuffled to find repeats; texts move once, to have their sentences taken out.
+Run hashes are shuffled once, ranked where they meet, and texts move once, to have their sentences
+taken out. Before that a task joins the runs of many texts: of equal ones only the first goes on, the
+others are covered whatever stands elsewhere. So a run that a third of all documents hold is a few rows.
 
 Longer sentences are cut into pieces by winnowing: of every ``WINDOW`` neighbouring gaps between
 words, the one with the least hash of its two words is a cut. So a piece has at most ``WINDOW``
@@ -16,14 +18,13 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
-
-from .common import stored
+from pyspark.sql import DataFrame, Window, functions as F
 
 #: A run has so many sentences at least, and goes on until it has so many words.
 SENTENCES, WORDS = 3, 15
@@ -36,28 +37,56 @@ BREAK = re.compile(
     r"|(?<=[^\w\s])(?<![^\w\s].)(?:(?<=[.!?…])|(?=[^\w\s]*?[.!?…]))[^\w\s]*+(?:\s+|(?=[぀-ヿ㐀-鿿가-힯豈-﫿]))"
     r"|(?<=[。！？｡])[^\w\s]*+\s*)"
 )
-WORD = re.compile(r"\w+")
 #: A run beside its hash: first sentence, sentences (8 bits) and 16 more bits of hash in one number.
 POS, LEN, CHECK = 24, 16, 2**16 - 1
+#: The same to be shuffled: 16 more bits of hash, first sentence (28 bits), whether it is covered already, sentences (19 bits).
+KIND, AT, DONE, MOST = 48, 20, 1 << 19, (1 << 19) - 1
+#: Runs that a task joins before they go on.
+TOGETHER = 1 << 18
+
 
+@cache
+def _letters() -> np.ndarray:
+    """Whether a code point belongs to a word: a letter, digit or underscore."""
+    return np.fromiter((chr(i).isalnum() or i == 95 for i in range(0x110000)), bool, 0x110000)
 
-def pieces(words: list[str]) -> list[int]:
-    """The words at which the pieces of a sentence begin, but for the first; of equal hashes the last in a window counts."""
-    if len(words) <= WINDOW:
-        return []
-    raw = " ".join(words).encode("utf-8", "surrogatepass").split(b" ")
-    h = list(map(zlib.crc32, raw[1:], map(zlib.crc32, raw)))
-    out, at = [], -1
-    for end in range(WINDOW - 1, len(h)):
-        if at <= end - WINDOW:
-            last = h[end : end - WINDOW : -1] if end >= WINDOW else h[end::-1]
-            at = end - last.index(min(last))
-        elif h[end] <= h[at]:
-            at = end
-        else:
-            continue
-        out.append(at + 1)
-    return out
+
+def _split(text: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-case words joined by blanks, first word and first character of each sentence or piece,
+    words of each).
+
+    The cuts of all long sentences are found together: the least (hash, later place) of every ``WINDOW``
+    neighbouring gaps of one sentence.
+    """
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    inside = _letters()[points]
+    start = np.flatnonzero(inside[1:] > inside[:-1]) + 1
+    if len(points) and inside[0]:
+        start = np.concatenate([[0], start])
+    if not len(start):
+        return b"", start, start, start
+    # a blank for all else, before the letters change: lower case may be longer
+    low = " ".join(np.where(inside, points, np.uint32(32)).tobytes().decode("utf-32-le", "surrogatepass").lower().split()).encode("utf-8", "surrogatepass")
+    raw = low.split(b" ")
+    ends = np.array([m.end() for m in BREAK.finditer(text)], np.int64)
+    sentence = np.searchsorted(ends, start, "right")
+    first = np.flatnonzero(np.diff(sentence, prepend=-1))
+    cut = np.zeros(len(raw), bool)
+    whole = np.flatnonzero(sentence[WINDOW:] == sentence[:-WINDOW])
+    if len(whole):
+        h = np.fromiter(map(zlib.crc32, raw[1:], map(zlib.crc32, raw)), np.uint64, len(raw) - 1)
+        least = h << np.uint64(32) | np.arange(2**32 - 1, 2**32 - 1 - len(h), -1, dtype=np.uint64)
+        span = 1
+        while span < WINDOW:  # the least of twice as many gaps each time
+            step = min(span, WINDOW - span)
+            least = np.minimum(least[:-step], least[step:])
+            span += step
+        cut[2**32 - (least[whole] & np.uint64(2**32 - 1)).astype(np.int64)] = True
+    cut[first] = True
+    begin = np.flatnonzero(cut)
+    start[first] = np.concatenate([[0], ends])[sentence[first]]
+    start[0] = 0
+    return low, begin, start[begin], np.diff(begin, append=len(raw))
 
 
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
@@ -65,61 +94,82 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
 
     A stretch without words belongs to the sentence before it (or, at the start, to the next).
     """
-    cuts = [0, *(m.end() for m in BREAK.finditer(text)), len(text)]
-    out: list[tuple[int, int, list[str]]] = []
-    start = 0
-    for lo, hi in zip(cuts, cuts[1:]):
-        words = list(WORD.finditer(text, lo, hi))
-        if not words:
-            if out:
-                out[-1] = (out[-1][0], hi, out[-1][2])
-                start = hi
-            continue
-        lower = [m[0].lower() for m in words]
-        at = [0, *pieces(lower), len(words)]
-        for i, j in zip(at, at[1:]):
-            end = words[j].start() if j < len(words) else hi
-            out.append((start, end, lower[i:j]))
-            start = end
-    return out
+    low, begin, start, sizes = _split(text)
+    words = low.decode("utf-8", "surrogatepass").split(" ")
+    ends = [*start[1:].tolist(), len(text)]
+    return [(lo, hi, words[b : b + n]) for lo, hi, b, n in zip(start.tolist(), ends, begin.tolist(), sizes.tolist())]
+
+
+def _hashed(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, 16 more bits of hash, sentences) of the run that begins with each sentence, as far as one does."""
+    low, begin, _, sizes = _split(text)
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.arange(len(sizes))
+    end = np.maximum(np.searchsorted(upto, upto[:-1] + WORDS), at + SENTENCES)
+    n = int((end <= len(sizes)).sum())
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    blank = np.concatenate([[-1], np.flatnonzero(np.frombuffer(low, np.uint8) == 32), [len(low)]])
+    lo, hi = (blank[begin] + 1).tolist(), blank[begin + sizes].tolist()
+    marks = b"".join([xxhash.xxh3_64_digest(low[i:j]) for i, j in zip(lo, hi)])
+    whole = b"".join([xxhash.xxh3_128_digest(marks[i:j]) for i, j in zip((8 * at[:n]).tolist(), (8 * end[:n]).tolist())])
+    halves = np.frombuffer(whole, ">u8").reshape(-1, 2)
+    return halves[:, 1].astype(np.uint64), (halves[:, 0] & np.uint64(CHECK)).astype(np.int64), end[:n] - at[:n]
 
 
 def runs(text: str) -> tuple[list[tuple[int, int, int, int]], int]:
     """((hash, packed place) of every run, number of sentences). A run has at most 255 sentences:
     each has a word, and it ends with the third sentence from fifteen words on."""
-    found = sentences(text)
-    sizes = [len(w) for _, _, w in found]
-    marks = [xxhash.xxh3_64_digest(" ".join(w).encode("utf-8", "surrogatepass")) for _, _, w in found]
-    out, end, words = [], 0, 0
-    for i in range(len(found)):
-        while end < len(found) and (end - i < SENTENCES or words < WORDS):
-            words += sizes[end]
-            end += 1
-        if end - i < SENTENCES or words < WORDS:
-            break
-        whole = xxhash.xxh3_128_intdigest(b"".join(marks[i:end]))
-        out.append((whole & (2**64 - 1), i << POS | (end - i) << LEN | whole >> 64 & CHECK))
-        words -= sizes[i]
-    return out, len(found)
+    h, c, n = _hashed(text)
+    return list(zip(h.tolist(), (np.arange(len(h)) << POS | n << LEN | c).tolist())), len(_split(text)[1])
+
+
+def _joined(k: np.ndarray, h: np.ndarray, c: np.ndarray, pos: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """(k, h, q) of runs: of equal ones the first place; what later ones cover, as far as it is joined, per id."""
+    order = np.lexsort((pos, k, c, h))
+    k, h, c, pos, n = k[order], h[order], c[order], pos[order], n[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+    later = np.flatnonzero((k != k[lead]) | (pos != pos[lead]))
+    lk, lo, hi = k[later], pos[later], pos[later] + n[later]
+    order = np.lexsort((lo, lk))
+    lk, lo, hi = lk[order], lo[order], hi[order]
+    # a run goes on from the one before it if it starts at its end or earlier; of one id a later start has no earlier end
+    apart = np.ones(len(lk), bool)
+    apart[1:] = (lk[1:] != lk[:-1]) | (lo[1:] > hi[:-1])
+    ones = np.flatnonzero(apart)
+    lk, lo, hi = lk[ones], lo[ones], np.maximum.reduceat(hi, ones) if len(ones) else hi
+    parts = np.maximum((hi - lo + MOST - 1) // MOST, 1)
+    lk, hi, lo = np.repeat(lk, parts), np.repeat(hi, parts), np.repeat(lo, parts) + MOST * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    covered = lo << AT | DONE | np.minimum(hi - lo, MOST)
+    spread = (lk.view(np.uint64) ^ lo.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)  # any place will do
+    q = (c[new].astype(np.uint64) << np.uint64(KIND)).view(np.int64) | pos[new] << AT | n[new]
+    columns = np.concatenate([k[new], lk]), np.concatenate([h[new], spread]).view(np.int64), np.concatenate([q, covered])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["k", "h", "q"])
 
 
 def all_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(k, h, p) of every run: id, hash and packed place; a null id takes the smallest number."""
+    """(k, h, q) of the first of equal runs that a task joins and of what the others cover; a null id takes the smallest number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 some = b.slice(lo, 500)
-                rows: list[tuple] = []
-                keys: list[int] = []
                 for k, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
-                    found, _ = runs(t or "")
-                    rows += found
-                    keys += [k] * len(found)
-                h, p = zip(*rows) if rows else ([], [])
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.asarray(h, np.uint64).view(np.int64)), pa.array(np.asarray(p, np.int64))], ["k", "h", "p"])
+                    h, c, n = _hashed(t or "")
+                    if len(h):
+                        held.append((np.full(len(h), k, np.int64), h, c, np.arange(len(h)), n))
+                        size += len(h)
+                    if size >= TOGETHER:
+                        yield _joined(*map(np.concatenate, zip(*held)))
+                        held, size = [], 0
+        if held:
+            yield _joined(*map(np.concatenate, zip(*held)))
 
-    return docs.select(_number(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, "k long, h long, p long")
+    return docs.select(_number(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, "k long, h long, q long")
 
 
 def _number(key: str):
@@ -127,29 +177,45 @@ def _number(key: str):
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """(k, covered): the sorted sentence numbers that a non-first repeated run covers, per document.
+    """(k, spans): what runs that are not the first of their kind cover, per document: first sentence and sentences in one number.
 
-    Counts are combined before the shuffle, so a run that a third of all documents hold is one row
-    per task there; the join back is an equi join that adaptive execution may split.
+    Rows meet once, by hash. One run has at most a row per ``TOGETHER`` runs of its task.
     """
-    many = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    place = F.struct("k", F.shiftright("p", POS).alias("pos"))
-    held = found.join(many, "h", "left_semi").withColumn("c", F.col("p").bitwiseAND(F.lit(CHECK))).withColumn("at", place)
-    first = held.groupBy("h", "c").agg(F.min("at").alias("first"))
-    later = held.join(first, ["h", "c"]).where(F.col("at") > F.col("first"))
-    span = F.struct(F.col("at.pos").alias("pos"), F.shiftright("p", LEN).bitwiseAND(F.lit(255)).alias("len"))
-    spans = later.groupBy("k").agg(F.collect_set(span).alias("s"))
-    return spans.select("k", F.array_sort(F.array_distinct(F.flatten(F.transform("s", lambda s: F.sequence(s["pos"], s["pos"] + s["len"] - 1))))).alias("covered"))
+    kind = F.col("q").bitwiseAND(F.lit(-(1 << KIND) | DONE))
+    met = found.repartition("h").withColumn("kind", kind)
+    place = F.shiftright("q", AT).bitwiseAND(F.lit((1 << KIND - AT) - 1))
+    ranked = met.withColumn("rank", F.rank().over(Window.partitionBy("h", "kind").orderBy("k", place)))
+    later = ranked.where((F.col("rank") > 1) | (F.col("q").bitwiseAND(F.lit(DONE)) != 0))
+    return later.select("k", F.col("q").bitwiseAND(F.lit((1 << KIND) - 1)).alias("span")).groupBy("k").agg(F.collect_set("span").alias("spans"))
+
+
+def _without(text: str, covered: np.ndarray) -> tuple[str, int, int, int]:
+    """``without`` for a mark per sentence, or more marks than there are."""
+    _, _, start, sizes = _split(text)
+    if not covered.any():
+        return text, len(sizes), 0, 0
+    gone = np.zeros(len(sizes), bool)
+    gone[: len(covered)] = covered[: len(sizes)]
+    ends = np.append(start[1:], len(text))
+    kept = "".join([text[lo:hi] for lo, hi in zip(start[~gone].tolist(), ends[: len(sizes)][~gone].tolist())])
+    return kept, len(sizes), int(gone.sum()), int(sizes[gone].sum())
 
 
 def without(text: str, covered: set[int]) -> tuple[str, int, int, int]:
     """(text without the covered sentences, sentences, removed sentences, removed words)."""
-    found = sentences(text)
-    if not covered:
-        return text, len(found), 0, 0
-    kept = "".join(text[lo:hi] for i, (lo, hi, _) in enumerate(found) if i not in covered)
-    gone = [len(w) for i, (_, _, w) in enumerate(found) if i in covered]
-    return kept, len(found), len(gone), sum(gone)
+    marks = np.zeros(max(covered, default=-1) + 1, bool)
+    marks[list(covered)] = True
+    return _without(text, marks)
+
+
+def _marks(spans: np.ndarray) -> np.ndarray:
+    """A mark per sentence that any of the packed spans covers."""
+    lo = spans >> AT
+    hi = lo + (spans & MOST)
+    open_ = np.zeros(int(hi.max()) + 1 if len(hi) else 1, np.int64)
+    np.add.at(open_, lo, 1)
+    np.add.at(open_, hi, -1)
+    return np.cumsum(open_) > 0
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -160,17 +226,16 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     rows with a null id share one place before all others. A run that repeats within a document is
     removed there too. An empty table stays empty; other columns stay.
     """
-    found = stored(all_runs(docs, key, text), "sentence_runs")
-    covers = repeated(found).withColumnRenamed("k", "_k")
+    covers = repeated(all_runs(docs, key, text)).withColumnRenamed("k", "_k")
     kept = [c for c in docs.columns if c not in ("n_sentences", "n_removed", "removed_words")]
 
     @F.pandas_udf("text string, n_sentences int, n_removed int, removed_words int")
-    def take_out(texts: pd.Series, covered: pd.Series) -> pd.DataFrame:
-        rows = [(*without(t, set(c) if c is not None else set()),) if isinstance(t, str) else (None, 0, 0, 0) for t, c in zip(texts, covered)]
+    def take_out(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        rows = [_without(t, _marks(np.asarray(c, np.int64)) if c is not None else np.zeros(0, bool)) if isinstance(t, str) else (None, 0, 0, 0) for t, c in zip(texts, spans)]
         return pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed", "removed_words"])
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _number(key).alias("_n"))
     both = rows.join(covers, F.col("_n") == F.col("_k"), "left")
-    done = both.select("_row", take_out(F.col(f"_row.`{text}`"), F.col("covered")).alias("_out"))
+    done = both.select("_row", take_out(F.col(f"_row.`{text}`"), F.col("spans")).alias("_out"))
     cols = [F.col("_out.text").alias(c) if c == text else F.col(f"_row.`{c}`") for c in kept]
     return done.select(*cols, "_out.n_sentences", "_out.n_removed", "_out.removed_words")

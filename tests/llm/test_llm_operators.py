@@ -314,6 +314,24 @@ def test_sentence_spans(docs, rows, empty):
     assert len(got) == len(rows) and sentence_spans.dedup(empty).count() == 0
 
 
+def test_runs_of_copies_are_joined_before_the_shuffle(spark):
+    text = " ".join(f"word{i} goes here. Then more{i} follows it; and on." for i in range(40))
+    held = sorted([(i, text) for i in range(300)] + [(None, text), (1000, "Lone words. " + text), (1001, None), (1002, "!")], key=lambda r: (r[0] is not None, r[0]))
+    docs = spark.createDataFrame(held, "doc_id long, text string").coalesce(1)
+    found, n = sentence_spans.runs(text)
+    # each run once, and what a copy has of them as one span
+    assert len(found) > 60 and sentence_spans.all_runs(docs).count() <= len(found) + 303
+    got = {r.doc_id: r for r in sentence_spans.dedup(docs.repartition(3)).collect()}
+    assert got[None].text == text and all(got[i].text == "" and got[i].n_removed == n for i in range(300))
+    assert got[1000].text == "Lone words. " and got[1001].text is None and got[1002].text == "!"
+    # a span of more sentences than its field holds is cut
+    k, pos = np.repeat([1, 2], 600_000), np.tile(np.arange(600_000), 2)
+    rows = sentence_spans._joined(k, pos.astype(np.uint64), pos * 0, pos, pos * 0 + 3)
+    q = rows.column(2).to_numpy()
+    marks = sentence_spans._marks(q[(q & sentence_spans.DONE) != 0] & ((1 << sentence_spans.KIND) - 1))
+    assert rows.num_rows == 600_002 and marks.sum() == 600_002 and marks[:600_002].all()
+
+
 def covered_words(texts):
     """Per text, the numbers of the words that repeated runs cover."""
     first, gone = {}, [set() for _ in texts]
