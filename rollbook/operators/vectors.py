@@ -1,8 +1,9 @@
 """Nearest vectors of many requests: a join of packed blocks (DOC-10, DOC-11).
 
 Requests and points are packed, where they lie, into matrices of ``BLOCK_BYTES``, one row each. Every
-request block meets every point block once: one matrix product per pair, filters as masks, the best k
-of the pair merged into those of the request block. Only they are shuffled for the last ranking.
+request block meets every point block once: matrix products of ``SCORES`` scores at most, filters as
+masks, the best k of the pair merged into those of the request block. Only they are shuffled for the
+last ranking.
 
 Requests of up to ``BROADCAST_BYTES`` (measured) go to every task, and the points are read once, where
 they are. More requests are paired partition by partition, without a shuffle; the packed points are
@@ -31,6 +32,8 @@ BLOCK_BYTES = 1 << 20
 BROADCAST_BYTES = 8 << 20
 #: Scores equal to so many decimals are ties, which go by point id.
 DECIMALS = 9
+#: Scores that a task holds at once, unless one request has more points in a block.
+SCORES = 1 << 20
 #: Request blocks whose best rows a task holds at once.
 HELD_BLOCKS = 64
 
@@ -114,11 +117,17 @@ def pair_best(k: int) -> Callable:
                 block, q_ids, p_ids = at("block").as_py(), at("q_ids").values.to_numpy(), at("p_ids").values.to_numpy()
                 q = np.frombuffer(at("q_vectors").as_buffer()).reshape(len(q_ids), -1)
                 p = np.frombuffer(at("p_vectors").as_buffer()).reshape(len(p_ids), -1)
-                scores = masked(np.round(q @ p.T, DECIMALS), *[at(c).as_py() for c in ("q_docs", "q_schemes", "p_docs", "p_schemes")])
-                # every score of at least the k-th of its row
-                least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(q_ids), -np.inf)
-                row, col = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
-                found = row, p_ids[col], scores[row, col]
+                q_docs, q_schemes, p_docs, p_schemes = (at(c).as_py() for c in ("q_docs", "q_schemes", "p_docs", "p_schemes"))
+                step = max(1, SCORES // max(len(p_ids), 1))
+                parts = [(np.zeros(0, np.int64), p_ids[:0], np.zeros(0))]
+                for lo in range(0, len(q_ids), step):
+                    scores = q[lo : lo + step] @ p.T
+                    scores = masked(np.round(scores, DECIMALS, out=scores), q_docs[lo : lo + step], q_schemes[lo : lo + step], p_docs, p_schemes)
+                    # every score of at least the k-th of its row
+                    least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(scores), -np.inf)
+                    row, col = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+                    parts.append(first_k(row + lo, p_ids[col], scores[row, col], k))
+                found = tuple(map(np.concatenate, zip(*parts)))
                 if block in held:
                     found = tuple(np.concatenate(pair) for pair in zip(held[block][1:], found))
                 held[block] = (q_ids, *first_k(*found, k))

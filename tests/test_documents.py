@@ -2,6 +2,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rollbook.operators import documents as d
@@ -201,3 +202,24 @@ def test_questions(spark):
     assert fixed[6] == "show all schemes" and fixed[4] == "check 599031892622"
     more = spark.createDataFrame([(1, "Schems, POLCY 12 eligibilty"), (2, ""), (3, "!!")], "question_id long, question string")
     assert {r.question_id: r.normalized for r in q.normalise_questions(more).collect()} == {1: "Schemes, POLICY 12 eligibility", 2: "", 3: "!!"}
+
+
+def test_block_pairs_hold_few_scores(monkeypatch):
+    rng = np.random.default_rng(4)
+    q, p = rng.integers(-2, 3, (50, 4)).astype(float), rng.integers(-2, 3, (40, 4)).astype(float)
+    schemes = [["A", "B", None][i % 3] for i in range(50)]
+    row = {
+        "block": [0], "q_ids": [list(range(50))], "q_vectors": [q.tobytes()], "q_docs": [[["d1"] if i % 7 == 0 else None for i in range(50)]], "q_schemes": [schemes],
+        "p_ids": [list(range(40))], "p_vectors": [p.tobytes()], "p_docs": [[f"d{i % 3}" for i in range(40)]], "p_schemes": [["A" if i % 2 else "B" for i in range(40)]],
+    }
+    want = []
+    for i in range(50):
+        fits = [j for j in range(40) if (i % 7 or j % 3 == 1) and schemes[i] in (None, "A" if j % 2 else "B")]
+        want += [(i, j, float(q[i] @ p[j])) for j in sorted(fits, key=lambda j: (-(q[i] @ p[j]), j))[:5]]
+    sizes, masked = [], vectors.masked
+    monkeypatch.setattr(vectors, "masked", lambda scores, *a: sizes.append(scores.size) or masked(scores, *a))
+    for most in (1, 100, 1 << 20):
+        monkeypatch.setattr(vectors, "SCORES", most)
+        got = [r for b in vectors.pair_best(5)(iter([pa.RecordBatch.from_pydict(row)])) for r in zip(*(b.column(c).to_pylist() for c in range(3)))]
+        assert sorted(got) == sorted(want) and max(sizes) <= max(most, 40)
+        sizes.clear()
