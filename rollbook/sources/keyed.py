@@ -113,9 +113,10 @@ def upsert_into(source: DataFrame, path: str, keys: list[str], version: int, com
         return
     found = [n for n in versions if n < version]
     old = versions[max(found)] if found else Version(-1, [Leaf(0, 0, -1, 0)], source.schema)
-    touched = _touched(source, keys, old)
+    # a new table has one leaf and no rows to be met
+    touched = _touched(source, keys, old) if found else old.leaves
     before = _read(spark, path, old, touched)
-    merged = combine(before, source) if combine else upsert(before, source, keys)
+    merged = combine(before, source) if combine else upsert(before, source, keys) if found else source
     if not found:
         old = old._replace(schema=merged.schema)
     merged = merged.select(*old.schema.names)
@@ -129,7 +130,8 @@ def upsert_into(source: DataFrame, path: str, keys: list[str], version: int, com
             split = rows.join(F.broadcast(new), ["_depth", "_prefix"]).withColumn("_at", F.expr(f"shiftrightunsigned(_hash, {HASH_BITS} - _new)"))
             named = split.withColumn("leaf", F.concat_ws("-", "_new", "_at"))
             named.repartition("leaf").select(*old.schema.names, "leaf").write.mode("overwrite").partitionBy("leaf").parquet(f"{path}/data/version={version}")
-            held = {(r._new, r._at): r["count"] for r in split.groupBy("_new", "_at").count().collect()}
+            whole = all(to == depth for (depth, _), to in deeper.items())
+            held = counts if whole else {(r._new, r._at): r["count"] for r in split.groupBy("_new", "_at").count().collect()}
         leaves = [x for x in old.leaves if (x.depth, x.prefix) not in deeper]
         for (depth, prefix), to in deeper.items():
             for at in range(prefix << to - depth, prefix + 1 << to - depth):

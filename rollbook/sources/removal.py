@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import staged
 from .keyed import read_current, upsert_into
 
 #: Key columns of every table.
@@ -34,12 +35,12 @@ def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 def remove_documents(removed: DataFrame, root: str, version: int) -> None:
     """Write ``version`` of all tables without the documents of ``removed`` (doc_id) and all that hangs on them alone."""
     spark = removed.sparkSession
-    docs = removed.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    docs = staged(removed.where("doc_id IS NOT NULL").select("doc_id").distinct(), "removed")
     old = {name: read_current(spark, f"{root}/{name}", version) for name in TABLES}
 
     def drop(name: str, rows: DataFrame) -> None:
         keys = TABLES[name]
-        upsert_into(rows.select(*keys).distinct(), f"{root}/{name}", keys, version, lambda before, gone: before.join(gone, keys, "left_anti"))
+        upsert_into(staged(rows.select(*keys).distinct(), f"lost_{name}"), f"{root}/{name}", keys, version, lambda before, gone: before.join(gone, keys, "left_anti"))
 
     def of_docs(name: str) -> DataFrame:
         return old[name].join(docs, "doc_id", "left_semi")
@@ -51,7 +52,7 @@ def remove_documents(removed: DataFrame, root: str, version: int) -> None:
             rows = before.join(lost, keys, "left").withColumn("document_count", F.col("document_count") - F.coalesce("_lost", F.lit(0)))
             return rows.where("document_count > 0").drop("_lost")
 
-        upsert_into(lost, f"{root}/{name}", keys, version, left)
+        upsert_into(staged(lost, f"lost_{name}"), f"{root}/{name}", keys, version, left)
 
     rules = of_docs("rules").select("rule_id").distinct()
     drop("decisions", old["decisions"].join(rules, "rule_id", "left_semi"))
@@ -59,14 +60,15 @@ def remove_documents(removed: DataFrame, root: str, version: int) -> None:
     for name in ("rules", "chunks", "project_links"):
         drop(name, of_docs(name))
 
-    lost = of_docs("entity_documents").groupBy("name").agg(F.count("*").alias("_lost"))
+    # what several steps read is worked out once
+    lost = staged(of_docs("entity_documents").groupBy("name").agg(F.count("*").alias("_lost")), "lost_documents")
     dead = old["entities"].join(lost, "name").where("document_count <= _lost").select("name")
     shrink("entities", lost)
     drop("entity_documents", of_docs("entity_documents"))
     # an edge goes with its last document, and whole with an end that goes
     edges = TABLES["relations"]
     ends = [old["relations"].join(dead.withColumnRenamed("name", end), end, "left_semi").select(*edges) for end in ("source", "target")]
-    detached = ends[0].unionByName(ends[1]).distinct()
+    detached = staged(ends[0].unionByName(ends[1]).distinct(), "detached")
     gone = of_docs("relation_documents")
     per = gone.groupBy(*edges).agg(F.count("*").alias("_lost")).unionByName(old["relations"].join(detached, edges, "left_semi").select(*edges, F.col("document_count").alias("_lost")))
     shrink("relations", per.groupBy(*edges).agg(F.sum("_lost").alias("_lost")))

@@ -147,6 +147,19 @@ def test_replay_and_old_versions(spark, tmp_path):
     assert rows() == {("a", 1), ("b", 2), ("c", 3), ("d", 5)}
 
 
+def test_a_new_table_works_its_rows_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(100).unionByName(spark.range(3)).mapInArrow(count, "id long")
+    keyed.upsert_into(rows, str(tmp_path / "t"), ["id"], 0)
+    assert seen.value == 103 and keyed.read_current(spark, str(tmp_path / "t")).count() == 103
+
+
 def test_empty_keyed_table(spark, tmp_path):
     path = str(tmp_path / "t")
     keyed.upsert_into(spark.createDataFrame([], "k string, v int"), path, ["k"], 0)
