@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tempfile
 import zlib
 
 import numpy as np
@@ -223,6 +224,72 @@ def test_encoder_against_the_tokenizer(monkeypatch):
         assert len(enc.known) <= room
 
 
+def test_encoder_cuts_signs_off_words(monkeypatch):
+    """A word is encoded once, whatever signs follow it; cuts agree with the tokenizer's own anywhere in a text."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    path = public_tokenizer()
+    enc, sent = token_files.Encoder(path), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            sent.extend(texts)
+            return tok.encode_batch_fast(texts, **how)
+
+    tok, enc.tok = enc.tok, Counted()
+    words = [f"blereth{a}{b}en" for a in "abcdefgh" for b in "abcdefgh"]
+    enc.batch([" " + " ".join(w + sign for w in words for sign in ("", ",", ".", "!", ";", "***", "$$$"))])
+    assert sum(map(len, sent)) < 2 * sum(map(len, words))
+
+    rnd = random.Random(7)
+    signs = [*"aZ9 \n\n   .,$'\u00e9\u00d7\u00f7\u00c0\u00df\t\r\x0b\x1c\x85\u00a0\u1680\u2003\u2009\u2029\u205f\u3000\u0301\u0100\u65e5\u2026", "'s", "'ll", *tok_added(path)]
+    texts = ["", None, *("".join(rnd.choice(signs) for _ in range(rnd.randint(1, 30))) for _ in range(3000))]
+    want = [e.ids for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for at_once, step in ((5, 3002), (1 << 16, 50)):
+        monkeypatch.setattr(token_files, "AT_ONCE", at_once)
+        enc = token_files.Encoder(path)
+        for lo in range(0, len(texts), step):
+            ids, n = enc.batch(texts[lo : lo + step])
+            ends = np.cumsum(n)
+            assert [ids[e - k : e].tolist() for e, k in zip(ends, n)] == want[lo : lo + step]
+
+    other = Tokenizer(models.BPE({c: i for i, c in enumerate(sorted(pre_tokenizers.ByteLevel.alphabet()))} | {"a.": 256}, [("a", ".")]))
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # no splits at all
+    with tempfile.NamedTemporaryFile(suffix=".json") as f:
+        other.save(f.name)
+        ids, n = token_files.Encoder(f.name).batch(["a. a.b", "a.", "b a."])
+    assert ids.tolist() == [i for t in ("a. a.b", "a.", "b a.") for i in other.encode(t).ids] and n.sum() == len(ids)
+
+
+def tok_added(path):
+    from tokenizers import Tokenizer
+
+    return [t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values()]
+
+
+def test_blocks_unpack_side_by_side():
+    rng = np.random.default_rng(3)
+    blocks = [(rng.zipf(1.3, n) % 3000).astype(np.int64) for n in (1, 255, 256, 257, 5000, 0, 70_000)]
+    lengths = token_files.code_lengths(np.bincount(np.concatenate(blocks)))
+    codes = token_files.canonical(lengths)
+    packed = [(*token_files.pack(ids, lengths, codes), len(ids)) for ids in blocks]
+    for some in (packed, packed[::-1], packed[5:6]):
+        for (_, _, n), ids in zip(some, token_files.unpack_all(some, token_files.decoding_table(lengths)), strict=True):
+            assert len(ids) == n
+    for want, ids in zip(blocks, token_files.unpack_all(packed, token_files.decoding_table(lengths)), strict=True):
+        assert (ids == want).all()
+
+
+def test_ranges_carry_their_counts(spark, docs, empty):
+    """Ids are counted where they are made: the counts equal those of the ids, and blocks hold whole documents."""
+    made = token_files.tokenized(docs, public_tokenizer()).collect()
+    ids = np.concatenate([np.frombuffer(r.ids, "<u2") for r in made if r.block is not None])
+    assert sum(sum(r.n_tokens) for r in made if r.block is not None) == len(ids) and sum(len(r.doc_ids) for r in made if r.block is not None) == docs.count()
+    counted = {r.id: r.n for r in token_files.id_counts(token_files.tokenized(docs, public_tokenizer())).collect()}
+    assert counted == {int(i): int(n) for i, n in zip(*np.unique(ids, return_counts=True))}
+    assert token_files.id_counts(token_files.tokenized(empty, public_tokenizer())).count() == 0
+
+
 PIECES = "a word Word's don't it's, 12 3.5 x1 é e\u0301 \u0301 naïve $$$ %%% a$$$ 's 'll ’s 日本語 。 \u00a0 a\u00a0b \u2003 \u200b \t \r\n \u0120 \u0120a <| |> < 🙂 🙂a \ufeff _ a_b -- ... \x0b \x85".split(" ")
 ARTICLE = "<p>" + "Article words go on and on here. " * 8 + "</p>"
 PLAIN = " ".join(("Article words go on and on here. " * 8).split())
