@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import entity_graph as eg
 from ..operators import manifests as m
 from ..operators.flags import union
-from ..session import shared_dir
+from ..session import shared_dir, shuffles_freed
 from ..sources import removal, sinks
 from ..sources import tables as t
 from ..streaming import jobs
@@ -153,15 +153,16 @@ def _(s):
  SELECT scheme_id || ':' || financial_year || ':' || installment_year || ':' || installment_month_code AS payout_month_key, transaction_count, coalesce(uid, '') || ':' || scheme_beneficiary_id AS k FROM windows)
  WHERE k IN (SELECT enrollment_key FROM prof)""")
 def _(s):
-    found = jobs.payouts_of(s.profile.select("enrollment_key").distinct(), synced_payouts(s))
+    found = jobs.payouts_of(s.enrollment_keys, synced_payouts(s))
     return found.agg(F.count("*").alias("windows"), F.countDistinct("payout_month_key").alias("months"), F.sum("transaction_count").alias("payments"))
 
 
 def synced_payouts(s):
     """Payments in six files in no order of time, two a batch."""
     source, target = run_dir(s, "payment-files"), run_dir(s, "payouts")
-    rows = s.txn.select(*PAYOUT_KEYS, "amount", "transaction_timestamp", "source_sl_no", "transaction_ref_no")
-    rows.repartition(6, F.xxhash64("transaction_ref_no", "source_sl_no")).write.parquet(source)
+    rows = t.transactions(s.spark, s.sf_dir, dealt=6).select(*PAYOUT_KEYS, "amount", "transaction_timestamp", "source_sl_no", "transaction_ref_no")
+    with shuffles_freed(s.spark):
+        rows.write.option("compression", "zstd").parquet(source)
     jobs.stream_payouts(jobs.file_stream(s.spark, source, rows.schema, files=2), target, f"{target}-checkpoint")
     return sinks.read_current(s.spark, target)
 

@@ -20,6 +20,8 @@ from typing import NamedTuple
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..session import shuffles_freed
+
 LEAF_ROWS = 200_000
 KEPT = 2
 HASH_BITS = 62
@@ -80,6 +82,15 @@ def read_current(spark: SparkSession, path: str, before: int | None = None) -> D
     return None if version is None else _read(spark, path, version, version.leaves)
 
 
+def _deeper(depth: int, rows: int) -> int:
+    """Depth of a leaf that is to hold ``rows``: as many more bits as bring it below the bound."""
+    return min(HASH_BITS, depth + max(0, math.ceil(math.log2(max(rows, 1) / LEAF_ROWS))))
+
+
+def _split(depth: int, prefix: int, to: int) -> range:
+    return range(prefix << to - depth, prefix + 1 << to - depth)
+
+
 def _placed(rows: DataFrame, keys: list[str], leaves: list[Leaf]) -> DataFrame:
     """Rows with ``_hash`` and the leaf that holds their key: depth and prefix. A key lies in exactly one."""
     # a null key has a place like any value
@@ -123,8 +134,7 @@ def upsert_into(source: DataFrame, path: str, keys: list[str], version: int, com
     rows = _placed(merged, keys, touched or old.leaves).persist()
     try:
         counts = {(r._depth, r._prefix): r["count"] for r in rows.groupBy("_depth", "_prefix").count().collect()}
-        # a leaf that holds too many rows takes as many more bits as bring it below the bound
-        deeper = {(x.depth, x.prefix): min(HASH_BITS, x.depth + max(0, math.ceil(math.log2(max(counts.get((x.depth, x.prefix), 0), 1) / LEAF_ROWS)))) for x in touched}
+        deeper = {(x.depth, x.prefix): _deeper(x.depth, counts.get((x.depth, x.prefix), 0)) for x in touched}
         if touched:
             new = spark.createDataFrame([(d, p, n) for (d, p), n in deeper.items()], "_depth int, _prefix long, _new int")
             split = rows.join(F.broadcast(new), ["_depth", "_prefix"]).withColumn("_at", F.expr(f"shiftrightunsigned(_hash, {HASH_BITS} - _new)"))
@@ -134,14 +144,59 @@ def upsert_into(source: DataFrame, path: str, keys: list[str], version: int, com
             held = counts if whole else {(r._new, r._at): r["count"] for r in split.groupBy("_new", "_at").count().collect()}
         leaves = [x for x in old.leaves if (x.depth, x.prefix) not in deeper]
         for (depth, prefix), to in deeper.items():
-            for at in range(prefix << to - depth, prefix + 1 << to - depth):
+            for at in _split(depth, prefix, to):
                 leaves.append(Leaf(to, at, version, held.get((to, at), 0)))
     finally:
         rows.unpersist()
-    schema = old.schema.json()
-    manifest = spark.createDataFrame([(*x, schema) for x in leaves], "depth int, prefix long, written long, rows long, schema string")
-    manifest.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/version={version}")
-    _clean(spark, path, versions | {version: Version(version, leaves, old.schema)})
+    _commit(spark, path, versions, Version(version, leaves, old.schema))
+
+
+def group_into(source: DataFrame, path: str, keys: list[str], version: int, group: Callable[[DataFrame, list[str]], DataFrame], place: list[str] | None = None) -> None:
+    """``upsert_into`` for rows that add up: ``group(rows, by)`` gives one row per group ``by`` (the leaf and
+    the keys) from the old rows of the touched leaves and the source together.
+
+    All rows meet in their leaf by one shuffle, are grouped there and written as they come, sorted by key; nothing
+    is cached. So a leaf is split before its rows are grouped, by its old rows and the number of keys that come.
+    ``place`` names the keys whose hash finds the leaf, the same for all versions: rows that are equal in them lie
+    side by side, which packs them closely, but cannot be split. By default all keys do.
+    """
+    place = place or keys
+    spark = source.sparkSession
+    versions = _versions(spark, path)
+    if version in versions:
+        return
+    found = [n for n in versions if n < version]
+    old = versions[max(found)] if found else Version(-1, [Leaf(0, 0, -1, 0)], source.schema)
+    # keys are counted, not rows: a key that comes often does not split its leaf
+    coming = _placed(source.select(*keys), place, old.leaves).groupBy("_depth", "_prefix").agg(F.approx_count_distinct(F.xxhash64(*keys)).alias("n"))
+    new = {(r._depth, r._prefix): r.n for r in coming.collect()}
+    touched = [x for x in old.leaves if (x.depth, x.prefix) in new or not found]
+    leaves = [x for x in old.leaves if x not in touched]
+    if touched:
+        deeper = [(x, _deeper(x.depth, x.rows + new.get((x.depth, x.prefix), 0))) for x in touched]
+        split = [Leaf(to, at, version, 0) for x, to in deeper for at in _split(x.depth, x.prefix, to)]
+        rows = _read(spark, path, old, touched).unionByName(source) if found else source
+        named = _placed(rows, place, split).withColumn("leaf", F.concat_ws("-", "_depth", "_prefix")).select(*rows.columns, "leaf")
+        # few leaves share a task; beyond the usual number of tasks a writing task would hold and spill all its rows
+        tasks = min(2 * len(split), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        merged = group(named.repartition(tasks, "leaf"), ["leaf", *keys])
+        if not found:
+            old = old._replace(schema=merged.drop("leaf").schema)
+        data = f"{path}/data/version={version}"
+        with shuffles_freed(spark):
+            merged.select(*old.schema.names, "leaf").write.mode("overwrite").option("compression", "zstd").partitionBy("leaf").parquet(data)
+        # only the footers are read
+        held = {r.leaf: r["count"] for r in spark.read.schema("leaf string").parquet(data).groupBy("leaf").count().collect()}
+        leaves += [x._replace(rows=held.get(f"{x.depth}-{x.prefix}", 0)) for x in split]
+    _commit(spark, path, versions, Version(version, leaves, old.schema))
+
+
+def _commit(spark: SparkSession, path: str, versions: dict[int, Version], new: Version) -> None:
+    """Write the manifest of a version whose leaves are there, then drop what no kept version names."""
+    schema = new.schema.json()
+    manifest = spark.createDataFrame([(*x, schema) for x in new.leaves], "depth int, prefix long, written long, rows long, schema string")
+    manifest.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/version={new.number}")
+    _clean(spark, path, versions | {new.number: new})
 
 
 def _clean(spark: SparkSession, path: str, versions: dict[int, Version]) -> None:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..operators.conditions import SIGNALS, learn_signals, merge_signals
 from ..operators.graph import PAYOUT_KEYS, ROW_ORDER, payout_keys
 from ..session import staged
-from ..sources.keyed import matching, upsert_into
+from ..sources.keyed import group_into, matching, upsert_into
 
 FILES_PER_BATCH = 64
 WINDOWS = {"24H": "24 hours", "7D": "7 days", "30D": "30 days"}
@@ -55,14 +55,14 @@ def stream_payouts(payments: DataFrame, target: str, checkpoint: str) -> None:
     """
     amount = F.coalesce(F.sum("total_amount"), F.lit(0)).cast("decimal(38,2)").alias("total_amount")
 
-    def added(df: DataFrame) -> DataFrame:
-        return df.groupBy(*PAYOUT_KEYS).agg(F.sum("transaction_count").alias("transaction_count"), amount, F.max("latest").alias("latest"))
+    def added(df: DataFrame, by: list[str]) -> DataFrame:
+        return df.groupBy(*by).agg(F.sum("transaction_count").alias("transaction_count"), amount, F.max("latest").alias("latest"))
 
     def each(batch: DataFrame, batch_id: int) -> None:
         latest = F.struct("transaction_timestamp", "source_sl_no", "transaction_ref_no").alias("latest")
         rows = batch.select(*PAYOUT_KEYS, F.lit(1).cast("long").alias("transaction_count"), F.col("amount").cast("decimal(38,2)").alias("total_amount"), latest)
-        # added up once, together with the old windows
-        upsert_into(rows, target, PAYOUT_KEYS, batch_id, lambda old, new: added(old.unionByName(new)))
+        # added up once, together with the old windows, where they are written; an enrollment has a window a month, so they may lie together
+        group_into(rows, target, PAYOUT_KEYS, batch_id, added, PAYOUT_KEYS[:3])
 
     run_available(payments, each, checkpoint)
 
@@ -76,7 +76,8 @@ def payout_rows(state: DataFrame) -> DataFrame:
 
 def payouts_of(enrollments: DataFrame, state: DataFrame) -> DataFrame:
     """Payout windows of enrollments that the sync knows, with their enrollment and payout month keys."""
-    return payout_keys(payout_rows(state)).join(enrollments.select("enrollment_key"), "enrollment_key", "left_semi")
+    # a task's keys are few and small beside its windows, which thus need no sort
+    return payout_keys(payout_rows(state)).join(enrollments.select("enrollment_key").hint("shuffle_hash"), "enrollment_key", "left_semi")
 
 
 def _unseen(batch: DataFrame, seen: str, keys: list[str], batch_id: int) -> DataFrame:
